@@ -179,7 +179,7 @@ SELECT 'c' || CAST(o_orderkey AS STRING) AS hash,
 FROM orders
 """
 INPUTS["changed_files"] = """
-SELECT 'c' || CAST(l_orderkey AS STRING) AS hash, l_linenumber AS line_no,
+SELECT 'c' || CAST(l_orderkey AS STRING) AS hash, l_linenumber * 1000000000000 + l_partkey AS line_no,
        CASE l_partkey % 8 WHEN 0 THEN 'app/controllers/OrderItemController.php' WHEN 1 THEN 'app/models/PayModel.php'
             WHEN 2 THEN 'app/Services/' || lower(p_type) || '/index.php' WHEN 3 THEN 'lib/shop/order/cart_handler.ex'
             WHEN 4 THEN 'src/' || lower(p_type) || '/MainQuery.ts' WHEN 5 THEN 'auth/traits/Login' || CAST(p_size AS STRING) || 'Trait.php'
@@ -208,8 +208,7 @@ SELECT l_orderkey + 1 AS issue, l_orderkey * 10 + l_linenumber AS task_id, l_lin
        CASE l_partkey % 7 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'Completed' WHEN 3 THEN 'deleted'
             WHEN 4 THEN 'blocked' WHEN 5 THEN 'completed' ELSE 'completed' END AS status,
        CASE WHEN l_suppkey % 3 = 0 THEN 'main' ELSE 'integration/meta-' || CAST(l_suppkey % 3 AS STRING) END AS branch
-FROM lineitem
-WHERE l_linenumber <= 3
+FROM (SELECT l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey, MIN(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber) one_line
 """
 # -- comments ------------------------------------------------------------------
 INPUTS["comments"] = """

@@ -265,10 +265,10 @@ query(
     f"""SELECT file, MIN(line) AS line, COUNT(*) AS lines, COUNT(*) FILTER (WHERE {m('[;{}=]|' + chr(92) + 'w' + chr(92) + '(')}) AS code_lines FROM
       (SELECT *, SUM(CASE WHEN c THEN 0 ELSE 1 END) OVER (PARTITION BY file ORDER BY line ROWS UNBOUNDED PRECEDING) AS g FROM cl) WHERE c GROUP BY file, g
     HAVING COUNT(*) >= 3 AND COUNT(*) FILTER (WHERE {m('[;{}=]|' + chr(92) + 'w' + chr(92) + '(')}) >= COUNT(*) * 0.5""",
-    "cl AS (SELECT file, line, text, starts_with(trim(text), '#') AS c FROM (SELECT file, line, CASE WHEN line % 9 < 4 THEN '# ' || text || CASE WHEN line % 2 = 0 THEN ';' ELSE '' END ELSE text END AS text FROM (SELECT 'f' || CAST(l_suppkey AS VARCHAR) AS file, l_orderkey * 10 + l_linenumber AS line, 'x' || CAST(l_partkey AS VARCHAR) AS text FROM lineitem)))",
+    "cl AS (SELECT file, line, text, starts_with(trim(text), '#') AS c FROM (SELECT file, line, CASE WHEN line % 9 < 4 THEN '# ' || text || CASE WHEN line % 2 = 0 THEN ';' ELSE '' END ELSE text END AS text FROM (SELECT 'f' || CAST(user_id AS VARCHAR) AS file, event_id AS line, 'x' || CAST(k AS VARCHAR) AS text FROM event_k)))",
 )(
     lambda t: D.commented_code(
-        t("lineitem").select(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")).alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.concat(F.lit("x"), F.col("l_partkey").cast("string")).alias("x")).select(
+        t("event_k").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.col("event_id").alias("line"), F.concat(F.lit("x"), F.col("k").cast("string")).alias("x")).select(
             "file", "line", F.lit("python").alias("lang"),
             F.when(F.col("line") % 9 < 4, F.concat(F.lit("# "), "x", F.when(F.col("line") % 2 == 0, ";").otherwise(""))).otherwise(F.col("x")).alias("text"),
         )
