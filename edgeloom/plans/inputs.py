@@ -246,7 +246,7 @@ FROM event_k
 """
 INPUTS["state_events"] = """
 SELECT event_id AS seq, user_id AS issue,
-       CASE WHEN k % 10 < 6 THEN 'bot:queued' WHEN k % 10 < 8 THEN 'bot:fix' WHEN k % 10 = 8 THEN 'bot:plan-draft' ELSE 'bot:nonsense' END AS want_from,
+       CASE WHEN k % 10 < 5 THEN 'bot:queued' WHEN k % 10 < 7 THEN 'bot:fix' WHEN k % 10 = 7 THEN 'bot:plan-draft' WHEN k % 10 = 8 THEN '' ELSE 'bot:nonsense' END AS want_from,
        CASE event_type WHEN 'click' THEN 'bot:queued' WHEN 'view' THEN 'bot:fix' WHEN 'error' THEN 'bot:plan-draft'
             WHEN 'signup' THEN 'bot:plan-final' ELSE 'bot:implementing' END AS state
 FROM event_k
@@ -360,6 +360,11 @@ def _words(sql: str) -> set[str]:
     return set(re.findall(r"[a-z_]+", sql))
 
 
+def _sources(sql: str) -> set[str]:
+    """Names an input reads from."""
+    return set(re.findall(r"(?:FROM|JOIN) ([a-z_]+)", sql))
+
+
 def needed(names: list[str]) -> list[str]:
     """The inputs behind ``names`` in definition order."""
     want = set()
@@ -368,7 +373,7 @@ def needed(names: list[str]) -> list[str]:
         n = stack.pop()
         if n not in want:
             want.add(n)
-            stack += [w for w in _words(INPUTS[n]) if w in INPUTS and w != n]
+            stack += [w for w in _sources(INPUTS[n]) if w in INPUTS]
     return [n for n in INPUTS if n in want]
 
 
@@ -405,7 +410,7 @@ class Tables:
             names = [n for n in needed_without(name, "relations")]
         text = " ".join(INPUTS[n] for n in names)
         for table in TABLES:
-            if table in _words(text):
+            if table in _sources(text):
                 self(table).createOrReplaceTempView(table)
         ctes = ", ".join(f"{n} AS ({INPUTS[n]})" for n in names if n != name)
         return self.spark.sql((f"WITH {ctes} " if ctes else "") + INPUTS[name])
@@ -424,5 +429,5 @@ def needed_without(name: str, stop: str) -> list[str]:
         n = stack.pop()
         if n not in want and n != stop:
             want.add(n)
-            stack += [w for w in _words(INPUTS[n]) if w in INPUTS and w != n]
+            stack += [w for w in _sources(INPUTS[n]) if w in INPUTS]
     return [n for n in INPUTS if n in want]
