@@ -70,27 +70,6 @@ def skipped_ratio(edges: DataFrame, threshold: float) -> DataFrame:
 # -- contract manifests ----------------------------------------------------------
 
 
-def manifest_contracts(m: DataFrame) -> DataFrame:
-    return m.select("contract_key", F.coalesce("kind", F.lit("")).alias("kind"))
-
-
-def manifest_actions(m: DataFrame) -> DataFrame:
-    return m.select("contract_key", F.explode("actions").alias("a")).select(
-        "contract_key", F.col("a.action_key").alias("action_key"), F.coalesce("a.kind", F.lit("")).alias("kind")
-    )
-
-
-def manifest_fields(m: DataFrame) -> DataFrame:
-    """(contract_key, action_key, role, field, type): contract fields ('' action), action inputs and outputs."""
-    flat = lambda df, action, role, column: df.select("contract_key", action.alias("action_key"), F.lit(role).alias("role"), F.explode(column).alias("field", "type"))
-    acts = m.select("contract_key", F.explode("actions").alias("a"))
-    return (
-        flat(m, F.lit(""), "field", F.col("fields"))
-        .unionByName(flat(acts, F.col("a.action_key"), "input", F.col("a.input")))
-        .unionByName(flat(acts, F.col("a.action_key"), "output", F.col("a.output")))
-    )
-
-
 def _required(t: Column) -> Column:
     return ~F.trim(t).endswith("?")
 
@@ -105,55 +84,84 @@ def _enum(t: Column) -> Column:
     return F.when(_base(t).rlike(r"^enum\[.*\]$"), values)
 
 
-def manifest_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """(id, category): BREAKING, DANGEROUS and SAFE changes between two manifests."""
-    found = lambda df, category, kind, *scope: df.select(
-        F.concat_ws(":", F.lit(category), F.lit(kind), *scope).alias("id"), F.lit(category).alias("category")
+def manifest_pairs(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(contract_key, item[level, key, role, field, old, new]): everything that may differ.
+
+    The two manifests meet in one full join on the contract; actions and fields
+    are compared inside the joined row, so nothing is shuffled twice.
+    """
+    side = lambda m, name: m.select("contract_key", F.struct("kind", "fields", "actions").alias(name))
+    both = side(baseline, "b").join(side(current, "c"), "contract_key", "full")
+    none = F.lit(None).cast("string")
+
+    def item(level: str, key: Column, role: Column, field: Column, old: Column, new: Column) -> Column:
+        return F.struct(
+            F.lit(level).alias("level"), key.alias("key"), role.alias("role"), field.alias("field"), old.alias("old"), new.alias("new")
+        )
+
+    def fields(key: Column, role: str, old: Column, new: Column) -> Column:
+        names = F.array_union(F.map_keys(old), F.map_keys(new))
+        return F.transform(names, lambda f: item("field", key, F.lit(role), f, F.try_element_at(old, f), F.try_element_at(new, f)))
+
+    by_key = lambda acts: F.map_from_entries(F.transform(acts, lambda x: F.struct(x["action_key"], x)))
+    kind = lambda x: F.coalesce(x, F.lit(""))
+    present = lambda x: F.when(x.isNotNull(), kind(x["kind"]))
+
+    def action(k: Column) -> Column:
+        old, new = F.try_element_at(F.col("ba"), k), F.try_element_at(F.col("ca"), k)
+        head = F.array(item("action", k, none, none, present(old), present(new)))
+        inner = F.concat(fields(k, "input", old["input"], new["input"]), fields(k, "output", old["output"], new["output"]))
+        return F.when(old.isNotNull() & new.isNotNull(), F.concat(head, inner)).otherwise(head)
+
+    shared = F.col("b").isNotNull() & F.col("c").isNotNull()
+    rows = both.withColumns({"ba": F.when(shared, by_key(F.col("b.actions"))), "ca": F.when(shared, by_key(F.col("c.actions")))})
+    contract = F.array(item("contract", F.lit(""), none, none, present(F.col("b")), present(F.col("c"))))
+    inside = F.concat(
+        contract,
+        fields(F.lit(""), "field", F.col("b.fields"), F.col("c.fields")),
+        F.flatten(F.transform(F.array_union(F.map_keys("ba"), F.map_keys("ca")), action)),
     )
-    c = F.col("contract_key")
-    bc, cc = manifest_contracts(baseline), manifest_contracts(current)
-    out = found(bc.join(cc, "contract_key", "left_anti"), "BREAKING", "contract_removed", c)
-    out = out.unionByName(found(cc.join(bc, "contract_key", "left_anti"), "SAFE", "contract_added", c))
-    both = bc.join(cc.withColumnRenamed("kind", "new_kind"), "contract_key")
-    changed = "kind <> '' AND new_kind <> '' AND kind <> new_kind"
-    out = out.unionByName(found(both.filter(changed), "BREAKING", "contract_graphql_kind_changed", c))
-
-    key, a = ["contract_key", "action_key"], F.col("action_key")
-    shared = both.select("contract_key")
-    ba = manifest_actions(baseline).join(shared, "contract_key", "left_semi")
-    ca = manifest_actions(current).join(shared, "contract_key", "left_semi")
-    out = out.unionByName(found(ba.join(ca, key, "left_anti"), "BREAKING", "action_removed", c, a))
-    out = out.unionByName(found(ca.join(ba, key, "left_anti"), "SAFE", "action_added", c, a))
-    acts = ba.join(ca.withColumnRenamed("kind", "new_kind"), key)
-    out = out.unionByName(found(acts.filter(changed), "BREAKING", "action_graphql_kind_changed", c, a))
-
-    scopes = acts.select(*key).unionByName(shared.withColumn("action_key", F.lit("")))
-    slot = [*key, "role", "field"]
-    old = manifest_fields(baseline).join(scopes, key, "left_semi").withColumnRenamed("type", "old")
-    new = manifest_fields(current).join(scopes, key, "left_semi").withColumnRenamed("type", "new")
-    where = F.when(a == "", F.concat_ws(".", c, F.lit("fields"), "field")).otherwise(F.concat_ws(".", c, a, "role", "field"))
-    fields = old.join(new, slot, "full").withColumn("scope", where)
-    gone, fresh = F.col("new").isNull(), F.col("old").isNull()
-    kept = ~gone & ~fresh & (F.col("old") != F.col("new"))
-    tightened = kept & ~_required(F.col("old")) & _required(F.col("new"))
+    return rows.select("contract_key", F.explode(F.when(shared, inside).otherwise(contract)).alias("item"))
+
+
+def manifest_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """(id, category): BREAKING, DANGEROUS and SAFE changes between two manifests.
+
+    manifest(contract_key, kind, fields MAP, actions[action_key, kind, input MAP, output MAP]).
+    """
+    x = manifest_pairs(baseline, current).select("contract_key", "item.*")
+    c, key, old, new = F.col("contract_key"), F.col("key"), F.col("old"), F.col("new")
+    gone, fresh = new.isNull(), old.isNull()
+    kept = ~gone & ~fresh & (old != new)
     as_input = F.col("role") == "input"
-    change = lambda test, category, kind, *extra: F.when(
-        test, F.struct(F.concat_ws(":", F.lit(category), F.lit(kind), "scope", *extra).alias("id"), F.lit(category).alias("category"))
+    tightened = kept & ~_required(old) & _required(new)
+    place = F.when(key == "", F.concat_ws(".", c, F.lit("fields"), "field")).otherwise(F.concat_ws(".", c, key, "role", "field"))
+    named = F.when(F.col("level") == "field", place).when(F.col("level") == "action", F.concat_ws(":", c, key)).otherwise(c)
+    field, on = F.col("level") == "field", lambda level: F.col("level") == level
+    rekind = kept & (old != "") & (new != "")
+    found = lambda test, category, kind: F.when(
+        test, F.struct(F.concat_ws(":", F.lit(category), F.lit(kind), named).alias("id"), F.lit(category).alias("category"))
     )
-    single = F.array_compact(
-        F.array(
-            change(gone, "BREAKING", "field_removed"),
-            change(kept & (_base(F.col("old")) != _base(F.col("new"))), "BREAKING", "type_changed"),
-            change(tightened & as_input, "DANGEROUS", "input_required"),
-            change(tightened & ~as_input, "BREAKING", "field_non_null"),
-            change(fresh & as_input & _required(F.col("new")), "DANGEROUS", "required_argument_added"),
-            change(fresh & ~(as_input & _required(F.col("new"))), "SAFE", "field_added"),
-        )
+    checks = [
+        found(on("contract") & gone, "BREAKING", "contract_removed"),
+        found(on("contract") & fresh, "SAFE", "contract_added"),
+        found(on("contract") & rekind, "BREAKING", "contract_graphql_kind_changed"),
+        found(on("action") & gone, "BREAKING", "action_removed"),
+        found(on("action") & fresh, "SAFE", "action_added"),
+        found(on("action") & rekind, "BREAKING", "action_graphql_kind_changed"),
+        found(field & gone, "BREAKING", "field_removed"),
+        found(field & kept & (_base(old) != _base(new)), "BREAKING", "type_changed"),
+        found(field & tightened & as_input, "DANGEROUS", "input_required"),
+        found(field & tightened & ~as_input, "BREAKING", "field_non_null"),
+        found(field & fresh & as_input & _required(new), "DANGEROUS", "required_argument_added"),
+        found(field & fresh & ~(as_input & _required(new)), "SAFE", "field_added"),
+    ]
+    lost = F.when(field & kept, F.array_distinct(F.array_except(_enum(old), _enum(new))))
+    values = F.transform(
+        F.coalesce(lost, F.array().cast("array<string>")),
+        lambda v: F.struct(F.concat_ws(":", F.lit("DANGEROUS:enum_value_removed"), named, v).alias("id"), F.lit("DANGEROUS").alias("category")),
     )
-    lost = F.array_distinct(F.array_except(_enum(F.col("old")), _enum(F.col("new"))))
-    values = fields.filter(kept).select("scope", F.explode(lost).alias("value"))
-    out = out.unionByName(fields.select(F.explode(single).alias("f")).select("f.*"))
-    return out.unionByName(found(values, "DANGEROUS", "enum_value_removed", F.col("scope"), F.col("value")))
+    return x.select(F.explode(F.concat(F.array_compact(F.array(*checks)), values)).alias("f")).select("f.*")
 
 
 def whitelist_gate(findings: DataFrame, whitelist: DataFrame, now: Column, warn_days: int = 7) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import paths as P
 from edgeloom.functions import text as X
-from edgeloom.operators.scans import id_chunk, ordered_scan
+from edgeloom.operators.scans import ordered_scan
 
 # Scan patterns.
 CREDENTIAL_NAMES = (
@@ -107,12 +107,12 @@ def line_rules(names: str = CREDENTIAL_NAMES) -> list[Rule]:
     ]
 
 
-def with_next(lines: DataFrame) -> DataFrame:
+def with_next(lines: DataFrame, **split) -> DataFrame:
     """Adds next_text (the following line) and next_code (the next line that is neither blank nor comment)."""
     back = lines.withColumn("_back", -F.col("line"))
     code = F.when((F.trim("text") != "") & ~is_comment(F.col("text"), F.col("lang")), F.col("text"))
     return ordered_scan(
-        back, ["file"], ["_back"], id_chunk(F.col("_back")), prev={"next_text": "text"}, last_before={"next_code": code}
+        back, ["file"], "_back", prev={"next_text": "text"}, last_before={"next_code": code}, **split
     ).drop("_back")
 
 
@@ -164,14 +164,14 @@ def trivial_comments(lines: DataFrame, threshold: float = 0.7) -> DataFrame:
     )
 
 
-def commented_code(lines: DataFrame, ratio: float = 0.5) -> DataFrame:
+def commented_code(lines: DataFrame, ratio: float = 0.5, **split) -> DataFrame:
     """(file, line, lines, code_lines): runs of three or more comment lines that mostly look like code.
 
     Whether a run is code is judged by the share of lines with code punctuation.
     """
     comment = is_comment(F.col("text"), F.col("lang"))
     numbered = ordered_scan(
-        lines.withColumn("c", comment.cast("int")), ["file"], ["line"], id_chunk(F.col("line")), running={"breaks": 1 - F.col("c")}
+        lines.withColumn("c", comment.cast("int")), ["file"], "line", running={"breaks": 1 - F.col("c")}, **split
     )
     looks = F.col("text").rlike(r"[;{}=]|\w\(")
     runs = numbered.filter("c = 1").groupBy("file", "breaks").agg(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import labels as L
 from edgeloom.functions import text as X
-from edgeloom.operators.scans import id_chunk, ordered_scan
+from edgeloom.operators.scans import ordered_scan, streaks
 from edgeloom.sources.records import event_fields
 
 # Deferred failure reasons.
@@ -91,21 +91,21 @@ def idempotency_key(repo: Column, issue: Column, phase: Column, input_hash: Colu
     return F.sha2(F.concat_ws("\n", F.trim(repo), issue.cast("string"), F.trim(phase), F.trim(input_hash)), 256)
 
 
-def idempotent_runs(runs: DataFrame, chunk_rows: int = 4096) -> DataFrame:
+def idempotent_runs(runs: DataFrame, **split) -> DataFrame:
     """(seq, issue, phase, key, action): record, no-op (same key as the latest of its phase) or unkeyed."""
     enabled = (F.col("issue") > 0) & (F.trim("phase") != "") & (F.trim("input_hash") != "")
     key = F.when(enabled, idempotency_key(F.col("repo"), F.col("issue"), F.col("phase"), F.col("input_hash")))
     keyed = runs.select("seq", "issue", F.trim("phase").alias("phase"), key.alias("key"))
-    scanned = ordered_scan(keyed, ["issue", "phase"], ["seq"], id_chunk(F.col("seq"), chunk_rows), prev={"before": "key"})
+    scanned = ordered_scan(keyed, ["issue", "phase"], "seq", prev={"before": "key"}, **split)
     return scanned.select(
         "seq", "issue", "phase", "key",
         F.when(F.col("key").isNull(), "unkeyed").when(F.col("key") == F.col("before"), "no-op").otherwise("record").alias("action"),
     )
 
 
-def transition_log(events: DataFrame, chunk_rows: int = 4096) -> DataFrame:
+def transition_log(events: DataFrame, **split) -> DataFrame:
     """(seq, issue, from_state, to_state, verdict) of an observed state log."""
-    scanned = ordered_scan(events.select("seq", "issue", "state"), ["issue"], ["seq"], id_chunk(F.col("seq"), chunk_rows), prev={"from_state": "state"})
+    scanned = ordered_scan(events.select("seq", "issue", "state"), ["issue"], "seq", prev={"from_state": "state"}, **split)
     a, b = F.col("from_state"), F.col("state")
     verdict = (
         F.when(~b.isin(*L.STATES), "invalid_state").when(a.isNull(), "first").when(a == b, "no-op").when(L.valid_pair(a, b), "ok").otherwise("invalid_transition")
@@ -152,57 +152,43 @@ def parse_attempts(attempts: DataFrame) -> DataFrame:
     )
 
 
-def gate_retries(attempts: DataFrame, max_retries: int = GATE_RETRIES, chunk_rows: int = 4096) -> DataFrame:
+def gate_retries(attempts: DataFrame, max_retries: int = GATE_RETRIES, **split) -> DataFrame:
     """(seq, issue, result, retry_count, stored_before, escalated, comment) of parse_attempts rows.
 
     Pass and deferred reset to 0; a failure counts on from the previous row only
     when that row failed with the same key. ``stored_before`` is the count before
     this failure; the escalation comment is written once per issue.
     """
-    chunk = id_chunk(F.col("seq"), chunk_rows)
-    fail = F.col("result") == "code"
-    rows = attempts.withColumn("fkey", F.when(fail, F.col("key")))
-    rows = ordered_scan(rows, ["issue"], ["seq"], chunk, prev={"pkey": "fkey"})
-    starts = fail & ~F.coalesce(F.col("pkey") == F.col("fkey"), F.lit(False))
-    rows = ordered_scan(rows.withColumn("starts", starts), ["issue"], ["seq"], chunk, running={"fails": fail})
-    rows = ordered_scan(rows, ["issue"], ["seq"], chunk, last_before={"base": F.when(F.col("starts"), F.col("fails"))})
-    count = F.when(~fail, 0).when(F.col("starts"), 1).otherwise(F.col("fails") - F.col("base") + 1)
-    counted = rows.withColumn("retry_count", count.cast("bigint")).withColumn("escalated", fail & (F.col("retry_count") > max_retries))
+    rows = attempts.withColumn("fkey", F.when(F.col("result") == "code", F.col("key")))
+    counted = streaks(rows, ["issue"], "seq", "fkey", **split).withColumn("escalated", F.col("streak") > max_retries)
     first = counted.filter("escalated").groupBy("issue").agg(F.min("seq").alias("first_seq"))
     return counted.join(first, "issue", "left").select(
-        "seq", "issue", "result", "retry_count", F.greatest(F.col("retry_count") - 1, F.lit(0)).cast("bigint").alias("stored_before"), "escalated",
+        "seq", "issue", "result", F.col("streak").alias("retry_count"), F.greatest(F.col("streak") - 1, F.lit(0)).cast("bigint").alias("stored_before"), "escalated",
         F.coalesce(F.col("seq") == F.col("first_seq"), F.lit(False)).alias("comment"),
     )
 
 
-def integration_retries(attempts: DataFrame, max_retries: int = GATE_RETRIES, chunk_rows: int = 4096) -> DataFrame:
+def integration_retries(attempts: DataFrame, max_retries: int = GATE_RETRIES, **split) -> DataFrame:
     """(seq, issue, retry_count, status): repeats of the last processed key are ignored, a pass clears count and key.
 
-    attempts(seq, issue, passed, key).
+    attempts(seq, issue, passed, key); a failure without a key is never a repeat.
     """
-    chunk = id_chunk(F.col("seq"), chunk_rows)
-    rows = attempts.withColumn("fkey", F.when(~F.col("passed"), F.col("key")))
-    rows = ordered_scan(rows, ["issue"], ["seq"], chunk, prev={"pkey": "fkey"})
-    counts = ~F.col("passed") & ~F.coalesce((F.col("pkey") == F.col("fkey")) & (F.col("fkey") != ""), F.lit(False))
-    rows = ordered_scan(rows.withColumn("counts", counts), ["issue"], ["seq"], chunk, running={"n": F.col("counts")})
-    rows = ordered_scan(rows, ["issue"], ["seq"], chunk, last_before={"base": F.when(F.col("passed"), F.col("n"))})
-    retry = F.col("n") - F.coalesce("base", F.lit(0))
-    return rows.select(
-        "seq", "issue", F.when(F.col("passed"), 0).otherwise(retry).cast("bigint").alias("retry_count"),
-        F.when(F.col("passed"), "passed").when(~F.col("counts"), "ignored").when(retry > max_retries, "escalated").otherwise("retrying").alias("status"),
+    own = F.when(F.col("key") == "", F.concat(F.lit("seq "), F.col("seq").cast("string"))).otherwise(F.col("key"))
+    rows = attempts.withColumn("fkey", F.when(~F.col("passed"), own))
+    n = F.col("runs")
+    return streaks(rows, ["issue"], "seq", "fkey", **split).select(
+        "seq", "issue", n.alias("retry_count"),
+        F.when(F.col("passed"), "passed").when(F.col("streak") > 1, "ignored").when(n > max_retries, "escalated").otherwise("retrying").alias("status"),
     )
 
 
-def conflict_retries(events: DataFrame, threshold: int = CONFLICT_RETRIES, chunk_rows: int = 4096) -> DataFrame:
+def conflict_retries(events: DataFrame, threshold: int = CONFLICT_RETRIES, **split) -> DataFrame:
     """(seq, issue, retry_count, status) of events(seq, issue, kind conflict|recovered); recovery resets."""
-    chunk = id_chunk(F.col("seq"), chunk_rows)
-    hit = F.col("kind") == "conflict"
-    rows = ordered_scan(events.select("seq", "issue", "kind"), ["issue"], ["seq"], chunk, running={"n": hit})
-    rows = ordered_scan(rows, ["issue"], ["seq"], chunk, last_before={"base": F.when(~hit, F.col("n"))})
-    count = F.least(F.col("n") - F.coalesce("base", F.lit(0)), F.lit(threshold + 1))
-    return rows.select(
-        "seq", "issue", F.when(hit, count).otherwise(0).cast("bigint").alias("retry_count"),
-        F.when(~hit, "reset").when(count > threshold, "escalate").otherwise("needs_fix").alias("status"),
+    rows = events.select("seq", "issue", "kind", F.when(F.col("kind") == "conflict", "conflict").alias("hit"))
+    count = F.least(F.col("rows"), F.lit(threshold + 1))
+    return streaks(rows, ["issue"], "seq", "hit", **split).select(
+        "seq", "issue", count.alias("retry_count"),
+        F.when(F.col("hit").isNull(), "reset").when(count > threshold, "escalate").otherwise("needs_fix").alias("status"),
     )
 
 
@@ -253,11 +239,11 @@ def prompt_window(comments: DataFrame, last_human: int) -> DataFrame:
     return both.filter(filled).select("issue", "pos")
 
 
-def context_budget(comments: DataFrame, budget: int, separator: int = 7, chunk_rows: int = 64) -> DataFrame:
+def context_budget(comments: DataFrame, budget: int, separator: int = 7, **split) -> DataFrame:
     """(issue, pos, kept): oldest comments drop until the rest fits the budget in characters."""
     size = F.length("body") + separator
     rows = comments.select("issue", "pos", size.cast("bigint").alias("n"))
-    scanned = ordered_scan(rows, ["issue"], ["pos"], id_chunk(F.col("pos"), chunk_rows), running={"upto": F.col("n")})
+    scanned = ordered_scan(rows, ["issue"], "pos", running={"upto": F.col("n")}, **split)
     total = rows.groupBy("issue").agg(F.sum("n").alias("total"))
     tail = F.col("total") - F.col("upto") + F.col("n") - separator
     return scanned.join(total, "issue").select("issue", "pos", (tail <= budget).alias("kept"))
@@ -276,9 +262,9 @@ def trim_fields(fields: list[str], budget: int) -> dict[str, Column]:
     return out
 
 
-def publish_rounds(rounds: DataFrame, every: int = 1, only_on_change: bool = False, chunk_rows: int = 64) -> DataFrame:
+def publish_rounds(rounds: DataFrame, every: int = 1, only_on_change: bool = False, **split) -> DataFrame:
     """(issue, round, publish) of rounds(issue, round, finish)."""
-    scanned = ordered_scan(rounds, ["issue"], ["round"], id_chunk(F.col("round"), chunk_rows), prev={"before": "finish"})
+    scanned = ordered_scan(rounds, ["issue"], "round", prev={"before": "finish"}, **split)
     on_round = F.lit(True) if every <= 1 else F.col("round") % every == 0
     publish = F.coalesce(F.col("before") != F.col("finish"), F.lit(True)) if only_on_change else on_round
     return scanned.select("issue", "round", publish.alias("publish"))
@@ -420,9 +406,9 @@ def parent_progress(issues: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def status_log(events: DataFrame, blocked: DataFrame, chunk_rows: int = 4096) -> DataFrame:
+def status_log(events: DataFrame, blocked: DataFrame, **split) -> DataFrame:
     """(seq, id, from_status, to_status, verdict) of events(seq, id, status); blocked(id) may not advance."""
-    scanned = ordered_scan(events.select("seq", "id", "status"), ["id"], ["seq"], id_chunk(F.col("seq"), chunk_rows), prev={"before": "status"})
+    scanned = ordered_scan(events.select("seq", "id", "status"), ["id"], "seq", prev={"before": "status"}, **split)
     rows = scanned.withColumn("from_status", F.coalesce("before", F.lit("pending"))).join(blocked.select("id").distinct().withColumn("b", F.lit(True)), "id", "left")
     legal = F.concat_ws(">", "from_status", "status").isin(*STATUS_STEPS)
     verdict = F.when(~legal, "invalid_transition").when(F.col("b").isNotNull() & F.col("status").isin("in_progress", "completed"), "blocked").otherwise("ok")

@@ -24,8 +24,8 @@ cut = ["seed", "node", "depth"]
 query("reach_dependencies", "SELECT * FROM dist", bfs("dag_edges", "seeds", 5))(
     lambda t: G.reach(t("dag_edges"), t("seeds"), 5).select(*cut)
 )
-query("reach_dependents", "SELECT * FROM dist", bfs("dag_edges", "seeds", 5, True))(
-    lambda t: G.reach(t("dag_edges"), t("seeds"), 5, reverse=True).select(*cut)
+query("reach_dependents", "SELECT * FROM dist", bfs("dag_edges", "low_seeds", 5, True))(
+    lambda t: G.reach(t("dag_edges"), t("low_seeds"), 5, reverse=True).select(*cut)
 )
 query("reach_on_cycles", "SELECT * FROM dist", bfs("cyc_edges", "ring_seeds", 12))(
     lambda t: G.reach(t("cyc_edges"), t("ring_seeds"), 12).select(*cut)

@@ -139,11 +139,11 @@ query("diff_changed_lines", "SELECT * FROM ch", DIFF)(lambda t: S.changed_lines(
 query(
     "changed_functions",
     """SELECT c.doc, c.file, c.line_no, f.func, f.start_line FROM ch c JOIN fr f ON f.file = c.file AND c.line_no >= f.start_line AND c.line_no < f.start_line + f.length""",
-    DIFF + ", fr AS (SELECT 'f' || CAST(p_partkey % 3 AS VARCHAR) AS file, 'fn' || CAST(p_partkey AS VARCHAR) AS func, p_partkey AS start_line, p_size::BIGINT AS length FROM part)",
+    DIFF + ", fr AS (SELECT 'f' || CAST(p_partkey % 3 AS VARCHAR) AS file, 'fn' || CAST(p_partkey AS VARCHAR) AS func, p_partkey AS start_line, (p_size % 4)::BIGINT AS length FROM part)",
 )(
     lambda t: D.lines_in_functions(
         S.changed_lines(diffs(t)),
-        t("part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("file"), F.concat(F.lit("fn"), F.col("p_partkey").cast("string")).alias("func"), F.col("p_partkey").alias("start_line"), F.col("p_size").cast("bigint").alias("length")),
+        t("part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 3).cast("string")).alias("file"), F.concat(F.lit("fn"), F.col("p_partkey").cast("string")).alias("func"), F.col("p_partkey").alias("start_line"), (F.col("p_size") % 4).cast("bigint").alias("length")),
     ).select("doc", "file", "line_no", "func", "start_line")
 )
 

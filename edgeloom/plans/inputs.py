@@ -141,6 +141,7 @@ SELECT s_suppkey AS node, CASE WHEN s_suppkey % 23 = 5 THEN s_suppkey + 10000000
 FROM supplier
 """
 INPUTS["seeds"] = "SELECT MAX(p_partkey) AS seed FROM part GROUP BY p_brand"
+INPUTS["low_seeds"] = "SELECT MIN(p_partkey) AS seed FROM part WHERE p_partkey > 0 GROUP BY p_brand"
 INPUTS["ring_seeds"] = "SELECT MAX(s_suppkey) AS seed FROM supplier GROUP BY s_nationkey"
 INPUTS["blocked_by"] = """
 SELECT src AS id, dst AS dep FROM cyc_edges WHERE src <> dst

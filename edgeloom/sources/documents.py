@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions import paths as P
 from edgeloom.functions import text as X
-from edgeloom.operators.scans import id_chunk, ordered_scan
+
+def _in_doc(last: int):
+    """Lines of the document up to ``last`` rows from here.
+
+    A document is one row of its source, so its lines fit one task.
+    """
+    return Window.partitionBy("doc").orderBy("line").rowsBetween(Window.unboundedPreceding, last)
 
 
 def read_sources(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,16 +48,14 @@ def fenced_lines(lines: DataFrame) -> DataFrame:
     """
     bare = F.rtrim("text")
     kind = F.when(bare.rlike(r"(?i)^\s*```(bdd|dsl|bdd-dsl)\s*$"), "open").when(bare.rlike(r"^\s*```\s*$"), "close")
-    marked = ordered_scan(
-        lines.withColumn("kind", kind), ["doc"], ["line"], id_chunk(F.col("line")), last_before={"before": F.col("kind")}
-    )
+    marked = lines.withColumn("kind", kind).withColumn("before", F.last("kind", ignorenulls=True).over(_in_doc(-1)))
     inside = F.coalesce(F.col("before") == "open", F.lit(False))
     opens = (F.col("kind") == "open") & ~inside
     rows = marked.select(
         "doc", "line", "text", F.coalesce(opens, F.lit(False)).alias("opens"),
         F.coalesce((F.col("kind") == "close") & inside, F.lit(False)).alias("closes"), inside.alias("inside"),
     )
-    return ordered_scan(rows, ["doc"], ["line"], id_chunk(F.col("line")), running={"block": F.col("opens").cast("int")})
+    return rows.withColumn("block", F.sum(F.col("opens").cast("bigint")).over(_in_doc(0)))
 
 
 def fenced_blocks(docs: DataFrame) -> DataFrame:
@@ -76,7 +80,7 @@ def scenario_lines(docs: DataFrame) -> DataFrame:
     """(doc, segment, line, text, is_header); segment 0 holds steps before any header; blanks and # lines are skipped."""
     rows = numbered_lines(docs).withColumn("text", F.trim("text")).filter("text <> '' AND NOT startswith(text, '#')")
     rows = rows.withColumn("is_header", F.startswith("text", F.lit("[SCENARIO:")))
-    return ordered_scan(rows, ["doc"], ["line"], id_chunk(F.col("line")), running={"segment": F.col("is_header").cast("int")})
+    return rows.withColumn("segment", F.sum(F.col("is_header").cast("bigint")).over(_in_doc(0)))
 
 
 def scenarios(docs: DataFrame) -> DataFrame:
@@ -127,10 +131,12 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
             "path": F.nullif(F.regexp_extract("text", r"^diff --git a/\S+ b/(\S+)", 1), F.lit("")),
         }
     )
-    counted = ordered_scan(rows, ["doc"], ["line"], id_chunk(F.col("line")), running={"moved": F.col("moves")})
-    placed = ordered_scan(
-        counted, ["doc"], ["line"], id_chunk(F.col("line")),
-        last_before={"hunk": F.when(F.col("header"), F.struct("start", "moved")), "file": F.col("path")},
+    counted = rows.withColumn("moved", F.sum(F.col("moves").cast("bigint")).over(_in_doc(0)))
+    placed = counted.withColumns(
+        {
+            "hunk": F.last(F.when(F.col("header"), F.struct("start", "moved")), ignorenulls=True).over(_in_doc(-1)),
+            "file": F.last("path", ignorenulls=True).over(_in_doc(-1)),
+        }
     )
     at = F.coalesce("hunk.start", F.lit(0)) + F.col("moved") - F.col("moves") - F.coalesce("hunk.moved", F.lit(0))
     return placed.filter("added").select("doc", "file", at.alias("line_no"))
