@@ -36,10 +36,11 @@ REF_PATTERNS = (
 )
 PULL_REQUEST = r"(?i)pull request #([0-9]+)"
 CLOSES = r"(?i)(?:closes|fixes|resolves)\s*#(\d+)"
-DEPENDS_LINE = r"(?i)depends[- ]on:\s*((?:#\d+[\s,]*)+)"
+DEPENDS_LINE = r"(?i)depends[- ]on:\s*(#\d[\d#\s,]*)"
+DEPENDS_END = r"#(?!\d)|(?<=[\s,])\d"
 DEPENDS_MULTI = r"(?im)^(?:depends[- ]on|blocked[- ]by):\s*(.+)$"
 PARENT = r"(?i)parent(?:\s+issue)?:\s*#(\d+)"
-MARKER = r"<!--\s+(BOT:\w+)((?:\s+\w+=\S+)*)\s+-->"
+MARKER = r"<!--\s+(BOT:\w+(?:\s.*?)?)\s+-->"
 
 
 def lines(text: Column) -> Column:
@@ -47,6 +48,10 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"\n\z", ""), r"\r?\n")
 
 
+# Repetition in patterns stays on character classes: Java regexes recurse on
+# repeated groups and overflow the stack on long texts.
+
+
 def all_matches(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
@@ -79,7 +84,8 @@ def depends_on(body: Column, grammar: str = "line") -> Column:
     """Declared dependencies. ``line``: first depends-on list; ``multi``: every depends-on
     or blocked-by line, also ``owner/repo#n``, distinct in order."""
     if grammar == "line":
-        return numbers(all_matches(F.regexp_extract(body, DEPENDS_LINE, 1), r"#(\d+)"))
+        listed = F.split(F.regexp_extract(body, DEPENDS_LINE, 1), DEPENDS_END)[0]
+        return numbers(all_matches(listed, r"#(\d+)"))
     if grammar == "multi":
         rows = all_matches(body, DEPENDS_MULTI)
         refs = F.flatten(F.transform(rows, lambda r: all_matches(r, r"(?:[\w\-]+/[\w\-]+)?#(\d+)")))
@@ -139,6 +145,11 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
+def may_resemble(a: Column, b: Column, threshold: float) -> Column:
+    """False where the lengths alone rule out a similarity above the threshold."""
+    return F.abs(F.length(a) - F.length(b)) < F.greatest(F.length(a), F.length(b)) * (1 - threshold)
+
+
 def section_state(text: Column, heading: str) -> Column:
     """missing / empty / ok for the first ``## heading`` and its body up to the next ``## ``."""
     mark = F.lit(f"## {heading}")

@@ -27,20 +27,18 @@ def layers(nodes: DataFrame, deps: DataFrame) -> DataFrame:
         "node", F.coalesce("need", F.lit(0)).cast("bigint").alias("need"), (F.coalesce("need", F.lit(0)) == 0).alias("ready")
     )
     shape = state.select("node", "need")
-    scratch.save(state, "round=0", ("ready",))
+    _, n_ready = scratch.save_counted(state, "round=0", F.col("ready"), ("ready",))
     done: list[tuple[int, str]] = []
     k = 0
-    while True:
+    while n_ready:
         peeled = scratch.read(f"round={k}", state).filter("ready").select("node")
-        if peeled.isEmpty():
-            break
         done.append((k, f"round={k}"))
         hits = edges.join(peeled.toDF("dep"), "dep").groupBy("node").agg(F.count("*").alias("hit"))
         rest = scratch.read(f"round={k}", state).filter("NOT ready").select("node", "need")
         left = F.col("need") - F.coalesce("hit", F.lit(0))
         nxt = rest.join(hits, "node", "left").select("node", left.alias("need"), (left == 0).alias("ready"))
         k += 1
-        scratch.save(nxt, f"round={k}", ("ready",))
+        _, n_ready = scratch.save_counted(nxt, f"round={k}", F.col("ready"), ("ready",))
     out = scratch.read(f"round={k}", state).filter("NOT ready").select("node", F.lit(None).cast("bigint").alias("layer"))
     for level, name in done:
         out = out.unionByName(
@@ -67,21 +65,36 @@ def dag_errors(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     return twice.unionByName(missing).unionByName(cyclic)
 
 
-def _trim(scratch: Scratch, edges: DataFrame, tag: str, rounds: int = 30) -> DataFrame:
+def _trim(scratch: Scratch, edges: DataFrame, size: int, tag: str, rounds: int = 30) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: sources nobody enters, targets nobody leaves.
 
     Only a cheap reduction, so it may stop early; the colouring below is exact.
     """
-    before = edges.count()
-    for i in range(rounds):
+    for i in range(rounds if size else 0):
         live = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         live = live.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        edges = scratch.save(live.select("src", "dst"), f"{tag}-trim={i}")
-        after = edges.count()
-        if after == before or after == 0:
+        edges, left = scratch.save_counted(live.select("src", "dst"), f"{tag}-trim={i}")
+        size, before = left, size
+        if left in (0, before):
             break
-        before = after
-    return edges
+    return edges, size
+
+
+def _colour(scratch: Scratch, live: DataFrame, tag: str) -> DataFrame:
+    """(node, color): the largest id that reaches the node; only nodes that changed pass their colour on."""
+    nodes = live.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    color, n_moved = scratch.save_counted(nodes.withColumn("color", F.col("node")), f"{tag}-0")
+    moved, step = color, 0
+    while n_moved:
+        step += 1
+        offer = live.join(moved.toDF("src", "offer"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("offer").alias("offer"))
+        better = F.col("offer") > F.col("color")
+        nxt = color.join(offer, "node", "left").select(
+            "node", F.when(better, F.col("offer")).otherwise(F.col("color")).alias("color"), F.coalesce(better, F.lit(False)).alias("moved")
+        )
+        saved, n_moved = scratch.save_counted(nxt, f"{tag}-{step}", F.col("moved"))
+        color, moved = saved.select("node", "color"), saved.filter("moved").select("node", "color")
+    return color
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -93,51 +106,31 @@ def components(edges: DataFrame) -> DataFrame:
     """
     scratch = Scratch(edges.sparkSession, "scc")
     edges = scratch.save(edges.select("src", "dst").distinct(), "edges")
-    loops = scratch.save(edges.filter("src = dst").select(F.col("src").alias("node")), "loops")
-    live = _trim(scratch, edges.filter("src <> dst"), "t0")
+    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
+    live, size = scratch.save_counted(edges.filter("src <> dst"), "plain")
+    live, size = _trim(scratch, live, size, "t0")
     shape = live.select(F.col("src").alias("node"), F.col("src").alias("component"))
     parts: list[str] = []
     turn = 0
-    while not live.isEmpty():
-        color = scratch.save(
-            live.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("color", F.col("node")),
-            f"color{turn}-0",
-        )
-        moved, step = color, 0
-        while not moved.isEmpty():
-            step += 1
-            offer = (
-                live.join(moved.toDF("src", "offer"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("offer").alias("offer"))
-            )
-            better = F.col("offer") > F.col("color")
-            nxt = color.join(offer, "node", "left").select(
-                "node", F.when(better, F.col("offer")).otherwise(F.col("color")).alias("color"),
-                F.coalesce(better, F.lit(False)).alias("moved"),
-            )
-            saved = scratch.save(nxt, f"color{turn}-{step}")
-            color, moved = saved.select("node", "color"), saved.filter("moved").select("node", "color")
-        inside = scratch.save(
-            live.join(color.toDF("src", "cs"), "src").join(color.toDF("dst", "cd"), "dst").filter("cs = cd")
-            .select("src", "dst", F.col("cs").alias("component")),
-            f"inside{turn}",
-        )
-        front = color.filter("node = color").toDF("node", "component")
+    while size:
+        color = _colour(scratch, live, f"color{turn}")
+        ends = live.join(color.toDF("src", "cs"), "src").join(color.toDF("dst", "cd"), "dst")
+        inside = scratch.save(ends.filter("cs = cd").select("src", "dst", F.col("cs").alias("component")), f"inside{turn}")
         names, step = [f"back{turn}-0"], 0
-        front = scratch.save(front, names[0])
-        while not front.isEmpty():
+        front, n_front = scratch.save_counted(color.filter("node = color").toDF("node", "component"), names[0])
+        while n_front:
             step += 1
-            back = inside.join(front.withColumnRenamed("node", "dst"), ["dst", "component"]).select(
-                F.col("src").alias("node"), "component"
-            ).distinct()
-            back = back.join(scratch.read_many(names, front), ["node", "component"], "left_anti")
+            back = inside.join(front.withColumnRenamed("node", "dst"), ["dst", "component"]).select(F.col("src").alias("node"), "component")
+            back = back.distinct().join(scratch.read_many(names, front), ["node", "component"], "left_anti")
             name = f"back{turn}-{step}"
-            front = scratch.save(back, name)
+            front, n_front = scratch.save_counted(back, name)
             names.append(name)
         parts += names
         removed = scratch.read_many(names, front).select("node")
         rest = inside.select("src", "dst").join(removed.toDF("src"), "src", "left_anti").join(removed.toDF("dst"), "dst", "left_anti")
         turn += 1
-        live = _trim(scratch, scratch.save(rest, f"rest{turn}"), f"t{turn}")
+        live, size = scratch.save_counted(rest, f"rest{turn}")
+        live, size = _trim(scratch, live, size, f"t{turn}")
     found = scratch.read_many(parts, shape) if parts else shape.filter(F.lit(False))
     sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
     big = found.join(sizes.select("component"), "component", "left_semi").select("node", "component")
@@ -151,17 +144,16 @@ def inherit(hierarchy: DataFrame, value: str) -> DataFrame:
     hierarchy(node, parent, <value>). Nodes on a parent cycle without a value stay null.
     """
     scratch = Scratch(hierarchy.sparkSession, "inherit")
-    state = scratch.save(
-        hierarchy.select("node", F.when(F.col(value).isNull(), F.col("parent")).alias("ptr"), F.col(value).alias("value")), "jump=0"
+    open_rows = F.col("ptr").isNotNull()
+    state, left = scratch.save_counted(
+        hierarchy.select("node", F.when(F.col(value).isNull(), F.col("parent")).alias("ptr"), F.col(value).alias("value")), "jump=0", open_rows
     )
     for k in range(1, 64):
-        if state.filter("ptr IS NOT NULL").isEmpty():
+        if not left:
             break
         up = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("up_ptr"), F.col("value").alias("up_value"))
-        state = scratch.save(
-            state.join(up, "ptr", "left").select("node", F.col("up_ptr").alias("ptr"), F.coalesce("value", "up_value").alias("value")),
-            f"jump={k}",
-        )
+        jumped = state.join(up, "ptr", "left").select("node", F.col("up_ptr").alias("ptr"), F.coalesce("value", "up_value").alias("value"))
+        state, left = scratch.save_counted(jumped, f"jump={k}", open_rows)
     return state.select("node", F.col("value").alias(value))
 
 

@@ -158,7 +158,7 @@ def trivial_comments(lines: DataFrame, threshold: float = 0.7) -> DataFrame:
     return (
         with_next(lines).filter(is_comment(F.col("text"), F.col("lang")))
         .select("file", "line", a.alias("a"), b.alias("b"))
-        .filter("a <> '' AND b <> ''")
+        .filter((F.col("a") != "") & (F.col("b") != "") & X.may_resemble(F.col("a"), F.col("b"), threshold))
         .select("file", "line", F.round(near, 6).alias("similarity"))
         .filter(F.col("similarity") > threshold)
     )

@@ -41,8 +41,8 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
         )
         if found:
             new = new.join(scratch.read_many(found, shape).select(*PAIR), PAIR, "left_anti")
-        part = scratch.save(new.select(*PAIR, F.lit(k).cast("bigint").alias("depth"), "parent"), f"depth={k}/part")
-        if part.isEmpty():
+        part, n = scratch.save_counted(new.select(*PAIR, F.lit(k).cast("bigint").alias("depth"), "parent"), f"depth={k}/part")
+        if n == 0:
             break
         found.append(f"depth={k}/part")
         frontier = part.select(*PAIR)
@@ -58,17 +58,16 @@ def cycle_paths(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH - 1)
     """(seed, step, node): nodes of one shortest cycle per seed, step 0 being the seed."""
     tree = reach(edges, seeds, depth)
     scratch = Scratch(edges.sparkSession, "cycle")
-    at = scratch.save(
-        tree.filter("seed = node").select("seed", F.col("depth").alias("step"), F.col("parent").alias("node")), "back=0"
+    more = F.col("step") > 1
+    at, left = scratch.save_counted(
+        tree.filter("seed = node").select("seed", F.col("depth").alias("step"), F.col("parent").alias("node")), "back=0", more
     )
     parts, k = ["back=0"], 0
-    while not at.filter("step > 1").isEmpty():
+    while left:
         k += 1
-        at = scratch.save(
-            at.filter("step > 1")
-            .join(tree.select(*PAIR, "parent"), PAIR)
-            .select("seed", (F.col("step") - 1).alias("step"), F.col("parent").alias("node")),
-            f"back={k}",
+        back = at.filter(more).join(tree.select(*PAIR, "parent"), PAIR)
+        at, left = scratch.save_counted(
+            back.select("seed", (F.col("step") - 1).alias("step"), F.col("parent").alias("node")), f"back={k}", more
         )
         parts.append(f"back={k}")
     walked = scratch.read_many(parts, at)

@@ -245,8 +245,14 @@ def resolve_names(names: DataFrame, modules: DataFrame) -> DataFrame:
 def module_refs(text: Column) -> Column:
     """Dotted names whose leading segments (two or more) start upper-case, first use first."""
     raw = F.regexp_extract_all(text, F.lit(r"([A-Z][A-Za-z0-9_.]*)"), 1)
-    heads = F.transform(raw, lambda r: F.regexp_extract(r, r"^([A-Z][A-Za-z0-9_]*(?:\.[A-Z][A-Za-z0-9_]*)+)", 1))
-    return F.array_distinct(F.filter(heads, lambda h: h != ""))
+
+    def head(name: Column) -> Column:
+        parts = F.split(name, r"\.")
+        lower = F.array_position(F.transform(parts, lambda p: p.rlike("^[A-Z]")), F.lit(False))
+        n = F.when(lower > 0, lower - 1).otherwise(F.size(parts)).cast("int")
+        return F.when(n >= 2, F.array_join(F.slice(parts, 1, n), "."))
+
+    return F.array_distinct(F.array_compact(F.transform(F.array_distinct(raw), head)))
 
 
 def export_module_map(entries: DataFrame, grain: str = "file") -> DataFrame:

@@ -319,7 +319,7 @@ hn AS (SELECT doc, path, len(ours)::INT AS n, trim(ours[1], chr(10)) AS o, trim(
 
 
 def hunked(t):
-    return R.conflict_hunks(t("conflict_docs"))
+    return R.conflict_hunks(t.wide("conflict_docs"))
 
 
 query("conflict_hunks", "SELECT doc, path, n AS hunks FROM hn", CONF)(lambda t: R.conflict_counts(hunked(t)))

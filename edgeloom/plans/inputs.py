@@ -400,9 +400,22 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
         self._relations: DataFrame | None = None
 
-    def __call__(self, name: str) -> DataFrame:
+    def wide(self, name: str) -> DataFrame:
+        """A table or input for heavy per-row text work, spread over all cores.
+
+        The given tables are single files with one row group, which one task would
+        read. With at least as many input splits as cores this changes nothing.
+        """
+        return self(name, spread=True)
+
+    def _table(self, name: str, spread: bool) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+
+    def __call__(self, name: str, spread: bool = False) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return self._table(name, spread)
         if name == "relations":
             return self.relations()
         names = needed([name])
@@ -412,7 +425,7 @@ class Tables:
         text = " ".join(INPUTS[n] for n in names)
         for table in TABLES:
             if table in _sources(text):
-                self(table).createOrReplaceTempView(table)
+                self._table(table, spread).createOrReplaceTempView(table)
         ctes = ", ".join(f"{n} AS ({INPUTS[n]})" for n in names if n != name)
         return self.spark.sql((f"WITH {ctes} " if ctes else "") + INPUTS[name])
 

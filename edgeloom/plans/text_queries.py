@@ -135,7 +135,7 @@ query(
     "module_references",
     r"""SELECT DISTINCT doc_id, ref FROM (SELECT doc_id, regexp_extract(raw, '^([A-Z][A-Za-z0-9_]*(?:\.[A-Z][A-Za-z0-9_]*)+)', 1) AS ref
       FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, '. ', '.'), '([A-Z][A-Za-z0-9_.]*)', 1)) AS raw FROM documents)) WHERE ref <> ''""",
-)(lambda t: t("documents").select("doc_id", F.explode(R.module_refs(F.replace("text", F.lit(". "), F.lit(".")))).alias("ref")))
+)(lambda t: t.wide("documents").select("doc_id", F.explode(R.module_refs(F.replace("text", F.lit(". "), F.lit(".")))).alias("ref")))
 query(
     "side_effect_flags",
     """SELECT page_id, contains(html, 'async ') OR contains(html, 'await ') AS has_async, contains(html, 'fetch(') OR contains(html, 'axios') OR contains(html, 'ky(') AS has_http,
@@ -205,12 +205,12 @@ hit AS ({SECURITY.replace('{src}', 'cm')}
 
 
 def all_findings(t):
-    return D.scan(D.with_next(t("code_lines")), D.line_rules())
+    return D.scan(D.with_next(t.wide("code_lines")), D.line_rules())
 
 
 query("line_findings", f"SELECT file, line, rule, category, severity, confidence, trim(text) AS code FROM hit WHERE {NOT_TEST}", ALL_RULES)(all_findings)
 query("security_findings", f"SELECT file, line, rule, category, severity, confidence, trim(text) AS code FROM hit WHERE {NOT_TEST} AND category = 'security'", ALL_RULES)(
-    lambda t: D.scan(t("code_lines"), D.line_rules(), {"security"})
+    lambda t: D.scan(t.wide("code_lines"), D.line_rules(), {"security"})
 )
 query(
     "finding_file_summary",
@@ -231,7 +231,7 @@ TOKEN = rf"""(?i)(token|{D.CREDENTIAL_NAMES})\s*[=:]\s*["'][^"']{{8,}}["']"""
 
 
 def doc_findings(t):
-    docs = t("documents").select(F.col("doc_id").cast("string").alias("file"), "text", "lang")
+    docs = t.wide("documents").select(F.col("doc_id").cast("string").alias("file"), "text", "lang")
     rules = D.security_rules("token|" + D.CREDENTIAL_NAMES)
     patterns = [TOKEN, D.INJECTION, D.UNSAFE_LOAD, D.EVAL_CALL, D.WEAK_CRYPTO, D.LOG_CALL]
     return D.scan(D.document_lines(docs, patterns), rules)
@@ -249,7 +249,7 @@ query(
     DOC_LINES,
 )(
     lambda t: D.snippets(
-        S.numbered_lines(t("documents").select(F.col("doc_id").cast("string").alias("file"), "text").join(doc_findings(t).select("file"), "file", "left_semi"), "file"), doc_findings(t)
+        S.numbered_lines(t.wide("documents").select(F.col("doc_id").cast("string").alias("file"), "text").join(doc_findings(t).select("file"), "file", "left_semi"), "file"), doc_findings(t)
     )
 )
 NORMAL = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
@@ -259,7 +259,7 @@ query(
       (SELECT file, line, {NORMAL.format(c="trim(regexp_replace(text, '^\\s*(#|//)+', ''))")} AS a, {NORMAL.format(c='next_code')} AS b FROM nx WHERE c)
     WHERE a <> '' AND b <> '' AND 1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)) > 0.7""",
     ALL_RULES,
-)(lambda t: D.trivial_comments(t("code_lines")))
+)(lambda t: D.trivial_comments(t.wide("code_lines")))
 query(
     "commented_out_code",
     f"""SELECT file, MIN(line) AS line, COUNT(*) AS lines, COUNT(*) FILTER (WHERE {m('[;{}=]|' + chr(92) + 'w' + chr(92) + '(')}) AS code_lines FROM
@@ -283,7 +283,7 @@ own AS (SELECT f.file, f.func, f.start_line, l.line, l.text FROM fn f JOIN dl l
 
 
 def doc_lines(t):
-    return S.numbered_lines(t("documents").select(F.col("doc_id").cast("string").alias("file"), "text"), "file")
+    return S.numbered_lines(t.wide("documents").select(F.col("doc_id").cast("string").alias("file"), "text"), "file")
 
 
 def doc_functions(t):
@@ -395,7 +395,7 @@ pr AS (SELECT file, line, sha256(n) AS hash, sha256(regexp_replace(n, '(\\$(VAR|
 
 
 def code_prints(t):
-    return K.fingerprints(t("code_lines").select("file", "line", "text"))
+    return K.fingerprints(t.wide("code_lines").select("file", "line", "text"))
 
 
 query("code_clones", "SELECT file, line, hash, COUNT(*) OVER (PARTITION BY hash) AS members FROM pr QUALIFY members >= 2", PRINTS.replace('{src}', 'code_lines'))(lambda t: K.structural(code_prints(t)))
@@ -405,7 +405,7 @@ query(
     PRINTS.replace('{src}', 'code_lines'),
 )(lambda t: K.boilerplate(code_prints(t)))
 query("document_clones", "SELECT file, hash, COUNT(*) OVER (PARTITION BY hash) AS members FROM pr QUALIFY members >= 2", "d0 AS (SELECT doc_id AS file, 0 AS line, text FROM documents)," + PRINTS.replace('{src}', 'd0'))(
-    lambda t: K.structural(K.fingerprints(t("documents").select(F.col("doc_id").alias("file"), "text")))
+    lambda t: K.structural(K.fingerprints(t.wide("documents").select(F.col("doc_id").alias("file"), "text")))
 )
 query("line_clones", "SELECT file, line, hash, COUNT(*) OVER (PARTITION BY hash) AS members FROM pr QUALIFY members >= 2", DOC_LINES + "," + PRINTS.replace('{src}', 'dl'))(
     lambda t: K.structural(K.fingerprints(doc_lines(t)))
@@ -427,7 +427,7 @@ query(
       COALESCE(string_agg(text, chr(10) ORDER BY line) FILTER (WHERE inside AND COALESCE(k, '') <> 'close'), '') AS content, bool_or(inside AND COALESCE(k, '') = 'close') AS closed
     FROM mb WHERE inside OR k = 'open' GROUP BY doc, block""",
     FENCE,
-)(lambda t: S.fenced_blocks(t("md_docs")))
+)(lambda t: S.fenced_blocks(t.wide("md_docs")))
 SCEN = LINES_OF.format(n="sl", src="dsl_docs") + r""",
 sf AS (SELECT doc, line, trim(text) AS text, starts_with(trim(text), '[SCENARIO:') AS h FROM sl WHERE trim(text) <> '' AND NOT starts_with(trim(text), '#')),
 sg AS (SELECT *, (SUM(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line ROWS UNBOUNDED PRECEDING))::BIGINT AS segment FROM sf),
@@ -436,12 +436,12 @@ scn AS (SELECT doc, segment, line, id, trim(regexp_replace(regexp_extract(rest,
 stp AS (SELECT doc, segment, line, lower(regexp_extract(text, '^(GIVEN|WHEN|THEN)\s+(\S+)', 1)) AS kind, regexp_extract(text, '^(GIVEN|WHEN|THEN)\s+(\S+)', 2) AS name, text AS raw FROM sg WHERE NOT h AND segment > 0)
 """
 query("scenarios", "SELECT doc, segment, line, id, title, array_to_string(tags, ' ') AS tags FROM scn", SCEN)(
-    lambda t: S.scenarios(t("dsl_docs")).withColumn("tags", F.array_join("tags", " "))
+    lambda t: S.scenarios(t.wide("dsl_docs")).withColumn("tags", F.array_join("tags", " "))
 )
 query("scenario_steps", "SELECT doc, segment, line, kind, name, regexp_extract(raw, 'product_id=\"([^\"]*)\"', 1) AS product_id FROM stp", SCEN)(
-    lambda t: S.steps(t("dsl_docs")).select("doc", "segment", "line", "kind", "name", F.coalesce(F.col("args")["product_id"], F.lit("")).alias("product_id"))
+    lambda t: S.steps(t.wide("dsl_docs")).select("doc", "segment", "line", "kind", "name", F.coalesce(F.col("args")["product_id"], F.lit("")).alias("product_id"))
 )
-query("stray_steps", "SELECT doc, line, 'step_before_header' AS error, text FROM sg WHERE segment = 0", SCEN)(lambda t: S.stray_steps(t("dsl_docs")))
+query("stray_steps", "SELECT doc, line, 'step_before_header' AS error, text FROM sg WHERE segment = 0", SCEN)(lambda t: S.stray_steps(t.wide("dsl_docs")))
 LINT = SCEN + r""",
 kn AS (SELECT s.*, i.assert_class, COALESCE(i.is_async, FALSE) AS asy, COALESCE(i.is_eventually, FALSE) AS evt, i.boundary FROM stp s LEFT JOIN instructions i ON i.name = s.name),
 fa AS (SELECT doc, segment, COUNT(*) FILTER (WHERE kind = 'then') AS th, COUNT(*) FILTER (WHERE kind = 'then' AND (assert_class IS NULL OR assert_class = 'weak')) AS wk,
@@ -455,7 +455,7 @@ li AS (SELECT s.*, COALESCE(th, 0) AS th, COALESCE(wk, 0) AS wk, COALESCE(st, 0)
 
 
 def lint(t):
-    return V.scenario_lint(S.scenarios(t("dsl_docs")), S.steps(t("dsl_docs")), t("instructions"), t("seed_contracts"))
+    return V.scenario_lint(S.scenarios(t.wide("dsl_docs")), S.steps(t.wide("dsl_docs")), t("instructions"), t("seed_contracts"))
 
 
 query(
@@ -471,7 +471,7 @@ query(
     LINT,
 )(lint)
 query("scenario_contracts", "SELECT doc, segment, id, ec AS edge_class FROM li WHERE ec IS NOT NULL", LINT)(
-    lambda t: V.match_contracts(S.scenarios(t("dsl_docs")), t("seed_contracts")).filter("contract IS NOT NULL").select("doc", "segment", "id", F.col("contract.edge_class").alias("edge_class"))
+    lambda t: V.match_contracts(S.scenarios(t.wide("dsl_docs")), t("seed_contracts")).filter("contract IS NOT NULL").select("doc", "segment", "id", F.col("contract.edge_class").alias("edge_class"))
 )
 query(
     "step_lint",
@@ -480,18 +480,18 @@ query(
     UNION ALL SELECT doc, line, 'impl_detail_reference' FROM stp WHERE regexp_matches(raw, '\b(Repo|Ecto|Schema|Changeset)\b|\bfrom\(') OR regexp_matches(raw, '(?i)\b(insert_all|update_all|transaction|rollback|SQL)\b')
     UNION ALL SELECT s.doc, s.line, 'unique_risk' FROM stp s JOIN scn c ON c.doc = s.doc AND c.segment = s.segment WHERE list_contains(c.tags, 'strict_unique') AND s.kind = 'given' AND s.name = 'create_product' AND contains(raw, 'product_id=')""",
     SCEN,
-)(lambda t: V.step_lint(S.steps(t("dsl_docs")), S.scenarios(t("dsl_docs"))))
+)(lambda t: V.step_lint(S.steps(t.wide("dsl_docs")), S.scenarios(t.wide("dsl_docs"))))
 query(
     "duplicate_scenarios",
     """SELECT s.id, s.doc, s.line, f.doc AS first_doc, f.line AS first_line FROM scn s JOIN (SELECT id, MIN({'doc': doc, 'line': line}) AS r, COUNT(*) AS n FROM scn GROUP BY id) g ON g.id = s.id AND g.n > 1
     JOIN scn f ON f.id = s.id AND f.doc = g.r.doc AND f.line = g.r.line WHERE s.doc <> f.doc OR s.line <> f.line""",
     SCEN,
-)(lambda t: V.duplicate_ids(S.scenarios(t("dsl_docs"))))
+)(lambda t: V.duplicate_ids(S.scenarios(t.wide("dsl_docs"))))
 query(
     "uncovered_instructions",
     """SELECT name, r.doc AS doc, r.line AS line FROM (SELECT name, MIN({'doc': doc, 'line': line}) AS r FROM stp WHERE name NOT IN (SELECT name FROM instructions) GROUP BY name)""",
     SCEN,
-)(lambda t: V.uncovered_instructions(S.steps(t("dsl_docs")), t("instructions")))
+)(lambda t: V.uncovered_instructions(S.steps(t.wide("dsl_docs")), t("instructions")))
 query(
     "negative_coverage",
     """SELECT o_custkey AS suite, COUNT(*) AS scenarios, 0::BIGINT AS negatives FROM (SELECT o.o_custkey, s.doc, s.segment, EXISTS (SELECT 1 FROM stp p WHERE p.doc = s.doc AND p.segment = s.segment AND ((p.kind = 'then' AND p.name = 'assert_last_error') OR (p.kind = 'when' AND starts_with(p.name, 'try_')))) AS neg
@@ -499,13 +499,13 @@ query(
     SCEN,
 )(
     lambda t: V.negative_coverage(
-        S.scenarios(t("dsl_docs")).join(t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("suite")), "doc"), S.steps(t("dsl_docs")), "suite"
+        S.scenarios(t.wide("dsl_docs")).join(t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("suite")), "doc"), S.steps(t.wide("dsl_docs")), "suite"
     )
 )
 
 
 def warnings(t):
-    return lint(t).join(S.scenarios(t("dsl_docs")).select("doc", "segment", "tags"), ["doc", "segment"]).withColumn("file", F.concat(F.lit("bdd/"), F.col("doc").cast("string"), F.lit(".dsl")))
+    return lint(t).join(S.scenarios(t.wide("dsl_docs")).select("doc", "segment", "tags"), ["doc", "segment"]).withColumn("file", F.concat(F.lit("bdd/"), F.col("doc").cast("string"), F.lit(".dsl")))
 
 
 LINT_N = "(SELECT COUNT(*) FROM li WHERE th = 0)"
@@ -524,14 +524,14 @@ qr AS (SELECT doc, array_to_string(list_filter([CASE WHEN NOT contains(text, '[S
 """
 query("scenario_quality", "SELECT doc, reasons FROM qr WHERE reasons <> ''", QUAL.format(src="(SELECT doc, content AS text FROM (SELECT doc, replace(text, 'GIVEN create', 'given create') AS content FROM dsl_docs UNION ALL SELECT doc + 100000000, text FROM md_docs))"))(
     lambda t: V.quality_reasons(
-        t("dsl_docs").select("doc", F.replace("text", F.lit("GIVEN create"), F.lit("given create")).alias("text")).union(t("md_docs").select(F.col("doc") + 100000000, "text"))
+        t.wide("dsl_docs").select("doc", F.replace("text", F.lit("GIVEN create"), F.lit("given create")).alias("text")).union(t.wide("md_docs").select(F.col("doc") + 100000000, "text"))
     )
 )
-query("scenario_quality_report", "SELECT COUNT(*) AS total_files, COUNT(*) FILTER (WHERE reasons <> '') AS invalid_files FROM qr", QUAL.format(src="md_docs"))(lambda t: V.quality_report(t("md_docs")))
+query("scenario_quality_report", "SELECT COUNT(*) AS total_files, COUNT(*) FILTER (WHERE reasons <> '') AS invalid_files FROM qr", QUAL.format(src="md_docs"))(lambda t: V.quality_report(t.wide("md_docs")))
 query(
     "scenarios_per_module",
     """SELECT o_orderpriority AS module, COUNT(*) AS files, SUM(len(regexp_extract_all(text, '\\[SCENARIO:')))::BIGINT AS scenarios FROM dsl_docs JOIN orders ON o_orderkey = doc GROUP BY ROLLUP (o_orderpriority)""",
-)(lambda t: V.scenarios_per_module(t("dsl_docs").join(t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("module")), "doc")))
+)(lambda t: V.scenarios_per_module(t.wide("dsl_docs").join(t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("module")), "doc")))
 query(
     "section_gaps",
     r"""SELECT doc, s AS section, CASE WHEN p = 0 THEN 'missing' ELSE 'empty' END AS state FROM (SELECT doc, s, p, after, strpos(after, chr(10) || '## ') AS e FROM

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "edgeloom") -> SparkSession:
@@ -23,6 +24,7 @@ def local_session(cores: str = "8", app: str = "edgeloom") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -55,6 +57,15 @@ class Scratch:
         writer.parquet(f"{self.root}/{name}")
         return self.read(name, df)
 
+    def save_counted(
+        self, df: DataFrame, name: str, which: Column | None = None, partition_by: tuple[str, ...] = ()
+    ) -> tuple[DataFrame, int]:
+        """Save and count rows (those where ``which`` holds) in the same job."""
+        seen = Observation()
+        n = F.count(F.lit(1)) if which is None else F.count_if(which)
+        table = self.save(df.observe(seen, n.alias("n")), name, partition_by)
+        return table, seen.get["n"]
+
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
 

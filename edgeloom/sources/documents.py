@@ -149,14 +149,15 @@ def markers(comments: DataFrame) -> DataFrame:
     from comments(issue, pos, body).
     """
     rows = comments.select(F.col("issue").alias("issue_key"), "pos", F.posexplode(F.split("body", "\n")).alias("line", "text"))
+    # the first well-formed marker of a line counts: type, then only key=value words
+    found = F.transform(X.all_matches(F.col("text"), X.MARKER), lambda x: F.split(F.trim(x), r"\s+"))
+    well = F.filter(found, lambda w: F.forall(F.slice(w, 2, F.size(w)), lambda x: x.rlike(r"^\w+=\S+$")))
     rows = rows.filter(F.contains("text", F.lit("<!--"))).select(
-        "issue_key", "pos", (F.col("line") + 1).cast("bigint").alias("line"), F.regexp_extract("text", X.MARKER, 1).alias("type"),
-        F.regexp_extract("text", X.MARKER, 2).alias("kv"),
+        "issue_key", "pos", (F.col("line") + 1).cast("bigint").alias("line"), F.try_element_at(well, F.lit(1)).alias("words")
     )
-    pairs = F.transform(
-        X.all_matches(F.col("kv"), r"(\w+=\S+)"), lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1).alias("k"), F.regexp_extract(p, r"^\w+=(.*)$", 1).alias("v"))
-    )
-    rows = rows.filter(F.col("type").isin(*X.MARKER_TYPES)).withColumn("kv", pairs)
+    pair = lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1).alias("k"), F.regexp_extract(p, r"^\w+=(.*)$", 1).alias("v"))
+    rows = rows.withColumn("type", F.try_element_at("words", F.lit(1))).filter(F.col("type").isin(*X.MARKER_TYPES))
+    rows = rows.withColumn("kv", F.transform(F.slice("words", 2, F.size("words")), pair))
     value = lambda k: F.try_element_at(F.filter("kv", lambda p: p["k"] == k), F.lit(-1))["v"]
     # a bad integer is ignored, so the last good one stays
     number = lambda k: F.coalesce(F.try_element_at(F.filter(F.transform(F.filter("kv", lambda p: p["k"] == k), lambda p: p["v"].try_cast("bigint")), lambda n: n.isNotNull()), F.lit(-1)), F.lit(0))
