@@ -22,14 +22,10 @@ def read_sources(spark: SparkSession, folder: str) -> DataFrame:
     The suffix filter runs while listing, so other files are never opened.
     """
     suffixes = ",".join(s[1:] for s in P.SOURCE_SUFFIXES)
-    files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{{{suffixes}}}")
-        .text(folder)
-        .select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
-    )
-    inside = F.regexp_replace("path", "^" + folder.rstrip("/") + "/", "")
+    files = spark.read.text(
+        folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*.{{{suffixes}}}"
+    ).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("path"), F.col("value").alias("text"))
+    inside = F.regexp_replace("path", r"^\Q" + folder.rstrip("/") + r"\E/", "")
     return files.select(inside.alias("path"), "text").filter(P.is_source(F.col("path")))
 
 

@@ -112,7 +112,7 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").csv(path)
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option("emptyValue", "").csv(path)
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:
