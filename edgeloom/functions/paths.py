@@ -136,6 +136,14 @@ def module_from_path(path: Column) -> Column:
     return F.when(name.isin(*GENERIC_NAMES), F.coalesce(F.try_element_at(useful, F.lit(-1)), name)).otherwise(name)
 
 
+def module_of(path: Column, mapping: dict[str, str]) -> Column:
+    """Module of the longest mapped part that the path contains (then by name), else from the file name."""
+    out = module_from_path(path)
+    for part in sorted(mapping, key=lambda p: (len(p), p)):
+        out = F.when(path.contains(part), F.lit(mapping[part])).otherwise(out)
+    return out
+
+
 def high_risk(path: Column) -> Column:
     return any_of(path.startswith(p) for p in HIGH_RISK_PREFIXES) | file_name(path).isin(*HIGH_RISK_FILES)
 

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.functions import paths as P
+from edgeloom.operators.relations import module_pairs
+from edgeloom.session import Scratch
+
 EDGE = ["caller", "callee"]
 
 # Gate metrics in report order.
@@ -375,15 +379,13 @@ def flow_continuity(flows: DataFrame) -> DataFrame:
 
 def boundary_leaks(refs: DataFrame, path_module: DataFrame, boundaries: DataFrame) -> DataFrame:
     """(module, total_refs, leaked_refs): outside references that miss every public glob."""
-    from edgeloom.functions import paths as P
-    from edgeloom.operators.relations import module_pairs
-
     pairs = module_pairs(refs, path_module).withColumn("n", F.col("imports") + F.col("calls"))
     into = pairs.groupBy(F.col("callee").alias("module_id"), F.col("dst_path").alias("path")).agg(F.sum("n").alias("n"))
     globs = boundaries.select("module_id", F.explode_outer("public_paths").alias("glob")).select(
         "module_id", P.glob_folder(F.col("glob")).alias("folder"), P.glob_regex(F.col("glob")).alias("regex")
     )
     scoped = into.join(boundaries.select("module_id").distinct(), "module_id", "left_semi")
+    scoped = Scratch(refs.sparkSession, "boundary").save(scoped, "scoped")
     public = (
         scoped.select("module_id", "path", F.explode(P.folders(F.col("path"))).alias("folder"))
         .join(globs.filter("regex IS NOT NULL"), ["module_id", "folder"])

@@ -51,6 +51,11 @@ class Rule:
     test: Callable[[], Column]
 
 
+def custom_rule(name: str, predicate: str, category: str = "custom", severity: str = "warning", confidence: float = 1.0) -> Rule:
+    """A rule written as a SQL predicate over the line columns."""
+    return Rule(name, category, severity, confidence, lambda: F.expr(predicate))
+
+
 def comment_mark(lang: Column) -> Column:
     return F.when(lang.isin("python", "elixir"), "#").otherwise("//")
 

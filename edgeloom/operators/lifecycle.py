@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions import labels as L
 from edgeloom.functions import text as X
 from edgeloom.operators.scans import ordered_scan, streaks
+from edgeloom.session import Scratch
 from edgeloom.sources.records import event_fields
 
 # Deferred failure reasons.
@@ -159,8 +160,11 @@ def gate_retries(attempts: DataFrame, max_retries: int = GATE_RETRIES, **split)
     when that row failed with the same key. ``stored_before`` is the count before
     this failure; the escalation comment is written once per issue.
     """
-    rows = attempts.withColumn("fkey", F.when(F.col("result") == "code", F.col("key")))
+    # the slim parsed rows and their counts are each read twice; written, the logs are parsed once
+    scratch = Scratch(attempts.sparkSession, "retries")
+    rows = scratch.save(attempts.select("seq", "issue", "result", F.when(F.col("result") == "code", F.col("key")).alias("fkey")), "parsed")
     counted = streaks(rows, ["issue"], "seq", "fkey", **split).withColumn("escalated", F.col("streak") > max_retries)
+    counted = scratch.save(counted.select("seq", "issue", "result", "streak", "escalated"), "counted")
     first = counted.filter("escalated").groupBy("issue").agg(F.min("seq").alias("first_seq"))
     return counted.join(first, "issue", "left").select(
         "seq", "issue", "result", F.col("streak").alias("retry_count"), F.greatest(F.col("streak") - 1, F.lit(0)).cast("bigint").alias("stored_before"), "escalated",
@@ -174,7 +178,8 @@ def integration_retries(attempts: DataFrame, max_retries: int = GATE_RETRIES, **
     attempts(seq, issue, passed, key); a failure without a key is never a repeat.
     """
     own = F.when(F.col("key") == "", F.concat(F.lit("seq "), F.col("seq").cast("string"))).otherwise(F.col("key"))
-    rows = attempts.withColumn("fkey", F.when(~F.col("passed"), own))
+    rows = attempts.select("seq", "issue", "passed", F.when(~F.col("passed"), own).alias("fkey"))
+    rows = Scratch(attempts.sparkSession, "retries").save(rows, "parsed")
     n = F.col("runs")
     return streaks(rows, ["issue"], "seq", "fkey", **split).select(
         "seq", "issue", n.alias("retry_count"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions import paths as P
+from edgeloom.session import Scratch
 
 DEFAULT_PRECEDENCE = 1000
 MIN_HINT_CONFIDENCE = 0.75
@@ -69,6 +70,8 @@ def relation_weights(refs: DataFrame, path_module: DataFrame) -> DataFrame:
 def edge_severity(refs: DataFrame, path_module: DataFrame) -> DataFrame:
     """Call ratio, distinct files and the share of the heaviest file on each side."""
     pairs = module_pairs(refs, path_module).withColumn("n", F.col("imports") + F.col("calls"))
+    # three groupings follow; the written pairs spare them the two joins
+    pairs = Scratch(refs.sparkSession, "pairs").save(pairs, "pairs")
     edge = ["caller", "callee"]
 
     def side(path: str, label: str) -> DataFrame:

@@ -175,6 +175,14 @@ query(
     r"""SELECT issue, substr(regexp_replace(regexp_replace(regexp_replace(lower(title || ' ' || body), '[^a-z0-9 _-]', '', 'g'), '[ _-]+', '-', 'g'), '^-|-$', '', 'g'), 1, 30) AS slug FROM issues""",
 )(lambda t: t("issues").select("issue", X.slug(F.concat("title", F.lit(" "), "body")).alias("slug")))
 
+query(
+    "mapped_modules",
+    """SELECT id, CASE WHEN contains(path, 'src/api/') THEN 'web' WHEN contains(path, '/dao/') THEN 'store' WHEN contains(path, 'src/') THEN 'core' END AS module FROM part_paths""",
+)(lambda t: t("part_paths").select("id", P.module_of(F.col("path"), {"src/": "core", "src/api/": "web", "/dao/": "store"}).alias("module")))
+query("migrated_severities", "SELECT event_id, CASE k % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' WHEN 2 THEN 'info' ELSE 'error' END AS severity FROM event_k")(
+    lambda t: t("event_k").select("event_id", D.severity(F.element_at(F.array(*[F.lit(x) for x in ("high", "medium", "low", "error")]), (F.col("k") % 4 + 1).cast("int"))).alias("severity"))
+)
+
 # -- line findings ---------------------------------------------------------------------
 CRED = rf"""(?i)({D.CREDENTIAL_NAMES})\s*[=:]\s*["'][^"']{{8,}}["']"""
 LABEL = f"regexp_extract(text, {q(D.LABEL_VALUE)}, 1)"
@@ -209,6 +217,9 @@ def all_findings(t):
 
 
 query("line_findings", f"SELECT file, line, rule, category, severity, confidence, trim(text) AS code FROM hit WHERE {NOT_TEST}", ALL_RULES)(all_findings)
+query("custom_findings", "SELECT file, line, 'long_call' AS rule, 'custom' AS category, 'warning' AS severity, 1.0::DOUBLE AS confidence, trim(text) AS code FROM code_lines WHERE length(text) > 16 AND contains(text, '(')")(
+    lambda t: D.scan(t("code_lines"), [D.custom_rule("long_call", "length(text) > 16 AND contains(text, '(')")])
+)
 query("security_findings", f"SELECT file, line, rule, category, severity, confidence, trim(text) AS code FROM hit WHERE {NOT_TEST} AND category = 'security'", ALL_RULES)(
     lambda t: D.scan(t.wide("code_lines"), D.line_rules(), {"security"})
 )

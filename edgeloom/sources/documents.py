@@ -56,7 +56,8 @@ def fenced_lines(lines: DataFrame) -> DataFrame:
 
 def fenced_blocks(docs: DataFrame) -> DataFrame:
     """(doc, block, start_line, content, closed): content and closed=false marks an unclosed fence."""
-    rows = fenced_lines(numbered_lines(docs)).filter("opens OR inside")
+    fenced = docs.filter(F.col("text").rlike(r"(?im)^\s*```(bdd|dsl|bdd-dsl)\s*$"))
+    rows = fenced_lines(numbered_lines(fenced)).filter("opens OR inside")
     body = F.when(F.col("inside") & ~F.col("closes"), F.struct("line", "text"))
     return (
         rows.groupBy("doc", "block")
@@ -79,12 +80,17 @@ def scenario_lines(docs: DataFrame) -> DataFrame:
     return rows.withColumn("segment", F.sum(F.col("is_header").cast("bigint")).over(_in_doc(0)))
 
 
+def with_scenarios(docs: DataFrame) -> DataFrame:
+    """Documents without a header hold no scenario; their lines never reach a shuffle."""
+    return docs.filter(F.contains("text", F.lit("[SCENARIO:")))
+
+
 def scenarios(docs: DataFrame) -> DataFrame:
     """(doc, segment, line, id, title, tags)."""
     rest = F.regexp_extract("text", HEADER, 2)
     title = F.trim(F.regexp_replace(F.regexp_extract(rest, r"TITLE:\s*(.*)$", 1), r"\s*TAGS:.*$", ""))
     tags = F.filter(F.split(F.trim(F.regexp_extract(rest, r"TAGS:\s*(.*)$", 1)), r"\s+"), lambda x: x != "")
-    return scenario_lines(docs).filter("is_header").select(
+    return scenario_lines(with_scenarios(docs)).filter("is_header").select(
         "doc", "segment", "line", F.trim(F.regexp_extract("text", HEADER, 1)).alias("id"), title.alias("title"), tags.alias("tags")
     )
 
@@ -98,7 +104,7 @@ def steps(docs: DataFrame) -> DataFrame:
             lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1), F.regexp_replace(F.regexp_extract(p, r"=(.*)$", 1), '^"|"$', "")),
         )
     )
-    return scenario_lines(docs).filter("NOT is_header AND segment > 0").select(
+    return scenario_lines(with_scenarios(docs)).filter("NOT is_header AND segment > 0").select(
         "doc", "segment", "line", F.lower(F.regexp_extract("text", STEP, 1)).alias("kind"), F.regexp_extract("text", STEP, 2).alias("name"),
         args.alias("args"), F.col("text").alias("raw"),
     )
@@ -114,7 +120,7 @@ def changed_lines(diffs: DataFrame) -> DataFrame:
 
     diffs(doc, text). Context lines advance the count, removed lines do not.
     """
-    lines = numbered_lines(diffs)
+    lines = numbered_lines(diffs.filter(F.col("text").rlike(r"(?m)^\+")))
     header = F.startswith("text", F.lit("@@ "))
     added = F.startswith("text", F.lit("+")) & ~F.startswith("text", F.lit("+++"))
     removed = F.startswith("text", F.lit("-")) & ~F.startswith("text", F.lit("---"))
