@@ -24,7 +24,9 @@ DEFERRED_REASONS = (
 # Routing.
 ORCHESTRATE_LABELS = ("bot:orchestrate", "bot:queued", "bot:pr-reviewable", "bot:premerged")
 LABEL_WORKFLOWS = {"plan": ("bot:fix",), "implement": ("bot:plan-final", "bot:plan-approved"), "review": ("bot:pr-created",)}
-DISPATCH_ACTION, DISPATCH_SOURCE = "niuma.task.completed", "close-after-integration-merge"
+DISPATCH_SOURCE = "close-after-integration-merge"
+# The deployment's own names; pass others where they differ.
+WORKFLOW_PREFIX, DISPATCH_ACTION = "flow-", "flow.task.completed"
 ACTIVE_STATUSES = ("pending", "in-progress", "blocked", "failed")
 SILENCE_WARN, SILENCE_FINALIZE, RECOVERY_COOLDOWN = 600, 1800, 300
 CONFLICT_RETRIES, GATE_RETRIES = 3, 3
@@ -34,20 +36,21 @@ STATUS_STEPS = ("pending>pending", "pending>in_progress", "in_progress>in_progre
 # -- routing -------------------------------------------------------------------
 
 
-def workflow_name(raw: Column) -> Column:
+def workflow_name(raw: Column, prefix: str = WORKFLOW_PREFIX) -> Column:
     w = F.lower(F.trim(raw))
-    for pattern in (r"\.yml$", r"\.yaml$", r"^niuma-", r"-reusable$"):
+    for pattern in (r"\.yml$", r"\.yaml$", rf"^{prefix}", r"-reusable$"):
         w = F.regexp_replace(w, pattern, "")
     return w
 
 
-def route(events: DataFrame) -> DataFrame:
+def route(events: DataFrame, prefix: str = WORKFLOW_PREFIX, dispatch_action: str = DISPATCH_ACTION) -> DataFrame:
     """Adds normalised workflow, decision, action, reason to events(workflow, event_name, payload).
 
-    Stateless, so the same function serves a table and a stream.
+    ``prefix`` is cut from workflow names; ``dispatch_action`` is the one dispatch
+    that may run. Stateless, so the same function serves a table and a stream.
     """
     parsed = event_fields(events)
-    w, e = workflow_name(F.col("workflow")), F.trim("event_name")
+    w, e = workflow_name(F.col("workflow"), prefix), F.trim("event_name")
     verdict = lambda decision, action, reason: F.struct(F.lit(decision).alias("decision"), F.lit(action).alias("action"), F.lit(reason).alias("reason"))
     bad = F.col("bad_payload")
     no_label = bad | (F.col("label") == "")
@@ -66,7 +69,7 @@ def route(events: DataFrame) -> DataFrame:
         .when(
             e == "repository_dispatch",
             F.when(bad, broken)
-            .when(F.col("action") != DISPATCH_ACTION, verdict("skip", "none", "skip_dispatch_action_not_allowed"))
+            .when(F.col("action") != dispatch_action, verdict("skip", "none", "skip_dispatch_action_not_allowed"))
             .when(F.col("source") != DISPATCH_SOURCE, verdict("skip", "none", "skip_dispatch_source_not_allowed"))
             .otherwise(run),
         )

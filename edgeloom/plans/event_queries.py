@@ -84,7 +84,7 @@ query(
 
 # -- routing ---------------------------------------------------------------------------
 ROUTE = """
-rt AS (SELECT event_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(workflow)), '\\.ya?ml$', ''), '^niuma-', ''), '-reusable$', '') AS workflow, trim(event_name) AS event_name,
+rt AS (SELECT event_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(workflow)), '\\.ya?ml$', ''), '^flow-', ''), '-reusable$', '') AS workflow, trim(event_name) AS event_name,
   NOT json_valid(payload) AS bad, CASE WHEN json_valid(payload) THEN payload ELSE '{}' END AS p FROM wf_events),
 rf AS (SELECT *, COALESCE(trim(json_extract_string(p, '$.label.name')), '') AS label, COALESCE(json_extract_string(p, '$.action'), '') AS act, COALESCE(json_extract_string(p, '$.client_payload.event_source'), '') AS src,
   COALESCE(json_extract_string(p, '$.pull_request.merged'), 'false') = 'true' AS merged FROM rt),
@@ -96,7 +96,7 @@ rv AS (SELECT event_id, workflow, event_name, CASE
       OR (workflow = 'implement' AND label IN ('bot:plan-final', 'bot:plan-approved')) OR (workflow = 'review' AND label = 'bot:pr-created') THEN 'run|' || workflow || '|run_routable' ELSE 'skip|none|skip_label_not_routable' END
   WHEN workflow <> 'orchestrate' OR event_name NOT IN ('repository_dispatch', 'pull_request') THEN 'skip|none|skip_event_not_supported'
   WHEN bad THEN 'fail|orchestrate|fail_invalid_event_payload'
-  WHEN event_name = 'repository_dispatch' THEN CASE WHEN act <> 'niuma.task.completed' THEN 'skip|none|skip_dispatch_action_not_allowed' WHEN src <> 'close-after-integration-merge' THEN 'skip|none|skip_dispatch_source_not_allowed' ELSE 'run|orchestrate|run_routable' END
+  WHEN event_name = 'repository_dispatch' THEN CASE WHEN act <> 'flow.task.completed' THEN 'skip|none|skip_dispatch_action_not_allowed' WHEN src <> 'close-after-integration-merge' THEN 'skip|none|skip_dispatch_source_not_allowed' ELSE 'run|orchestrate|run_routable' END
   WHEN act <> 'closed' OR NOT merged THEN 'skip|none|skip_state_not_applicable' ELSE 'run|orchestrate|run_routable' END AS v FROM rf)
 """
 ROUTE_SQL = "SELECT event_id, workflow, event_name, split_part(v, '|', 1) AS decision, split_part(v, '|', 2) AS action, split_part(v, '|', 3) AS reason FROM rv"

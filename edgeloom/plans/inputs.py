@@ -227,8 +227,8 @@ FROM conversations
 INPUTS["event_k"] = "SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events"
 INPUTS["wf_events"] = """
 SELECT event_id,
-       CASE k % 9 WHEN 0 THEN 'niuma-plan.yml' WHEN 1 THEN 'Implement' WHEN 2 THEN 'niuma-review-reusable.yaml'
-            WHEN 3 THEN 'deploy' ELSE ' niuma-orchestrate-reusable.yml ' END AS workflow,
+       CASE k % 9 WHEN 0 THEN 'flow-plan.yml' WHEN 1 THEN 'Implement' WHEN 2 THEN 'flow-review-reusable.yaml'
+            WHEN 3 THEN 'deploy' ELSE ' flow-orchestrate-reusable.yml ' END AS workflow,
        CASE event_type WHEN 'click' THEN 'issues' WHEN 'view' THEN 'repository_dispatch' WHEN 'error' THEN 'pull_request'
             WHEN 'signup' THEN 'schedule' ELSE CASE WHEN k % 2 = 0 THEN 'issues' ELSE 'push' END END AS event_name,
        CASE WHEN k % 23 = 0 THEN '{broken'
@@ -237,8 +237,8 @@ SELECT event_id,
                    WHEN 2 THEN '{"label": {"name": "bot:plan-final"}}' WHEN 3 THEN '{"label": {"name": "bot:pr-created"}}'
                    WHEN 4 THEN '{"label": {"name": " "}}' ELSE '{"label": {"name": "bug"}}' END
             WHEN event_type = 'view' THEN
-              CASE k % 3 WHEN 0 THEN '{"action": "niuma.task.completed", "client_payload": {"event_source": "close-after-integration-merge"}}'
-                   WHEN 1 THEN '{"action": "niuma.task.completed", "client_payload": {"event_source": "manual"}}' ELSE '{"action": "other"}' END
+              CASE k % 3 WHEN 0 THEN '{"action": "flow.task.completed", "client_payload": {"event_source": "close-after-integration-merge"}}'
+                   WHEN 1 THEN '{"action": "flow.task.completed", "client_payload": {"event_source": "manual"}}' ELSE '{"action": "other"}' END
             WHEN event_type = 'error' THEN
               CASE k % 3 WHEN 0 THEN '{"action": "closed", "pull_request": {"merged": true}}'
                    WHEN 1 THEN '{"action": "closed", "pull_request": {"merged": false}}' ELSE '{"action": "opened"}' END

@@ -57,6 +57,6 @@ def test_silence_timers(spark, tmp_path):
 
 def test_routes_stream(spark, tmp_path):
     schema = "event_id bigint, workflow string, event_name string, payload string"
-    data = [(1, "niuma-plan.yml", "issues", '{"label": {"name": "bot:fix"}}'), (2, "plan", "push", "{}"), (3, "x", "issues", "{}"), (4, "review", "issues", "{bad")]
+    data = [(1, "flow-plan.yml", "issues", '{"label": {"name": "bot:fix"}}'), (2, "plan", "push", "{}"), (3, "x", "issues", "{}"), (4, "review", "issues", "{bad")]
     got = run_to_table(O.routes(files(spark, tmp_path / "in", data, schema, 2)), "t")
     assert rows(got, "event_id", "decision") == [(1, "run"), (2, "skip"), (3, "fail"), (4, "fail")]
