@@ -272,11 +272,11 @@ query(
     FLOW_SQL,
 )(lambda t: C.flow_continuity(flows(t)))
 
-BOUND_SQL = "bounds AS (SELECT n_name AS module_id, n_nationkey AS k FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'NOWHERE', 99)"
+BOUND_SQL = "bounds AS (SELECT n_name AS module_id, n_nationkey AS k FROM nation UNION ALL SELECT 'NOWHERE', 99)"
 
 
 def boundaries(t):
-    return t("nation").filter("n_nationkey % 2 = 0").select(
+    return t("nation").select(
         F.col("n_name").alias("module_id"),
         F.array(F.concat(F.lit("supp/*"), (F.col("n_nationkey") % 10).cast("string"), F.lit(".ts")), F.lit("public/**")).alias("public_paths"),
     )
@@ -365,11 +365,11 @@ query(
 
 HINTS = """
 hints AS (SELECT c.n_name AS caller, s.n_name AS callee,
-  CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN ' Framework ' WHEN 1 THEN 'external_lib' ELSE 'direct' END AS call_type_hint,
-  'via_' || l_returnflag AS via, l_discount * 10 AS confidence, 'det_' || CAST(l_linenumber AS VARCHAR) AS detector, 'r_' || l_linestatus AS reason
+  CASE CAST(l_quantity AS BIGINT) % 4 WHEN 0 THEN ' Framework ' WHEN 1 THEN 'external_lib' ELSE CASE WHEN (c.n_nationkey + s.n_nationkey) % 3 = 0 THEN 'direct' ELSE 'framework' END END AS call_type_hint,
+  'via_' || l_returnflag AS via, l_discount * ((c.n_nationkey + s.n_nationkey) % 11) AS confidence, 'det_' || CAST(l_linenumber AS VARCHAR) AS detector, 'r_' || l_linestatus AS reason
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
   JOIN nation c ON c_nationkey = c.n_nationkey JOIN nation s ON s_nationkey = s.n_nationkey
-  WHERE l_quantity > 40 AND c.n_nationkey <> s.n_nationkey),
+  WHERE c.n_nationkey <> s.n_nationkey),
 h2 AS (SELECT caller, callee, CASE trim(lower(call_type_hint)) WHEN 'framework' THEN 'framework_injection' WHEN 'external_lib' THEN 'external_registration' ELSE 'direct_call' END AS call_type,
   via, least(greatest(confidence, 0), 1) AS confidence, detector, reason FROM hints),
 h3 AS (SELECT *, CASE call_type WHEN 'external_registration' THEN 3 WHEN 'framework_injection' THEN 2 ELSE 1 END AS p FROM h2),
@@ -381,15 +381,16 @@ weak AS (SELECT caller, callee, arg_max(confidence, (p, confidence)) AS c FROM h
 
 def hints(t):
     n = t("nation").select("n_nationkey", "n_name")
+    quarter, ends = F.col("l_quantity").cast("int") % 4, F.col("c_nationkey") + F.col("s_nationkey")
     return (
-        t("lineitem").filter("l_quantity > 40").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
         .filter("c_nationkey <> s_nationkey")
         .join(n.toDF("c_nationkey", "caller"), "c_nationkey").join(n.toDF("s_nationkey", "callee"), "s_nationkey")
         .select(
             "caller", "callee",
-            F.element_at(F.array(*[F.lit(x) for x in (" Framework ", "external_lib", "direct", "direct")]), (F.col("l_quantity").cast("int") % 4) + 1).alias("call_type_hint"),
-            F.concat(F.lit("via_"), "l_returnflag").alias("via"), (F.col("l_discount") * 10).alias("confidence"),
+            F.when(quarter == 0, " Framework ").when(quarter == 1, "external_lib").when(ends % 3 == 0, "direct").otherwise("framework").alias("call_type_hint"),
+            F.concat(F.lit("via_"), "l_returnflag").alias("via"), (F.col("l_discount") * (ends % 11)).alias("confidence"),
             F.concat(F.lit("det_"), F.col("l_linenumber").cast("string")).alias("detector"), F.concat(F.lit("r_"), "l_linestatus").alias("reason"),
         )
     )

@@ -181,8 +181,8 @@ query(
 
 # -- plans and dependencies ----------------------------------------------------------------
 PLAN = """
-pl AS (SELECT l_suppkey AS plan, CASE l_partkey % 6 WHEN 0 THEN './src/' WHEN 1 THEN 'src//' WHEN 2 THEN '../' ELSE 'src/' END || 'f' || CAST(l_partkey % 40 AS VARCHAR) AS path FROM lineitem WHERE l_linenumber % 2 = 0 AND l_suppkey % 4 <> 0),
-ac AS (SELECT l_suppkey AS plan, 'src/./f' || CAST(l_partkey % 50 AS VARCHAR) AS path FROM lineitem WHERE l_linenumber % 2 = 1),
+pl AS (SELECT l_suppkey AS plan, CASE l_partkey % 6 WHEN 0 THEN './src/' WHEN 1 THEN 'src//' WHEN 2 THEN '../' ELSE 'src/' END || 'f' || CAST(l_partkey % 40 AS VARCHAR) AS path FROM lineitem WHERE l_returnflag = 'N'),
+ac AS (SELECT l_suppkey + 1 AS plan, 'src/./f' || CAST(l_partkey % 50 AS VARCHAR) AS path FROM lineitem WHERE l_returnflag <> 'N'),
 plc AS (SELECT DISTINCT plan, 'src/f' || split_part(path, 'f', -1) AS path FROM pl WHERE NOT contains(path, '..')),
 acc AS (SELECT DISTINCT plan, 'src/f' || split_part(path, 'f', -1) AS path FROM ac WHERE plan IN (SELECT plan FROM pl))
 """
@@ -191,8 +191,8 @@ acc AS (SELECT DISTINCT plan, 'src/f' || split_part(path, 'f', -1) AS path FROM
 def plan_files(t):
     k, n = F.col("l_partkey") % 6, F.col("l_partkey")
     head = F.when(k == 0, "./src/").when(k == 1, "src//").when(k == 2, "../").otherwise("src/")
-    pl = t("lineitem").filter("l_linenumber % 2 = 0 AND l_suppkey % 4 <> 0").select(F.col("l_suppkey").alias("plan"), F.concat(head, F.lit("f"), (n % 40).cast("string")).alias("path"))
-    ac = t("lineitem").filter("l_linenumber % 2 = 1").select(F.col("l_suppkey").alias("plan"), F.concat(F.lit("src/./f"), (n % 50).cast("string")).alias("path"))
+    pl = t("lineitem").filter("l_returnflag = 'N'").select(F.col("l_suppkey").alias("plan"), F.concat(head, F.lit("f"), (n % 40).cast("string")).alias("path"))
+    ac = t("lineitem").filter("l_returnflag <> 'N'").select((F.col("l_suppkey") + 1).alias("plan"), F.concat(F.lit("src/./f"), (n % 50).cast("string")).alias("path"))
     return pl, ac
 
 
