@@ -35,6 +35,11 @@ RESCUE_INLINE = r"^\s*rescue\s+_\s*->"
 RESCUE_ALONE = r"^\s*rescue\s*$"
 WILDCARD_CLAUSE = r"^\s*_\s*->"
 CATCH_NO_PARAM = r"catch\s*\{"
+# Every security pattern contains one of these words (lower case).
+SECURITY_WORDS = (
+    "token", "key", "password", "secret", "execute", "query", "os.system", "subprocess.call", "runtime.exec", "pickle.load", "yaml.load", "marshal.load",
+    "shelve.open", "jsonpickle.decode", "eval", "md5", "sha1", "des.new", "rc4.new", "log", "io.inspect",
+)
 TRANSLATION_PATHS = ("/i18n/", "/locale", "/lang/", "/translation", "/messages")
 SEVERITY_NAMES = {"high": "critical", "medium": "warning", "low": "info"}
 COMMENT_RUN = 3
@@ -144,13 +149,16 @@ def scan(lines: DataFrame, rules: list[Rule], categories: set[str] | None = None
     return kept.select("file", "line", F.explode(hits).alias("h"), F.trim("text").alias("code")).select("file", "line", "h.*", "code")
 
 
-def document_lines(docs: DataFrame, patterns: list[str]) -> DataFrame:
+def document_lines(docs: DataFrame, patterns: list[str], words: tuple[str, ...] = ()) -> DataFrame:
     """Lines (file, line, text, lang) of docs(file, text, lang) that can match at all.
 
-    One combined test on the whole text comes first, so clean documents are never exploded.
+    The whole text is tested first, so clean documents are never exploded: plain
+    substring search for ``words`` (each pattern must need one of them), then the patterns.
     """
     any_hit = P.any_of(F.col("text").rlike(p) for p in patterns)
-    return docs.filter(any_hit).select("file", "lang", F.posexplode(X.lines(F.col("text"))).alias("pos", "text")).select(
+    lower = F.lower("text")
+    any_word = P.any_of(lower.contains(w) for w in words) if words else F.lit(True)
+    return docs.filter(any_word).filter(any_hit).select("file", "lang", F.posexplode(X.lines(F.col("text"))).alias("pos", "text")).select(
         "file", (F.col("pos") + 1).cast("bigint").alias("line"), "text", "lang"
     )
 

@@ -28,7 +28,7 @@ def transition(t):
     )
 
 
-query("relation_weights", "SELECT * FROM relations")(lambda t: R.relation_weights(t("refs"), t("path_module")))
+query("relation_weights", "SELECT * FROM relations")(lambda t: R.relation_weights(t.wide("refs"), t("path_module")))
 
 CLASSED = """
 marks AS (SELECT caller, callee, MAX(a) AS a, MAX(f) AS f FROM
@@ -361,7 +361,7 @@ query(
       FROM (SELECT a.module AS caller, b.module AS callee, src_path, dst_path, COUNT(*) AS n, COUNT(*) FILTER (WHERE kind = 'call') AS c
         FROM refs JOIN path_module a ON src_path = a.path JOIN path_module b ON dst_path = b.path WHERE a.module <> b.module GROUP BY ALL))
     GROUP BY caller, callee""",
-)(lambda t: R.edge_severity(t("refs"), t("path_module")))
+)(lambda t: R.edge_severity(t.wide("refs"), t("path_module")))
 
 HINTS = """
 hints AS (SELECT c.n_name AS caller, s.n_name AS callee,
@@ -542,7 +542,7 @@ query(
     "path_modules",
     f"""SELECT path, arg_min(module_id, (precedence, module_id)) AS module FROM (SELECT p.path, r.module_id, COALESCE(r.precedence, 1000) AS precedence
       FROM part_paths p JOIN path_rules r ON regexp_matches(p.path, {glob_sql('r.include_glob')}) AND NOT regexp_matches(p.path, {glob_sql('r.exclude_glob')})) GROUP BY path""",
-)(lambda t: R.map_paths(t("part_paths"), rules(t)))
+)(lambda t: R.map_paths(t.wide("part_paths"), rules(t)))
 query(
     "module_map_by_folder",
     """SELECT key, arg_min(module, (id, path)) AS module FROM (SELECT id, path, module, regexp_replace(path, '/[^/]*$', '') AS key FROM part_paths) GROUP BY key""",

@@ -31,7 +31,7 @@ inv AS (SELECT c.hash, message, author, date, total_lines, CASE WHEN total_lines
 
 
 def inventory(t, grades=None):
-    return H.inventory(t("commits"), t("changed_files"), "php", grades)
+    return H.inventory(t("commits"), t.wide("changed_files"), "php", grades)
 
 
 query("commit_inventory", "SELECT * FROM inv", INV)(inventory)
@@ -42,7 +42,7 @@ query("newest_commits", "SELECT hash, date FROM inv ORDER BY date DESC, hash LIM
 
 def commit_log(t):
     """Raw log records as the log command prints them; a few hashes occur twice."""
-    stat = t("changed_files").groupBy("hash").agg(
+    stat = t.wide("changed_files").groupBy("hash").agg(
         F.array_join(
             F.transform(
                 F.array_sort(F.collect_list(F.struct("line_no", "path", "add", "del"))),

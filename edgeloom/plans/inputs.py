@@ -431,7 +431,7 @@ class Tables:
 
     def relations(self) -> DataFrame:
         if self._relations is None:
-            weights = relation_weights(self("refs"), self("path_module"))
+            weights = relation_weights(self.wide("refs"), self("path_module"))
             self._relations = Scratch(self.spark, "relations").save(weights, "relations")
         return self._relations
 

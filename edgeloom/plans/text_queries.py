@@ -245,7 +245,7 @@ def doc_findings(t):
     docs = t.wide("documents").select(F.col("doc_id").cast("string").alias("file"), "text", "lang")
     rules = D.security_rules("token|" + D.CREDENTIAL_NAMES)
     patterns = [TOKEN, D.INJECTION, D.UNSAFE_LOAD, D.EVAL_CALL, D.WEAK_CRYPTO, D.LOG_CALL]
-    return D.scan(D.document_lines(docs, patterns), rules)
+    return D.scan(D.document_lines(docs, patterns, D.SECURITY_WORDS), rules)
 
 
 query(
