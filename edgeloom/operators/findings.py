@@ -156,8 +156,8 @@ def document_lines(docs: DataFrame, patterns: list[str], words: tuple[str, ...]
     substring search for ``words`` (each pattern must need one of them), then the patterns.
     """
     any_hit = P.any_of(F.col("text").rlike(p) for p in patterns)
-    lower = F.lower("text")
-    any_word = P.any_of(lower.contains(w) for w in words) if words else F.lit(True)
+    # the one-element array makes the lower-cased text a bound value, computed once for all words
+    any_word = F.exists(F.array(F.lower("text")), lambda x: P.any_of(x.contains(w) for w in words)) if words else F.lit(True)
     return docs.filter(any_word).filter(any_hit).select("file", "lang", F.posexplode(X.lines(F.col("text"))).alias("pos", "text")).select(
         "file", (F.col("pos") + 1).cast("bigint").alias("line"), "text", "lang"
     )

@@ -11,11 +11,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+import edgeloom.streaming
 from edgeloom.session import Scratch
 
+# The processors travel inside the job, so workers need not have this package installed.
+cloudpickle.register_pickle_by_value(edgeloom.streaming)
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
