@@ -3,10 +3,10 @@
 import pytest
 from oracle import DATA, compare, duck
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from edgeloom.plans.catalog import ORACLE, QUERIES
 
 SF_DIR = f"{DATA}/sf0.001"
-CHECKS = oracle_sql()
 # The sample tables hold no case for these at this size; they are compared all the same.
 MAY_BE_EMPTY = {"document_findings", "finding_snippets"}
 
@@ -17,14 +17,14 @@ def con():
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(CHECKS)
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_entry(spark):
     assert entry(spark).count() == 12
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    result = compare(queries()[name](spark, SF_DIR), con, CHECKS[name])
+    result = compare(QUERIES[name](spark, SF_DIR), con, ORACLE[name])
     assert result is None or (result == "EMPTY" and name in MAY_BE_EMPTY), result
