@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import substrings
+from edgeloom.llm import set_join, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,3 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op3_substring_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=35, keep_text=False)
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
