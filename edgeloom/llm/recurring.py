@@ -54,7 +54,7 @@ def _dealt(found: Entries, buckets: int) -> Iterator[pa.RecordBatch]:
     twice = size > 1
     rows = []
     if twice.any():
-        rows = [_packed(k % buckets, True, *(x[twice][k : k + PACK // 16] for x in (hashes, owners, places))) for k in range(0, int(twice.sum()), PACK // 16)]
+        rows = [_packed(int(hashes[twice][k] % np.uint64(buckets)), True, *(x[twice][k : k + PACK // 16] for x in (hashes, owners, places))) for k in range(0, int(twice.sum()), PACK // 16)]
     first = np.r_[True, hashes[1:] != hashes[:-1]]
     hashes, owners, places = hashes[first], owners[first], np.where(twice, -1, places)[first]
     owners = np.where(places < 0, 0, owners)
