@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edgeloom.llm import set_join, substrings
+from edgeloom.llm import packing, rules_quality, secret_scan, set_join, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,3 +34,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_documents(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query("op5_length_buckets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op6_rule_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rules_quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = rules_quality.score_documents(docs.select("doc_id", "text"), model, threshold=0.3)
+    return scored.select("doc_id", rules_quality.held_out(scored["doc_id"]).alias("held_out"), "score", "predicted")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).drop("hits")
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs)).drop("secrets")

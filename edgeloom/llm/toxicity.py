@@ -217,7 +217,7 @@ def _lexicon(sample: DataFrame, most: int, given: tuple[str, ...]) -> tuple[tupl
     for r in best:
         if len(words_) + len(stems_) >= most:
             break
-        if any(r.term.startswith(s) for s in stems_) or (r.stem and r.top >= 0.6 * r.tf):
+        if any(r.term.startswith(s) or (r.stem and s.startswith(r.term)) for s in stems_) or (r.stem and r.top >= 0.6 * r.tf):
             continue
         if r.stem:
             words_ -= {w for w in words_ if w.startswith(r.term) and w not in given}
