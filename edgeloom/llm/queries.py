@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgeloom.llm import packing, rules_quality, secret_scan, set_join, substrings, surrogates, toxicity
+from edgeloom.llm import collision_ann, packing, rules_quality, secret_scan, set_join, substrings, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +65,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_private_surrogates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_private(table(spark, sf_dir, "documents"), key="registered query")
+
+
+@query("op4_collision_ann")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)

@@ -5,16 +5,18 @@ of a band that reach the similarity differ in at most ``limit`` elements. The un
 with one segment more than ``limit``, one must be equal. A segment that also offers each of its one-deletion neighbours
 stands for two, so there can be fewer: how many is chosen for each band by the cost of keys and of chance meetings.
 
-Sets that share a segment key form a group. Small groups give their pairs. A larger group is never paired out: all its
-sets are compared with one leader, and two sets near each other must then share differences from the leader. Those
-differences, rarest first and only as many as an overlap needs (a prefix filter), make new, smaller groups, and so on
-until none is large. Every candidate pair is verified on the whole sets, unless its two sets are connected already.
+Sets that share a segment key form a group; groups with the same least member are one cluster. A cluster of bounded
+weight is joined exactly inside one task (prefix filter, then whole sets) and gives only links that connect what was not
+connected, so no task and no output holds the pairs of a group. A heavier cluster is compared with its leader alone: two
+sets near each other must then share differences from the leader, and those, rarest first and only as many as an overlap
+cannot do without, make new, smaller groups, and so on until no cluster is heavy.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from edgeloom.llm.words import Words, mix, run_hashes, text_words
 from edgeloom.session import Scratch
 
 RATIO = 1.5
-SMALL = 8  # sets of a group that is paired out; larger ones take the exact way by a leader
+WEIGHT = 4_000_000  # elements of a cluster that one task joins; heavier ones take the exact way by a leader
 PAIRS_A_SALT = 4096
 _CHANCE = 50.0  # keys that one chance meeting costs
 
@@ -140,48 +142,83 @@ def _elements(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for _, _, words in text_words(batch, lower=True):
             sets = list(shingle_sets(words, n))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set_key", "elements"])
+            columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "size", "elements"])
+
+
+def links_of(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (by key) that connect what all pairs of the sets at or over the similarity connect."""
+    every, rank = np.unique(np.concatenate(sets), return_inverse=True)
+    times = np.bincount(rank, minlength=len(every))
+    place = np.empty(len(every), np.int64)
+    order = np.lexsort((every, times))
+    place[order] = np.arange(len(every))
+    rank = place[rank]
+    edge = np.r_[0, np.cumsum([len(x) for x in sets])]
+    own = [np.sort(rank[a:b]) for a, b in zip(edge[:-1], edge[1:])]
+    shared = times[order] > 1
+    above = list(range(len(sets)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    postings: dict[int, list[int]] = {}
+    out = []
+    for i in sorted(range(len(sets)), key=lambda k: len(own[k])):
+        n = len(own[i])
+        prefix = own[i][: n - -(-n * percent // 100) + 1]
+        prefix = prefix[shared[prefix]].tolist()
+        near = set()
+        for e in prefix:
+            near.update(postings.setdefault(e, []))
+            postings[e].append(i)
+        for j in near:
+            if 100 * len(own[j]) >= percent * n and top(i) != top(j):
+                both = len(np.intersect1d(own[i], own[j], assume_unique=True))
+                if 100 * both >= percent * (n + len(own[j]) - both):
+                    above[top(i)] = top(j)
+                    out.append((int(keys[i]), int(keys[j])))
+    return out
+
+
+def _joined(percent: int):
+    def join(cluster: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cluster.column("elements")]
+        found = links_of(cluster.column("owner").to_numpy(), sets, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
+    return join
 
-def _verified(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+
+def _compared(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left, right, large = batch.column("a_elements"), batch.column("b_elements"), batch.column("large")
-        linked, delta, size, lead = [], [], [], []
-        for i in range(batch.num_rows):
-            a, b = (np.frombuffer(x[i].as_buffer(), np.uint64) for x in (left, right))
+        linked, delta, size = [], [], []
+        for x, y in zip(batch.column("a_elements"), batch.column("b_elements")):
+            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             apart = np.setxor1d(a, b, assume_unique=True)
             both = (len(a) + len(b) - len(apart)) // 2
             linked.append(100 * both >= percent * (len(a) + len(b) - both))
             size.append(len(b))
-            lead.append(len(a))
-            delta.append(apart.view(np.int64) if large[i].as_py() else None)
+            delta.append(apart.view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int32()), pa.array(delta, pa.list_(pa.int64()))],
             names=["a", "b", "linked", "size", "delta"],
         )
 
 
-def verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, size, delta) of pairs (a, b, large). Sets of much asked leaders are spread over salts."""
+def compare_with_leaders(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, size of b, delta) of leader a and member b. Leaders of many are spread over salts."""
     asked = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_SALT).cast("int").alias("salts"))
-    leaders = held.withColumnsRenamed({"set_key": "a", "elements": "a_elements"}).join(asked, "a")
+    sets = held.select("set_key", "elements")
+    leaders = sets.withColumnsRenamed({"set_key": "a", "elements": "a_elements"}).join(asked, "a")
     leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     members = pairs.join(asked, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).drop("salts")
-    both = members.join(held.withColumnsRenamed({"set_key": "b", "elements": "b_elements"}), "b").join(leaders, ["a", "salt"])
-    columns = both.select("a", "b", "large", "a_elements", "b_elements")
-    return columns.mapInArrow(lambda x: _verified(x, percent), "a long, b long, linked boolean, size int, delta array<long>")
-
-
-def _candidates(groups: DataFrame, scratch: Scratch, level: int) -> tuple[DataFrame, int]:
-    """Distinct pairs (a, b, shared, large) with a < b: all of small groups, leader and member of large ones."""
-    sizes = groups.groupBy("hash").agg(F.min("owner").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = scratch.save(groups.join(sizes, "hash"), f"members{level}")
-    small = members.where(F.col("n") <= SMALL).groupBy("hash").agg(F.array_sort(F.collect_list("owner")).alias("own"))
-    small = small.select(F.explode(F.transform("own", lambda a, i: F.struct(a.alias("a"), F.slice("own", i + 2, SMALL).alias("rest")))).alias("x"))
-    small = small.select("x.a", F.explode("x.rest").alias("b"), F.lit(False).alias("large"))
-    large = members.where((F.col("n") > SMALL) & (F.col("owner") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("owner").alias("b"), F.lit(True).alias("large"))
-    pairs = small.union(large).groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("large").alias("large"))
-    return scratch.save_counted(pairs, f"pairs{level}", F.col("large"))
+    both = members.join(sets.withColumnsRenamed({"set_key": "b", "elements": "b_elements"}), "b").join(leaders, ["a", "salt"])
+    columns = both.select("a", "b", "a_elements", "b_elements")
+    return columns.mapInArrow(lambda x: _compared(x, percent), "a long, b long, linked boolean, size int, delta array<long>")
 
 
 def _regrouped(seen: DataFrame, percent: int, level: int) -> DataFrame:
@@ -205,61 +242,45 @@ def _regrouped(seen: DataFrame, percent: int, level: int) -> DataFrame:
     return kept.select(key.alias("hash"), F.col("b").alias("owner")).distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per input row: doc_id, n_shingles, component_id (least doc_id that links reach, its own included), n_links.
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, weight: int = WEIGHT) -> DataFrame:
+    """Per input row: doc_id, n_shingles, component_id (least doc_id that links reach, its own included).
 
     Texts are lower-cased (A-Z); a set holds the distinct runs of ``words`` words, or the whole text if it is shorter.
-    Sets link at 100 * common >= percent * united. n_links counts the verified links between different sets of the row's
-    set (links implied by a connection are not all verified, so it is a lower bound). Empty and null texts have no
-    set and link with nothing; repeated rows link with each other; a row without doc_id takes the component of
-    what it links with, else null. Other columns are not read.
+    Sets link at 100 * common >= percent * united. Empty and null texts have no set and link with nothing; repeated rows
+    link with each other; a row without doc_id takes the component of what it links with, else null. Other columns are
+    not read. An empty table gives an empty one. Elements and sets are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "setjoin")
+    scratch = Scratch(docs.sparkSession, "setjoin")
     base = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     slim = scratch.save(base.mapInArrow(lambda b: _slim(b, words), "doc_id long, row_key long, set_key long, n_shingles long, band int"), "slim")
     one = slim.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("band").alias("band"), F.min("doc_id").alias("least"))
     bands = {r.band: r.n for r in one.groupBy("band").agg(F.count("*").alias("n")).collect()}  # as many rows as bands
     plan = {k: allocation(k, n, percent) for k, n in bands.items()}
-    found = recurring(base.select("text"), _keys(words, percent, plan)).select("hash", "owner").distinct()
-    groups = scratch.save(found, "groups0")
+    groups = recurring(base.select("text"), _keys(words, percent, plan)).select("hash", "owner").distinct()
 
-    links, level, held, met = [], 0, None, None
-    while True:
-        pairs, large = _candidates(groups, scratch, level)
+    links, level, held, heavy = [], 0, None, 1
+    while heavy:
+        groups = scratch.save(groups, f"groups{level}")
+        led = groups.groupBy("hash").agg(F.min("owner").alias("leader"), F.count("*").alias("n")).where("n > 1")
+        members = scratch.save(groups.join(led, "hash").select("leader", "owner").distinct(), f"members{level}")
         if held is None:
-            wanted = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-            rows = one.join(wanted, "set_key").select("row_key")
-            held = scratch.save(base.select("row_key", "text").join(rows, "row_key").dropDuplicates(["row_key"]).select("text").mapInArrow(lambda b: _elements(b, words), "set_key long, elements binary"), "held")
-        # First the likeliest partner of each set and all that a leader must see; then what is not connected yet.
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
-        first = pairs.where("large").select("a", "b", "large").union(pairs.where("not large").join(best, ["a", "b"], "left_semi").select("a", "b", "large"))
-        seen = scratch.save(verify(first, held, percent), f"seen{level}a")
-        links.append(seen.where("linked").select("a", "b"))
-        met = components(_union(links))
-        rest = pairs.where("not large").join(best, ["a", "b"], "left_anti").select("a", "b", "large")
-        roots = lambda c: met.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        rest = rest.join(roots("a"), "a", "left").join(roots("b"), "b", "left").where(~F.coalesce("root_a", "a").eqNullSafe(F.coalesce("root_b", "b")))
-        more = scratch.save(verify(scratch.save(rest.select("a", "b", "large"), f"rest{level}"), held, percent), f"seen{level}b")
-        links.append(more.where("linked").select("a", "b"))
-        if not large:
-            break
-        level += 1
-        groups = scratch.save(_regrouped(seen, percent, level), f"groups{level}")
-
-    edges = scratch.save(_union(links).distinct(), "links")
-    met = components(edges)
-    degree = edges.select(F.col("a").alias("set_key")).union(edges.select("b")).groupBy("set_key").agg(F.count("*").alias("n_links"))
+            rows = one.join(members.select(F.col("owner").alias("set_key")).distinct(), "set_key").select("row_key")
+            sets = base.select("row_key", "text").join(rows, "row_key").dropDuplicates(["row_key"]).select("text")
+            held = scratch.save(sets.mapInArrow(lambda b: _elements(b, words), "set_key long, size long, elements binary"), "held")
+        weighed = members.join(held.select(F.col("set_key").alias("owner"), "size"), "owner").groupBy("leader").agg(F.sum("size").alias("weight"))
+        weighed, heavy = scratch.save_counted(weighed, f"weights{level}", F.col("weight") > weight)
+        light = members.join(weighed.where(F.col("weight") <= weight), "leader").select("leader", "owner")
+        light = light.join(held.select(F.col("set_key").alias("owner"), "elements"), "owner")
+        links.append(scratch.save(light.groupBy("leader").applyInArrow(_joined(percent), "a long, b long"), f"links{level}"))
+        if heavy:
+            pairs = members.join(weighed.where(F.col("weight") > weight), "leader").where("leader <> owner").select(F.col("leader").alias("a"), F.col("owner").alias("b"))
+            seen = scratch.save(compare_with_leaders(pairs, held, percent), f"seen{level}")
+            links.append(seen.where("linked").select("a", "b"))
+            groups = _regrouped(seen, percent, level)
+            level += 1
+
+    met = components(reduce(DataFrame.union, links))
     sets = one.select("set_key", "least").join(met.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     lowest = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    sets = sets.join(lowest, "root").join(degree, "set_key", "left").select("set_key", "component_id", "n_links")
-    return slim.join(sets, "set_key", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    sets = sets.join(lowest, "root").select("set_key", "component_id")
+    return slim.join(sets, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
