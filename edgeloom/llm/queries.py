@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm import collision_ann, line_templates, packing, rules_quality, secret_scan, set_join, substrings, surrogates, toxicity
+from edgeloom.llm import collision_ann, decontaminate, line_templates, packing, rules_quality, secret_scan, set_join, substrings, surrogates, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_collision_ann")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collision_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op7_simhash_decontamination", decontaminate.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
