@@ -81,3 +81,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_simhash_decontamination", decontaminate.SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # stands at the top of the repository, beside the registry
+
+    return corpus_pipeline.run(spark, sf_dir)

@@ -242,14 +242,8 @@ def _regrouped(seen: DataFrame, percent: int, level: int) -> DataFrame:
     return kept.select(key.alias("hash"), F.col("b").alias("owner")).distinct()
 
 
-def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, weight: int = WEIGHT) -> DataFrame:
-    """Per input row: doc_id, n_shingles, component_id (least doc_id that links reach, its own included).
-
-    Texts are lower-cased (A-Z); a set holds the distinct runs of ``words`` words, or the whole text if it is shorter.
-    Sets link at 100 * common >= percent * united. Empty and null texts have no set and link with nothing; repeated rows
-    link with each other; a row without doc_id takes the component of what it links with, else null. Other columns are
-    not read. An empty table gives an empty one. Elements and sets are told apart by 64-bit hashes.
-    """
+def _connected(docs: DataFrame, words: int, percent: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, set_key, n_shingles, band) of all rows and (set_key, root, component_id) of all sets."""
     scratch = Scratch(docs.sparkSession, "setjoin")
     base = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
     slim = scratch.save(base.mapInArrow(lambda b: _slim(b, words), "doc_id long, row_key long, set_key long, n_shingles long, band int"), "slim")
@@ -282,5 +276,31 @@ def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, weight
     met = components(reduce(DataFrame.union, links))
     sets = one.select("set_key", "least").join(met.withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     lowest = sets.groupBy("root").agg(F.min("least").alias("component_id"))
-    sets = sets.join(lowest, "root").select("set_key", "component_id")
+    return slim, sets.join(lowest, "root").select("set_key", "root", "component_id")
+
+def similar_documents(docs: DataFrame, words: int = 5, percent: int = 80, weight: int = WEIGHT) -> DataFrame:
+    """Per input row: doc_id, n_shingles, component_id (least doc_id that links reach, its own included).
+
+    Texts are lower-cased (A-Z); a set holds the distinct runs of ``words`` words, or the whole text if it is shorter.
+    Sets link at 100 * common >= percent * united. Empty and null texts have no set and link with nothing; repeated rows
+    link with each other; a row without doc_id takes the component of what it links with, else null. Other columns are
+    not read. An empty table gives an empty one. Elements and sets are told apart by 64-bit hashes.
+    """
+    slim, sets = _connected(docs, words, percent, weight)
+    sets = sets.drop("root")
     return slim.join(sets, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that no smaller row of their component stands for: of each component the least doc_id (a
+    null one last) stays, of repeated rows one. Rows without words are linked with nothing and all stay."""
+    slim, sets = _connected(docs, words, percent, WEIGHT)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    # Equal texts meet by their set first, so a component is chosen from one row of each set.
+    each = slim.where("n_shingles > 0").groupBy("set_key").agg(F.min(order).alias("row")).join(sets, "set_key")
+    chosen = each.groupBy("root").agg(F.min("row").alias("row")).select(F.col("row.row_key").alias("__chosen"))
+    key = F.xxhash64("doc_id", "text")
+    blank = F.coalesce(F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\f\r", "     ")) == "", F.lit(True))
+    own = docs.columns
+    full = docs.where(~blank).withColumn("__key", key).join(chosen, F.col("__key") == F.col("__chosen")).dropDuplicates(["__key"]).select(*own)
+    return full.union(docs.where(blank))
