@@ -1,0 +1,13 @@
+"""Helpers of the tests of this folder."""
+
+import importlib.util
+import os
+
+_spec = importlib.util.spec_from_file_location("llm_fixtures", os.path.join(os.path.dirname(os.path.abspath(__file__)), "conftest.py"))
+_fixtures = importlib.util.module_from_spec(_spec)
+_spec.loader.exec_module(_fixtures)
+make_docs, split_words = _fixtures.make_docs, _fixtures.split_words
+
+
+def rows_of(df):
+    return [tuple(r) for r in df.collect()]
