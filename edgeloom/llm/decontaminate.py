@@ -24,16 +24,17 @@ LANE = 0x0001000100010001
 SHINGLES_TO_BROADCAST = 2_000_000  # of the items, 16 bytes each; more are joined by a shuffle
 
 
-def _shingles(text: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` lower-cased words; empty for shorter and null texts."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    return _runs(words, width, F.lit(1))
+def _with_words(df: DataFrame) -> DataFrame:
+    """``df`` and its lower-cased words; none for a null text. A column of its own, so that no lambda splits the text again."""
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    return df.withColumn("words", words)
 
 
-def _runs(words: Column, width: int, stride: Column) -> Column:
+def _runs(words: Column, width: int, stride: int = 1) -> Column:
+    """Hashes of the runs of ``width`` words at every ``stride``-th place."""
     last = F.size(words) - width
     run = lambda i: F.xxhash64(*[F.element_at(words, i + k + 1) for k in range(width)])
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, stride), run)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def stride_for(sizes: list[int], percent: int) -> int:
@@ -102,7 +103,7 @@ def find_passages(docs: DataFrame, items: DataFrame, width: int = 5, percent: in
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "passages")
-    known = items.select("item_id", _shingles(F.col("text"), width).alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0").distinct()
+    known = _with_words(items.select("item_id", "text")).select("item_id", _runs(F.col("words"), width).alias("shingles")).withColumn("n", F.size("shingles")).where("n > 0").distinct()
     known = scratch.save(known.withColumn("item", F.xxhash64("item_id", "shingles")), "items")
     sizes = [r.n for r in known.select("n").distinct().collect()]  # as many rows as different item lengths
     stride = stride_for(sizes, percent)
@@ -110,14 +111,16 @@ def find_passages(docs: DataFrame, items: DataFrame, width: int = 5, percent: in
     marks = F.broadcast(marks) if total <= SHINGLES_TO_BROADCAST else marks
 
     base = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    spots = base.select("row_key", words.alias("words")).select("row_key", F.posexplode(_runs(F.col("words"), width, F.lit(stride))).alias("at", "h"))
+    spots = _with_words(base).select("row_key", F.posexplode(_runs(F.col("words"), width, stride)).alias("at", "h"))
     hits = spots.join(marks, "h").groupBy("row_key").agg(F.collect_set(F.struct((F.col("at") * stride).alias("at"), "n")).alias("hits"))  # one document's own
-    held = base.join(hits, "row_key").dropDuplicates(["row_key"]).select("row_key", "doc_id", _shingles(F.col("text"), width).alias("all"), "hits")
-    at = held.withColumn("hit", F.explode("hits")).select("row_key", "doc_id", "all", F.col("hit.n").alias("n"), F.col("hit.at").alias("at"))
-    starts = at.where(F.size("all") >= F.col("n")).select("row_key", "doc_id", "all", "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("n") + 1), F.least(F.col("at"), F.size("all") - F.col("n")))).alias("start"))
-    cut = starts.select("row_key", "doc_id", "n", "start", F.slice("all", F.col("start") + 1, F.col("n")).alias("shingles"))
-    cut = scratch.save(cut.withColumn("window", F.xxhash64("n", "shingles")).dropDuplicates(["row_key", "n", "start"]), "windows")
+    held = _with_words(base.join(hits, "row_key").dropDuplicates(["row_key"])).select("row_key", "doc_id", _runs(F.col("words"), width).alias("all"), "hits")
+    held = scratch.save(held, "held")
+    starts = F.transform("hits", lambda x: F.transform(F.sequence(F.greatest(F.lit(0), x["at"] - x["n"] + 1), x["at"]), lambda s: F.struct(x["n"].alias("n"), s.alias("start"))))
+    starts = F.filter(F.array_distinct(F.flatten(starts)), lambda s: s["start"] + s["n"] <= F.size("all"))
+    spans = F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice("all", s["start"] + 1, s["n"]).alias("shingles")))
+    # Written between, so that the starts are not worked out again for every span.
+    cut = scratch.save(held.withColumn("starts", starts), "starts").select("row_key", "doc_id", F.explode(spans).alias("s")).select("row_key", "doc_id", "s.*")
+    cut = scratch.save(cut.withColumn("window", F.xxhash64("n", "shingles")), "windows")
     kinds = scratch.save(cut.groupBy("n", "window").agg(F.first("shingles").alias("shingles")), "kinds")
 
     prints = _simhash(kinds, ["n", "window"])
