@@ -56,11 +56,8 @@ def _simhash(windows: DataFrame, keys: list[str]) -> DataFrame:
     each = windows.select(*keys, F.explode("shingles").alias("h")).withColumn("h", F.xxhash64("h", F.lit(7)))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANE))).alias(f"s{k}") for k in range(16)]
     counted = each.groupBy(*keys).agg(*sums)
-    bits = [F.when(F.shiftrightunsigned(F.col(f"s{k}"), 16 * j).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), 16 * j + k)).otherwise(F.lit(0).cast("long")) for k in range(16) for j in range(4)]
-    halves = [bits[0], bits[32]]
-    for i in range(1, 32):
-        halves = [halves[0].bitwiseOR(bits[i]), halves[1].bitwiseOR(bits[32 + i])]
-    return counted.select(*keys, halves[0].alias("low"), halves[1].alias("high")).select(*keys, F.col("low").bitwiseOR(F.col("high")).alias("fingerprint"))
+    bits = " | ".join(f"IF(2 * (shiftrightunsigned(s{k}, {16 * j}) & 65535) > n, shiftleft(1L, {16 * j + k}), 0L)" for k in range(16) for j in range(4))
+    return counted.select(*keys, F.expr(bits).alias("fingerprint"))
 
 
 def _block(fingerprint: Column, first: int, bits: int) -> Column:
@@ -84,7 +81,7 @@ def near_fingerprints(windows: DataFrame, items: DataFrame, radius: int = RADIUS
 
 
 def _listed(block: int, value: Column, flips: list[int]) -> Column:
-    return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(x).alias("value")))
+    return F.transform(F.expr(f"array({', '.join(f'{x}L' for x in flips)})"), lambda x: F.struct(F.lit(block).alias("block"), value.bitwiseXOR(x).alias("value")))
 
 
 def _tagged(shingles: Column) -> Column:
