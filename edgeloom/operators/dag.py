@@ -6,6 +6,8 @@ logarithm of the hierarchy depth (ancestors). Every round writes what is left.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,17 +67,17 @@ def dag_errors(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     return twice.unionByName(missing).unionByName(cyclic)
 
 
-def _trim(scratch: Scratch, edges: DataFrame, size: int, tag: str, rounds: int = 30) -> tuple[DataFrame, int]:
+def _trim(scratch: Scratch, edges: DataFrame, size: int, tag: str) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: sources nobody enters, targets nobody leaves.
 
-    Only a cheap reduction, so it may stop early; the colouring below is exact.
+    Only a reduction: it goes on while a round still drops a twentieth of the edges. The colouring below is exact.
     """
-    for i in range(rounds if size else 0):
+    for i in count() if size else ():
         live = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         live = live.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         edges, left = scratch.save_counted(live.select("src", "dst"), f"{tag}-trim={i}")
         size, before = left, size
-        if left in (0, before):
+        if left == 0 or 20 * (before - left) < before:
             break
     return edges, size
 
@@ -148,7 +150,8 @@ def inherit(hierarchy: DataFrame, value: str) -> DataFrame:
     state, left = scratch.save_counted(
         hierarchy.select("node", F.when(F.col(value).isNull(), F.col("parent")).alias("ptr"), F.col(value).alias("value")), "jump=0", open_rows
     )
-    for k in range(1, 64):
+    # What is open after as many doublings as the open nodes allow stands on a cycle.
+    for k in range(1, left.bit_length() + 2):
         if not left:
             break
         up = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("up_ptr"), F.col("value").alias("up_value"))
@@ -232,10 +235,10 @@ def failure_cascade(items: DataFrame, deps: DataFrame, transitive: bool = False)
     """
     failed = items.filter("failed").select("id")
     if transitive:
-        from edgeloom.operators.reach import MAX_DEPTH, reach
+        from edgeloom.operators.reach import reach
 
         edges = deps.select(F.col("dep").alias("src"), F.col("id").alias("dst"))
-        hit = reach(edges, failed.select(F.lit("failed").alias("seed"), F.col("id").alias("node")), MAX_DEPTH).select(F.col("node").alias("id"))
+        hit = reach(edges, failed.select(F.lit("failed").alias("seed"), F.col("id").alias("node")), None).select(F.col("node").alias("id"))
     else:
         hit = deps.join(failed.select(F.col("id").alias("dep")), "dep", "left_semi").select("id")
     marked = hit.distinct().withColumn("hit", F.lit(True))

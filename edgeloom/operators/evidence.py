@@ -110,10 +110,11 @@ def posterior(evidence: DataFrame, seq: str = "seq", start: float = PRIOR, fold_
     sign = F.when(F.col("relation") == "supports", 1.0).otherwise(-1.0)
     likelihood = F.least(F.greatest(0.5 + sign * effective / 2, F.lit(0.01)), F.lit(0.99))
     w = F.log(likelihood / (1 - likelihood))
+    low, high = evidence.agg(F.min(seq), F.max(seq)).first()
+    low, top = low or 0, (high or 0) - (low or 0)
     steps = valid(evidence).select(
-        "conclusion_id", F.col(seq).alias("seq"), w.alias("s"), (w - limit).alias("lo"), (w + limit).alias("hi"), F.lit(1).cast("bigint").alias("n")
+        "conclusion_id", (F.col(seq) - low).alias("seq"), w.alias("s"), (w - limit).alias("lo"), (w + limit).alias("hi"), F.lit(1).cast("bigint").alias("n")
     )
-    top = evidence.agg(F.max(seq)).first()[0] or 0
     clamp = lambda x, lo, hi: F.least(F.greatest(x, lo), hi)
 
     def merge(acc: Column, nxt: Column) -> Column:

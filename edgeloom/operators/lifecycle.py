@@ -96,11 +96,11 @@ def idempotency_key(repo: Column, issue: Column, phase: Column, input_hash: Colu
 
 
 def idempotent_runs(runs: DataFrame, **split) -> DataFrame:
-    """(seq, issue, phase, key, action): record, no-op (same key as the latest of its phase) or unkeyed."""
+    """(seq, issue, phase, key, action): record, no-op (same key as the latest of its phase) or unkeyed; unkeyed runs leave the latest key alone."""
     enabled = (F.col("issue") > 0) & (F.trim("phase") != "") & (F.trim("input_hash") != "")
     key = F.when(enabled, idempotency_key(F.col("repo"), F.col("issue"), F.col("phase"), F.col("input_hash")))
     keyed = runs.select("seq", "issue", F.trim("phase").alias("phase"), key.alias("key"))
-    scanned = ordered_scan(keyed, ["issue", "phase"], "seq", prev={"before": "key"}, **split)
+    scanned = ordered_scan(keyed, ["issue", "phase"], "seq", last_before={"before": F.col("key")}, **split)
     return scanned.select(
         "seq", "issue", "phase", "key",
         F.when(F.col("key").isNull(), "unkeyed").when(F.col("key") == F.col("before"), "no-op").otherwise("record").alias("action"),
@@ -145,10 +145,10 @@ def attempt_key(issue: Column, pr: Column, head: Column, run_id: Column, run_att
 
 
 def parse_attempts(attempts: DataFrame) -> DataFrame:
-    """(seq, issue, result, reason, key): pass, deferred or code results of gate logs."""
+    """(seq, issue, result, reason, key): pass, deferred or code results of gate logs; ``at`` is the time of the run."""
     reason = F.upper(F.trim(X.gate_field(F.col("log"), "reason_code")))
     reason = F.when(reason == "", "UNKNOWN").otherwise(reason)
-    key = attempt_key(F.col("issue"), F.col("pr"), X.gate_field(F.col("log"), "head_sha"), F.col("run_id"), F.col("run_attempt"), F.lit("19700101000000"))
+    key = attempt_key(F.col("issue"), F.col("pr"), X.gate_field(F.col("log"), "head_sha"), F.col("run_id"), F.col("run_attempt"), F.date_format("at", "yyyyMMddHHmmss"))
     passed = F.col("outcome") == "pass"
     return attempts.select(
         "seq", "issue", F.when(passed, "pass").otherwise(failure_class(reason)).alias("result"),
@@ -414,10 +414,19 @@ def parent_progress(issues: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def status_log(events: DataFrame, blocked: DataFrame, **split) -> DataFrame:
-    """(seq, id, from_status, to_status, verdict) of events(seq, id, status); blocked(id) may not advance."""
-    scanned = ordered_scan(events.select("seq", "id", "status"), ["id"], "seq", prev={"before": "status"}, **split)
-    rows = scanned.withColumn("from_status", F.coalesce("before", F.lit("pending"))).join(blocked.select("id").distinct().withColumn("b", F.lit(True)), "id", "left")
+def status_log(events: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(seq, id, from_status, to_status, verdict) of events(seq, id, status); blocked(id) may not advance.
+
+    A refused update leaves the status as it was. Legal steps only go forward, so a task is in progress after the first
+    such request and completed after the first completion that follows it: two minima instead of a scan.
+    """
+    rows = events.select("seq", "id", "status").join(blocked.select("id").distinct().withColumn("b", F.lit(True)), "id", "left")
+    starts = rows.filter("b IS NULL AND status = 'in_progress'").groupBy("id").agg(F.min("seq").alias("started"))
+    rows = rows.join(starts, "id", "left")
+    ends = rows.filter("status = 'completed' AND seq > started").groupBy("id").agg(F.min("seq").alias("ended"))
+    rows = rows.join(ends, "id", "left")
+    now = F.when(F.col("seq") > F.col("ended"), "completed").when(F.col("seq") > F.col("started"), "in_progress").otherwise("pending")
+    rows = rows.withColumn("from_status", now)
     legal = F.concat_ws(">", "from_status", "status").isin(*STATUS_STEPS)
     verdict = F.when(~legal, "invalid_transition").when(F.col("b").isNotNull() & F.col("status").isin("in_progress", "completed"), "blocked").otherwise("ok")
     return rows.select("seq", "id", "from_status", F.col("status").alias("to_status"), verdict.alias("verdict"))

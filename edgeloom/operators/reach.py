@@ -7,6 +7,8 @@ the frontier's fan-out and nothing already found is rewritten.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,14 +18,14 @@ MAX_DEPTH = 100
 PAIR = ["seed", "node"]
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, reverse: bool = False) -> DataFrame:
     """(seed, node, depth, parent): nodes within ``depth`` hops of each seed, shortest depth.
 
     edges(src, dst); seeds has ``seed`` and optionally ``node`` (a group of start
     nodes may share one seed label). A seed on a cycle is returned with the cycle
-    length. Depth 0 is empty, above 100 is an error.
+    length. Depth 0 is empty, above 100 is an error; None goes on until nothing new is met.
     """
-    if not 0 <= depth <= MAX_DEPTH:
+    if depth is not None and not 0 <= depth <= MAX_DEPTH:
         raise ValueError("depth must be within 0..100")
     spark = edges.sparkSession
     scratch = Scratch(spark, "reach")
@@ -33,7 +35,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     frontier = start.select(*PAIR).distinct()
     found: list[str] = []
     shape = frontier.select(*PAIR, F.lit(0).cast("bigint").alias("depth"), F.col("node").alias("parent"))
-    for k in range(1, depth + 1):
+    for k in count(1) if depth is None else range(1, depth + 1):
         new = (
             frontier.join(steps, "node")
             .groupBy("seed", F.col("next").alias("node"))
@@ -49,12 +51,12 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False)
     return scratch.read_many(found, shape) if found else shape.filter(F.lit(False))
 
 
-def cycles_through(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH - 1) -> DataFrame:
+def cycles_through(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(seed, length) of one shortest cycle through each seed that lies on one."""
     return reach(edges, seeds, depth).filter("seed = node").select("seed", F.col("depth").alias("length"))
 
 
-def cycle_paths(edges: DataFrame, seeds: DataFrame, depth: int = MAX_DEPTH - 1) -> DataFrame:
+def cycle_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(seed, step, node): nodes of one shortest cycle per seed, step 0 being the seed."""
     tree = reach(edges, seeds, depth)
     scratch = Scratch(edges.sparkSession, "cycle")

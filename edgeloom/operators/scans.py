@@ -19,14 +19,17 @@ CHUNK_ROWS = 65_536
 
 
 def chunked(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Adds ``_chunk``: blocks of the order column for hot keys, 0 for the others.
+    """Adds ``_chunk``: blocks of about ``chunk_rows`` rows along the order column for hot keys, 0 for the others.
 
     There are at most rows / hot_rows hot keys; Spark broadcasts their list when
     its measured size allows and shuffles otherwise.
     """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    block = F.floor(F.col(order) / chunk_rows).cast("bigint")
-    return df.join(hot, list(keys), "left").withColumn("_chunk", F.when(F.col("_hot"), block).otherwise(F.lit(0))).drop("_hot")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_low"), (F.max(order) - F.min(order) + 1).alias("_span"))
+    # A chunk covers as much of the key's own range as holds chunk_rows rows on average, however sparse the order is.
+    wide = F.greatest(F.lit(1), F.ceil(F.col("_span") * F.lit(chunk_rows) / F.col("_n")))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys, "_low", wide.alias("_wide"))
+    block = F.floor((F.col(order) - F.col("_low")) / F.col("_wide")).cast("bigint")
+    return df.join(hot, list(keys), "left").withColumn("_chunk", F.coalesce(block, F.lit(0).cast("bigint"))).drop("_low", "_wide")
 
 
 def ordered_scan(

@@ -11,7 +11,6 @@ from edgeloom.plans.registry import query
 from edgeloom.sources import documents as S
 
 # small limits, so that the hot-key path runs on the test tables too
-SPLIT = {"hot_rows": 100, "chunk_rows": 512}
 lst = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 STATES, AUX = lst(B.STATES), lst(B.AUX_LABELS)
 
@@ -107,18 +106,18 @@ query("event_route_counts", "SELECT decision, reason, COUNT(*) AS n FROM (" + RO
 
 # -- idempotency, transitions, retries ---------------------------------------------------
 IDEM = """
-ik AS (SELECT seq, issue, phase, CASE WHEN issue > 0 AND phase <> '' THEN sha256(repo || chr(10) || CAST(issue AS VARCHAR) || chr(10) || phase || chr(10) || input_hash) END AS key FROM runs)
+ik AS (SELECT seq, issue, phase, CASE WHEN issue > 0 AND phase <> '' AND input_hash <> '' THEN sha256(repo || chr(10) || CAST(issue AS VARCHAR) || chr(10) || phase || chr(10) || input_hash) END AS key FROM runs)
 """
-IDEM_SQL = "SELECT seq, issue, phase, key, CASE WHEN key IS NULL THEN 'unkeyed' WHEN key = LAG(key) OVER (PARTITION BY issue, phase ORDER BY seq) THEN 'no-op' ELSE 'record' END AS action FROM ik"
-query("idempotent_runs", IDEM_SQL, IDEM)(lambda t: L.idempotent_runs(t("runs"), **SPLIT))
+IDEM_SQL = "SELECT seq, issue, phase, key, CASE WHEN key IS NULL THEN 'unkeyed' WHEN key = LAST_VALUE(key IGNORE NULLS) OVER (PARTITION BY issue, phase ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'no-op' ELSE 'record' END AS action FROM ik"
+query("idempotent_runs", IDEM_SQL, IDEM)(lambda t: L.idempotent_runs(t("runs")))
 PAIRS = lst(f"{a}>{b}" for a, bs in B.TRANSITIONS.items() for b in bs)
 TRANS_SQL = f"""SELECT seq, issue, f AS from_state, state AS to_state, CASE WHEN NOT list_contains({STATES}, state) THEN 'invalid_state' WHEN f IS NULL THEN 'first' WHEN f = state THEN 'no-op'
   WHEN list_contains({PAIRS}, f || '>' || state) THEN 'ok' ELSE 'invalid_transition' END AS verdict FROM (SELECT *, LAG(state) OVER (PARTITION BY issue ORDER BY seq) AS f FROM state_events)"""
-query("state_transitions", TRANS_SQL)(lambda t: L.transition_log(t("state_events"), **SPLIT))
+query("state_transitions", TRANS_SQL)(lambda t: L.transition_log(t("state_events")))
 ATT = f"""
 at0 AS (SELECT *, COALESCE(NULLIF(upper(regexp_extract(log, '(?:^|\\s)reason_code=(\\S+)', 1)), ''), 'UNKNOWN') AS reason0, lower(regexp_extract(log, '(?:^|\\s)head_sha=(\\S+)', 1)) AS sha FROM attempts),
 at1 AS (SELECT seq, issue, CASE WHEN outcome = 'pass' THEN 'pass' WHEN list_contains({lst(L.DEFERRED_REASONS)}, reason0) THEN 'deferred' ELSE 'code' END AS result, CASE WHEN outcome = 'pass' THEN 'PASS' ELSE reason0 END AS reason,
-  CASE WHEN outcome <> 'pass' THEN 'issue-' || CAST(issue AS VARCHAR) || '-pr-' || CAST(pr AS VARCHAR) || CASE WHEN sha NOT IN ('', 'unknown') THEN '-head-' || sha WHEN run_id <> '' THEN '-run-' || run_id || '-attempt-' || COALESCE(NULLIF(run_attempt, ''), '1') ELSE '-local-19700101000000' END END AS key FROM at0)
+  CASE WHEN outcome <> 'pass' THEN 'issue-' || CAST(issue AS VARCHAR) || '-pr-' || CAST(pr AS VARCHAR) || CASE WHEN sha NOT IN ('', 'unknown') THEN '-head-' || sha WHEN run_id <> '' THEN '-run-' || run_id || '-attempt-' || COALESCE(NULLIF(run_attempt, ''), '1') ELSE '-local-' || strftime(at, '%Y%m%d%H%M%S') END END AS key FROM at0)
 """
 query("gate_attempts", "SELECT * FROM at1", ATT)(lambda t: L.parse_attempts(t("attempts")))
 RETRY = ATT + """,
@@ -128,7 +127,7 @@ ac AS (SELECT *, CASE WHEN f THEN ROW_NUMBER() OVER (PARTITION BY issue, g ORDER
 ae AS (SELECT *, f AND n > 2 AS e FROM ac)
 """
 RETRY_SQL = "SELECT seq, issue, result, n AS retry_count, greatest(n - 1, 0) AS stored_before, e AS escalated, e AND ROW_NUMBER() OVER (PARTITION BY issue, e ORDER BY seq) = 1 AS comment FROM ae"
-query("gate_retries", RETRY_SQL, RETRY)(lambda t: L.gate_retries(L.parse_attempts(t("attempts")), 2, **SPLIT))
+query("gate_retries", RETRY_SQL, RETRY)(lambda t: L.gate_retries(L.parse_attempts(t("attempts")), 2))
 IRETRY = ATT + """,
 ir AS (SELECT seq, issue, result = 'pass' AS passed, COALESCE(key, '') AS key, LAG(CASE WHEN result <> 'pass' THEN key END) OVER (PARTITION BY issue ORDER BY seq) AS pk FROM at1),
 ic AS (SELECT *, NOT passed AND (pk IS NULL OR pk <> key) AS c, SUM(CASE WHEN passed THEN 1 ELSE 0 END) OVER (PARTITION BY issue ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM ir),
@@ -138,7 +137,7 @@ query(
     "integration_gate_retries",
     "SELECT seq, issue, CASE WHEN passed THEN 0 ELSE n END::BIGINT AS retry_count, CASE WHEN passed THEN 'passed' WHEN NOT c THEN 'ignored' WHEN n > 3 THEN 'escalated' ELSE 'retrying' END AS status FROM inn",
     IRETRY,
-)(lambda t: L.integration_retries(L.parse_attempts(t("attempts")).select("seq", "issue", (F.col("result") == "pass").alias("passed"), F.coalesce("key", F.lit("")).alias("key")), 3, **SPLIT))
+)(lambda t: L.integration_retries(L.parse_attempts(t("attempts")).select("seq", "issue", (F.col("result") == "pass").alias("passed"), F.coalesce("key", F.lit("")).alias("key")), 3))
 CONFL = """
 ce AS (SELECT event_id AS seq, user_id AS issue, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'conflict' ELSE 'recovered' END AS kind FROM events),
 cg AS (SELECT *, SUM(CASE WHEN kind = 'recovered' THEN 1 ELSE 0 END) OVER (PARTITION BY issue ORDER BY seq ROWS UNBOUNDED PRECEDING) AS g FROM ce),
@@ -154,7 +153,7 @@ query(
     "conflict_retries",
     "SELECT seq, issue, CASE kind WHEN 'conflict' THEN n ELSE 0 END::BIGINT AS retry_count, CASE WHEN kind <> 'conflict' THEN 'reset' WHEN n > 3 THEN 'escalate' ELSE 'needs_fix' END AS status FROM cn",
     CONFL,
-)(lambda t: L.conflict_retries(conflict_events(t), 3, **SPLIT))
+)(lambda t: L.conflict_retries(conflict_events(t), 3))
 
 # -- comments ----------------------------------------------------------------------------
 MARK = r"""
@@ -179,7 +178,7 @@ query(
 query(
     "context_budget",
     """SELECT issue, pos, SUM(length(body) + 7) OVER (PARTITION BY issue ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) - 7 <= 1500 AS kept FROM comments""",
-)(lambda t: L.context_budget(t("comments"), 1500, hot_rows=3, chunk_rows=2))
+)(lambda t: L.context_budget(t("comments"), 1500))
 query(
     "trimmed_fields",
     """SELECT issue, pos, substr(body, 1, length(body) - least(length(body), over)::INT) AS body, substr(author, 1, length(author) - least(length(author), over - least(length(body), over))::INT) AS author
@@ -192,7 +191,7 @@ def rounds(t):
     return t("comments").select("issue", (F.col("pos") + 1).alias("round"), (F.length("body") % 3 == 0).alias("finish"))
 
 
-query("publish_on_change", "SELECT issue, round, COALESCE(LAG(finish) OVER (PARTITION BY issue ORDER BY round) <> finish, TRUE) AS publish FROM ro", ROUNDS)(lambda t: L.publish_rounds(rounds(t), only_on_change=True, hot_rows=3, chunk_rows=2))
+query("publish_on_change", "SELECT issue, round, COALESCE(LAG(finish) OVER (PARTITION BY issue ORDER BY round) <> finish, TRUE) AS publish FROM ro", ROUNDS)(lambda t: L.publish_rounds(rounds(t), only_on_change=True))
 query("publish_every_two", "SELECT issue, round, round % 2 = 0 AS publish FROM ro", ROUNDS)(lambda t: L.publish_rounds(rounds(t), every=2))
 CONV = MARK + """,
 cf AS (SELECT c.issue, arg_max(m.command, c.pos) FILTER (WHERE m.command IS NOT NULL) AS command, MAX(CASE WHEN NOT contains(body, '<!-- BOT:') THEN at_s END) AS human, MAX(at_s) + 200 * (c.issue % 14) AS now_s
@@ -274,7 +273,11 @@ query(
 )(lambda t: L.parent_progress(t("issues"), t("issue_tasks")))
 SLOG = """
 se AS (SELECT event_id AS seq, user_id AS id, CASE WHEN k % 10 < 4 THEN 'pending' WHEN k % 10 < 8 THEN 'in_progress' ELSE 'completed' END AS status FROM event_k),
-sp AS (SELECT *, COALESCE(LAG(status) OVER (PARTITION BY id ORDER BY seq), 'pending') AS f FROM se)
+sn AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY seq) AS i, id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) AS b FROM se),
+sp AS (SELECT DISTINCT id, 0::BIGINT AS i, 'pending' AS now, '' AS f, '' AS status, '' AS verdict, 0::BIGINT AS seq FROM se
+  UNION ALL SELECT id, i, CASE verdict WHEN 'ok' THEN status ELSE f END, f, status, verdict, seq FROM (SELECT n.id, n.i, p.now AS f, n.status, n.seq,
+    CASE WHEN p.now || '>' || n.status NOT IN ('pending>pending', 'pending>in_progress', 'in_progress>in_progress', 'in_progress>completed', 'completed>completed') THEN 'invalid_transition'
+      WHEN n.b AND n.status <> 'pending' THEN 'blocked' ELSE 'ok' END AS verdict FROM sp p JOIN sn n ON n.id = p.id AND n.i = p.i + 1))
 """
 
 
@@ -285,10 +288,9 @@ def status_events(t):
 
 query(
     "task_status_log",
-    """SELECT seq, id, f AS from_status, status AS to_status, CASE WHEN f || '>' || status NOT IN ('pending>pending', 'pending>in_progress', 'in_progress>in_progress', 'in_progress>completed', 'completed>completed') THEN 'invalid_transition'
-      WHEN id IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 2000) AND status <> 'pending' THEN 'blocked' ELSE 'ok' END AS verdict FROM sp""",
+    "SELECT seq, id, f AS from_status, status AS to_status, verdict FROM sp WHERE i > 0",
     SLOG,
-)(lambda t: L.status_log(status_events(t), t("supplier").filter("s_acctbal < 2000").select(F.col("s_suppkey").alias("id")), **SPLIT))
+)(lambda t: L.status_log(status_events(t), t("supplier").filter("s_acctbal < 2000").select(F.col("s_suppkey").alias("id"))))
 query(
     "merged_metadata",
     """SELECT user_id AS id, event_type AS key, arg_max(v, event_id) AS value FROM (SELECT event_id, user_id, event_type, CASE WHEN k % 4 = 0 THEN '' ELSE 'v' || CAST(k AS VARCHAR) END AS v FROM event_k) GROUP BY user_id, event_type HAVING arg_max(v, event_id) <> ''""",

@@ -30,13 +30,13 @@ query("reach_dependents", "SELECT * FROM dist", bfs("dag_edges", "low_seeds", 5,
 query("reach_on_cycles", "SELECT * FROM dist", bfs("cyc_edges", "ring_seeds", 12))(
     lambda t: G.reach(t("cyc_edges"), t("ring_seeds"), 12).select(*cut)
 )
-query("cycles_through_nodes", "SELECT seed, depth AS length FROM dist WHERE seed = node", bfs("cyc_edges", "ring_seeds", 99))(
+query("cycles_through_nodes", "SELECT seed, depth AS length FROM dist WHERE seed = node", bfs("cyc_edges", "ring_seeds", 1000000))(
     lambda t: G.cycles_through(t("cyc_edges"), t("ring_seeds"))
 )
 query(
     "cycle_paths",
     "SELECT seed, step - 1 AS step, node FROM walk",
-    bfs("cyc_edges", "ring_seeds", 99)
+    bfs("cyc_edges", "ring_seeds", 1000000)
     + """, par AS (SELECT d.seed, d.node, d.depth, MIN(e.src) AS parent FROM dist d JOIN cyc_edges e ON e.dst = d.node
       LEFT JOIN dist u ON u.seed = d.seed AND u.node = e.src WHERE (d.depth = 1 AND e.src = d.seed) OR u.depth = d.depth - 1 GROUP BY d.seed, d.node, d.depth),
     walk AS (SELECT seed, depth AS step, parent AS node FROM par WHERE seed = node
