@@ -2,8 +2,9 @@
 
 Equal sets are one node. Sizes fall into bands of ratio 1.5; a pair is found under the band of its larger set. Two sets
 of a band that reach the similarity differ in at most ``limit`` elements. The universe is cut into segments by hash;
-with one segment more than ``limit``, one must be equal. A segment that also offers each of its one-deletion neighbours
-stands for two, so there can be fewer: how many is chosen for each band by the cost of keys and of chance meetings.
+with one segment more than ``limit``, one must be equal (some more make sure of one that is not empty). A segment that
+also offers each of its one-deletion neighbours stands for two, so there can be fewer: how many is chosen for each band
+by the cost of keys and of chance meetings.
 
 Sets that share a segment key form a group; groups with the same least member are one cluster. A cluster of bounded
 weight is joined exactly inside one task (prefix filter, then whole sets) and gives only links that connect what was not
@@ -32,7 +33,7 @@ from edgeloom.session import Scratch
 RATIO = 1.5
 WEIGHT = 4_000_000  # elements of a cluster that one task joins; heavier ones take the exact way by a leader
 PAIRS_A_SALT = 4096
-_CHANCE = 50.0  # keys that one chance meeting costs
+_MEETING = 0.005  # keys that it costs if two sets have one element or none in a segment: such meet one time in 10,000, at 50 keys
 
 
 def band_of(n: int) -> int:
@@ -54,19 +55,33 @@ def limit(size: int, percent: int) -> int:
 
 
 def allocation(band: int, sets: int, percent: int) -> tuple[int, int]:
-    """(segments, how many of them offer one-deletion neighbours) of the least cost for a band that holds ``sets`` sets."""
+    """(segments, how many of them offer one-deletion neighbours) of the least cost for a band that holds ``sets`` sets.
+
+    There are as many segments beyond the limit as sets of the band leave empty (three deviations over the mean), so
+    that a pair also shares one that is not empty, and empty segments need no keys.
+    """
     n = band_low(band + 1) - 1
-    need = limit(2 * n, percent) + 1
+    least = limit(2 * n, percent) + 1
+    spare = 0
+    for _ in range(8 if n >= 40 else 0):  # a small set that leaves a segment empty has its key
+        empty = (least + spare) * math.exp(-n / (least + spare))
+        spare = math.ceil(empty + 3 * math.sqrt(empty))
+    need = least + spare
 
     def cost(wide: int) -> float:
         m = need - wide
-        chance = sets * (m - wide) * math.exp(-2 * n / m) + sets * wide * (1 + n / m) ** 2 * math.exp(-2 * n / m)
-        return m + wide * n / m + _CHANCE * chance
+        weak = math.exp(-n / m) * (1 + n / m)  # a segment of one element or none
+        return m + wide * n / m + _MEETING * sets * (m - wide + wide * (1 + n / m)) * weak**2
 
     wide = min(range(need // 2 + 1), key=cost)
     return need - wide, wide
 
 
+def spare_weight(size: int, band: int, segments: int, wide: int, percent: int) -> int:
+    """How many segments a set of ``size`` may leave empty and still share another one with every partner of the band."""
+    return segments + wide - 1 - limit(size + band_low(band + 1) - 1, percent)
+
+
 def shingle_sets(words: Words, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text; a shorter text is one n-gram, an empty one none."""
     starts = words.window_starts(n)
@@ -87,7 +102,8 @@ def set_key(elements: np.ndarray) -> int:
     return int(mix(np.array([mix(elements).sum(dtype=np.uint64) + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
-def segment_keys(elements: np.ndarray, band: int, segments: int, wide: int) -> np.ndarray:
+def segment_keys(elements: np.ndarray, band: int, segments: int, wide: int, percent: int) -> np.ndarray:
+    """The keys of a set in a band; those of empty segments only if it has more than it can spare."""
     tag = mix(np.array([band + 1], np.uint64))[0]
     segment = (mix(elements ^ tag) % np.uint64(segments)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
@@ -98,6 +114,10 @@ def segment_keys(elements: np.ndarray, band: int, segments: int, wide: int) -> n
     sums = total[edge[1:]] - total[edge[:-1]]
     names = mix(np.arange(segments, dtype=np.uint64) * np.uint64(2654435761) + tag)
     keys = mix(sums + names)
+    empty = edge[1:] == edge[:-1]
+    empty[:wide] = False
+    if empty.sum() <= spare_weight(len(elements), band, segments, wide, percent):
+        keys = keys[~empty]
     if wide:
         inner = segment < wide
         keys = np.r_[keys, mix(sums[segment[inner]] - worth[inner] + names[segment[inner]])]
@@ -128,7 +148,7 @@ def _keys(n: int, percent: int, plan: dict[int, tuple[int, int]]):
                     band = band_of(len(elements))
                     while 100 * len(elements) >= percent * band_low(band):
                         if band in plan:
-                            keys.append(segment_keys(elements, band, *plan[band]))
+                            keys.append(segment_keys(elements, band, *plan[band], percent))
                             owners.append(np.full(len(keys[-1]), key, np.int64))
                         band += 1
                 if keys:
