@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import dag, reach as G
 from edgeloom.plans.registry import query
+from edgeloom.session import Scratch
 from edgeloom.sources import store
 
 BFS = """
@@ -30,13 +31,13 @@ query("reach_dependents", "SELECT * FROM dist", bfs("dag_edges", "low_seeds", 5,
 query("reach_on_cycles", "SELECT * FROM dist", bfs("cyc_edges", "ring_seeds", 12))(
     lambda t: G.reach(t("cyc_edges"), t("ring_seeds"), 12).select(*cut)
 )
-query("cycles_through_nodes", "SELECT seed, depth AS length FROM dist WHERE seed = node", bfs("cyc_edges", "ring_seeds", 1000000))(
+query("cycles_through_nodes", "SELECT seed, depth AS length FROM dist WHERE seed = node", bfs("cyc_edges", "ring_seeds", 99))(
     lambda t: G.cycles_through(t("cyc_edges"), t("ring_seeds"))
 )
 query(
     "cycle_paths",
     "SELECT seed, step - 1 AS step, node FROM walk",
-    bfs("cyc_edges", "ring_seeds", 1000000)
+    bfs("cyc_edges", "ring_seeds", 99)
     + """, par AS (SELECT d.seed, d.node, d.depth, MIN(e.src) AS parent FROM dist d JOIN cyc_edges e ON e.dst = d.node
       LEFT JOIN dist u ON u.seed = d.seed AND u.node = e.src WHERE (d.depth = 1 AND e.src = d.seed) OR u.depth = d.depth - 1 GROUP BY d.seed, d.node, d.depth),
     walk AS (SELECT seed, depth AS step, parent AS node FROM par WHERE seed = node
@@ -221,15 +222,18 @@ ups AS (SELECT 'repo' || CAST(l_suppkey % 4 AS VARCHAR) AS repo_id, l_partkey AS
 """
 
 
+LAST = "SELECT repo_id, id, signature, indexed_at FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, id ORDER BY indexed_at DESC, signature DESC) AS rn FROM ups) WHERE rn = 1"
+
+
 def merged(t):
     old = snapshot_rows(t, "l_shipdate < '2000-01-01'", "old_")
     new = snapshot_rows(t, "l_shipdate >= '2000-01-01'", "new_")
-    return store.upsert(old, new, ["repo_id", "id"], "indexed_at").drop("signature")
+    return store.upsert(old, new, ["repo_id", "id"], "indexed_at")
 
 
-query("upsert_functions", "SELECT repo_id, id, MAX(indexed_at) AS indexed_at FROM ups GROUP BY repo_id, id", UPS)(merged)
+query("upsert_functions", LAST, UPS)(merged)
 query("repositories", "SELECT DISTINCT repo_id FROM ups", UPS)(lambda t: store.repositories(merged(t)))
-query("without_repository", "SELECT repo_id, id, MAX(indexed_at) AS indexed_at FROM ups WHERE repo_id <> 'repo1' GROUP BY repo_id, id", UPS)(
+query("without_repository", f"SELECT * FROM ({LAST}) WHERE repo_id <> 'repo1'", UPS)(
     lambda t: store.without_repository(merged(t), "repo1")
 )
 query("functions_by_module", "SELECT p_partkey, p_name FROM part WHERE p_brand = 'Brand#3'")(
@@ -243,3 +247,22 @@ query(
     """SELECT CASE WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.ex' THEN 'elixir' WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.py' THEN 'python' ELSE 'unknown' END AS language,
       COUNT(*) AS file_count, SUM(size)::BIGINT AS line_count FROM part_paths GROUP BY 1""",
 )(lambda t: store.language_stats(t("part_paths").withColumnRenamed("size", "loc")))
+
+
+def merged_by_batches(t):
+    """The same upsert as a stream: every file of loads is one micro-batch merged into a table by repository."""
+    scratch = Scratch(t.spark, "upserts")
+    rows = snapshot_rows(t, "true", "").withColumn("signature", F.concat(F.when(F.col("indexed_at") % 2 == 0, "even_").otherwise("odd_"), "signature"))
+    columns = scratch.save(rows.withColumn("_load", F.pmod("id", F.lit(3))).repartition(3, "_load").drop("_load"), "loads")
+    stream = t.spark.readStream.schema(columns.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/loads")
+    merge = store.upsert_batches(f"{scratch.root}/table", ["repo_id", "id"], "indexed_at")
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(columns.schema).parquet(f"{scratch.root}/table").select("repo_id", "id", "signature", "indexed_at")
+
+
+query(
+    "stream_upserts",
+    """SELECT repo_id, id, signature, indexed_at FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY repo_id, id ORDER BY indexed_at DESC, signature DESC) AS rn
+      FROM (SELECT 'repo' || CAST(l_suppkey % 4 AS VARCHAR) AS repo_id, l_partkey AS id, l_orderkey * 10 + l_linenumber AS indexed_at,
+        CASE WHEN (l_orderkey * 10 + l_linenumber) % 2 = 0 THEN 'even_' ELSE 'odd_' END || l_returnflag || CAST(l_linenumber AS VARCHAR) AS signature FROM lineitem)) WHERE rn = 1""",
+)(merged_by_batches)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgeloom.functions import paths as P
 from edgeloom.functions import text as X
@@ -11,6 +12,7 @@ from edgeloom.operators import coverage as V
 from edgeloom.operators import findings as D
 from edgeloom.operators import relations as R
 from edgeloom.plans.registry import query
+from edgeloom.session import Scratch
 from edgeloom.sources import documents as S
 from edgeloom.sources import records as J
 
@@ -553,3 +555,58 @@ query("document_coverage", "SELECT COUNT(*) AS total_files, COUNT(l.doc_id) AS w
     lambda t: V.document_coverage(t("documents"), t("labels"), "doc_id")
 )
 query("missing_documents", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda t: V.missing_documents(t("documents"), t("labels"), "doc_id"))
+
+# -- files in the library's own formats, written and read again --------------------------
+PART_SCHEMA = T.StructType([T.StructField("p_partkey", T.LongType()), T.StructField("p_name", T.StringType()), T.StructField("p_brand", T.StringType()), T.StructField("p_size", T.IntegerType())])
+
+
+def tsv_parts(t):
+    folder = Scratch(t.spark, "tsv").root
+    rows = t("part").select("p_partkey", "p_name", F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("p_brand"), "p_size")
+    J.write_tsv(rows, folder)
+    return J.read_tsv(t.spark, folder, PART_SCHEMA)
+
+
+query("tsv_round_trip", "SELECT p_partkey, p_name, CASE WHEN p_size % 3 <> 0 THEN p_brand ELSE '' END AS p_brand, p_size FROM part")(tsv_parts)
+
+
+def snapshot_files(t):
+    folder = f"{Scratch(t.spark, 'snapshots').root}/files"
+    snapshot_texts(t).write.text(folder)
+    return J.references(J.parse_records(t.spark.read.text(folder)))
+
+
+query(
+    "snapshot_files",
+    """SELECT 'orders/' || CAST(l_orderkey AS VARCHAR) AS src_path, 'parts/' || CAST(l_partkey AS VARCHAR) AS dst_path,
+      CASE WHEN l_returnflag = 'N' THEN 'import' ELSE 'call' END AS kind FROM lineitem""",
+)(snapshot_files)
+
+
+def contract_files(t):
+    """Contract documents (one JSON object per supplier) written, read and flattened to edges."""
+    edge = F.struct(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("caller"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("callee"))
+    docs = t("lineitem").groupBy("l_suppkey").agg(F.collect_set(edge).alias("allow_edges"))
+    folder = Scratch(t.spark, "contracts").root
+    J.write_report({"allow": docs.select("allow_edges")}, folder)
+    read = t.spark.read.schema("allow_edges array<struct<caller: string, callee: string>>").json(f"{folder}/allow")
+    return J.contract_edges(read, "allow_edges")
+
+
+query("contract_files", "SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS caller, 'p' || CAST(l_partkey % 50 AS VARCHAR) AS callee FROM lineitem")(contract_files)
+
+
+def hints(t):
+    """Relation hints of snapshot records, one per part."""
+    hint = F.struct(
+        F.concat(F.lit("lib\\"), "p_type").alias("target"), F.lit("call").alias("call_type_hint"), F.col("p_brand").alias("via"), (F.col("p_size") / 100).alias("confidence"),
+        F.lit("text").alias("detector"), F.col("p_name").alias("reason"),
+    )
+    record = F.struct(F.concat(F.lit("parts/"), F.col("p_partkey").cast("string")).alias("sourcePath"), F.array(hint).alias("relationHints"))
+    return J.hint_rows(J.parse_records(t("part").select(F.to_json(record).alias("value"))))
+
+
+query(
+    "snapshot_hints",
+    """SELECT 'parts/' || CAST(p_partkey AS VARCHAR) AS src_path, 'lib/' || p_type AS dst_path, 'call' AS call_type_hint, p_brand AS via, CAST(p_size AS DOUBLE) / 100 AS confidence, 'text' AS detector, p_name AS reason FROM part""",
+)(hints)

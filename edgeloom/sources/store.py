@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Last write per key; an aggregate, so versions of a hot key combine before the shuffle."""
-    others = [c for c in rows.columns if c not in keys]
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("_r"))
+    """Last write per key; an aggregate, so versions of a hot key combine before the shuffle. Of writes with equal order
+    the greatest row counts, whatever order they come in."""
+    others = [order, *[c for c in rows.columns if c not in (*keys, order)]]
+    newest = rows.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_r"))
     return newest.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in others]).select(*rows.columns)
 
 
@@ -30,14 +31,10 @@ def upsert_batches(path: str, keys: Sequence[str], order: str, partition: str =
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
         staged = f"{path}.staged/{batch_id}"
-        try:
-            old = spark.read.schema(batch.schema).parquet(path)
-            old = old.join(batch.select(partition).distinct(), partition, "left_semi")
-            rows = upsert(old, batch, keys, order)
-        except Exception as missing:  # first batch: nothing written yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            rows = latest(batch, keys, order)
+        batch.limit(0).write.mode("ignore").partitionBy(partition).parquet(path)  # an empty table before the first batch
+        old = spark.read.schema(batch.schema).parquet(path)
+        old = old.join(batch.select(partition).distinct(), partition, "left_semi")
+        rows = upsert(old, batch, keys, order)
         # read and overwrite of one path must not meet in one plan
         rows.write.mode("overwrite").parquet(staged)
         write(spark.read.schema(rows.schema).parquet(staged), path, partition)
