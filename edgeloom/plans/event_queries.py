@@ -117,7 +117,7 @@ query("state_transitions", TRANS_SQL)(lambda t: L.transition_log(t("state_events
 ATT = f"""
 at0 AS (SELECT *, COALESCE(NULLIF(upper(regexp_extract(log, '(?:^|\\s)reason_code=(\\S+)', 1)), ''), 'UNKNOWN') AS reason0, lower(regexp_extract(log, '(?:^|\\s)head_sha=(\\S+)', 1)) AS sha FROM attempts),
 at1 AS (SELECT seq, issue, CASE WHEN outcome = 'pass' THEN 'pass' WHEN list_contains({lst(L.DEFERRED_REASONS)}, reason0) THEN 'deferred' ELSE 'code' END AS result, CASE WHEN outcome = 'pass' THEN 'PASS' ELSE reason0 END AS reason,
-  CASE WHEN outcome <> 'pass' THEN 'issue-' || CAST(issue AS VARCHAR) || '-pr-' || CAST(pr AS VARCHAR) || CASE WHEN sha NOT IN ('', 'unknown') THEN '-head-' || sha WHEN run_id <> '' THEN '-run-' || run_id || '-attempt-' || COALESCE(NULLIF(run_attempt, ''), '1') ELSE '-local-' || strftime(at, '%Y%m%d%H%M%S') END END AS key FROM at0)
+  CASE WHEN outcome <> 'pass' THEN 'issue-' || CAST(issue AS VARCHAR) || '-pr-' || CAST(pr AS VARCHAR) || CASE WHEN sha NOT IN ('', 'unknown') THEN '-head-' || sha WHEN run_id <> '' THEN '-run-' || run_id || '-attempt-' || COALESCE(NULLIF(run_attempt, ''), '1') ELSE '-local-' || strftime(run_at, '%Y%m%d%H%M%S') END END AS key FROM at0)
 """
 query("gate_attempts", "SELECT * FROM at1", ATT)(lambda t: L.parse_attempts(t("attempts")))
 RETRY = ATT + """,

@@ -258,7 +258,7 @@ SELECT event_id AS seq, user_id AS issue, 'acme/web' AS repo,
 FROM event_k
 """
 INPUTS["attempts"] = """
-SELECT event_id AS seq, ts AS at, user_id AS issue, user_id % 20 AS pr,
+SELECT event_id AS seq, ts AS run_at, user_id AS issue, user_id % 20 AS pr,
        CASE event_type WHEN 'signup' THEN 'pass' ELSE 'fail' END AS outcome,
        'gate log' || chr(10) || '[gate] reason_code=' || CASE WHEN event_type = 'purchase' THEN 'auth_failed' WHEN k % 13 = 0 THEN 'RATE_LIMITED' ELSE 'TESTS_FAILED' END
          || ' head_sha=' || CASE WHEN k % 4 = 0 THEN 'unknown' ELSE 'AB' || CAST(k % 3 AS STRING) END || ' x=1' AS log,

@@ -39,7 +39,7 @@ def test_refused_status_does_not_stick(spark):
 
 def test_local_attempts_have_keys_of_their_own(spark):
     data = [(i, 1, 1, "fail", "reason_code=X", "", "", datetime(2024, 1, 1, 0, i)) for i in range(4)]
-    attempts = spark.createDataFrame(data, "seq bigint, issue bigint, pr bigint, outcome string, log string, run_id string, run_attempt string, at timestamp")
+    attempts = spark.createDataFrame(data, "seq bigint, issue bigint, pr bigint, outcome string, log string, run_id string, run_attempt string, run_at timestamp")
     assert [n for _, n in rows(L.gate_retries(L.parse_attempts(attempts), 2), "seq", "retry_count")] == [1, 1, 1, 1]
 
 

@@ -22,7 +22,7 @@ def files(spark, folder, data, schema, parts=4):
 
 def test_retries_over_batches(spark, tmp_path):
     rng = random.Random(5)
-    schema = "seq bigint, issue bigint, pr bigint, outcome string, log string, run_id string, run_attempt string, at timestamp"
+    schema = "seq bigint, issue bigint, pr bigint, outcome string, log string, run_id string, run_attempt string, run_at timestamp"
     data = [(i, rng.randrange(3), 1, rng.choice(["pass", "fail", "fail", "fail"]), f"reason_code=X head_sha=h{rng.randrange(2)}", "", "", datetime(2024, 1, 1)) for i in range(200)]
     got = run_to_table(O.gate_retries(files(spark, tmp_path / "in", data, schema), 2), "t")
     want = L.gate_retries(L.parse_attempts(spark.createDataFrame(data, schema)), 2, hot_rows=10, chunk_rows=7)
