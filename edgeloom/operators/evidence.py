@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # Evidence weights and verdict thresholds.
 BOND_WEIGHTS = {"deduction": 1.0, "verification": 0.7, "exploration": 0.3}
-ACT_THRESHOLD, INVESTIGATE_THRESHOLD = 0.7, 0.3
+ACT_THRESHOLD = 0.7
 PRIOR = 0.5
 FOLD_ROWS = 4096
 
@@ -30,12 +30,8 @@ def rejected(evidence: DataFrame) -> DataFrame:
     return evidence.filter("confidence IS NULL OR NOT (confidence >= 0 AND confidence <= 1)").select("evidence_id", "conclusion_id", "confidence")
 
 
-def reduce(evidence: DataFrame, act: float = ACT_THRESHOLD, investigate: float = INVESTIGATE_THRESHOLD) -> DataFrame:
-    """(conclusion_id, supports, conflicts, confidence, verdict).
-
-    ``investigate`` is accepted for completeness; below the act threshold every
-    one-sided conclusion is to be investigated.
-    """
+def reduce(evidence: DataFrame, act: float = ACT_THRESHOLD) -> DataFrame:
+    """(conclusion_id, supports, conflicts, confidence, verdict); below ``act`` every one-sided conclusion is to be investigated."""
     w = weight(F.col("bond_type"))
     effective = F.col("confidence") * w
     pro, con = F.col("relation") == "supports", F.col("relation") == "conflicts"

@@ -228,8 +228,8 @@ def expand_aliases(specifier: Column) -> Column:
 
 
 def resolve_names(names: DataFrame, modules: DataFrame) -> DataFrame:
-    """(source, name, path): full-name match first, short-name match as fallback."""
-    full = modules.select(F.col("name"), F.col("path").alias("full_path"))
+    """(source, name, path): full-name match first, short-name match as fallback; of several files the least path."""
+    full = modules.groupBy("name").agg(F.min("path").alias("full_path"))
     short = (
         modules.select(F.element_at(F.split("name", r"\."), -1).alias("short"), F.col("path"))
         .groupBy("short")
