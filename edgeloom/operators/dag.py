@@ -10,6 +10,7 @@ from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgeloom.session import Scratch
 
@@ -26,22 +27,23 @@ def layers(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     edges = scratch.save(edges.join(names, "node", "left_semi"), "edges")
     need = edges.groupBy("node").agg(F.count("*").alias("need"))
     state = names.join(need, "node", "left").select(
-        "node", F.coalesce("need", F.lit(0)).cast("bigint").alias("need"), F.lit(0).cast("bigint").alias("layer"), (F.coalesce("need", F.lit(0)) == 0).alias("ready")
+        "node", F.coalesce("need", F.lit(0)).cast("bigint").alias("need"), (F.coalesce("need", F.lit(0)) == 0).alias("ready")
     )
     _, n_ready = scratch.save_counted(state, "round=0", F.col("ready"), ("ready",))
-    done: list[str] = []
     k = 0
     while n_ready:
         peeled = scratch.read(f"round={k}", state).filter("ready").select("node")
-        done.append(f"round={k}")
         hits = edges.join(peeled.toDF("dep"), "dep").groupBy("node").agg(F.count("*").alias("hit"))
         rest = scratch.read(f"round={k}", state).filter("NOT ready").select("node", "need")
         left = F.col("need") - F.coalesce("hit", F.lit(0))
         k += 1
-        nxt = rest.join(hits, "node", "left").select("node", left.alias("need"), F.lit(k).cast("bigint").alias("layer"), (left == 0).alias("ready"))
+        nxt = rest.join(hits, "node", "left").select("node", left.alias("need"), (left == 0).alias("ready"))
         _, n_ready = scratch.save_counted(nxt, f"round={k}", F.col("ready"), ("ready",))
     out = scratch.read(f"round={k}", state).filter("NOT ready").select("node", F.lit(None).cast("bigint").alias("layer"))
-    return out.unionByName(scratch.read_many(done, state).filter("ready").select("node", "layer")) if done else out
+    # All rounds at once: the folder names carry the layer.
+    shape = T.StructType([*state.schema.fields, T.StructField("round", T.LongType())])
+    rounds = nodes.sparkSession.read.schema(shape).option("basePath", scratch.root).parquet(f"{scratch.root}/round=*")
+    return out.unionByName(rounds.filter("ready").select("node", F.col("round").alias("layer")))
 
 
 def layer_sizes(layered: DataFrame) -> DataFrame:
