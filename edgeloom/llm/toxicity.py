@@ -55,7 +55,7 @@ class Automaton:
 
 
 def automaton(words: Iterable[str], stems: Iterable[str] = (), misspell_letters: int = MISSPELL_LETTERS) -> Automaton:
-    """Accepts the words, those of enough letters also within Levenshtein distance 1, and all that begins with a stem."""
+    """Accepts the words, those of enough letters also within Levenshtein distance 1, and all that goes on after a stem."""
     child: list[dict[str, int]] = [{}]
     ends: list[tuple[bool, bool]] = [(False, False)]
     depth = [0]
@@ -81,17 +81,21 @@ def automaton(words: Iterable[str], stems: Iterable[str] = (), misspell_letters:
 
     alphabet = sorted({c for kids in child for c in kids})
     start = closed({(0, 0)})
-    names, table, kind = {frozenset(): 0, start: 1}, [], []
-    queue = [frozenset(), start]
+    begun = frozenset({(-1, 0)})
+    names, table, kind = {frozenset(): 0, start: 1, begun: 2}, [], []
+    queue = [frozenset(), start, begun]
     for places in queue:
-        if any(e == 0 and ends[n][1] for n, e in places):
+        if places == begun:
             kind.append(3)
-            table.append([names[places]] * (len(alphabet) + 1))  # a stem is met: whatever follows
+            table.append([names[places]] * (len(alphabet) + 1))  # a stem and more: whatever follows
             continue
         exact = any(e == 0 and ends[n][0] for n, e in places)
         near = any(e == 1 and ends[n][0] and depth[n] >= misspell_letters for n, e in places)
         kind.append(1 if exact else 2 if near else 0)
         row = []
+        if any(e == 0 and ends[n][1] for n, e in places):
+            table.append([names[begun]] * (len(alphabet) + 1))
+            continue
         for c in [None, *alphabet]:
             nxt: set[tuple[int, int]] = set()
             for n, e in places:
@@ -110,7 +114,7 @@ def automaton(words: Iterable[str], stems: Iterable[str] = (), misspell_letters:
     symbol = np.zeros(max([ord(c) for c in alphabet], default=0) + 2, np.int32)
     for i, c in enumerate(alphabet):
         symbol[ord(c)] = i + 1
-    return Automaton(np.array(table, np.int32), np.array(kind, np.int8), symbol, max([len(w) + 1 for w in words] + [len(s) for s in stems], default=1))
+    return Automaton(np.array(table, np.int32), np.array(kind, np.int8), symbol, max([len(w) + 1 for w in words] + [len(s) for s in stems], default=1) + 1)
 
 
 _LETTER = np.array([chr(c).isalnum() for c in range(0x3000)], bool)
