@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.llm import collision_ann, rules_quality, toxicity
 from edgeloom.llm.queries import ORACLE, QUERIES
-from tests_llm_shared import rows_of
+from llm_cases import clashing, none, rows_of, small  # noqa: F401
 
 DATA = "/root/testdata"
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom.llm import decontaminate, line_templates, packing, secret_scan, set_join, substrings, surrogates
-from tests_llm_shared import make_docs, rows_of, split_words
+from llm_cases import clashing, none, rows_of, small, split_words  # noqa: F401
 
 
 def removed_by_hand(texts, length):
