@@ -8,9 +8,10 @@ by the cost of keys and of chance meetings.
 
 Sets that share a segment key form a group; groups with the same least member are one cluster. A cluster of bounded
 weight is joined exactly inside one task (prefix filter, then whole sets) and gives only links that connect what was not
-connected, so no task and no output holds the pairs of a group. A heavier cluster is compared with its leader alone: two
-sets near each other must then share differences from the leader, and those, rarest first and only as many as an overlap
-cannot do without, make new, smaller groups, and so on until no cluster is heavy.
+connected, so no task and no output holds the pairs of a group (members that size and sketch rule out for all others do
+not even send their sets). A heavier cluster is compared with its leader alone: two sets near each other must then share
+differences from the leader, and those, rarest first and only as many as an overlap cannot do without, make new, smaller
+groups, and so on until no cluster is heavy.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from edgeloom.session import Scratch
 RATIO = 1.5
 WEIGHT = 4_000_000  # elements of a cluster that one task joins; heavier ones take the exact way by a leader
 PAIRS_A_SALT = 4096
+SKETCH = 128  # counts of a set's elements by hash; their distance is never more than the difference of the sets
+SKETCHED = 512  # sets of a cluster that are sieved by their sketches; larger clusters go on as they are
 _MEETING = 0.005  # keys that it costs if two sets have one element or none in a segment: such meet one time in 10,000, at 50 keys
 
 
@@ -102,6 +105,11 @@ def set_key(elements: np.ndarray) -> int:
     return int(mix(np.array([mix(elements).sum(dtype=np.uint64) + np.uint64(len(elements))], np.uint64)).view(np.int64)[0])
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    counts = np.bincount((mix(elements ^ np.uint64(0xA5A5)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def segment_keys(elements: np.ndarray, band: int, segments: int, wide: int, percent: int) -> np.ndarray:
     """The keys of a set in a band; those of empty segments only if it has more than it can spare."""
     tag = mix(np.array([band + 1], np.uint64))[0]
@@ -130,8 +138,8 @@ def _slim(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             sets = list(shingle_sets(words, n))
             sizes = [len(x) for x in sets]
             columns = [batch.column(c).slice(low, high - low) for c in ("doc_id", "row_key")]
-            columns += [pa.array([set_key(x) for x in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array([band_of(s) if s else -1 for s in sizes], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "set_key", "n_shingles", "band"])
+            columns += [pa.array([set_key(x) for x in sets], pa.int64()), pa.array(sizes, pa.int64()), pa.array([band_of(s) if s else -1 for s in sizes], pa.int32()), pa.array([sketch(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "set_key", "n_shingles", "band", "sketch"])
 
 
 def _keys(n: int, percent: int, plan: dict[int, tuple[int, int]]):
@@ -162,8 +170,8 @@ def _elements(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for _, _, words in text_words(batch, lower=True):
             sets = list(shingle_sets(words, n))
-            columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "size", "elements"])
+            columns = [pa.array([set_key(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_key", "elements"])
 
 
 def links_of(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -204,6 +212,25 @@ def links_of(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tup
     return out
 
 
+def _sieved(percent: int):
+    """Members of a cluster that some other member could be similar to, by size and by the distance of their sketches."""
+
+    def sieve(cluster: pa.Table) -> pa.Table:
+        size = cluster.column("size").to_numpy()
+        counts = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in cluster.column("sketch")), np.uint8).reshape(len(size), SKETCH).astype(np.int16)
+        apart = np.zeros((len(size), len(size)), np.int32)
+        for i in range(len(size)):
+            apart[i] = np.abs(counts - counts[i]).sum(1)
+        most = (size[:, None] + size[None]) * (100 - percent) // (100 + percent)
+        fits = apart <= most
+        np.fill_diagonal(fits, False)
+        kept = fits.any(1)
+        kept |= kept.any() & (cluster.column("owner").to_numpy() == cluster.column("leader").to_numpy())  # a heavy cluster needs its leader
+        return cluster.select(["leader", "owner", "size"]).filter(pa.array(kept))
+
+    return sieve
+
+
 def _joined(percent: int):
     def join(cluster: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in cluster.column("elements")]
@@ -266,8 +293,8 @@ def _connected(docs: DataFrame, words: int, percent: int, weight: int) -> tuple[
     """(doc_id, row_key, set_key, n_shingles, band) of all rows and (set_key, root, component_id) of all sets."""
     scratch = Scratch(docs.sparkSession, "setjoin")
     base = docs.select("doc_id", "text").withColumn("row_key", F.xxhash64("doc_id", "text"))
-    slim = scratch.save(base.mapInArrow(lambda b: _slim(b, words), "doc_id long, row_key long, set_key long, n_shingles long, band int"), "slim")
-    one = slim.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("band").alias("band"), F.min("doc_id").alias("least"))
+    slim = scratch.save(base.mapInArrow(lambda b: _slim(b, words), "doc_id long, row_key long, set_key long, n_shingles long, band int, sketch binary"), "slim")
+    one = slim.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_key").alias("row_key"), F.first("band").alias("band"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
     bands = {r.band: r.n for r in one.groupBy("band").agg(F.count("*").alias("n")).collect()}  # as many rows as bands
     plan = {k: allocation(k, n, percent) for k, n in bands.items()}
     groups = recurring(base.select("text"), _keys(words, percent, plan)).select("hash", "owner").distinct()
@@ -277,11 +304,15 @@ def _connected(docs: DataFrame, words: int, percent: int, weight: int) -> tuple[
         groups = scratch.save(groups, f"groups{level}")
         led = groups.groupBy("hash").agg(F.min("owner").alias("leader"), F.count("*").alias("n")).where("n > 1")
         members = scratch.save(groups.join(led, "hash").select("leader", "owner").distinct(), f"members{level}")
+        counted = members.join(members.groupBy("leader").agg(F.count("*").alias("n")), "leader")
+        sized = counted.join(one.select(F.col("set_key").alias("owner"), "size", "sketch"), "owner")
+        sieved = sized.where(F.col("n") <= SKETCHED).select("leader", "owner", "size", "sketch").groupBy("leader").applyInArrow(_sieved(percent), "leader long, owner long, size long")
+        members = scratch.save(sieved.union(sized.where(F.col("n") > SKETCHED).select("leader", "owner", "size")), f"near{level}")
         if held is None:
             rows = one.join(members.select(F.col("owner").alias("set_key")).distinct(), "set_key").select("row_key")
             sets = base.select("row_key", "text").join(rows, "row_key").dropDuplicates(["row_key"]).select("text")
-            held = scratch.save(sets.mapInArrow(lambda b: _elements(b, words), "set_key long, size long, elements binary"), "held")
-        weighed = members.join(held.select(F.col("set_key").alias("owner"), "size"), "owner").groupBy("leader").agg(F.sum("size").alias("weight"))
+            held = scratch.save(sets.mapInArrow(lambda b: _elements(b, words), "set_key long, elements binary"), "held")
+        weighed = members.groupBy("leader").agg(F.sum("size").alias("weight"))
         weighed, heavy = scratch.save_counted(weighed, f"weights{level}", F.col("weight") > weight)
         light = members.join(weighed.where(F.col("weight") <= weight), "leader").select("leader", "owner")
         light = light.join(held.select(F.col("set_key").alias("owner"), "elements"), "owner")
