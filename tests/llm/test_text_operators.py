@@ -121,6 +121,16 @@ def test_line_templates(spark, small, none, clashing):
     assert all(r.text == "" for r in out.where("doc_id is not null").collect() if {x[0]: x[1] for x in small[0]}[r.doc_id] is None)
 
 
+def test_line_templates_longest_line_recurs(spark):
+    passage = " ".join(f"licence{'abcdefghij'[k % 10]}" for k in range(60))
+    rows = [(i, "\n".join([*(f"own{'abcdefghij'[i]} line{'abcdefghij'[k]} here" for k in range(4)), passage])) for i in range(8)]
+    rows += [(20 + i, rows[0][1]) for i in range(8)]
+    got = {r.doc_id: r for r in line_templates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert passage in got[0].text and all(passage not in got[i].text and got[i].n_removed == 1 for i in (*range(1, 8), *range(20, 28)))
+    few = spark.createDataFrame(rows[:4] + rows[8:], "doc_id long, text string")
+    assert all(r.n_removed == 0 for r in line_templates.drop_recurring_lines(few).collect()), "four texts, twelve rows"
+
+
 def test_passages(spark, small, none, clashing):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
