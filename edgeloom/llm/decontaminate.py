@@ -51,9 +51,10 @@ def _least_common(n: int, percent: int) -> int:
 def _simhash(windows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` (one of them ``n``, the shingles of the window) and fingerprint of windows (keys, shingles).
 
+    Shingles are tagged by occurrence first: one that is repeated with its weight would sway all 64 bits alone.
     Sixteen sums hold four 16-bit counters each, so windows may have up to 65,535 shingles.
     """
-    each = windows.select(*keys, F.explode("shingles").alias("h")).withColumn("h", F.xxhash64("h", F.lit(7)))
+    each = windows.select(*keys, F.explode(_tagged(F.col("shingles"))).alias("h")).withColumn("h", F.xxhash64("h", F.lit(7)))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANE))).alias(f"s{k}") for k in range(16)]
     counted = each.groupBy(*keys).agg(*sums)
     bits = " | ".join(f"IF(2 * (shiftrightunsigned(s{k}, {16 * j}) & 65535) > n, shiftleft(1L, {16 * j + k}), 0L)" for k in range(16) for j in range(4))
@@ -85,8 +86,9 @@ def _listed(block: int, value: Column, flips: list[int]) -> Column:
 
 
 def _tagged(shingles: Column) -> Column:
-    """Shingles made distinct by how often they occurred before, so that an intersection counts weights."""
-    count = F.transform(shingles, lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(shingles, F.lit(1), i), lambda y: y == x))))
+    """Shingles made distinct by how often they occurred before, so that an intersection counts weights. In any order."""
+    tag = lambda s: F.transform(s, lambda x, i: F.xxhash64(x, (i + 1 - F.array_position(s, x)).cast("int")))
+    count = F.element_at(F.transform(F.array(F.array_sort(shingles)), tag), 1)  # sorted once for all elements
     return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), F.transform(shingles, lambda x: F.xxhash64(x, F.lit(0)))).otherwise(count)
 
 

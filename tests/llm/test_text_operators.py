@@ -167,6 +167,19 @@ def test_passages(spark, small, none, clashing):
     assert decontaminate.drop_contaminated(clashing, bench).count() == len(small[0])
 
 
+def test_passages_with_repeated_phrases(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    items, rows = [], []
+    for i in range(100):
+        often, rest = word(), [word() for _ in range(40)]
+        items.append((i, " ".join([often] * 9 + rest)))  # 45 shingles, the first of them five times
+        rows.append((i, " ".join([word() for _ in range(5)] + [often] * 4 + rest)))  # without these five: 40 / 50
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_passages(docs, bench).collect()
+    assert all(r.doc_id == r.item_id and r.similarity == 0.8 for r in got) and len(got) >= 97
+
+
 def test_hamming_blocks_are_complete(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(63) for _ in range(20)]
