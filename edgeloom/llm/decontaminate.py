@@ -1,6 +1,6 @@
 """Benchmark passages in documents, in Spark columns only.
 
-Windows of a document as long as an item (in words) get a SimHash over their word shingles. Fingerprints within the
+Windows of a document as long as an item (in words), or all of a shorter document, get a SimHash over their word shingles. Fingerprints within the
 radius are found by multi-index Hamming blocks: of six blocks one differs in at most a sixth of the radius, and items are
 listed under every block value that near; so the search misses no fingerprint within the radius. Candidates are then
 verified by the exact weighted Jaccard similarity of the shingles (a shingle weighs as often as it occurs).
@@ -39,25 +39,27 @@ def _runs(words: Column, width: int, stride: int = 1) -> Column:
 
 def stride_for(sizes: list[int], percent: int) -> int:
     """The longest stride that meets an unbroken shingle of every window similar enough to an item of these many shingles."""
-    fits = lambda s: all(n // s > n - _least_common(n, percent) for n in sizes)
+    spans = [(n, m) for n in sizes for m in range(-(-percent * n // 100), n + 1)]  # shorter ones are whole texts
+    fits = lambda s: all(m // s > m - _least_common(n, m, percent) for n, m in spans)
     return max((s for s in range(1, 9) if fits(s)), default=1)
 
 
-def _least_common(n: int, percent: int) -> int:
-    """Common shingles that two multisets of n need: 100 * c >= percent * (2 n - c)."""
-    return -(-2 * n * percent // (100 + percent))
+def _least_common(n: int, m: int, percent: int) -> int:
+    """Common shingles that multisets of n and m need: 100 * c >= percent * (n + m - c)."""
+    return -(-(n + m) * percent // (100 + percent))
 
 
 def _simhash(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` (one of them ``n``, the shingles of the window) and fingerprint of windows (keys, shingles).
+    """``keys`` and fingerprint of windows (keys, shingles).
 
     Shingles are tagged by occurrence first: one that is repeated with its weight would sway all 64 bits alone.
     Sixteen sums hold four 16-bit counters each, so windows may have up to 65,535 shingles.
     """
     each = windows.select(*keys, F.explode(_tagged(F.col("shingles"))).alias("h")).withColumn("h", F.xxhash64("h", F.lit(7)))
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(LANE))).alias(f"s{k}") for k in range(16)]
+    sums.append(F.count("*").alias("size"))
     counted = each.groupBy(*keys).agg(*sums)
-    bits = " | ".join(f"IF(2 * (shiftrightunsigned(s{k}, {16 * j}) & 65535) > n, shiftleft(1L, {16 * j + k}), 0L)" for k in range(16) for j in range(4))
+    bits = " | ".join(f"IF(2 * (shiftrightunsigned(s{k}, {16 * j}) & 65535) > size, shiftleft(1L, {16 * j + k}), 0L)" for k in range(16) for j in range(4))
     return counted.select(*keys, F.expr(bits).alias("fingerprint"))
 
 
@@ -95,8 +97,9 @@ def _tagged(shingles: Column) -> Column:
 def find_passages(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): for each document and each item found in it the best window.
 
-    Words are lower-cased runs without white space. Ties of similarity go to the first window. Items of fewer than
-    ``width`` words, and null, empty or shorter texts, match nothing. Items with one item_id and different texts count
+    Words are lower-cased runs without white space. A text with fewer words than an item is compared as a whole, so
+    n_words may be less than the item's. Ties of similarity go to the first window. Items and texts of fewer than
+    ``width`` words, and null or empty ones, match nothing. Items with one item_id and different texts count
     as that item each; repeated rows of either table change nothing. Rows without doc_id (or item_id) are matched under
     null. An empty table on either side gives an empty result; other columns are not read.
     """
@@ -115,7 +118,8 @@ def find_passages(docs: DataFrame, items: DataFrame, width: int = 5, percent: in
     held = _with_words(base.join(hits, "row_key").dropDuplicates(["row_key"])).select("row_key", "doc_id", _runs(F.col("words"), width).alias("all"), "hits")
     held = scratch.save(held, "held")
     starts = F.transform("hits", lambda x: F.transform(F.sequence(F.greatest(F.lit(0), x["at"] - x["n"] + 1), x["at"]), lambda s: F.struct(x["n"].alias("n"), s.alias("start"))))
-    starts = F.filter(F.array_distinct(F.flatten(starts)), lambda s: s["start"] + s["n"] <= F.size("all"))
+    whole = lambda s: (s["start"] == 0) & (s["n"] > F.size("all")) & (100 * F.size("all") >= percent * s["n"])
+    starts = F.filter(F.array_distinct(F.flatten(starts)), lambda s: (s["start"] + s["n"] <= F.size("all")) | whole(s))
     spans = F.transform("starts", lambda s: F.struct(s["n"].alias("n"), s["start"].alias("start"), F.slice("all", s["start"] + 1, s["n"]).alias("shingles")))
     # Written between, so that the starts are not worked out again for every span.
     cut = scratch.save(held.withColumn("starts", starts), "starts").select("row_key", "doc_id", F.explode(spans).alias("s")).select("row_key", "doc_id", "s.*")
@@ -127,11 +131,12 @@ def find_passages(docs: DataFrame, items: DataFrame, width: int = 5, percent: in
     pairs = near_fingerprints(prints, of_items).withColumnRenamed("item_id", "item")
     both = pairs.join(kinds.select("n", "window", _tagged(F.col("shingles")).alias("own")), ["n", "window"]).join(known.select("item", "item_id", _tagged(F.col("shingles")).alias("of_item")), "item")
     shared = F.size(F.array_intersect("own", "of_item"))
-    sure = both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (2 * F.col("n") - F.col("shared")))
-    sure = sure.select("n", "window", "item_id", (F.col("shared") / (2 * F.col("n") - F.col("shared"))).alias("similarity"))
+    either = F.col("n") + F.col("size") - F.col("shared")
+    sure = both.withColumns({"shared": shared, "size": F.size("own")}).where(100 * F.col("shared") >= percent * either)
+    sure = sure.select("n", "window", "size", "item_id", (F.col("shared") / either).alias("similarity"))
     found = cut.select("row_key", "doc_id", "n", "start", "window").join(sure, ["n", "window"])
-    best = found.groupBy("row_key", "doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.start").cast("long").alias("start_word"), (F.col("b.n") + width - 1).cast("long").alias("n_words"))
+    best = found.groupBy("row_key", "doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start", "size")).alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), F.col("b.start").cast("long").alias("start_word"), (F.col("b.size") + width - 1).cast("long").alias("n_words"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -142,7 +147,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent
     return docs.join(found, key == F.col("__found"), "left_anti")
 
 
-#: ``find_passages`` with its defaults, over ``documents`` and ``benchmark``, for tables whose ids are distinct.
+#: ``find_passages`` with its defaults, over ``documents`` and ``benchmark``, for tables whose ids are distinct; but it leaves
+#: out documents that are shorter than the item.
 SQL = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents),
 i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(COALESCE(text, '')), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM benchmark),

@@ -180,6 +180,23 @@ def test_passages_with_repeated_phrases(spark):
     assert all(r.doc_id == r.item_id and r.similarity == 0.8 for r in got) and len(got) >= 97
 
 
+def test_passages_longer_than_the_document(spark):
+    rng = random.Random(13)
+    item = [f"w{rng.randrange(10**6)}" for _ in range(54)]  # 50 shingles
+    texts = {1: item[:44], 2: item[:43], 3: item[:30] + item[31:], 4: item[10:], 5: item[:6], 6: item}
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(f"x{i}" for i in range(90)))], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.similarity, r.start_word, r.n_words) for r in decontaminate.find_passages(docs, bench).collect()}
+    assert got == {1: (7, 0.8, 0, 44), 3: (7, 45 / 54, 0, 53), 4: (7, 0.8, 0, 44), 6: (7, 1.0, 0, 54)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {2, 5}
+    for sizes in ([9, 18, 50], [41], [8], [120]):
+        s = decontaminate.stride_for(sizes, 80)
+        for n in sizes:
+            for m in range(1, n + 1):
+                need = next((c for c in range(m + 1) if 100 * c >= 80 * (n + m - c)), None)
+                assert need is None or m // s > m - need
+
+
 def test_hamming_blocks_are_complete(spark):
     rng = random.Random(1)
     base = [rng.getrandbits(63) for _ in range(20)]
