@@ -21,7 +21,6 @@ from edgeloom.llm.rules_quality import held_out, labelled_sample
 from edgeloom.session import Scratch
 
 SAMPLE_ROWS = 10_000  # labelled rows the fit may take
-LEXICON_TERMS = 120  # learned terms at most
 MISSPELL_LETTERS = 5  # shorter words must be spelled right
 NEAR = 12  # words on either side that make a context
 # Words that report what others said.
@@ -120,6 +119,8 @@ def automaton(words: Iterable[str], stems: Iterable[str] = (), misspell_letters:
 _LETTER = np.array([chr(c).isalnum() for c in range(0x3000)], bool)
 _SIGN = np.zeros(0x3000, bool)
 _SIGN[[ord(c) for c in "@$*!|'’-_"]] = True
+_QUOTE = np.zeros(0x3000, bool)
+_QUOTE[[ord(c) for c in QUOTES]] = True
 
 
 def _codes(text: str) -> np.ndarray:
@@ -159,14 +160,16 @@ def _hits(text: str, machine: Automaton, known: frozenset[str]) -> tuple[np.ndar
         low = text.lower()
         low = low if len(low) == len(codes) else codes.tobytes().decode("utf-32-le")
         spell = lambda i: low[start[i] : start[i] + length[i]]
-        for i in found:
+        marks = np.r_[0, np.cumsum(_QUOTE[np.minimum(codes, 0x2FFF)])]  # quotation marks before each place
+        line = np.r_[0, np.flatnonzero(codes == 10) + 1]
+        line = line[np.searchsorted(line, start[found], side="right") - 1]
+        inside = (marks[start[found]] - marks[line]) % 2 == 1
+        for k, i in enumerate(found):
             word = spell(i)
             if kind[i] == 2 and word in known:
                 continue
-            line = low[max(low.rfind("\n", 0, start[i]) + 1, start[i] - 400) : start[i]]
-            marks = sum(line.count(q) for q in QUOTES)
             told = any(spell(j) in REPORTING for j in range(max(0, i - 4), i))
-            out.append((int(i), word, int(kind[i]), marks % 2 == 1 or told))
+            out.append((int(i), word, int(kind[i]), bool(inside[k]) or told))
     return start, len(start), out
 
 
@@ -200,8 +203,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def _lexicon(sample: DataFrame, most: int, given: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """Terms that are far commoner in toxic texts: (words, stems), by the likelihood ratio, at most ``most``."""
+def _lexicon(sample: DataFrame, given: tuple[str, ...]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Terms that are far commoner in toxic texts: (words, stems), by the likelihood ratio; all that pass."""
     total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("t")).first()
     n, t = float(total.n), float(total.t)
     if not t or t == n:
@@ -216,11 +219,9 @@ def _lexicon(sample: DataFrame, most: int, given: tuple[str, ...]) -> tuple[tupl
     gain = 2 * (part(F.col("tf"), F.col("df"), rate) + part(F.col("df") - F.col("tf"), F.col("df"), 1 - rate))
     odds = F.log((F.col("tf") + 0.5) / (t + 1)) - F.log((F.col("df") - F.col("tf") + 0.5) / (n - t + 1))
     ranked = every.withColumns({"gain": gain, "odds": odds}).where((F.col("gain") >= 40) & (F.col("odds") >= 3) & (F.col("tf") >= 8))
-    best = ranked.orderBy(F.desc("gain"), "term", "stem").limit(20 * most).collect()
+    best = ranked.orderBy(F.desc("gain"), "term", "stem").collect()  # terms of the bounded sample
     words_, stems_ = set(given), set()
     for r in best:
-        if len(words_) + len(stems_) >= most:
-            break
         if any(r.term.startswith(s) or (r.stem and s.startswith(r.term)) for s in stems_) or (r.stem and r.top >= 0.6 * r.tf):
             continue
         if r.stem:
@@ -229,14 +230,14 @@ def _lexicon(sample: DataFrame, most: int, given: tuple[str, ...]) -> tuple[tupl
     return tuple(sorted(words_)), tuple(sorted(stems_))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", given: tuple[str, ...] = (), rows: int = SAMPLE_ROWS, terms: int = LEXICON_TERMS) -> ToxicModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", given: tuple[str, ...] = (), rows: int = SAMPLE_ROWS) -> ToxicModel:
     """A model from at most ``rows`` labelled documents outside the held-out fold. Without labels of both kinds the
     given terms alone speak, with fixed weights."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     ids = F.broadcast(labelled_sample(labels, label, rows))  # 16 bytes a row, at most ``rows``
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").dropDuplicates(["doc_id"])
     sample = scratch.save(found, "sample")
-    words, stems = _lexicon(sample, terms, tuple(given))
+    words, stems = _lexicon(sample, tuple(given))
     machine = automaton(words, stems)
 
     def variants(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

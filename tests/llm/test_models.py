@@ -128,5 +128,20 @@ def test_quotation_counts_less(spark, none, clashing, small):
     assert empty.words == ("nasty",)
 
 
+def test_quotations_longer_than_400_characters(spark):
+    model = toxicity.ToxicModel(("abusive", "horrid"), (), frozenset(), (-3.0, 3.0, 2.0, 0.1, 0.5, 0.5, 0.5))
+    text = 'horrid "\nthey shouted "' + "filler " * 100 + 'abusive" and horrid'
+    (got,) = toxicity.score_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).collect()
+    assert [(h.word, h.quoted) for h in got.hits] == [("horrid", False), ("abusive", True), ("horrid", False)]
+
+
+def test_lexicon_keeps_every_term(spark):
+    terms = [f"{a}{b}{c}z{a}{c}" for a in "bcdfgh" for b in "aeiou" for c in "klmnp"]
+    rows = [(i, " ".join(terms) if i % 2 else "plain filler text") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic")))
+    assert set(model.words) == set(terms) and len(terms) == 150
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"} and set(ORACLE) <= set(QUERIES)
