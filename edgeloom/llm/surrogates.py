@@ -4,7 +4,8 @@ Entities (mail addresses, phone and card numbers, IP addresses, titled names) ar
 entity, in a normal form that its spellings share, gets a replacement that is a keyed hash in its own format: digits stay
 digits, a valid card number stays valid, a mail address keeps its make-up, a name keeps gender and script. A replacement
 that two entities draw, or that is itself an entity of the corpus, is drawn anew in rounds until all are distinct; so
-equal entities stay equal across documents and different ones stay different.
+equal entities stay equal across documents and different ones stay different. Names, mail addresses and phone numbers
+grow with the draws; IP addresses and card numbers can't, and if they find no free value the run fails.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _MAYBE = r"[0-9@]|(?:" + "|".join((*FEMALE_TITLES, *MALE_TITLES, *OTHER_TITLES)) + r")\.? \p{Lu}"
+ROUNDS = 40  # draws; what grows is distinct long before
 # What made-up names are built from, by script.
 SYLLABLES = {
     "latin": (("ba", "be", "da", "do", "fa", "ka", "ke", "la", "lo", "ma", "me", "na", "no", "pa", "ra", "ri", "sa", "so", "ta", "ti", "va", "vo"), "a", "en"),
@@ -83,7 +85,8 @@ def _luhn(digits: Column) -> Column:
 
 
 def draw(kind: Column, normal: Column, key: str, attempt: Column) -> Column:
-    """The replacement of a normal form: again a normal form of the same kind."""
+    """The replacement of a normal form: again a normal form of the same kind. Names grow by a syllable every second
+    attempt, mail addresses and phone numbers by a letter or digit every fourth."""
     s = _stream(kind, normal, key, attempt)
     n = F.greatest(F.length(normal), F.lit(1))
     spot = F.sequence(F.lit(1), n)
@@ -92,20 +95,23 @@ def draw(kind: Column, normal: Column, key: str, attempt: Column) -> Column:
     ).when(c.rlike("[a-z]"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(s, i % 40, F.lit(26)) + 1, F.lit(1))).otherwise(c)
     make = F.array_join(F.transform(spot, lambda i: letter(i, F.substring(normal, i, F.lit(1)))), "")
     suffix = F.regexp_extract(normal, r"(\.[a-z0-9-]+)$", 1)
-    email = F.concat(F.regexp_extract(make, r"^(.*)@", 1), F.lit("@"), F.regexp_extract(make, r"@([^.]*)", 1), F.lit(".example"), F.when(suffix == "", ".com").otherwise(suffix))
+    more = (attempt / 4).cast("int")
+    letters = F.transform(F.sequence(F.lit(0), more), lambda i: F.when(i > 0, F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), _number(s, (i + 20) % 40, F.lit(26)) + 1, F.lit(1))).otherwise(""))
+    email = F.concat(F.regexp_extract(make, r"^(.*)@", 1), F.array_join(letters, ""), F.lit("@"), F.regexp_extract(make, r"@([^.]*)", 1), F.lit(".example"), F.when(suffix == "", ".com").otherwise(suffix))
     octet = lambda i: (_number(s, F.lit(i), F.lit(223)) + 1).cast("string")
     ip = F.concat_ws(".", *[octet(i) for i in range(4)])
-    plain = F.array_join(F.transform(spot, lambda i: _number(s, i % 40, F.lit(10)).cast("string")), "")
-    phone = F.concat(F.substring(normal, 1, 1), F.when(F.length(normal) > 1, F.concat((_number(s, F.lit(0), F.lit(8)) + 2).cast("string"), F.substring(plain, F.lit(3), n))).otherwise(F.lit("")))
+    plain = F.array_join(F.transform(F.sequence(F.lit(1), n + more), lambda i: _number(s, i % 40, F.lit(10)).cast("string")), "")
+    phone = F.concat(F.substring(normal, 1, 1), F.when(n + more > 1, F.concat((_number(s, F.lit(0), F.lit(8)) + 2).cast("string"), F.substring(plain, F.lit(3), n + more))).otherwise(F.lit("")))
     body = F.concat(F.substring(normal, 1, 1), F.substring(plain, F.lit(2), n - 2))
     check = F.concat(body, ((F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     card = F.when(_luhn(normal) % 10 == 0, check).otherwise(F.concat(body, ((F.lit(11) - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")))
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card)
     for script, (syllables, female, male) in SYLLABLES.items():
-        pick = lambda i: F.element_at(F.array(*[F.lit(x) for x in syllables]), _number(s, F.lit(i), F.lit(len(syllables))) + 1)
-        longer = F.when(attempt > 0, F.concat(pick(3), pick(4))).otherwise(F.lit(""))  # room for what collided
-        stem = F.concat(pick(0), pick(1), pick(2), longer)
-        given = F.concat(pick(0), pick(1), longer)
+        pick = lambda i: F.element_at(F.array(*[F.lit(x) for x in syllables]), _number(s, i, F.lit(len(syllables))) + 1)
+        rest = F.transform(F.sequence(F.lit(3), F.lit(4) + ((attempt - 1) / 2).cast("int")), lambda i: pick(i % 40))
+        longer = F.when(attempt > 0, F.array_join(rest, "")).otherwise(F.lit(""))  # room for what collided
+        given = F.concat(pick(F.lit(0)), pick(F.lit(1)), longer)
+        stem = F.concat(pick(F.lit(0)), pick(F.lit(1)), pick(F.lit(2)), longer)
         out = out.when(kind == f"family-{script}", F.concat(stem, F.lit(male)))
         for gender, end in (("f", female), ("m", male), ("n", "")):
             out = out.when(kind == f"given-{gender}-{script}", F.concat(given, F.lit(end)))
@@ -125,13 +131,13 @@ def surrogate_table(parts: DataFrame, key: str) -> DataFrame:
         claims = claims.union(real.select("kind", F.col("normal").alias("surrogate"), F.lit(None).cast("string"), F.lit(0), F.lit(-1)))
         first = claims.groupBy("kind", "surrogate").agg(F.min(F.struct("order", "normal")).alias("first"))
         judged = drawn.join(first, ["kind", "surrogate"]).withColumn("wins", F.col("first.normal").eqNullSafe(F.col("normal")) & (F.col("first.order") == 1))
-        # After many draws a kind with hardly any values (a two-digit number) may have none free; it keeps its last draw.
-        judged = judged.withColumn("wins", F.col("wins") | (F.col("attempt") >= 40))
         judged, n = scratch.save_counted(judged.select("kind", "normal", "attempt", "surrogate", "wins"), f"round{step}", ~F.col("wins"))
         won = judged.where("wins").drop("wins")
         taken = won if taken is None else taken.union(won)
         now = judged.where("not wins").select("kind", "normal", (F.col("attempt") + 1).alias("attempt"))
         step += 1
+        if n and step >= ROUNDS:
+            raise RuntimeError(f"{n} entities found no free surrogate in {step} draws (kinds {sorted(r.kind for r in now.select('kind').distinct().collect())})")
     return taken.select("kind", "normal", "surrogate")
 
 
@@ -142,7 +148,7 @@ def _dressed(entity: Column, kind: Column, parts: Column) -> Column:
         F.split(entity, ""),
         F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
         lambda acc, c: F.when(c.rlike("[0-9]"), F.struct(F.concat(acc.out, F.substring(one, acc.at, F.lit(1))).alias("out"), (acc.at + 1).alias("at"))).otherwise(F.struct(F.concat(acc.out, c).alias("out"), acc.at.alias("at"))),
-        lambda acc: acc.out,
+        lambda acc: F.concat(acc.out, F.substring(one, acc.at, F.length(one))),  # digits that it has grown by
     )
     title = F.regexp_extract(entity, r"^(\p{L}+\.? )", 1)
     name = F.concat(title, F.array_join(F.transform(parts, lambda p: F.initcap(p)), " "))

@@ -302,6 +302,19 @@ def test_surrogates(spark, none, clashing, small):
     assert surrogates.replace_private(none, "k").count() == 0 and surrogates.replace_private(clashing, "k").count() == len(small[0])
 
 
+def test_surrogates_grow_until_distinct(spark, monkeypatch):
+    names = [("given-m-greek", f"n{i}") for i in range(70_000)]  # 16 ** 4 of four syllables
+    parts = names + [("phone", f"1{i:02d}") for i in range(60)] + [("email", f"{c}@{d}.com") for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwxyz"]
+    got = rows_of(surrogates.surrogate_table(spark.createDataFrame(parts, "kind string, normal string"), "k"))
+    assert {(k, n) for k, n, _ in got} == set(parts) and len({(k, s) for k, _, s in got}) == len(got) == len(parts)
+    assert not {(k, s) for k, _, s in got} & set(parts)
+    dressed = surrogates._dressed(F.lit("+1 22-33"), F.lit("phone"), F.array(F.lit("1234567")))
+    assert spark.range(1).select(dressed).first()[0] == "+1 23-4567"
+    monkeypatch.setattr(surrogates, "ROUNDS", 3)
+    with pytest.raises(RuntimeError, match="card"):
+        surrogates.surrogate_table(spark.createDataFrame([("card", "12"), ("card", "13"), ("card", "14")], "kind string, normal string"), "k")
+
+
 def test_surrogate_table_has_no_collisions(spark):
     parts = spark.createDataFrame([("phone", f"1{i:02d}") for i in range(60)] + [("family-latin", f"n{i}") for i in range(3000)], "kind string, normal string")
     got = rows_of(surrogates.surrogate_table(parts, "k"))
