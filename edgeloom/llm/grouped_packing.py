@@ -26,7 +26,8 @@ from edgeloom.llm.words import SPACE, Words
 from edgeloom.session import Scratch
 
 SHARD_PIECES = 100_000
-KNOWN_WORDS = 1 << 20
+KNOWN_WORDS = 1 << 19
+WORDS_AT_ONCE = 1 << 14
 END = 0
 
 Pattern = tuple[int, dict[int, int]]  # number of sequences, pieces of each length in one of them
@@ -137,7 +138,7 @@ def _groups(lengths: list[int], histogram: dict[int, int], groups: int) -> list[
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int, groups: int = 64, shares: tuple[int, ...] = (16, 8, 6, 4, 3, 2)) -> list[Pattern]:
+def plan(histogram: dict[int, int], capacity: int, groups: int = 64, shares: tuple[int, ...] = (8, 6, 4, 3, 2)) -> list[Pattern]:
     """Patterns that hold exactly the pieces of the histogram, in the fewest sequences over the shares of ``plan_for``."""
     plans = [plan_for(histogram, capacity, groups, max(1, capacity // share)) for share in shares]
     return min(plans, key=lambda patterns: sum(n for n, _ in patterns))
@@ -208,20 +209,33 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.forget()
+        self.hashes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.starts, self.counts, self.uses = (np.zeros(0, np.int64) for _ in range(3))
 
     def forget(self) -> None:
-        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        """Keeps the words that came more than once, if they leave room."""
+        keep = self.uses > 1
+        if 2 * keep.sum() > KNOWN_WORDS:
+            keep[:] = False
+        counts = self.counts[keep]
+        ends = np.cumsum(counts)
+        self.ids = self.ids[np.repeat(self.starts[keep] - (ends - counts), counts) + np.arange(int(counts.sum()))]
+        self.hashes, self.starts, self.counts, self.uses = self.hashes[keep], ends - counts, counts, self.uses[keep] * 0
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum()))])
-        all_hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(all_hashes, kind="stable")
-        self.hashes = all_hashes[order]
-        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+        made, counts = [self.ids], []
+        for low in range(0, len(texts), WORDS_AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[low : low + WORDS_AT_ONCE], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            made.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(counts[-1].sum())))
+        new = np.concatenate(counts)
+        starts = len(self.ids) + np.cumsum(new) - new
+        self.ids = np.concatenate(made)
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, new])[order]
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])[order]
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
@@ -232,13 +246,14 @@ class WordIds:
         unique, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
         at = self.places(unique)
         if (at < 0).any():
+            if len(self.hashes) + int((at < 0).sum()) > KNOWN_WORDS:
+                self.forget()
+                at = self.places(unique)
             new = first[at < 0]
             raw = words.data.tobytes()
-            if len(self.hashes) + len(new) > KNOWN_WORDS:  # all of this batch must be known at once
-                self.forget()
-                new = first
             self.learn(words.hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new], words.end[new])])
             at = self.places(unique)
+        self.uses[at] += 1
         counts, starts = self.counts[at][back], self.starts[at][back]
         ends = np.cumsum(counts)
         ids = self.ids[np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]

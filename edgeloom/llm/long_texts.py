@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from edgeloom.llm.words import text_chunks
 
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 
 
 def _cuts(data: np.ndarray, low: int, high: int, breaks: np.ndarray, size: int) -> list[int]:
@@ -30,11 +30,11 @@ def _cuts(data: np.ndarray, low: int, high: int, breaks: np.ndarray, size: int)
 
 
 def text_parts(batch: pa.RecordBatch, breaks: np.ndarray, column: str = "text", size: int = PART_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of each part, bytes, bounds of the parts in them): whole texts together up to a few MB, longer texts part by part.
+    """(row of each part, bytes, bounds of the parts in them): whole texts together up to 2 * size bytes, longer texts part by part.
 
     No token crosses a part, as parts begin at a byte of ``breaks``; a run without separators stays whole. Null is empty.
     """
-    for low, high, data, bounds in text_chunks(batch, column):
+    for low, high, data, bounds in text_chunks(batch, column, 2 * size):
         if high - low > 1 or bounds[-1] <= 2 * size:
             yield np.arange(low, high), data, bounds
             continue

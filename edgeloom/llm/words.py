@@ -87,8 +87,8 @@ class Words:
         return self.data[self.bounds[i] : self.bounds[i + 1]].tobytes().split()
 
 
-def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, bounds) of about CHUNK_BYTES each; a longer text is a chunk of its own. Null is empty."""
+def text_chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, bounds) of about ``size`` bytes each; a longer text is a chunk of its own. Null is empty."""
     texts = batch.column(column)
     if not pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.large_string())
@@ -101,7 +101,7 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     low = 0
     while low < n:
-        high = max(low + 1, int(np.searchsorted(places, places[low] + CHUNK_BYTES, side="right")) - 1)
+        high = max(low + 1, int(np.searchsorted(places, places[low] + size, side="right")) - 1)
         high = min(high, n)
         yield low, high, raw[places[low] : places[high]], places[low : high + 1] - places[low]
         low = high
