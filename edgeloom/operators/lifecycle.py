@@ -144,15 +144,15 @@ def attempt_key(issue: Column, pr: Column, head: Column, run_id: Column, run_att
     )
 
 
-def parse_attempts(attempts: DataFrame) -> DataFrame:
-    """(seq, issue, result, reason, key): pass, deferred or code results of gate logs; ``run_at`` is the time of the run."""
+def parse_attempts(attempts: DataFrame, *kept: str) -> DataFrame:
+    """(seq, issue, result, reason, key): pass, deferred or code results of gate logs; ``run_at`` is the time of the run. ``kept`` columns stay."""
     reason = F.upper(F.trim(X.gate_field(F.col("log"), "reason_code")))
     reason = F.when(reason == "", "UNKNOWN").otherwise(reason)
     key = attempt_key(F.col("issue"), F.col("pr"), X.gate_field(F.col("log"), "head_sha"), F.col("run_id"), F.col("run_attempt"), F.date_format("run_at", "yyyyMMddHHmmss"))
     passed = F.col("outcome") == "pass"
     return attempts.select(
         "seq", "issue", F.when(passed, "pass").otherwise(failure_class(reason)).alias("result"),
-        F.when(passed, "PASS").otherwise(reason).alias("reason"), F.when(~passed, key).alias("key"),
+        F.when(passed, "PASS").otherwise(reason).alias("reason"), F.when(~passed, key).alias("key"), *kept,
     )
 
 

@@ -159,7 +159,7 @@ FROM lineitem
 """
 # -- evidence ------------------------------------------------------------------
 INPUTS["evidence"] = """
-SELECT event_id AS seq, event_id AS evidence_id, user_id AS conclusion_id,
+SELECT event_id AS seq, ts, event_id AS evidence_id, user_id AS conclusion_id,
        CASE WHEN event_type = 'error' OR (event_type = 'view' AND event_id % 3 = 0) THEN 'conflicts' ELSE 'supports' END AS relation,
        value / 60 AS confidence,
        CASE event_type WHEN 'click' THEN 'deduction' WHEN 'view' THEN 'verification' WHEN 'error' THEN 'verification' ELSE 'exploration' END AS bond_type
@@ -246,14 +246,14 @@ SELECT event_id,
 FROM event_k
 """
 INPUTS["state_events"] = """
-SELECT event_id AS seq, user_id AS issue,
+SELECT event_id AS seq, ts, user_id AS issue,
        CASE WHEN k % 10 < 5 THEN 'bot:queued' WHEN k % 10 < 7 THEN 'bot:fix' WHEN k % 10 = 7 THEN 'bot:plan-draft' WHEN k % 10 = 8 THEN '' ELSE 'bot:nonsense' END AS want_from,
        CASE event_type WHEN 'click' THEN 'bot:queued' WHEN 'view' THEN 'bot:fix' WHEN 'error' THEN 'bot:plan-draft'
             WHEN 'signup' THEN 'bot:plan-final' ELSE 'bot:implementing' END AS state
 FROM event_k
 """
 INPUTS["runs"] = """
-SELECT event_id AS seq, user_id AS issue, 'acme/web' AS repo,
+SELECT event_id AS seq, ts, user_id AS issue, 'acme/web' AS repo,
        CASE WHEN k % 17 = 0 THEN '' ELSE event_type END AS phase, CASE WHEN k % 5 = 0 THEN '' ELSE 'h' || CAST(k % 2 AS STRING) END AS input_hash
 FROM event_k
 """
@@ -267,11 +267,24 @@ SELECT event_id AS seq, ts AS run_at, user_id AS issue, user_id % 20 AS pr,
 FROM event_k
 """
 INPUTS["lease_ops"] = """
-SELECT event_id AS seq, user_id AS issue, 'w' || CAST(k % 3 AS STRING) AS owner,
+SELECT event_id AS seq, ts, user_id AS issue, 'w' || CAST(k % 3 AS STRING) AS owner,
        CASE event_type WHEN 'error' THEN 'release' WHEN 'signup' THEN 'refresh' ELSE 'acquire' END AS op,
        event_id AS at_s, CAST(100 + (k % 5) * 150 AS BIGINT) AS ttl_s
 FROM event_k
 """
+INPUTS["lease_times"] = """
+SELECT event_id AS seq, ts, user_id AS issue, 'w' || CAST(k % 3 AS STRING) AS owner,
+       CASE event_type WHEN 'error' THEN 'release' WHEN 'signup' THEN 'refresh' ELSE 'acquire' END AS op,
+       CAST(((EXTRACT(YEAR FROM ts) - 1970) * 365 + FLOOR((EXTRACT(YEAR FROM ts) - 1969) / 4) + EXTRACT(DOY FROM ts) - 1) * 86400
+            + EXTRACT(HOUR FROM ts) * 3600 + EXTRACT(MINUTE FROM ts) * 60 + FLOOR(EXTRACT(SECOND FROM ts)) AS BIGINT) AS at_s,
+       CAST((1 + k % 5) * 14400 AS BIGINT) AS ttl_s
+FROM event_k
+"""
+INPUTS["talk"] = """
+SELECT event_id AS seq, ts, user_id AS issue,
+       CASE WHEN k % 31 = 0 THEN 'done' || chr(10) || '/finalize' WHEN k % 37 = 1 THEN '/hold' WHEN k % 5 = 2 THEN '<!-- BOT:PLAN_DRAFT issue=1 -->' ELSE 'words' END AS body
+FROM event_k
+"""
 INPUTS["label_events"] = """
 SELECT event_id AS seq, user_id AS issue,
        CASE k % 5 WHEN 0 THEN 'ops-bot' WHEN 1 THEN 'release-bot' ELSE 'dev' || CAST(k % 5 AS STRING) END AS actor,

@@ -1,9 +1,9 @@
-"""Keyed stream state: a step function folded over each key's events in order.
+"""Keyed stream state: a step function folded over each key's events in event-time order.
 
-State lives in the state store between micro-batches. Inside one micro-batch the
-rows of a key are ordered by the sequence column, so replaying a stream gives
-the rows of the batch operators. The rows held at once are bounded by the
-trigger (``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` at the source).
+Events wait in a list state until the watermark has passed their time, so micro-batches may come in any order within the
+allowed delay and the fold still gives the rows of the batch operators. An expiry function adds rows that no input event
+produced: when the watermark passes the moment it names, the fold is told, and a key without anything left is cleared.
+The rows held for a key are those of the last ``delay`` of event time.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 import edgeloom.streaming
@@ -22,47 +23,167 @@ from edgeloom.session import Scratch
 cloudpickle.register_pickle_by_value(edgeloom.streaming)
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DELAY = "1 hour"
 
 
-class KeyedFold(StatefulProcessor):
-    """Applies ``step(state, row) -> (state, output tuple)`` to every row of a key."""
+class OrderedFold(StatefulProcessor):
+    """Applies ``step(state, row) -> (state, output tuple)`` to the rows of a key in the order of (ms, order columns).
 
-    def __init__(self, step: Callable, initial: tuple, state_schema: str, order: str, columns: list[str]):
-        self.step, self.initial, self.state_schema = step, initial, state_schema
-        self.order, self.columns = order, columns
+    ``due(state)`` is the moment in ms at which the state expires, None for never; ``expire(state, ms, key) -> (state,
+    output tuple)`` is applied then, before any row of that moment or later. A None state clears the key; a None output
+    is no row.
+    """
+
+    def __init__(self, step: Callable, initial: tuple, state_schema: str, columns: list[str], kinds: list[str], order: list[str], output: list[str], due: Callable | None, expire: Callable | None):
+        self.step, self.initial, self.state_schema, self.columns, self.kinds = step, initial, state_schema, columns, kinds
+        self.order, self.output, self.due, self.expire = order, output, due, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("fold", self.state_schema)
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {k}" for c, k in zip(self.columns, self.kinds)))
+
+    def _plain(self, frame: pd.DataFrame) -> list[tuple]:
+        """Rows as plain values: pandas turns whole numbers beside nulls into floats."""
+        lists = []
+        for c, kind in zip(self.columns, self.kinds):
+            whole = kind in ("bigint", "int")
+            lists.append([None if pd.isna(v) else int(v) if whole else v.item() if hasattr(v, "item") else v for v in frame[c]])
+        return list(zip(*lists))
+
+    def _wake(self, ms: int) -> None:
+        armed = list(self.handle.listTimers())
+        if armed and min(armed) <= ms:
+            return
+        for t in armed:
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.state.get() if self.state.exists() else self.initial
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order)
-        batch = batch.astype(object).where(batch.notna(), None)
-        out = []
-        for row in batch.itertuples(index=False):
-            state, result = self.step(state, row)
-            out.append(result)
-        self.state.update(state)
-        yield pd.DataFrame(out, columns=self.columns)
+        first = None
+        for frame in rows:
+            if len(frame):
+                self.waiting.appendList(self._plain(frame))
+                low = int(frame["ms"].min())
+                first = low if first is None else min(first, low)
+        if first is not None:
+            self._wake(first)
+        yield pd.DataFrame([], columns=self.output)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = int(timerValues.getCurrentWatermarkInMs())
+        ms = self.columns.index("ms")
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        places = [ms] + [self.columns.index(c) for c in self.order]
+        ready = sorted((r for r in held if r[ms] <= until), key=lambda r: tuple((r[i] is not None, r[i]) for i in places))
+        later = [r for r in held if r[ms] > until]
+        state = tuple(self.state.get()) if self.state.exists() else self.initial
+        out: list[tuple] = []
+
+        def lapse(state, at: int):
+            while self.due is not None and state is not None and (due := self.due(state)) is not None and due <= at:
+                state, told = self.expire(state, due, key)
+                if told is not None:
+                    out.append(told)
+            return state
+
+        for values in ready:
+            state = lapse(state, values[ms])
+            state, told = self.step(self.initial if state is None else state, _Named(self.columns, values))
+            if told is not None:
+                out.append(told)
+        state = lapse(state, until)
+        if later:
+            self.waiting.put(later)
+        else:
+            self.waiting.clear()
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(state)
+        moments = [r[ms] for r in later]
+        if self.due is not None and state is not None and (due := self.due(state)) is not None:
+            moments.append(due)
+        for t in list(self.handle.listTimers()):
+            if t != int(expiredTimerInfo.getExpiryTimeInMs()):
+                self.handle.deleteTimer(t)
+        if moments:
+            self.handle.registerTimer(min(moments))
+        yield pd.DataFrame(out, columns=self.output)
 
     def close(self) -> None:
         pass
 
 
-def fold(events: DataFrame, keys: list[str], step: Callable, initial: tuple, state: str, output: str, order: str = "seq") -> DataFrame:
-    """Stateful stream (or table) of ``step`` outputs; ``state`` and ``output`` are DDL schemas."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    columns = [c.split()[0] for c in output.split(", ")]
-    return events.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=KeyedFold(step, initial, state, order, columns), outputStructType=output, outputMode="append", timeMode="none"
-    )
+class _Named:
+    """One row's values by column name."""
+
+    def __init__(self, names, values):
+        self.__dict__.update(zip(names, values))
+
+
+def fold(
+    events: DataFrame, keys: list[str], step: Callable, initial: tuple, state: str, output: str, order: tuple[str, ...] = ("seq",),
+    time: str = "ts", delay: str = DELAY, due: Callable | None = None, expire: Callable | None = None,
+) -> DataFrame:
+    """Stateful stream of the ``step`` outputs; ``state`` and ``output`` are DDL schemas.
+
+    ``time`` is the event time. Rows later than ``delay`` behind the latest are dropped by Spark; :func:`split_late`
+    keeps them in a table of their own. Rows of a moment follow the ``order`` columns. Rows without a time or with null
+    keys only move the watermark. The session must use the RocksDB state store (:func:`with_state_store`).
+    """
+    rest = [c for c in events.columns if c not in (*keys, time)]
+    named = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    # A filter that names the time stays behind the watermark, so rows without a key move it before they go.
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    rows = named.where(F.when(keyed, F.col(time)).isNotNull()).select(*keys, time, *rest, F.unix_millis(time).alias("ms"))
+    columns = [c for c in rows.columns if c != time]
+    kinds = [rows.schema[c].dataType.simpleString() for c in columns]
+    names = [c.split()[0] for c in output.split(", ")]
+    processor = OrderedFold(step, initial, state, columns, kinds, list(order), names, due, expire)
+    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime")
+
+
+def with_state_store(spark: SparkSession) -> SparkSession:
+    """Chooses the state store that list state and timers need, for the whole session."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    return spark
 
 
 def run_to_table(stream: DataFrame, label: str) -> DataFrame:
     """Process everything available and return the written output."""
-    spark = SparkSession.getActiveSession()
+    spark = with_state_store(stream.sparkSession)
     scratch = Scratch(spark, label)
     stream.writeStream.format("parquet").option("checkpointLocation", f"{scratch.root}/checkpoint").option("path", f"{scratch.root}/out").trigger(
         availableNow=True
     ).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{scratch.root}/out")
+
+
+def split_late(stream: DataFrame, time: str, delay_s: int, folder: str) -> None:
+    """Writes all available rows of a stream to ``folder``/accepted or ``folder``/late, each row once.
+
+    A row is late when its time is at or before the latest time of all earlier micro-batches less ``delay_s`` seconds,
+    which is when a watermark of this delay drops it. Rows without a time are accepted. Each batch replaces its own
+    partition and notes its latest time under its number, so a batch that is run again after a failure leaves the same files.
+    """
+    spark = stream.sparkSession
+    marks = "batch long, latest timestamp"
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        path = f"{folder}/marks"
+        known = session.createDataFrame([], marks)
+        if number:
+            known = session.read.schema(marks).parquet(path).where(F.col("batch") < number)
+        edge = known.agg((F.max("latest") - F.make_dt_interval(secs=F.lit(delay_s))).alias("edge")).first()["edge"]
+        late = F.coalesce(F.col(time) <= F.lit(edge).cast("timestamp"), F.lit(False)) if edge is not None else F.lit(False)
+        kept = batch.persist()  # read three times; recomputed from the source where an executor is lost
+        kept.where(~late).write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
+        kept.where(late).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        kept.agg(F.lit(number).cast("long").alias("batch"), F.max(time).alias("latest")).write.mode("overwrite").parquet(f"{path}/part={number}")
+        kept.unpersist()
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()

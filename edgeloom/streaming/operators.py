@@ -1,18 +1,18 @@
-"""Stream forms of the stateful operators."""
+"""Stream forms of the stateful operators.
 
-from __future__ import annotations
+All but the routing take events with an event time ``ts``, in any order within ``delay``, and give the rows of the batch
+forms over events in the order of (ts, seq).
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from edgeloom.functions.labels import STATES, TRANSITIONS
 from edgeloom.operators import lifecycle as L
 from edgeloom.operators.evidence import PRIOR, weight
-from edgeloom.streaming.keyed import STATE_STORE, fold
+from edgeloom.streaming.keyed import DELAY, fold
 
 
 def routes(events: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def routes(events: DataFrame) -> DataFrame:
     return L.route(events)
 
 
-def idempotent_runs(runs: DataFrame) -> DataFrame:
+def idempotent_runs(runs: DataFrame, delay: str = DELAY) -> DataFrame:
     """(seq, issue, phase, key, action); the latest key per issue and phase is kept, older keys are not."""
 
     def step(state, row):
@@ -31,12 +31,12 @@ def idempotent_runs(runs: DataFrame) -> DataFrame:
 
     enabled = (F.col("issue") > 0) & (F.trim("phase") != "") & (F.trim("input_hash") != "")
     key = F.when(enabled, L.idempotency_key(F.col("repo"), F.col("issue"), F.col("phase"), F.col("input_hash")))
-    keyed = runs.select("seq", "issue", F.trim("phase").alias("phase"), key.alias("key"))
-    return fold(keyed, ["issue", "phase"], step, (None,), "key string", "seq bigint, issue bigint, phase string, key string, action string")
+    keyed = runs.select("seq", "ts", "issue", F.trim("phase").alias("phase"), key.alias("key"))
+    return fold(keyed, ["issue", "phase"], step, (None,), "key string", "seq bigint, issue bigint, phase string, key string, action string", delay=delay)
 
 
-def transitions(requests: DataFrame) -> DataFrame:
-    """(seq, issue, verdict, current): compare-and-set state changes of requests(seq, issue, want_from, state)."""
+def transitions(requests: DataFrame, delay: str = DELAY) -> DataFrame:
+    """(seq, issue, verdict, current): compare-and-set state changes of requests(seq, ts, issue, want_from, state)."""
     pairs = {(a, b) for a, bs in TRANSITIONS.items() for b in bs}
     known = set(STATES)
 
@@ -54,19 +54,24 @@ def transitions(requests: DataFrame) -> DataFrame:
             verdict, current = "moved", to
         return (current,), (row.seq, row.issue, verdict, current)
 
-    return fold(requests, ["issue"], step, (None,), "current string", "seq bigint, issue bigint, verdict string, current string")
+    columns = requests.select("seq", "ts", "issue", "want_from", "state")
+    return fold(columns, ["issue"], step, (None,), "current string", "seq bigint, issue bigint, verdict string, current string", delay=delay)
 
 
-def leases(ops: DataFrame) -> DataFrame:
-    """(seq, issue, owner, op, outcome, holder, expires_s) of ops(seq, issue, owner, op, at_s, ttl_s).
+def leases(ops: DataFrame, delay: str = DELAY, expire_rows: bool = False) -> DataFrame:
+    """(seq, issue, owner, op, outcome, holder, expires_s) of ops(seq, ts, issue, owner, op, at_s, ttl_s).
 
     acquire: granted when free or expired, else denied; refresh: only by the owner
     before expiry; release: by the owner, or when nobody holds the lease.
+
+    With ``expire_rows``, ``at_s`` must be the event time in seconds: a lease that reaches its expiry ends with a row
+    (null, issue, owner, expire, expired, '', expires_s) when the watermark gets there, and its key is cleared; so what
+    comes later finds the lease free.
     """
 
     def step(state, row):
         holder, expires = state
-        at, ttl = int(row.at_s), int(row.ttl_s)
+        at, ttl = row.at_s or 0, row.ttl_s or 0
         if row.op == "acquire":
             if holder and at < expires:
                 outcome = "denied"
@@ -85,16 +90,21 @@ def leases(ops: DataFrame) -> DataFrame:
             outcome = "owner_mismatch"
         else:
             outcome, holder, expires = "released", "", at
-        return (holder, expires), (row.seq, row.issue, row.owner, row.op, outcome, holder, expires)
+        told = (row.seq, row.issue, row.owner, row.op, outcome, holder, expires)
+        return (None if expire_rows and not holder else (holder, expires)), told
+
+    def lapse(state, at, key):
+        return None, (None, key[0], state[0], "expire", "expired", "", state[1])
 
+    timed = {"due": lambda state: state[1] * 1000 if state[0] else None, "expire": lapse} if expire_rows else {}
     return fold(
-        ops, ["issue"], step, ("", 0), "holder string, expires bigint",
-        "seq bigint, issue bigint, owner string, op string, outcome string, holder string, expires_s bigint",
-    )
+        ops.select("seq", "ts", "issue", "owner", "op", "at_s", "ttl_s"), ["issue"], step, ("", 0), "holder string, expires bigint",
+        "seq bigint, issue bigint, owner string, op string, outcome string, holder string, expires_s bigint", delay=delay, **timed,
+    )
 
 
-def gate_retries(attempts: DataFrame, max_retries: int = L.GATE_RETRIES) -> DataFrame:
-    """Stream form of the gate retry counter over raw attempt logs."""
+def gate_retries(attempts: DataFrame, max_retries: int = L.GATE_RETRIES, delay: str = DELAY) -> DataFrame:
+    """Stream form of the gate retry counter over raw attempt logs; ``run_at`` is the event time."""
 
     def step(state, row):
         count, key, told = state
@@ -106,12 +116,12 @@ def gate_retries(attempts: DataFrame, max_retries: int = L.GATE_RETRIES) -> Data
         return (count, row.key, told or escalated), (row.seq, row.issue, row.result, count, count - 1, escalated, comment)
 
     return fold(
-        L.parse_attempts(attempts), ["issue"], step, (0, "", False), "count bigint, key string, told boolean",
-        "seq bigint, issue bigint, result string, retry_count bigint, stored_before bigint, escalated boolean, comment boolean",
+        L.parse_attempts(attempts, "run_at").withColumnRenamed("run_at", "ts"), ["issue"], step, (0, "", False), "count bigint, key string, told boolean",
+        "seq bigint, issue bigint, result string, retry_count bigint, stored_before bigint, escalated boolean, comment boolean", delay=delay,
     )
 
 
-def posteriors(evidence: DataFrame) -> DataFrame:
+def posteriors(evidence: DataFrame, delay: str = DELAY) -> DataFrame:
     """(seq, conclusion_id, posterior, evidence_count) after every piece of evidence."""
 
     def step(state, row):
@@ -121,70 +131,34 @@ def posteriors(evidence: DataFrame) -> DataFrame:
         p = p * like / (p * like + (1 - p) * (1 - like))
         return (p, n), (row.seq, row.conclusion_id, p, n)
 
-    rows = evidence.filter("confidence >= 0 AND confidence <= 1").select("seq", "conclusion_id", "relation", "confidence", weight(F.col("bond_type")).alias("w"))
+    rows = evidence.filter("confidence >= 0 AND confidence <= 1").select("seq", "ts", "conclusion_id", "relation", "confidence", weight(F.col("bond_type")).alias("w"))
     return fold(
-        rows, ["conclusion_id"], step, (PRIOR, 0), "posterior double, n bigint", "seq bigint, conclusion_id bigint, posterior double, evidence_count bigint"
+        rows, ["conclusion_id"], step, (PRIOR, 0), "posterior double, n bigint", "seq bigint, conclusion_id bigint, posterior double, evidence_count bigint", delay=delay
     )
 
 
-class Silence(StatefulProcessor):
-    """Event-time timers on human comments: a warning after 10 quiet minutes, the end 30 minutes later.
+def convergence(comments: DataFrame, delay: str = DELAY, warn_s: int = L.SILENCE_WARN, finalize_s: int = L.SILENCE_FINALIZE) -> DataFrame:
+    """(issue, at_ms, result, reason) decisions of comments(issue, ts, body): a warning after 10 quiet minutes, the end 30 minutes later.
 
-    A new human comment voids the warning; /finalize ends at once and /hold stops the timers.
+    A new human comment voids the warning; /finalize ends at once and /hold stops the timers; bot comments do not break
+    the silence. Comments of one moment count /finalize last.
     """
 
-    def __init__(self, warn_s: int, finalize_s: int):
-        self.warn_s, self.finalize_s = warn_s, finalize_s
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("silence", "due_ms bigint, phase string")
-
-    def _clear_timers(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-
-    def _wait(self, due_ms: int, phase: str) -> None:
-        self._clear_timers()
-        self.handle.registerTimer(due_ms)
-        self.state.update((due_ms, phase))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("ts_ms")
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.command == "/finalize":
-                self._clear_timers()
-                out.append((key[0], int(row.ts_ms), "finalize", "command_finalize"))
-                self.state.update((0, "closed"))
-            elif row.command == "/hold":
-                self._clear_timers()
-                self.state.update((0, "held"))
-            elif not (self.state.exists() and self.state.get()[1] in ("closed", "held")):
-                self._wait(int(row.ts_ms) + self.warn_s * 1000, "warn")
-        yield pd.DataFrame(out, columns=["issue", "at_ms", "result", "reason"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at, phase = int(expiredTimerInfo.getExpiryTimeInMs()), self.state.get()[1]
-        if phase == "warn":
-            self._wait(at + self.finalize_s * 1000, "finalize")
-            out = [(key[0], at, "warn", "silence_warn")]
-        else:
-            self.state.update((0, "closed"))
-            out = [(key[0], at, "finalize", "warning_timeout_finalize")]
-        yield pd.DataFrame(out, columns=["issue", "at_ms", "result", "reason"])
-
-    def close(self) -> None:
-        pass
-
-
-def convergence(comments: DataFrame, delay: str = "1 minute", warn_s: int = L.SILENCE_WARN, finalize_s: int = L.SILENCE_FINALIZE) -> DataFrame:
-    """(issue, at_ms, result, reason) decisions of a comment stream(issue, ts, body); bot comments do not break silence."""
-    comments.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-    human = comments.withWatermark("ts", delay).filter(~L.is_bot_text(F.col("body"))).select(
-        "issue", "ts", F.unix_millis("ts").alias("ts_ms"), F.coalesce(L.command_of(F.col("body")), F.lit("")).alias("command")
-    )
-    return human.groupBy("issue").transformWithStateInPandas(
-        statefulProcessor=Silence(warn_s, finalize_s), outputStructType="issue bigint, at_ms bigint, result string, reason string", outputMode="append", timeMode="eventTime"
-    )
-
+    def step(state, row):
+        due, phase = state
+        if row.command == "/finalize":
+            return (None, "closed"), (row.issue, row.ms, "finalize", "command_finalize")
+        if row.command == "/hold":
+            return (None, "held"), None
+        return ((due, phase) if phase in ("closed", "held") else (row.ms + warn_s * 1000, "warn")), None
+
+    def expire(state, at, key):
+        if state[1] == "warn":
+            return (at + finalize_s * 1000, "finalize"), (key[0], at, "warn", "silence_warn")
+        return (None, "closed"), (key[0], at, "finalize", "warning_timeout_finalize")
+
+    human = comments.filter(~L.is_bot_text(F.col("body"))).select("issue", "ts", F.coalesce(L.command_of(F.col("body")), F.lit("")).alias("command"))
+    return fold(
+        human, ["issue"], step, (None, "open"), "due bigint, phase string", "issue bigint, at_ms bigint, result string, reason string",
+        order=("command",), delay=delay, due=lambda s: s[0], expire=expire,
+    )
