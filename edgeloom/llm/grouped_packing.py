@@ -10,9 +10,12 @@ The plan names for every length which of its pieces, counted over all tasks, tak
 from __future__ import annotations
 
 import math
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +33,12 @@ KNOWN_WORDS = 1 << 19
 WORDS_AT_ONCE = 1 << 14
 END = 0
 
+# ASCII marks that part words without joining letters; an apostrophe may start a piece with letters.
+_MARKS = string.punctuation.replace("'", "")
+# Byte-level pieces show each byte as a printable sign: itself, or the next one from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SIGNS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
 Pattern = tuple[int, dict[int, int]]  # number of sequences, pieces of each length in one of them
 
 
@@ -200,6 +209,16 @@ def seats(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(names, np.array(rows, np.int64).reshape(-1, 5).T))
 
 
+def _texts(words: Words, which: np.ndarray) -> list[str]:
+    """The given words, gathered into one line of bytes that is decoded and split once; no word holds a line end."""
+    sizes = words.end[which] - words.start[which] + 1
+    ends = np.cumsum(sizes)
+    at = np.repeat(words.start[which] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+    line = words.data[np.minimum(at, len(words.data) - 1)]
+    line[ends - 1] = 10
+    return line[:-1].tobytes().decode("utf-8", "replace").split("\n")
+
+
 class WordIds:
     """Token ids of words, kept for up to KNOWN_WORDS words of a worker. Words stand alone, as no token spans white space."""
 
@@ -222,12 +241,32 @@ class WordIds:
         self.ids = self.ids[np.repeat(self.starts[keep] - (ends - counts), counts) + np.arange(int(counts.sum()))]
         self.hashes, self.starts, self.counts, self.uses = self.hashes[keep], ends - counts, counts, self.uses[keep] * 0
 
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word. Plain lower-case words between marks are pieces of their own for the tokenizer, so its model gets them at once."""
+        model, out, rest = self.tokenizer.model, [], []
+        for k, word in enumerate(words):
+            core = word.strip(_MARKS)
+            plain = core.isascii()
+            if not core.isalpha() or not (core.islower() if plain else core == core.lower() and is_normalized("NFC", core)) or "<|" in word:
+                rest.append(k)
+                out.append([])
+                continue
+            shown = core if plain else core.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            if len(core) == len(word):
+                out.append([t.id for t in model.tokenize(shown)])
+                continue
+            at = word.find(core)
+            out.append([t.id for run in (word[:at], shown, word[at + len(core) :]) if run for t in model.tokenize(run)])
+        for k, found in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+            out[k] = found.ids
+        return out
+
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         made, counts = [self.ids], []
         for low in range(0, len(texts), WORDS_AT_ONCE):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[low : low + WORDS_AT_ONCE], add_special_tokens=False)]
+            found = self.encode(texts[low : low + WORDS_AT_ONCE])
             counts.append(np.fromiter(map(len, found), np.int64, len(found)))
-            made.append(np.fromiter((i for ids in found for i in ids), np.uint32, int(counts[-1].sum())))
+            made.append(np.fromiter(chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
         new = np.concatenate(counts)
         starts = len(self.ids) + np.cumsum(new) - new
         self.ids = np.concatenate(made)
@@ -250,8 +289,7 @@ class WordIds:
                 self.forget()
                 at = self.places(unique)
             new = first[at < 0]
-            raw = words.data.tobytes()
-            self.learn(words.hashes[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(words.start[new], words.end[new])])
+            self.learn(words.hashes[new], _texts(words, new))
             at = self.places(unique)
         self.uses[at] += 1
         counts, starts = self.counts[at][back], self.starts[at][back]
