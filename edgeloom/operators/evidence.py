@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.operators.ordering import positions
+
 # Evidence weights and verdict thresholds.
 BOND_WEIGHTS = {"deduction": 1.0, "verification": 0.7, "exploration": 0.3}
 ACT_THRESHOLD = 0.7
@@ -87,10 +89,19 @@ def verdict_counts(conclusions: DataFrame) -> DataFrame:
     )
 
 
+def _order() -> list:
+    rank = F.when(F.col("verdict") == "contested", 0).when(F.col("verdict") == "investigate", 1).otherwise(2)
+    return [rank, "confidence", "conclusion_id"]
+
+
 def ordered(conclusions: DataFrame) -> DataFrame:
     """Contested first, then investigate, then act; then confidence and id."""
-    rank = F.when(F.col("verdict") == "contested", 0).when(F.col("verdict") == "investigate", 1).otherwise(2)
-    return conclusions.orderBy(rank, "confidence", "conclusion_id")
+    return conclusions.orderBy(*_order())
+
+
+def ranked(conclusions: DataFrame) -> DataFrame:
+    """The same order as a column ``place`` from 1. No task sees all rows."""
+    return positions(conclusions, [], _order(), "place")
 
 
 def posterior(evidence: DataFrame, seq: str = "seq", start: float = PRIOR, fold_rows: int = FOLD_ROWS) -> DataFrame:

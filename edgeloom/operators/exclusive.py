@@ -86,7 +86,7 @@ def _with_start(groups: DataFrame, before: DataFrame) -> DataFrame:
     return groups.join(entry, groups["issue"].eqNullSafe(F.col("b_issue")) & (F.col("above") == F.col("b_block"))).select("issue", "items", "start")
 
 
-def leases(ops: DataFrame) -> DataFrame:
+def leases(ops: DataFrame, **split) -> DataFrame:
     """(seq, issue, owner, op, outcome, holder, expires_s) of ops(seq, issue, owner, op, at_s, ttl_s).
 
     acquire is granted when the lease is free or expired, else denied; refresh works for the holder before expiry;
@@ -96,7 +96,7 @@ def leases(ops: DataFrame) -> DataFrame:
     After a row that took effect the lease is known from that row alone: its owner until at_s + ttl_s, or free. So each
     row points to the next one that would take effect, the earliest of: the first acquire at or after the expiry, the
     owner's next refresh before it, the owner's next release. The rows that did take effect are those on the pointer
-    chain of the first acquire or release; the chain is marked by doubling the pointers.
+    chain of the first acquire or release; the chain is marked by doubling the pointers. ``split`` goes to the scans.
     """
     spark = ops.sparkSession
     scratch = Scratch(spark, "leases")
@@ -109,7 +109,7 @@ def leases(ops: DataFrame) -> DataFrame:
     # The owner's next refresh and release. Scans look back, so the order is turned round.
     own = ordered_scan(
         rows.select("issue", "owner", "pos", "op", "at", "expires", (-F.col("pos")).alias("back")), ["issue", "owner"], "back",
-        last_before={"refresh": F.when(F.col("op") == "refresh", F.struct("pos", "at")), "release": at_pos(frees)},
+        last_before={"refresh": F.when(F.col("op") == "refresh", F.struct("pos", "at")), "release": at_pos(frees)}, **split,
     )
     # The first acquire at or after the expiry: probes stand in one order with the acquires, right after their own row
     # when they expire at once. Behind a release, whoever acquires or releases next takes effect.
@@ -117,9 +117,9 @@ def leases(ops: DataFrame) -> DataFrame:
     probe = rows.where(takes).select("issue", F.when(later, F.col("expires")).otherwise(F.col("at")).alias("time"), F.when(later, F.lit(0)).otherwise(F.col("pos")).alias("behind"), F.lit(1).alias("kind"), "pos")
     mark = rows.where(F.col("op") == "acquire").select("issue", F.col("at").alias("time"), F.col("pos").alias("behind"), F.lit(0).alias("kind"), "pos")
     line = positions(probe.unionByName(mark), ["issue"], ["time", "behind", "kind", "pos"], "place")
-    found = ordered_scan(line.select("issue", "pos", "kind", (-F.col("place")).alias("back")), ["issue"], "back", last_before={"acquire": F.when(F.col("kind") == 0, F.col("pos"))})
+    found = ordered_scan(line.select("issue", "pos", "kind", (-F.col("place")).alias("back")), ["issue"], "back", last_before={"acquire": F.when(F.col("kind") == 0, F.col("pos"))}, **split)
     found = found.where("kind = 1").select("issue", "pos", "acquire")
-    open_next = ordered_scan(rows.select("issue", "pos", "op", (-F.col("pos")).alias("back")), ["issue"], "back", last_before={"next_open": at_pos(F.col("op").isin("acquire", "release"))})
+    open_next = ordered_scan(rows.select("issue", "pos", "op", (-F.col("pos")).alias("back")), ["issue"], "back", last_before={"next_open": at_pos(F.col("op").isin("acquire", "release"))}, **split)
     refresh = F.when(F.col("refresh.at") < F.col("expires"), F.col("refresh.pos"))
     held = own.where(takes).join(found, ["issue", "pos"], "left").select("issue", "pos", F.least("acquire", refresh, "release").alias("next"))
     freed = open_next.where(frees).select("issue", "pos", F.col("next_open").alias("next"))
@@ -141,7 +141,7 @@ def leases(ops: DataFrame) -> DataFrame:
 
     acted = rows.join(took, ["issue", "pos"], "left").withColumn("took", F.coalesce("took", F.lit(False)))
     state = F.struct(F.when(frees, "").otherwise(F.col("owner")).alias("holder"), F.when(frees, F.col("at")).otherwise(F.col("expires")).alias("expires"))
-    told = ordered_scan(acted, ["issue"], "pos", last_before={"before": F.when(F.col("took"), state)})
+    told = ordered_scan(acted, ["issue"], "pos", last_before={"before": F.when(F.col("took"), state)}, **split)
     holder, until = F.coalesce("before.holder", F.lit("")), F.coalesce("before.expires", F.lit(0).cast("bigint"))
     done = F.when(frees, "released").when(F.col("op") == "refresh", "refreshed").otherwise("granted")
     refused = F.when(F.col("op") == "acquire", "denied").when(frees, "owner_mismatch").when(holder == "", "not_held").when(holder != F.col("owner"), "owner_mismatch").otherwise("expired")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import paths as P
 from edgeloom.functions import text as X
+from edgeloom.operators.ordering import positions
 from edgeloom.operators.scans import ordered_scan
 
 # Scan patterns.
@@ -319,7 +320,16 @@ def gate(findings: DataFrame) -> DataFrame:
     )
 
 
+def _order() -> list:
+    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return [rank, "file", "line"]
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """Critical, warning, info, then file and line."""
-    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return findings.orderBy(rank, "file", "line")
+    return findings.orderBy(*_order())
+
+
+def ranked(findings: DataFrame) -> DataFrame:
+    """The same order as a column ``place`` from 1; findings of one line follow their rule. No task sees all rows."""
+    return positions(findings, [], [*_order(), "rule"], "place")

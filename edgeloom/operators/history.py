@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import paths as P
 from edgeloom.functions import text as X
+from edgeloom.operators.ordering import positions
 
 MAX_MERGED, HALF = 4000, 2000
 
@@ -36,6 +37,11 @@ def newest(inv: DataFrame, n: int) -> DataFrame:
     return inv.orderBy(F.desc("date"), "hash").limit(n)
 
 
+def ranked(inv: DataFrame) -> DataFrame:
+    """All commits with their ``place`` from 1, the newest first, then by hash. No task sees all rows."""
+    return positions(inv, [], [F.desc("date"), "hash"], "place")
+
+
 def link_issues(commits: DataFrame, issues: DataFrame) -> DataFrame:
     """First ``#n`` of each message joined to issues(issue, title, body)."""
     first = F.try_element_at(X.commit_refs(F.col("message")), F.lit(1))

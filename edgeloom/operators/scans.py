@@ -1,7 +1,7 @@
 """Ordered per-key scans that stay parallel when one key holds most rows.
 
 A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here keys with
-more than ``hot_rows`` rows are cut into chunks of their integer order column:
+more than ``hot_rows`` rows are cut into chunks along their integer order column:
 windows run inside a chunk, each chunk is reduced to one carry row, the carries
 are scanned per key, and the result is joined back on (key, chunk). Other keys
 keep a single chunk and cost what a plain window costs. The answers are equal.
@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.session import Scratch
+
 HOT_ROWS = 1_000_000
 CHUNK_ROWS = 65_536
 
@@ -21,15 +23,24 @@ CHUNK_ROWS = 65_536
 def chunked(df: DataFrame, keys: Sequence[str], order: str, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``_chunk``: blocks of about ``chunk_rows`` rows along the order column for hot keys, 0 for the others.
 
-    There are at most rows / hot_rows hot keys; Spark broadcasts their list when
-    its measured size allows and shuffles otherwise.
+    The bounds of the blocks are order statistics that Spark samples when it deals the hot rows into ranges, so blocks
+    are alike however the order column is spread. The hot rows are written, which keeps the blocks as they are. Keys are
+    counted by a job of its own; without hot keys the rows go on as they came.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_low"), (F.max(order) - F.min(order) + 1).alias("_span"))
-    # A chunk covers as much of the key's own range as holds chunk_rows rows on average, however sparse the order is.
-    wide = F.greatest(F.lit(1), F.ceil(F.col("_span") * F.lit(chunk_rows) / F.col("_n")))
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys, "_low", wide.alias("_wide"))
-    block = F.floor((F.col(order) - F.col("_low")) / F.col("_wide")).cast("bigint")
-    return df.join(hot, list(keys), "left").withColumn("_chunk", F.coalesce(block, F.lit(0).cast("bigint"))).drop("_low", "_wide")
+    scratch = Scratch(df.sparkSession, "chunks")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    hot, n_hot = scratch.save_counted(sizes, "hot")
+    plain = F.lit(0).cast("bigint")
+    if not n_hot:
+        return df.withColumn("_chunk", plain)
+    names = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    is_hot = F.lit(True)
+    for k in keys:
+        is_hot = is_hot & df[k].eqNullSafe(names[f"_hot_{k}"])
+    blocks = max(1, -(-hot.agg(F.sum("_n")).first()[0] // chunk_rows))
+    dealt = df.join(names, is_hot, "left_semi").repartitionByRange(blocks, *keys, order)
+    dealt = scratch.save(dealt.withColumn("_chunk", F.spark_partition_id().cast("bigint")), "dealt")
+    return dealt.unionByName(df.join(names, is_hot, "left_anti").withColumn("_chunk", plain))
 
 
 def ordered_scan(

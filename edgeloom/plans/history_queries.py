@@ -38,6 +38,7 @@ query("commit_inventory", "SELECT * FROM inv", INV)(inventory)
 query("commit_inventory_small", "SELECT * FROM inv WHERE grade IN ('A', 'B')", INV)(lambda t: inventory(t, ["A", "B"]))
 query("commit_grades", "SELECT grade, COUNT(*) AS commits FROM inv GROUP BY grade", INV)(lambda t: H.grade_counts(inventory(t)))
 query("newest_commits", "SELECT hash, date FROM inv ORDER BY date DESC, hash LIMIT 25", INV)(lambda t: H.newest(inventory(t), 25).select("hash", "date"))
+query("ranked_commits", "SELECT hash, ROW_NUMBER() OVER (ORDER BY date DESC, hash) AS place FROM inv", INV)(lambda t: H.ranked(inventory(t).select("hash", "date")).select("hash", "place"))
 
 
 def commit_log(t):
@@ -155,6 +156,11 @@ red AS (SELECT conclusion_id, COUNT(*) FILTER (WHERE relation = 'supports') AS s
 con AS (SELECT *, CASE WHEN supports > 0 AND conflicts > 0 THEN 'contested' WHEN confidence >= 0.7 THEN 'act' ELSE 'investigate' END AS verdict FROM red)
 """
 query("evidence_conclusions", "SELECT * FROM con", WEIGHTED)(lambda t: E.ordered(E.reduce(t("evidence"))))
+query(
+    "ranked_conclusions",
+    """SELECT conclusion_id, verdict, ROW_NUMBER() OVER (ORDER BY CASE verdict WHEN 'contested' THEN 0 WHEN 'investigate' THEN 1 ELSE 2 END, confidence, conclusion_id) AS place FROM con""",
+    WEIGHTED,
+)(lambda t: E.ranked(E.reduce(t("evidence"))).select("conclusion_id", "verdict", "place"))
 query("evidence_rejected", "SELECT evidence_id, conclusion_id, confidence FROM evidence WHERE NOT (confidence BETWEEN 0 AND 1)")(lambda t: E.rejected(t("evidence")))
 query("evidence_lists", "SELECT conclusion_id, relation, evidence_id FROM ok", WEIGHTED)(lambda t: E.evidence_lists(t("evidence")))
 query(

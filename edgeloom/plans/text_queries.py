@@ -237,6 +237,11 @@ query(
     ALL_RULES,
 )(lambda t: D.gate(all_findings(t)))
 query("ordered_findings", "SELECT file, line, rule, severity FROM hit", ALL_RULES)(lambda t: D.ordered(all_findings(t)).select("file", "line", "rule", "severity"))
+query(
+    "ranked_findings",
+    """SELECT file, line, rule, severity, ROW_NUMBER() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, file, line, rule) AS place FROM hit""",
+    ALL_RULES,
+)(lambda t: D.ranked(all_findings(t).select("file", "line", "rule", "severity")))
 DOC_LINES = """
 dl AS (SELECT file, i AS line, lang, ls[i] AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS file, lang, string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) AS ls FROM documents), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i))
 """

@@ -65,3 +65,21 @@ def test_inherit_deep_chain(spark):
     chain = [(i, i - 1 if i else None, "top" if i == 0 else ("mid" if i == 40 else None)) for i in range(100)]
     got = dict(rows(D.inherit(spark.createDataFrame(chain, "node bigint, parent bigint, layer string"), "layer")))
     assert got == {i: "top" if i < 40 else "mid" for i in range(100)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_a_ring_and_many_small_ones(spark, seed):
+    rng = random.Random(seed)
+    names = rng.sample(range(10_000), 120)
+    ring = [(names[i], names[(i + 1) % 60]) for i in range(60)]
+    small = [(names[60 + 3 * k + i], names[60 + 3 * k + (i + 1) % 3]) for k in range(20) for i in range(3)]
+    links = [(names[a], names[b]) for a, b in (sorted(rng.sample(range(120), 2)) for _ in range(80)) if a // 60 != b // 60 or (a >= 60 and (a - 60) // 3 != (b - 60) // 3)]
+    chain = [(20_000 + i, 20_001 + i) for i in range(30)] + [(7, 7)]
+    edges = ring + small + links + chain
+    rng.shuffle(edges)
+    want = {7: 7} | {n: max(names[:60]) for n in names[:60]}
+    for k in range(20):
+        own = names[60 + 3 * k : 63 + 3 * k]
+        want |= {n: max(own) for n in own}
+    got = D.components(spark.createDataFrame(edges, "src bigint, dst bigint").repartition(4))
+    assert dict(rows(got, "node", "component")) == want

@@ -7,7 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from edgeloom.operators import evidence as E
-from edgeloom.operators.scans import ordered_scan, streaks
+from edgeloom.operators.scans import chunked, ordered_scan, streaks
 
 
 def events(seed, n=400):
@@ -64,3 +64,15 @@ def test_reduce_cases(spark):
     assert [r.conclusion_id for r in E.rejected(df).collect()] == ["c4"]
     one = df.filter("conclusion_id = 'c3'").withColumn("confidence", F.lit(0.3))
     assert [(r.confidence, r.verdict) for r in E.reduce(one, act=0.6).collect()] == [(0.65, "act")]
+
+
+def test_chunks_are_alike_where_a_key_crowds(spark):
+    """Half the rows of a key stand in a hundredth of its range: no chunk is over twice the mean."""
+    rng = random.Random(3)
+    crowd = rng.sample(range(1_000_000), 8000)
+    spread = rng.sample(range(1_000_000, 100_000_000), 8000)
+    df = spark.createDataFrame([(i, "a") for i in crowd + spread] + [(i, "b") for i in range(50)], "seq bigint, k string").repartition(6)
+    got = chunked(df, ["k"], "seq", hot_rows=1000, chunk_rows=500)
+    sizes = [r["count"] for r in got.filter("k = 'a'").groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 16000 and len(sizes) >= 28 and max(sizes) <= 2 * 16000 / len(sizes)
+    assert got.filter("k = 'b'").agg(F.max("_chunk"), F.count("*")).first() == (0, 50)
