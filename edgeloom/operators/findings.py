@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions import paths as P
@@ -208,18 +208,52 @@ def snippets(lines: DataFrame, hits: DataFrame, around: int = 2) -> DataFrame:
     )
 
 
-def innermost(functions: DataFrame) -> DataFrame:
-    """(file, line, func, func_start): the smallest function around every covered line."""
+def _dyadic(functions: DataFrame) -> DataFrame:
+    """(file, level, node, best): the smallest function over each dyadic interval [node * 2^level, (node + 1) * 2^level).
+
+    A function of n lines is the union of at most 2 log2(n) such intervals, two of a level at most.
+    """
     size = F.col("end_line") - F.col("start_line")
-    covered = functions.select("file", "func", "start_line", size.alias("size"), F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    best = F.min(F.struct("size", F.negative("start_line").alias("s"), "func"))
-    return covered.groupBy("file", "line").agg(best.alias("b")).select("file", "line", F.col("b.func").alias("func"), (-F.col("b.s")).alias("start_line"))
+    best = F.struct(size.alias("size"), F.negative("start_line").alias("s"), F.col("func"))
+    levels = functions.filter(size >= 0).select("file", "start_line", "end_line", best.alias("best"), F.explode(F.expr("sequence(0, length(bin(end_line - start_line + 1)))")).alias("level"))
+    low, high = "shiftright(start_line + shiftleft(1L, level) - 1, level)", "shiftright(end_line + 1, level)"
+    left = f"if({low} < {high} and {low} & 1 = 1, {low}, null)"
+    right = f"if({low} + ({low} & 1) < {high} and {high} & 1 = 1, {high} - 1, null)"
+    nodes = levels.select("file", "level", "best", F.explode(F.expr(f"filter(array({left}, {right}), x -> x is not null)")).alias("node"))
+    return nodes.groupBy("file", "level", "node").agg(F.min("best").alias("best"))
+
+
+def owners(points: DataFrame, functions: DataFrame) -> DataFrame:
+    """(file, line, func, start_line): the smallest function around each of points(file, line); lines of no function drop.
+
+    Ties of size go to the later start, then by name. A point meets its one interval of every level that its file has, by
+    an equi join, so neither lines nor functions are spread out.
+    """
+    nodes = _dyadic(functions)
+    heights = nodes.groupBy("file").agg(F.max("level").alias("top"))
+    keyed = points.select("file", "line").join(heights, "file").withColumn("level", F.explode(F.sequence(F.lit(0), "top")))
+    keyed = keyed.withColumn("node", F.expr("shiftright(line, level)"))
+    best = keyed.join(nodes, ["file", "level", "node"]).groupBy("file", "line").agg(F.min("best").alias("b"))
+    return best.select("file", "line", F.col("b.func").alias("func"), (-F.col("b.s")).alias("start_line"))
+
+
+def _stretches(functions: DataFrame) -> DataFrame:
+    """(file, line, until, func, start_line): runs of lines with one smallest function, at most two for each function."""
+    edges = functions.filter("end_line >= start_line").select("file", F.explode(F.array(F.col("start_line"), F.col("end_line") + 1)).alias("line")).distinct()
+    runs = edges.withColumn("until", F.lead("line").over(Window.partitionBy("file").orderBy("line")) - 1)
+    return owners(edges, functions).join(runs, ["file", "line"])
+
+
+def innermost(functions: DataFrame) -> DataFrame:
+    """(file, line, func, start_line): the smallest function around every covered line."""
+    return _stretches(functions).select("file", F.explode(F.sequence("line", "until")).alias("line"), "func", "start_line")
 
 
 def comment_density(lines: DataFrame, functions: DataFrame, comment: Column, threshold: float = 0.5, min_lines: int = 3) -> DataFrame:
     """Functions whose own comment/code ratio is above the threshold; nested functions count for themselves."""
-    owned = innermost(functions).join(lines.filter(comment).select("file", "line", F.lit(1).alias("c")), ["file", "line"], "left")
-    counts = owned.groupBy("file", "func", "start_line").agg(F.count("*").alias("own"), F.count("c").alias("comments"))
+    own = _stretches(functions).groupBy("file", "func", "start_line").agg(F.sum(F.col("until") - F.col("line") + 1).alias("own"))
+    noted = owners(lines.filter(comment), functions).groupBy("file", "func", "start_line").agg(F.count("*").alias("comments"))
+    counts = own.join(noted, ["file", "func", "start_line"], "left").withColumn("comments", F.coalesce("comments", F.lit(0)))
     long_enough = functions.filter(F.col("end_line") - F.col("start_line") + 1 >= min_lines).select("file", "func", "start_line")
     code = F.col("own") - F.col("comments")
     ratio = F.col("comments") / code

@@ -250,14 +250,14 @@ query(
 
 
 def merged_by_batches(t):
-    """The same upsert as a stream: every file of loads is one micro-batch merged into a table by repository."""
+    """The same upsert as a stream: every file of loads is one micro-batch merged into a table of hashed buckets."""
     scratch = Scratch(t.spark, "upserts")
     rows = snapshot_rows(t, "true", "").withColumn("signature", F.concat(F.when(F.col("indexed_at") % 2 == 0, "even_").otherwise("odd_"), "signature"))
     columns = scratch.save(rows.withColumn("_load", F.pmod("id", F.lit(3))).repartition(3, "_load").drop("_load"), "loads")
     stream = t.spark.readStream.schema(columns.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/loads")
-    merge = store.upsert_batches(f"{scratch.root}/table", ["repo_id", "id"], "indexed_at")
-    stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(columns.schema).parquet(f"{scratch.root}/table").select("repo_id", "id", "signature", "indexed_at")
+    table = store.VersionedTable(t.spark, f"{scratch.root}/table", columns.schema, ["repo_id", "id"], "indexed_at")
+    stream.writeStream.foreachBatch(table.merge).option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("repo_id", "id", "signature", "indexed_at")
 
 
 query(

@@ -3,6 +3,7 @@
 import json
 
 from conftest import rows
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgeloom.sources import documents as S
@@ -58,6 +59,29 @@ def test_upsert_stream_keeps_other_repositories(spark, tmp_path):
     assert rows(store.without_repository(table, "r1"), "repo_id") == [("r2",)]
 
 
+def test_versioned_table(spark, tmp_path):
+    """Untouched buckets keep their files; a batch that is merged again changes nothing; readers of the last manifest see whole batches."""
+    schema = T._parse_datatype_string("repo_id string, id bigint, v string, at bigint")
+    table = store.VersionedTable(spark, str(tmp_path / "t"), schema, ["repo_id", "id"], "at", buckets=16)
+    assert table.read().count() == 0
+    batch = lambda *r: spark.createDataFrame(r, schema)
+    table.merge(batch(*[(f"r{i % 3}", i, "a", 1) for i in range(200)]), 0)
+    assert {r.batch for r in table.places().collect()} == {0} and table.places().count() == 16
+    table.merge(batch(("r1", 1, "new", 2), ("r1", 1, "older", 0), ("r9", 1, "z", 1)), 1)
+    places = {r.bucket: r.batch for r in table.places().collect()}
+    touched = {b for b, n in places.items() if n == 1}
+    assert 1 <= len(touched) <= 2 and len(places) == 16
+    assert len(list((tmp_path / "t/data/batch=1").glob("bucket=*"))) == len(touched)
+    want = [(f"r{i % 3}", i, "new" if i == 1 else "a", 2 if i == 1 else 1) for i in range(200)] + [("r9", 1, "z", 1)]
+    assert rows(table.read()) == sorted(want, key=repr)
+    table.merge(batch(("r1", 1, "new", 2), ("r1", 1, "older", 0), ("r9", 1, "z", 1)), 1)  # again, after a failure
+    assert rows(table.read()) == sorted(want, key=repr)
+    assert len(table.old_folders()) == len(touched)
+    # A batch that wrote data but no manifest is not seen.
+    (batch(("r1", 1, "half", 9)).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / "t/data/batch=2")))
+    assert rows(table.read()) == sorted(want, key=repr)
+
+
 def test_fences(spark):
     text = "```dsl\na\n```\nx\n```bdd\nb"
     got = S.fenced_blocks(spark.createDataFrame([("d", text)], "doc string, text string"))
