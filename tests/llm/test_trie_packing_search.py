@@ -257,7 +257,7 @@ def test_parts_end_at_separators():
     assert {r: v.decode() for r, v in back.items() if v} == {r: t for r, t in enumerate(texts) if t}
 
 
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_term_pipeline"])
+@pytest.mark.parametrize("name", ["op1_line_templates", "op11_prefix_trie", "op13_term_pipeline"])
 def test_sql_at_the_next_size(spark, name):
     sf_dir = f"{DATA}/sf0.01"
     assert compare(QUERIES[name](spark, sf_dir), duck(sf_dir), ORACLE[name]) is None
