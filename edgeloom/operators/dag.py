@@ -64,6 +64,21 @@ def dag_errors(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     return twice.unionByName(missing).unionByName(cyclic)
 
 
+def cycle_errors(deps: DataFrame) -> DataFrame:
+    """(component, length, path): for every strongly connected component of deps(node, dep) a shortest cycle through its greatest node.
+
+    ``path`` runs from that node along dependencies back to it, joined by arrows.
+    """
+    from edgeloom.operators.reach import cycle_paths, inside_components
+
+    edges = deps.select(F.col("node").alias("src"), F.col("dep").alias("dst")).distinct()
+    found = components(edges)
+    steps = cycle_paths(*inside_components(edges, found.select(F.col("component").alias("seed"))))
+    walk = F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda r: r["node"].cast("string"))
+    paths = steps.groupBy(F.col("seed").alias("component")).agg(F.count("*").alias("length"), walk.alias("walk"))
+    return paths.select("component", "length", F.concat_ws(" -> ", "walk", F.col("component").cast("string")).alias("path"))
+
+
 def _trim(scratch: Scratch, edges: DataFrame, size: int, tag: str) -> tuple[DataFrame, int]:
     """Drop edges that cannot lie on a cycle: sources nobody enters, targets nobody leaves.
 

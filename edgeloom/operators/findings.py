@@ -329,6 +329,33 @@ def merge_findings(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def merge_reports(reports: DataFrame, external: DataFrame) -> DataFrame:
+    """Per-file reports (file, total, by_severity, by_category) with external findings counted in.
+
+    reports has one row per analysed file, also where nothing was found; external(file, severity, category) may name
+    files without a report, which get one. The maps hold counts of at least 1; severities and categories stay as named.
+    Findings are counted by file and name before they meet the reports, so a file with most findings is no hot key.
+    """
+    counts = lambda c: external.groupBy("file", F.col(c).alias("name")).agg(F.count("*").alias("n")).withColumn("kind", F.lit(c))
+    old = lambda c, m: reports.select("file", F.explode(m).alias("name", "n"), F.lit(c).alias("kind"))
+    parts = counts("severity").unionByName(counts("category")).unionByName(old("severity", "by_severity")).unionByName(old("category", "by_category"))
+    merged = parts.groupBy("file", "kind", "name").agg(F.sum("n").alias("n"))
+    pairs = lambda c: F.array_sort(F.collect_list(F.when(F.col("kind") == c, F.struct("name", "n"))))
+    told = merged.groupBy("file").agg(pairs("severity").alias("s"), pairs("category").alias("c"), F.sum(F.when(F.col("kind") == "severity", F.col("n"))).alias("total"))
+    every = reports.select("file").unionByName(external.select("file")).distinct()
+    empty = F.expr("cast(map() as map<string, bigint>)")
+    return every.join(told, "file", "left").select(
+        "file", F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
+        F.coalesce(F.map_from_entries("s"), empty).alias("by_severity"), F.coalesce(F.map_from_entries("c"), empty).alias("by_category"),
+    )
+
+
+def reports(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """(file, total, by_severity, by_category) of files(file), one row each, and of findings(file, severity, category)."""
+    none = F.expr("cast(map() as map<string, bigint>)")
+    return merge_reports(files.select("file").distinct().select("file", F.lit(0).cast("bigint").alias("total"), none.alias("by_severity"), none.alias("by_category")), findings)
+
+
 def severity(name: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in SEVERITY_NAMES.items() for x in kv])
     return F.coalesce(table[name], name)

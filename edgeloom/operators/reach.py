@@ -76,6 +76,30 @@ def cycle_paths(edges: DataFrame, seeds: DataFrame, depth: int | None = None) ->
     return walked.select("seed", (F.col("step") - 1).alias("step"), "node")
 
 
+def circular_inheritance(inherits: DataFrame, classes: DataFrame, kind: str = "extends") -> DataFrame:
+    """(seed, step, node): one shortest inheritance cycle of each of classes(seed) that lies on one, over edges of ``kind``.
+
+    inherits(child, parent, kind); edges of other kinds, such as implemented interfaces, close no cycle. The search stays
+    inside the strongly connected components of the seeds.
+    """
+    edges = inherits.filter(F.col("kind") == kind).select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct()
+    return cycle_paths(*inside_components(edges, classes))
+
+
+def inside_components(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges inside strongly connected components that hold a seed, and the seeds on cycles; no cycle is lost."""
+    from edgeloom.operators.dag import components
+
+    scratch = Scratch(edges.sparkSession, "inside")
+    edges = scratch.save(edges.select("src", "dst"), "edges")
+    found = scratch.save(components(edges), "components")
+    own = scratch.save(seeds.select("seed").distinct().join(found.withColumnRenamed("node", "seed"), "seed"), "seeds")
+    wanted = found.join(own.select("component").distinct(), "component", "left_semi")
+    a, b = wanted.toDF("component", "src"), wanted.toDF("component_b", "dst")
+    live = edges.join(a, "src").join(b, "dst").where("component = component_b").select("src", "dst")
+    return scratch.save(live, "live"), own.select("seed")
+
+
 def impact(edges: DataFrame, changed: DataFrame, hops: int = 3) -> DataFrame:
     """(node, relation, depth) for changed(node): the nodes themselves, upstream and downstream."""
     group = changed.select(F.lit("set").alias("seed"), "node").distinct()

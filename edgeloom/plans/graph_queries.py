@@ -34,15 +34,30 @@ query("reach_on_cycles", "SELECT * FROM dist", bfs("cyc_edges", "ring_seeds", 12
 query("cycles_through_nodes", "SELECT seed, depth AS length FROM dist WHERE seed = node", bfs("cyc_edges", "ring_seeds", 99))(
     lambda t: G.cycles_through(t("cyc_edges"), t("ring_seeds"))
 )
-query(
-    "cycle_paths",
-    "SELECT seed, step - 1 AS step, node FROM walk",
-    bfs("cyc_edges", "ring_seeds", 99)
-    + """, par AS (SELECT d.seed, d.node, d.depth, MIN(e.src) AS parent FROM dist d JOIN cyc_edges e ON e.dst = d.node
+
+
+def walk(edges, seeds):
+    """Checks of shortest cycles: of equally near parents the least one is taken."""
+    return (
+        bfs(edges, seeds, 99)
+        + f""", par AS (SELECT d.seed, d.node, d.depth, MIN(e.src) AS parent FROM dist d JOIN {edges} e ON e.dst = d.node
       LEFT JOIN dist u ON u.seed = d.seed AND u.node = e.src WHERE (d.depth = 1 AND e.src = d.seed) OR u.depth = d.depth - 1 GROUP BY d.seed, d.node, d.depth),
     walk AS (SELECT seed, depth AS step, parent AS node FROM par WHERE seed = node
-      UNION SELECT w.seed, w.step - 1, p.parent FROM walk w JOIN par p ON p.seed = w.seed AND p.node = w.node WHERE w.step > 1)""",
-)(lambda t: G.cycle_paths(t("cyc_edges"), t("ring_seeds")))
+      UNION SELECT w.seed, w.step - 1, p.parent FROM walk w JOIN par p ON p.seed = w.seed AND p.node = w.node WHERE w.step > 1)"""
+    )
+
+
+query("cycle_paths", "SELECT seed, step - 1 AS step, node FROM walk", walk("cyc_edges", "ring_seeds"))(lambda t: G.cycle_paths(t("cyc_edges"), t("ring_seeds")))
+query(
+    "circular_inheritance",
+    "SELECT seed, step - 1 AS step, node FROM walk",
+    "ext AS (SELECT src, dst FROM cyc_edges WHERE src % 7 <> 3), cls_seeds AS (SELECT s_suppkey AS seed FROM supplier)," + walk("ext", "cls_seeds"),
+)(
+    lambda t: G.circular_inheritance(
+        t("cyc_edges").select(F.col("src").alias("child"), F.col("dst").alias("parent"), F.when(F.col("src") % 7 != 3, "extends").otherwise("implements").alias("kind")),
+        t("supplier").select(F.col("s_suppkey").alias("seed")),
+    )
+)
 
 IMPACT = """
 changed AS (SELECT MAX(p_partkey) AS node FROM part WHERE p_size > 25 GROUP BY p_type),
@@ -134,6 +149,11 @@ query(
     UNION ALL SELECT 'cycle', node, NULL FROM scc""",
     DAG_ERR,
 )(lambda t: dag.dag_errors(broken_nodes(t), t("blocked_by").toDF("node", "dep")))
+query(
+    "dag_cycle_errors",
+    """SELECT seed AS component, COUNT(*) AS length, string_agg(CAST(node AS VARCHAR), ' -> ' ORDER BY step) || ' -> ' || CAST(seed AS VARCHAR) AS path FROM walk GROUP BY seed""",
+    DAG_ERR + ", heads AS (SELECT DISTINCT component AS seed FROM scc)," + walk("cyc", "heads"),
+)(lambda t: dag.cycle_errors(t("blocked_by").toDF("node", "dep")))
 query(
     "task_store_errors",
     """SELECT 'blocked_by_missing' AS error, id, dep AS other FROM blocked_by WHERE dep NOT IN (SELECT s_suppkey FROM supplier)
@@ -242,6 +262,36 @@ query("functions_by_module", "SELECT p_partkey, p_name FROM part WHERE p_brand =
 query("functions_by_name", "SELECT p_partkey, p_brand FROM part WHERE p_name = 'red widget'")(
     lambda t: store.lookup(t("part"), "p_name", "red widget").select("p_partkey", "p_brand")
 )
+CLASSES = """
+cls AS (SELECT s_suppkey AS id, 'C' || CAST(s_suppkey % 40 AS VARCHAR) AS name, 'm' || CAST(s_nationkey AS VARCHAR) AS module,
+  'src/m' || CAST(s_nationkey AS VARCHAR) || '/f' || CAST(s_suppkey % 90 AS VARCHAR) || '.ts' AS file_path, s_suppkey % 300 AS start_line FROM supplier),
+fun AS (SELECT p_partkey AS id, p_name AS name, 'm' || CAST(p_partkey % 25 AS VARCHAR) AS module, 'src/m' || CAST(p_partkey % 25 AS VARCHAR) || '/f' || CAST(p_partkey % 90 AS VARCHAR) || '.ts' AS file_path,
+  p_partkey % 300 AS start_line FROM part)
+"""
+
+
+def classes(t):
+    m = F.concat(F.lit("m"), F.col("s_nationkey").cast("string"))
+    path = F.concat(F.lit("src/"), m, F.lit("/f"), (F.col("s_suppkey") % 90).cast("string"), F.lit(".ts"))
+    return t("supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("C"), (F.col("s_suppkey") % 40).cast("string")).alias("name"), m.alias("module"), path.alias("file_path"), (F.col("s_suppkey") % 300).alias("start_line"))
+
+
+def functions(t):
+    m = F.concat(F.lit("m"), (F.col("p_partkey") % 25).cast("string"))
+    path = F.concat(F.lit("src/"), m, F.lit("/f"), (F.col("p_partkey") % 90).cast("string"), F.lit(".ts"))
+    return t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), m.alias("module"), path.alias("file_path"), (F.col("p_partkey") % 300).alias("start_line"))
+
+
+query("classes_by_name", "SELECT * FROM cls WHERE name = 'C7'", CLASSES)(lambda t: store.lookup(classes(t), "name", "C7"))
+query("classes_by_module", "SELECT * FROM cls WHERE module = 'm3'", CLASSES)(lambda t: store.lookup(classes(t), "module", "m3"))
+query("functions_by_id", "SELECT * FROM fun WHERE id = 11", CLASSES)(lambda t: store.lookup(functions(t), "id", 11))
+query("functions_by_file", "SELECT * FROM fun WHERE file_path = 'src/m7/f7.ts'", CLASSES)(lambda t: store.lookup(functions(t), "file_path", "src/m7/f7.ts"))
+query(
+    "module_table",
+    """SELECT module, COUNT(DISTINCT file_path) AS files, COUNT(*) FILTER (f) AS functions, COUNT(*) FILTER (NOT f) AS classes
+      FROM (SELECT module, file_path, TRUE AS f FROM fun UNION ALL SELECT module, file_path, FALSE FROM cls) GROUP BY module""",
+    CLASSES,
+)(lambda t: store.modules_of(functions(t), classes(t)))
 query(
     "language_stats",
     """SELECT CASE WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.ex' THEN 'elixir' WHEN path LIKE '%.rs' THEN 'rust' WHEN path LIKE '%.py' THEN 'python' ELSE 'unknown' END AS language,

@@ -398,11 +398,39 @@ def linter_outputs(t):
     return a, b
 
 
+def external(t):
+    return D.merge_findings(J.parse_list_linter(linter_outputs(t)[0], "ruff"), J.parse_issue_linter(linter_outputs(t)[1], "credo"))
+
+
+EXTERNAL = """SELECT 'lint' AS category, 'E501' AS rule, 'warning' AS severity, 'long' AS message, 'f' || CAST(o_custkey AS VARCHAR) AS file, o_orderkey % 90 AS line, 'ruff' AS source, 1.0::DOUBLE AS confidence FROM orders WHERE o_orderkey % 4 <> 0
+    UNION ALL SELECT 'Design', 'credo_design', CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 30 >= 20 THEN 'critical' WHEN o_orderkey % 5 <> 0 AND o_orderkey % 30 >= 10 THEN 'warning' ELSE 'info' END, 'todo', 'f' || CAST(o_custkey AS VARCHAR), o_orderkey % 7, 'credo', 1.0 FROM orders"""
 query(
     "external_findings",
-    """SELECT 'lint' AS category, 'E501' AS rule, 'warning' AS severity, 'long' AS message, 'f' || CAST(o_custkey AS VARCHAR) AS file, o_orderkey % 90 AS line, 'ruff' AS source, 1.0::DOUBLE AS confidence FROM orders WHERE o_orderkey % 4 <> 0
-    UNION ALL SELECT 'Design', 'credo_design', CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 30 >= 20 THEN 'critical' WHEN o_orderkey % 5 <> 0 AND o_orderkey % 30 >= 10 THEN 'warning' ELSE 'info' END, 'todo', 'f' || CAST(o_custkey AS VARCHAR), o_orderkey % 7, 'credo', 1.0 FROM orders""",
-)(lambda t: D.merge_findings(J.parse_list_linter(linter_outputs(t)[0], "ruff"), J.parse_issue_linter(linter_outputs(t)[1], "credo")))
+    EXTERNAL,
+)(external)
+
+
+def shown(counts):
+    """Counts by name as one text."""
+    return F.array_join(F.transform(F.array_sort(F.map_keys(counts)), lambda k: F.concat(k, F.lit("="), counts[k].cast("string"))), ",")
+
+
+def merged_reports(t):
+    files = t("customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file"))
+    own = t("customer").where("c_custkey % 6 = 0").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file"), F.lit("info").alias("severity"), F.lit("Design").alias("category"))
+    merged = D.merge_reports(D.reports(files, own), external(t))
+    return merged.select("file", "total", shown(F.col("by_severity")).alias("severities"), shown(F.col("by_category")).alias("categories"))
+
+
+query(
+    "merged_reports",
+    """SELECT file, CAST(COALESCE(n, 0) AS BIGINT) AS total, COALESCE(s, '') AS severities, COALESCE(c, '') AS categories FROM names
+      LEFT JOIN (SELECT file, SUM(n) AS n, string_agg(severity || '=' || CAST(n AS VARCHAR), ',' ORDER BY severity) AS s FROM (SELECT file, severity, COUNT(*) AS n FROM every GROUP BY ALL) GROUP BY file) USING (file)
+      LEFT JOIN (SELECT file, string_agg(category || '=' || CAST(n AS VARCHAR), ',' ORDER BY category) AS c FROM (SELECT file, category, COUNT(*) AS n FROM every GROUP BY ALL) GROUP BY file) USING (file)""",
+    f"""ext AS ({EXTERNAL}),
+    every AS (SELECT file, severity, category FROM ext UNION ALL SELECT 'f' || CAST(c_custkey AS VARCHAR), 'info', 'Design' FROM customer WHERE c_custkey % 6 = 0),
+    names AS (SELECT 'f' || CAST(c_custkey AS VARCHAR) AS file FROM customer WHERE c_custkey % 2 = 0 UNION SELECT file FROM ext)""",
+)(merged_reports)
 
 # -- clones ------------------------------------------------------------------------------
 NORM = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\"[^\"\\n]*\"|''[^''\\n]*''', chr(1), 'g'), '[\\p{L}_][\\p{L}\\p{N}_]*', chr(2), 'g'), '[0-9]+(\\.[0-9]+)?', chr(3), 'g'), '\\s+', ' ', 'g'))"

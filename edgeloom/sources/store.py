@@ -111,12 +111,19 @@ def without_repository(table: DataFrame, repo_id: str) -> DataFrame:
 
 
 def lookup(nodes: DataFrame, by: str, value) -> DataFrame:
-    """Nodes, classes or modules by id, name, module or file, in file and line order."""
+    """Rows of a node table (functions, classes, modules) by id, name, module or file, in file and line order."""
     order = [c for c in ("file_path", "start_line") if c in nodes.columns]
     found = nodes.filter(F.col(by) == value)
     return found.orderBy(*order) if order else found
 
 
+def modules_of(functions: DataFrame, classes: DataFrame) -> DataFrame:
+    """(module, files, functions, classes) of functions and classes (module, file_path): the module table of a repository."""
+    rows = functions.select("module", "file_path", F.lit(1).alias("f"), F.lit(0).alias("c")).unionByName(classes.select("module", "file_path", F.lit(0).alias("f"), F.lit(1).alias("c")))
+    per_file = rows.groupBy("module", "file_path").agg(F.sum("f").alias("f"), F.sum("c").alias("c"))
+    return per_file.groupBy("module").agg(F.count("*").alias("files"), F.sum("f").alias("functions"), F.sum("c").alias("classes"))
+
+
 def language_stats(files: DataFrame) -> DataFrame:
     """(language, file_count, line_count) of files(path, loc)."""
     from edgeloom.functions.paths import language
