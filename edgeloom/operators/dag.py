@@ -46,6 +46,17 @@ def layers(nodes: DataFrame, deps: DataFrame) -> DataFrame:
     return out.unionByName(rounds.filter("ready").select("node", F.col("round").alias("layer")))
 
 
+def node_table(nodes: DataFrame, deps: DataFrame, layered: DataFrame) -> DataFrame:
+    """nodes(node, ...) with ``depth``, ``blocked_by`` and ``blocks``: the layer and the numbers of edges out and in.
+
+    ``layered`` are the layers of the same graph; nodes without one (on or behind a cycle) are left out.
+    """
+    ends = deps.select(F.col("node"), F.lit(1).alias("out"), F.lit(0).alias("in_")).unionByName(deps.select(F.col("dep").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in_")))
+    counts = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in_").alias("in_"))
+    rows = layered.where("layer IS NOT NULL").withColumnRenamed("layer", "depth").join(nodes, "node").join(counts, "node", "left")
+    return rows.select(*nodes.columns, "depth", F.coalesce("out", F.lit(0)).alias("blocked_by"), F.coalesce("in_", F.lit(0)).alias("blocks"))
+
+
 def layer_sizes(layered: DataFrame) -> DataFrame:
     return layered.filter("layer IS NOT NULL").groupBy("layer").agg(F.count("*").alias("nodes"))
 

@@ -375,13 +375,18 @@ def create_or_reuse(requests: DataFrame, tasks: DataFrame) -> DataFrame:
 def integration_branch(requests: DataFrame, tasks: DataFrame) -> DataFrame:
     """(issue, branch, problem): branch of each positive requested issue; missing tasks and mismatches are marked.
 
-    The expected branch is that of the smallest issue that has a task.
+    The expected branch is that of the smallest issue that has a task; it is read by a scalar subquery, not by a join.
     """
     wanted = requests.filter("issue > 0").select("issue").distinct()
     rows = wanted.join(representative_tasks(tasks).select("issue", "branch"), "issue", "left")
-    expected = rows.agg(F.min_by("branch", F.when(F.col("branch").isNotNull(), F.col("issue"))).alias("expected")).withColumn("k", F.lit(1))
-    problem = F.when(F.col("branch").isNull(), "missing_task").when(F.col("branch") != F.col("expected"), "branch_mismatch")
-    return rows.withColumn("k", F.lit(1)).join(expected, "k").select("issue", "branch", problem.alias("problem"))
+    expected = rows.agg(F.min_by("branch", F.when(F.col("branch").isNotNull(), F.col("issue"))).alias("expected"))
+    problem = F.when(F.col("branch").isNull(), "missing_task").when(F.col("branch") != expected.scalar(), "branch_mismatch")
+    return rows.select("issue", "branch", problem.alias("problem"))
+
+
+def issue_numbers(tasks: DataFrame, column: str = "issue") -> DataFrame:
+    """(issue): the distinct positive numbers of a column; null and other numbers drop."""
+    return tasks.select(F.col(column).alias("issue")).filter("issue > 0").distinct()
 
 
 def declared_dependencies(issues: DataFrame, inferred: DataFrame, grammar: str = "line") -> DataFrame:

@@ -356,4 +356,4 @@ query(
     f"""SELECT issue, nd AS needs_done, aux AS has_aux FROM (SELECT issue, len(bad) = 0 AND len(st) > 0 AND (len(st) > 1 OR st[1] <> 'bot:done') AS nd, list_has_any(labels, {AUX}) AS aux FROM lc WHERE state = 'closed') WHERE nd OR aux""",
     LAB,
 )(lambda t: L.clean_closed(issues(t)))
-query("issue_numbers", "SELECT DISTINCT o_custkey AS issue FROM orders WHERE o_custkey > 0")(lambda t: t("orders").filter("o_custkey > 0").select(F.col("o_custkey").alias("issue")).distinct())
+query("issue_numbers", "SELECT DISTINCT o_custkey AS issue FROM orders WHERE o_custkey > 0")(lambda t: L.issue_numbers(t("orders"), "o_custkey"))

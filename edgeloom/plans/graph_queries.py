@@ -121,10 +121,7 @@ query(
       (SELECT COUNT(*) FROM dag_edges e WHERE e.dst = l.node) AS blocks FROM lay l JOIN tasks t ON t.id = l.node""",
     LONGEST,
 )(
-    lambda t: part_layers(t).toDF("id", "depth").join(t("tasks").select("id", "status"), "id")
-    .join(t("dag_edges").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("d")), "id", "left")
-    .join(t("dag_edges").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("b")), "id", "left")
-    .select("id", "status", "depth", F.coalesce("d", F.lit(0)).alias("blocked_by"), F.coalesce("b", F.lit(0)).alias("blocks"))
+    lambda t: dag.node_table(t("tasks").select(F.col("id").alias("node"), "status"), t("dag_edges").toDF("node", "dep"), part_layers(t)).withColumnRenamed("node", "id")
 )
 
 CLOSURE = """

@@ -63,8 +63,9 @@ query(
 )
 query(
     "first_calls",
-    """SELECT l_orderkey AS file, l_returnflag AS callee, MIN(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey, l_returnflag""",
-)(lambda t: t("lineitem").groupBy(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("callee")).agg(F.min("l_linenumber").alias("line")))
+    """SELECT l_orderkey AS file, l_returnflag AS callee, l_linenumber AS line, l_partkey AS target FROM lineitem
+      QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey) = 1""",
+)(lambda t: J.first_calls(t("lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_returnflag").alias("callee"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("target"))))
 SPELL = """
 tg AS (SELECT o_orderkey AS source, CASE o_orderkey % 4 WHEN 0 THEN 'src/c' WHEN 1 THEN './c' WHEN 2 THEN 'c' ELSE 'lost/c' END || CAST(o_custkey AS VARCHAR) AS target FROM orders),
 kn AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'c' WHEN 1 THEN 'src/c' ELSE './c' END || CAST(c_custkey AS VARCHAR) AS path FROM customer),

@@ -69,6 +69,16 @@ def distinct_calls(records: DataFrame) -> DataFrame:
     return records.select(F.col("sourcePath").alias("path"), F.explode(F.filter(names, lambda n: n != "")).alias("callee"))
 
 
+def first_calls(calls: DataFrame, order: str = "line") -> DataFrame:
+    """The whole row of the first call of each callee in a file, by ``order``; of equal ones the least row.
+
+    calls(file, callee, <order>, ...). An aggregate, so calls of one file combine before the shuffle.
+    """
+    rest = [c for c in calls.columns if c not in ("file", "callee", order)]
+    first = F.min(F.struct(order, *rest)).alias("first")
+    return calls.groupBy("file", "callee").agg(first).select("file", "callee", *[F.col(f"first.{c}").alias(c) for c in (order, *rest)])
+
+
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
     """(value) one row per commit of a ``__COMMIT__``-separated log."""
     return spark.read.option("lineSep", "__COMMIT__").text(path)
