@@ -420,6 +420,30 @@ def event_findings(events: DataFrame, modules: DataFrame, relations: DataFrame)
     return orphans.unionByName(ghosts).unionByName(missing).unionByName(reverse)
 
 
+def event_links(events: DataFrame, relations: DataFrame) -> DataFrame:
+    """(event, consumer, producers, linked, missing, reversed) for each consumer of an event that has producers.
+
+    Counts of the producer-consumer pairs of an event without listing them: ``producers`` pairs are wanted, ``linked`` have
+    the edge producer to consumer, ``missing`` have not, ``reversed`` have the edge back. Only edges that exist are joined
+    with the two sides, so the work follows the relations and the membership lists, never producers times consumers.
+    Repeated names in a list count once.
+    """
+    side = lambda c, name: events.select(F.col("name").alias("event"), F.explode(F.array_distinct(c)).alias(name))
+    makers, takers = side("producers", "producer"), side("consumers", "consumer")
+    edges = relations.select("caller", "callee").distinct()
+
+    def met(maker: str, taker: str, name: str) -> DataFrame:
+        rows = edges.select(F.col(maker).alias("producer"), F.col(taker).alias("consumer")).join(makers, "producer")
+        return rows.join(takers, ["event", "consumer"], "left_semi").groupBy("event", "consumer").agg(F.count("*").alias(name))
+
+    wanted = makers.groupBy("event").agg(F.count("*").alias("producers"))
+    rows = takers.join(wanted, "event")
+    for found in (met("caller", "callee", "linked"), met("callee", "caller", "reversed")):
+        rows = rows.join(found, ["event", "consumer"], "left")
+    rows = rows.fillna(0, ["linked", "reversed"])
+    return rows.select("event", "consumer", "producers", "linked", (F.col("producers") - F.col("linked")).alias("missing"), "reversed")
+
+
 def contract_complexity(contracts: DataFrame, flows: DataFrame, events: DataFrame, expected: DataFrame) -> DataFrame:
     """(module_id, contract, complexity) from kind, flow and event membership and out edges."""
     in_flow = flow_steps(flows).select(F.explode(F.array(*EDGE)).alias("module_id")).distinct().withColumn("in_flow", F.lit(True))

@@ -118,6 +118,12 @@ def line_rules(names: str = CREDENTIAL_NAMES) -> list[Rule]:
     ]
 
 
+def near_handlers() -> Column:
+    """Lines that a rule with next_text or next_code can hit: all others are judged by themselves."""
+    text, lang = F.trim("text"), F.col("lang")
+    return ((lang == "python") & text.startswith("except")) | ((lang == "elixir") & text.startswith("rescue"))
+
+
 def with_next(lines: DataFrame, **split) -> DataFrame:
     """Adds next_text (the following line) and next_code (the next line that is neither blank nor comment)."""
     back = lines.withColumn("_back", -F.col("line"))
@@ -150,6 +156,19 @@ def scan(lines: DataFrame, rules: list[Rule], categories: set[str] | None = None
     return kept.select("file", "line", F.explode(hits).alias("h"), F.trim("text").alias("code")).select("file", "line", "h.*", "code")
 
 
+def scan_lines(lines: DataFrame, rules: list[Rule], categories: set[str] | None = None) -> DataFrame:
+    """:func:`scan` with all of :func:`line_rules`: only files that hold a handler line are ordered to find what follows it.
+
+    All other lines are judged where they are read, without a shuffle.
+    """
+    handler = F.coalesce(near_handlers(), F.lit(False))
+    files = lines.filter(handler).select("file").distinct()
+    followed = with_next(lines.join(files, "file", "left_semi")).filter(handler)
+    nothing = F.lit(None).cast("string")
+    alone = lines.filter(~handler).withColumns({"next_text": nothing, "next_code": nothing})
+    return scan(alone.unionByName(followed), rules, categories)
+
+
 def document_lines(docs: DataFrame, patterns: list[str], words: tuple[str, ...] = ()) -> DataFrame:
     """Lines (file, line, text, lang) of docs(file, text, lang) that can match at all.
 

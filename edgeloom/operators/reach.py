@@ -109,6 +109,41 @@ def impact(edges: DataFrame, changed: DataFrame, hops: int = 3) -> DataFrame:
     return direct.unionByName(up).unionByName(down)
 
 
+def search_groups(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, relation, home, found): :func:`search` with the members of the seed's file and module as counts.
+
+    ``relation`` is same_file or same_module, ``home`` that file or module, and ``found`` the number of its nodes that no
+    nearer relation has; those nodes are the rows of ``nodes`` in that home. Group sizes are counted once for all seeds and
+    corrected by the callers and callees, so a large module is never paired with its seeds. A node has one row in ``nodes``.
+    """
+    homes = nodes.select(F.col("id").alias("node"), "file", "module")
+    wanted = seeds.select("seed").distinct()
+    own = wanted.join(homes.withColumnRenamed("node", "seed"), "seed")
+    near = reach(edges, wanted, depth, reverse=True).select(*PAIR).unionByName(reach(edges, wanted, depth).select(*PAIR))
+    near = near.distinct().filter("seed <> node").join(homes, "node")
+    at = own.select("seed", F.col("file").alias("own_file"), F.col("module").alias("own_module"))
+    here, there = (F.coalesce(F.col(c) == F.col(f"own_{c}"), F.lit(False)) for c in ("file", "module"))
+    taken = near.join(at, "seed").groupBy("seed").agg(
+        F.count_if(here).alias("near_file"), F.count_if(there & ~here).alias("near_module")
+    )
+    cells = nodes.groupBy("file", "module").agg(F.count("*").alias("in_both"))
+    files = nodes.groupBy("file").agg(F.count("*").alias("in_file"))
+    modules = nodes.groupBy("module").agg(F.count("*").alias("in_module"))
+    sized = own.join(taken, "seed", "left")
+    for table, keys in ((files, ["file"]), (modules, ["module"]), (cells, ["file", "module"])):
+        sized = sized.join(table, keys, "left")
+    sized = sized.fillna(0, ["near_file", "near_module", "in_file", "in_module", "in_both"])
+    alone = F.when(F.col("file").isNull(), 1).otherwise(0)  # the seed itself, where no file counts it
+    counts = F.array(
+        F.struct(F.lit("same_file").alias("relation"), F.col("file").alias("home"), (F.col("in_file") - 1 - F.col("near_file")).alias("found")),
+        F.struct(
+            F.lit("same_module").alias("relation"), F.col("module").alias("home"),
+            (F.col("in_module") - F.col("in_both") - alone - F.col("near_module")).alias("found"),
+        ),
+    )
+    return sized.select("seed", F.explode(counts).alias("c")).select("seed", "c.*").filter("home IS NOT NULL AND found > 0")
+
+
 def search(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, relation, depth): callers, callees, same file, same module; first relation wins."""
     callers = reach(edges, seeds, depth, reverse=True).select(*PAIR, F.lit(0).alias("rank"), "depth")

@@ -258,6 +258,20 @@ def module_refs(text: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(F.array_distinct(raw), head)))
 
 
+def referenced_modules(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """(key, ref, module): dotted names in texts(key, text) that names(name, module) knows, or whose longest known head it is.
+
+    Each reference is looked up with all its heads of two segments or more by one equi join; the longest one that is known
+    counts. Of repeated names the least module counts.
+    """
+    refs = texts.select(key, F.explode(module_refs(F.col("text"))).alias("ref")).distinct()
+    parts = F.split("ref", r"\.")
+    heads = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, 1, n), ".").alias("name")))
+    known = names.groupBy("name").agg(F.min("module").alias("module"))
+    found = refs.select(key, "ref", F.explode(heads).alias("h")).select(key, "ref", "h.*").join(known, "name")
+    return found.groupBy(key, "ref").agg(F.max_by("module", "n").alias("module"))
+
+
 def export_module_map(entries: DataFrame, grain: str = "file") -> DataFrame:
     """(key, module): first entry per file or per folder wins; entries(pos, path, module_id)."""
     if grain not in ("file", "dir"):

@@ -317,6 +317,32 @@ query(
 )(lambda t: C.event_findings(event_decls(t), t("modules"), rel(t)))
 
 
+LINK_SQL = """
+ep AS (SELECT DISTINCT 'part_' || CAST(l_partkey AS VARCHAR) AS event, n_name AS producer FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey),
+ec AS (SELECT DISTINCT 'part_' || CAST(l_partkey AS VARCHAR) AS event, n_name AS consumer FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
+lr AS (SELECT DISTINCT caller, callee FROM relations WHERE (length(caller) * 2 + length(callee)) % 3 <> 0)
+"""
+
+
+def part_events(t):
+    """One event per part: nations that supply it produce, nations that order it consume."""
+    lines, nation = t("lineitem"), t("nation").select("n_nationkey", "n_name")
+    name = F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name")
+    of = lambda rows, key, side: rows.join(nation, F.col(key) == F.col("n_nationkey")).groupBy(name).agg(F.collect_set("n_name").alias(side))
+    made = of(lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")), "s_nationkey", "producers")
+    ordered = lines.join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return made.join(of(ordered, "c_nationkey", "consumers"), "name")
+
+
+query(
+    "event_links",
+    """SELECT c.event, c.consumer, COUNT(*) AS producers, COUNT(r.caller) AS linked, COUNT(*) - COUNT(r.caller) AS missing, COUNT(b.caller) AS reversed
+    FROM ec c JOIN ep p ON p.event = c.event LEFT JOIN lr r ON r.caller = p.producer AND r.callee = c.consumer LEFT JOIN lr b ON b.callee = p.producer AND b.caller = c.consumer
+    GROUP BY c.event, c.consumer""",
+    LINK_SQL,
+)(lambda t: C.event_links(part_events(t), rel(t).filter((F.length("caller") * 2 + F.length("callee")) % 3 != 0)))
+
+
 def decl_contracts(t):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("crud", "query", "command")]), F.col("n_nationkey") % 3 + 1)
     return t("nation").select(F.col("n_name").alias("module_id"), F.lit("main").alias("name"), kind.alias("kind"))

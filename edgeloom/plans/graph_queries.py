@@ -91,6 +91,12 @@ query("graph_search", SEARCH_ROWS, SEARCH)(lambda t: G.search(t("dag_edges"), se
 query("graph_search_counts", f"SELECT relation, COUNT(*) AS n FROM ({SEARCH_ROWS}) GROUP BY relation", SEARCH)(
     lambda t: G.search(t("dag_edges"), search_nodes(t), t("seeds"), 2).groupBy("relation").agg(F.count("*").alias("n"))
 )
+query(
+    "graph_search_groups",
+    f"""SELECT seed, relation, CASE relation WHEN 'same_file' THEN h.p_name || '/' || h.p_type || '/' || CAST(h.p_size AS VARCHAR) ELSE h.p_brand END AS home, COUNT(*) AS found
+    FROM ({SEARCH_ROWS}) JOIN part h ON h.p_partkey = seed WHERE relation IN ('same_file', 'same_module') GROUP BY ALL""",
+    SEARCH,
+)(lambda t: G.search_groups(t("dag_edges"), search_nodes(t), t("seeds"), 2))
 query(
     "functions_changed_by_commit",
     """SELECT f.commit_hash, f.function_id, f.change_type, p.p_name AS name FROM commit_functions f JOIN part p ON p.p_partkey = f.function_id

@@ -10,6 +10,7 @@ from edgeloom.operators import evidence as E
 from edgeloom.operators import findings as D
 from edgeloom.operators import history as H
 from edgeloom.plans.registry import query
+from edgeloom.session import Scratch
 from edgeloom.plans.text_queries import MODULE_SQL
 from edgeloom.sources import documents as S
 from edgeloom.sources import records as J
@@ -67,6 +68,20 @@ query(
     LEFT JOIN (SELECT hash, SUM(CASE WHEN add = 7 THEN 0 ELSE add END + del) AS n, arg_min(path, line_no) AS p FROM changed_files GROUP BY hash) s ON s.hash = c.hash LEFT JOIN mod_of m ON m.path = s.p""",
     "fp AS (SELECT DISTINCT path FROM changed_files)," + MODULE_SQL,
 )(lambda t: J.parse_commits(commit_log(t)).drop("files"))
+
+
+def log_from_files(t):
+    """The first copies of the log, written as log files and read back record by record."""
+    folder = Scratch(t.spark, "log").root
+    commit_log(t).filter("ord < 1000000000").select("value").write.option("lineSep", "__COMMIT__").text(folder)
+    return J.read_commit_log(t.spark, folder)
+
+
+query(
+    "commit_log_files",
+    """SELECT c.hash, c.message, c.author, c.date, COUNT(f.path) AS files, COALESCE(SUM(CASE WHEN f.add = 7 THEN 0 ELSE f.add END + f.del), 0)::BIGINT AS total_lines
+    FROM commits c LEFT JOIN changed_files f ON f.hash = c.hash GROUP BY ALL""",
+)(lambda t: J.parse_commits(log_from_files(t)).select("hash", "message", "author", "date", F.size("files").cast("bigint").alias("files"), "total_lines"))
 query(
     "parsed_changed_files",
     """SELECT hash, path, CASE WHEN add = 7 THEN 0 ELSE add END AS add, del, CASE WHEN lower(path) LIKE '%controller%' THEN 'controller' WHEN lower(path) LIKE '%model%' THEN 'model' WHEN lower(path) LIKE '%trait%' THEN 'trait'
@@ -340,6 +355,38 @@ query(
       WHEN NOT ends_with(p, '.rs') AND starts_with(o, 'type X interface') THEN 'human' ELSE 'assist' END AS tier FROM hn""",
     CONF,
 )(lambda t: R.conflict_tiers(hunked(t)))
+FILLED = "list_filter(list_transform(string_split({x}, chr(10)), lambda v: trim(v)), lambda v: v <> '')"
+BARE = (
+    "regexp_replace(array_to_string(list_filter(" + FILLED.format(x=r"regexp_replace({x}, '(?ms)^\s*/\*.*?(\*/|\z)', '', 'g')")
+    + ", lambda v: NOT (starts_with(v, '//') OR starts_with(v, '*/') OR starts_with(v, '<!--') OR starts_with(v, '-->') OR (hashed AND starts_with(v, '#')))), ''), '\\s+', '', 'g')"
+)
+# one row per side of a hunk, then per hunk, then per file
+TIERS = CONF.replace("conflict_docs", "tier_docs").replace("SELECT doc, path, regexp", "SELECT doc, path, text, regexp") + r""",
+sd AS (SELECT doc, path, text, i, side, p, regexp_matches(p, '\.(md|markdown|yml|yaml|toml|sh|py|ini|conf|txt|gitignore)$') AS hashed, ends_with(p, '.rs') AS rust, x
+  FROM (SELECT doc, path, text, p, unnest(range(1, n + 1)) AS i, ours, theirs FROM (SELECT *, lower(path) AS p, len(ours) AS n FROM hk WHERE NOT bad)), LATERAL (SELECT 'o' AS side, ours[i] AS x UNION ALL SELECT 't', theirs[i])),
+fl AS (SELECT *, """ + FILLED.format(x="x") + " AS f, " + BARE.format(x="x") + r""" AS bare FROM sd),
+hs AS (SELECT doc, path, text, i, COUNT(DISTINCT bare) = 1 AS same, SUM(len(f)) AS lines, MAX(len(f)) <= 12 AS small,
+  bool_or(CASE WHEN rust THEN len(list_filter(f, lambda v: regexp_matches(v, '^(trait |pub trait |impl |impl<|unsafe |macro_rules!)'))) > 0
+    ELSE len(list_filter(f, lambda v: (contains(lower(v), 'type ') AND contains(lower(v), ' interface')) OR contains(lower(v), 'interface{'))) > 0 END) AS core,
+  bool_and(len(list_filter(f, lambda v: regexp_matches(v, '^(import\s+)?(([A-Za-z_][A-Za-z0-9_]*|\.)\s+)?"\S*"\s*(//.*)?$'))) > 0
+    AND len(list_filter(f, lambda v: NOT regexp_matches(v, '^(import\s+)?(([A-Za-z_][A-Za-z0-9_]*|\.)\s+)?"\S*"\s*(//.*)?$') AND NOT regexp_matches(v, '^(\(|\)|//.*)$'))) = 0) AS imports,
+  bool_and(rust AND len(list_filter(f, lambda v: regexp_matches(v, '^use\s+[\w:]+(::\{\s*[\w\s,]+\s*\})?\s*;\s*$'))) > 0
+    AND len(list_filter(f, lambda v: NOT regexp_matches(v, '^use\s+[\w:]+(::\{\s*[\w\s,]+\s*\})?\s*;\s*$') AND NOT starts_with(v, '//'))) = 0) AS uses,
+  bool_and(len(f) > 0 AND len(list_filter(f, lambda v: NOT regexp_matches(v, '^(alias|import|use) '))) = 0) AS light
+  FROM fl GROUP BY doc, path, text, i),
+fs AS (SELECT doc, path, text, COUNT(*) AS n, bool_and(same) AS same, SUM(lines) AS lines, bool_and(small) AS small, bool_or(core) AS core, bool_and(imports) AS imports, bool_and(uses) AS uses, bool_and(light) AS light FROM hs GROUP BY doc, path, text)
+"""
+query(
+    "conflict_tier_rules",
+    """SELECT k.doc, k.path, CASE WHEN n IS NULL THEN 'human'
+      WHEN starts_with(k.path, 'docs/') OR starts_with(k.path, '.github/') OR ends_with(lower(k.path), '.md') OR ends_with(lower(k.path), '.mdx') THEN
+        CASE WHEN n <= 3 THEN 'auto' WHEN core OR n > 6 OR lines > 120 THEN 'human' WHEN imports OR (n <= 2 AND small) THEN 'assist' ELSE 'human' END
+      WHEN same THEN 'auto'
+      WHEN contains(lower(k.path), 'migration') OR ends_with(lower(k.path), '.sql') OR n > 6 OR core OR lines > 120 THEN 'human'
+      WHEN imports OR uses OR (regexp_matches(lower(k.path), '[.]exs?$') AND n <= 3 AND small AND light) OR (n <= 2 AND small) THEN 'assist' ELSE 'human' END AS tier
+    FROM hk k LEFT JOIN fs ON fs.doc = k.doc AND fs.path = k.path AND fs.text = k.text WHERE NOT k.bad""",
+    TIERS,
+)(lambda t: R.conflict_tiers(R.conflict_hunks(t.wide("tier_docs"))))
 query(
     "conflict_profiles",
     """SELECT DISTINCT CASE WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.ex' THEN 'elixir' WHEN path LIKE '%.rs' THEN 'rust' END AS profile, path FROM part_paths""",

@@ -368,6 +368,24 @@ SELECT l_orderkey * 10 + l_linenumber AS doc,
        || CASE WHEN l_partkey % 37 = 0 THEN chr(10) || '<<<<<<< ours' || chr(10) || 'open' ELSE '' END AS text
 FROM lineitem
 """
+# Merge conflicts of every kind that the tier rules tell apart: many paths, hunk counts and sides.
+INPUTS["tier_docs"] = """
+SELECT DISTINCT l_orderkey * 10 + l_linenumber AS doc,
+       CASE l_partkey % 13 WHEN 0 THEN 'docs/a.rb' WHEN 1 THEN '.github/w.cfg' WHEN 2 THEN 'a/READ.MD' WHEN 3 THEN 'b.mdx' WHEN 4 THEN 'db/Migration_1.rb' WHEN 5 THEN 'q.sql'
+            WHEN 6 THEN 'src/lib.rs' WHEN 7 THEN 'lib/a.ex' WHEN 8 THEN 'lib/b.exs' WHEN 9 THEN 'pkg/main.go' WHEN 10 THEN 'conf/x.yml' WHEN 11 THEN 'web/app.ts' ELSE 'a/b.rs' END AS path,
+       'head' || chr(10) || repeat('<<<<<<< ours' || chr(10)
+       || CASE l_orderkey % 17 WHEN 0 THEN 'import "fmt"' WHEN 1 THEN '(' || chr(10) || '_ "os"' || chr(10) || ')' WHEN 2 THEN 'use a::b;' WHEN 3 THEN 'alias A.B' WHEN 4 THEN '// note'
+               WHEN 5 THEN '# hash' WHEN 6 THEN '/* block' || chr(10) || ' more */ x = 1' WHEN 7 THEN '<!-- m -->' || chr(10) || 'x=1' WHEN 8 THEN 'type X interface {' WHEN 9 THEN 'a'
+               WHEN 10 THEN 'impl X' WHEN 11 THEN 'a' WHEN 12 THEN ' unsafe { }' WHEN 13 THEN repeat('x = 1' || chr(10), 13) WHEN 14 THEN repeat('x = 1' || chr(10), 70) WHEN 15 THEN 'x = 1' ELSE '' END || chr(10)
+       || '=======' || chr(10)
+       || CASE l_orderkey % 17 WHEN 0 THEN 'import "os" // c' WHEN 1 THEN 'x "y"' WHEN 2 THEN 'use a::{c, d};' || chr(10) || '// n' WHEN 3 THEN 'import A' || chr(10) || chr(10) || ' use B' WHEN 4 THEN '// other  note'
+               WHEN 5 THEN '' WHEN 6 THEN 'x   = 1' WHEN 7 THEN 'x =' || chr(10) || '1' WHEN 8 THEN 'b' WHEN 9 THEN 'var i interface{}'
+               WHEN 10 THEN 'b' WHEN 11 THEN '  pub trait Y' WHEN 12 THEN 'macro_rules! m' WHEN 13 THEN 'b' WHEN 14 THEN repeat('y = 2' || chr(10), 60) WHEN 15 THEN 'x = 2' ELSE '' END || chr(10)
+       || '>>>>>>> theirs' || chr(10), CAST(l_suppkey % 8 AS INT))
+       || CASE WHEN l_linenumber = 2 THEN '<<<<<<< ours' || chr(10) || 'alias Z' || chr(10) || '=======' || chr(10) || '// z' || chr(10) || '>>>>>>> theirs' || chr(10) ELSE '' END
+       || CASE WHEN l_partkey % 37 = 0 THEN '<<<<<<< ours' || chr(10) || 'open' ELSE '' END AS text
+FROM lineitem
+"""
 
 
 def _words(sql: str) -> set[str]:

@@ -61,6 +61,21 @@ query(
         )
     )
 )
+query(
+    "distinct_imports",
+    """SELECT DISTINCT 'ord/' || CAST(l_orderkey AS VARCHAR) AS path, l_returnflag AS kind, 'pkg ' || l_linestatus AS specifier FROM lineitem WHERE l_linenumber % 5 <> 0 AND l_linenumber % 3 <> 0""",
+)(
+    lambda t: J.distinct_imports(
+        t("lineitem").groupBy(F.concat(F.lit("ord/"), F.col("l_orderkey").cast("string")).alias("sourcePath")).agg(
+            F.collect_list(
+                F.struct(
+                    F.when(F.col("l_linenumber") % 3 == 0, "  ").otherwise(F.concat(F.lit(" pkg \t "), "l_linestatus", F.lit("\n"))).alias("specifier"),
+                    F.when(F.col("l_linenumber") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "l_returnflag")).alias("kind"),
+                )
+            ).alias("imports")
+        )
+    )
+)
 query(
     "first_calls",
     """SELECT l_orderkey AS file, l_returnflag AS callee, l_linenumber AS line, l_partkey AS target FROM lineitem
@@ -139,6 +154,26 @@ query(
     r"""SELECT DISTINCT doc_id, ref FROM (SELECT doc_id, regexp_extract(raw, '^([A-Z][A-Za-z0-9_]*(?:\.[A-Z][A-Za-z0-9_]*)+)', 1) AS ref
       FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, '. ', '.'), '([A-Z][A-Za-z0-9_.]*)', 1)) AS raw FROM documents)) WHERE ref <> ''""",
 )(lambda t: t.wide("documents").select("doc_id", F.explode(R.module_refs(F.replace("text", F.lit(". "), F.lit(".")))).alias("ref")))
+REF_SQL = r"""
+rf AS (SELECT DISTINCT doc_id, ref FROM (SELECT doc_id, regexp_extract(raw, '^([A-Z][A-Za-z0-9_]*(?:\.[A-Z][A-Za-z0-9_]*)+)', 1) AS ref
+  FROM (SELECT doc_id, unnest(regexp_extract_all(replace(text, '. ', '.'), '([A-Z][A-Za-z0-9_.]*)', 1)) AS raw FROM documents)) WHERE ref <> ''),
+hd AS (SELECT doc_id, ref, n, array_to_string(string_split(ref, '.')[1:n], '.') AS name FROM (SELECT doc_id, ref, unnest(range(2, len(string_split(ref, '.')) + 1)) AS n FROM rf)),
+nm AS (SELECT DISTINCT name, CASE n WHEN 2 THEN 'two' ELSE 'three' END || CAST(length(name) AS VARCHAR) AS module FROM hd WHERE n <= 3 AND length(name) % 3 <> n - 2)
+"""
+
+
+def known_names(t):
+    """Two and three leading segments of names that the documents hold, some left out."""
+    refs = t.wide("documents").select(F.explode(R.module_refs(F.replace("text", F.lit(". "), F.lit(".")))).alias("ref")).distinct()
+    head = lambda n: F.array_join(F.slice(F.split("ref", r"\."), 1, n), ".").alias("name")
+    two = refs.select(head(2), F.lit("two").alias("kind")).filter("length(name) % 3 <> 0")
+    three = refs.filter(F.size(F.split("ref", r"\.")) >= 3).select(head(3), F.lit("three").alias("kind")).filter("length(name) % 3 <> 1")
+    return two.unionByName(three).distinct().select("name", F.concat("kind", F.length("name").cast("string")).alias("module"))
+
+
+query("referenced_modules", "SELECT h.doc_id, h.ref, arg_max(m.module, h.n) AS module FROM hd h JOIN nm m ON m.name = h.name GROUP BY h.doc_id, h.ref", REF_SQL)(
+    lambda t: R.referenced_modules(t.wide("documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".")).alias("text")), known_names(t), "doc_id")
+)
 query(
     "side_effect_flags",
     """SELECT page_id, contains(html, 'async ') OR contains(html, 'await ') AS has_async, contains(html, 'fetch(') OR contains(html, 'axios') OR contains(html, 'ky(') AS has_http,
@@ -216,7 +251,7 @@ hit AS ({SECURITY.replace('{src}', 'cm')}
 
 
 def all_findings(t):
-    return D.scan(D.with_next(t.wide("code_lines")), D.line_rules())
+    return D.scan_lines(t.wide("code_lines"), D.line_rules())
 
 
 query("line_findings", f"SELECT file, line, rule, category, severity, confidence, trim(text) AS code FROM hit WHERE {NOT_TEST}", ALL_RULES)(all_findings)
@@ -256,6 +291,12 @@ def doc_findings(t):
     return D.scan(D.document_lines(docs, patterns, D.SECURITY_WORDS), rules)
 
 
+def found_snippets(t, hits):
+    """Snippets of written hits: the documents' rules run once."""
+    docs = t.wide("documents").select(F.col("doc_id").cast("string").alias("file"), "text")
+    return D.snippets(S.numbered_lines(docs.join(hits, "file", "left_semi"), "file"), hits)
+
+
 query(
     "document_findings",
     f"SELECT file, line, rule, category, severity, confidence, trim(text) AS code FROM ({SECURITY.replace('{src}', 'dl').replace(m(CRED), m(TOKEN))})",
@@ -267,9 +308,7 @@ query(
     FROM (SELECT DISTINCT file, line FROM ({SECURITY.replace('{src}', 'dl').replace(m(CRED), m(TOKEN))})) h JOIN dl l ON l.file = h.file AND l.line BETWEEN h.line - 2 AND h.line + 2 GROUP BY h.file, h.line""",
     DOC_LINES,
 )(
-    lambda t: D.snippets(
-        S.numbered_lines(t.wide("documents").select(F.col("doc_id").cast("string").alias("file"), "text").join(doc_findings(t).select("file"), "file", "left_semi"), "file"), doc_findings(t)
-    )
+    lambda t: found_snippets(t, Scratch(t.spark, "hits").save(doc_findings(t).select("file", "line").distinct(), "hits"))
 )
 NORMAL = "trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 query(

@@ -69,6 +69,15 @@ def distinct_calls(records: DataFrame) -> DataFrame:
     return records.select(F.col("sourcePath").alias("path"), F.explode(F.filter(names, lambda n: n != "")).alias("callee"))
 
 
+def distinct_imports(records: DataFrame) -> DataFrame:
+    """(path, kind, specifier): distinct imports per file, trimmed, specifiers with collapsed blanks; empty parts drop out."""
+    blanks = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    ends = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = F.array_distinct(F.transform("imports", lambda i: F.struct(ends(i["kind"]).alias("kind"), blanks(i["specifier"]).alias("specifier"))))
+    named = records.select(F.col("sourcePath").alias("path"), F.explode(F.array_sort(rows)).alias("i"))
+    return named.select("path", "i.*").filter("kind <> '' AND specifier <> ''")
+
+
 def first_calls(calls: DataFrame, order: str = "line") -> DataFrame:
     """The whole row of the first call of each callee in a file, by ``order``; of equal ones the least row.
 
