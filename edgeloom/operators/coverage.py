@@ -96,29 +96,49 @@ def _expected_weak() -> Column:
     return (F.col("contract.edge_class") == "workflow_contract") & (F.col("contract.action_steps") == 1) & (F.col("contract.branch_hints") == 0)
 
 
-def scenario_lint(scenarios: DataFrame, steps: DataFrame, instructions: DataFrame, contracts: DataFrame) -> DataFrame:
-    """(doc, segment, id, rule): structure and assertion rules, one aggregate over all steps.
+COUNTS = ("thens", "weak_thens", "strong_thens", "async_acts", "eventually", "snapshots", "seed_thens", "io_asserts", "interactions")
 
-    Scenarios without any step are included; an unknown instruction counts as weak.
-    """
-    known = steps.join(instructions.drop("kind"), "name", "left")
+
+def _step_counts() -> list[Column]:
+    """What the lint counts over the steps of a scenario, joined with the instructions; headers count as nothing."""
     then, when = F.col("kind") == "then", F.col("kind") == "when"
     strong = F.coalesce(F.col("assert_class").isin(*STRONG), F.lit(False))
     weak = F.col("assert_class").isNull() | (F.col("assert_class") == "weak")
-    facts = known.groupBy("doc", "segment").agg(
-        F.count_if(then).alias("thens"),
-        F.count_if(then & weak).alias("weak_thens"),
-        F.count_if(then & strong).alias("strong_thens"),
-        F.count_if(when & F.coalesce("is_async", F.lit(False))).alias("async_acts"),
-        F.count_if(then & F.coalesce("is_eventually", F.lit(False))).alias("eventually"),
-        F.count_if(then & (F.col("name") == "assert_http_snapshot")).alias("snapshots"),
-        F.count_if(then & (F.col("name") == SEED_STEP)).alias("seed_thens"),
-        F.count_if(then & (F.col("assert_class") == "D") & (F.col("boundary") == "external_io")).alias("io_asserts"),
-        F.count_if(then & F.col("raw").rlike(INTERACTION)).alias("interactions"),
-    )
-    rows = match_contracts(scenarios, contracts).join(facts, ["doc", "segment"], "left").fillna(
-        0, ["thens", "weak_thens", "strong_thens", "async_acts", "eventually", "snapshots", "seed_thens", "io_asserts", "interactions"]
+    tests = (
+        then,
+        then & weak,
+        then & strong,
+        when & F.coalesce("is_async", F.lit(False)),
+        then & F.coalesce("is_eventually", F.lit(False)),
+        then & (F.col("name") == "assert_http_snapshot"),
+        then & (F.col("name") == SEED_STEP),
+        then & (F.col("assert_class") == "D") & (F.col("boundary") == "external_io"),
+        then & F.col("raw").rlike(INTERACTION),
     )
+    return [F.count_if(test).alias(name) for name, test in zip(COUNTS, tests)]
+
+
+def scenario_lint(scenarios: DataFrame, steps: DataFrame, instructions: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(doc, segment, id, rule): structure and assertion rules, one aggregate over all steps.
+
+    Scenarios without any step are included; an unknown instruction counts as weak.
+    """
+    facts = steps.join(instructions.drop("kind"), "name", "left").groupBy("doc", "segment").agg(*_step_counts())
+    return _lint(scenarios.join(facts, ["doc", "segment"], "left").fillna(0, list(COUNTS)), contracts).drop("tags")
+
+
+def lint_rows(rows: DataFrame, instructions: DataFrame, contracts: DataFrame) -> DataFrame:
+    """(doc, segment, id, tags, rule): :func:`scenario_lint` of ``documents.scenario_rows``, each line read once.
+
+    A scenario's header and its step counts are one aggregate, so scenarios and steps are never joined.
+    """
+    known = rows.join(instructions.drop("kind"), "name", "left")
+    counted = known.groupBy("doc", "segment").agg(F.first("scenario").alias("scenario"), *_step_counts())
+    return _lint(counted.select("doc", "segment", "scenario.id", "scenario.tags", *COUNTS), contracts)
+
+
+def _lint(counted: DataFrame, contracts: DataFrame) -> DataFrame:
+    rows = match_contracts(counted, contracts)
     tag = lambda t: F.array_contains("tags", t)
     seeded = (F.col("seed_thens") > 0) & F.col("contract").isNotNull()
     excused = seeded & (F.coalesce(_sufficient(), F.lit(False)) | F.coalesce(_expected_weak(), F.lit(False)))
@@ -134,18 +154,26 @@ def scenario_lint(scenarios: DataFrame, steps: DataFrame, instructions: DataFram
         ),
     ] + [(rule, seeded & (F.col("contract.edge_class") == edge)) for edge, rule in DEGRADED.items()]
     hits = F.array_compact(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules]))
-    return rows.select("doc", "segment", "id", F.explode(hits).alias("rule"))
+    return rows.select("doc", "segment", "id", "tags", F.explode(hits).alias("rule"))
 
 
 def step_lint(steps: DataFrame, scenarios: DataFrame) -> DataFrame:
     """(doc, line, rule) per step: sleeps, order dependence, implementation details, constant ids."""
+    return _step_lint(steps.join(scenarios.select("doc", "segment", "tags"), ["doc", "segment"]))
+
+
+def step_lint_rows(rows: DataFrame) -> DataFrame:
+    """:func:`step_lint` of ``documents.scenario_rows``: a step carries the tags of its scenario, so nothing is joined."""
+    return _step_lint(rows.filter(~F.col("is_header")).withColumn("tags", F.col("scenario.tags")))
+
+
+def _step_lint(tagged: DataFrame) -> DataFrame:
     raw = F.col("raw")
     constant = F.lit(False)
     for kind, name, arg in UNIQUE_ARGS:
         v = F.col("args")[arg]
         fresh = v.contains("bdd_run_") | v.contains("run_id") | v.contains("#{")
         constant = constant | ((F.col("kind") == kind) & (F.col("name") == name) & v.isNotNull() & ~fresh)
-    tagged = steps.join(scenarios.select("doc", "segment", "tags"), ["doc", "segment"])
     rules = [
         ("sleep_anti_pattern", F.lower(raw).contains("sleep")),
         ("order_dependence", raw.rlike(ORDER_WORDS)),
@@ -156,29 +184,45 @@ def step_lint(steps: DataFrame, scenarios: DataFrame) -> DataFrame:
     return tagged.select("doc", "line", F.explode(hits).alias("rule"))
 
 
+def _in_suites() -> Column:
+    return F.array_contains("tags", "integration") | F.array_contains("tags", "e2e")
+
+
+def _tests_failure() -> Column:
+    return ((F.col("kind") == "then") & (F.col("name") == "assert_last_error")) | ((F.col("kind") == "when") & F.startswith("name", F.lit("try_")))
+
+
 def negative_coverage(scenarios: DataFrame, steps: DataFrame, suite: str) -> DataFrame:
     """Suites with integration or e2e scenarios of which none tests a failure."""
-    scoped = scenarios.filter(F.array_contains("tags", "integration") | F.array_contains("tags", "e2e"))
-    negative = (
-        ((F.col("kind") == "then") & (F.col("name") == "assert_last_error")) | ((F.col("kind") == "when") & F.startswith("name", F.lit("try_")))
-    )
-    marks = steps.groupBy("doc", "segment").agg(F.bool_or(negative).alias("negative"))
-    return (
-        scoped.join(marks, ["doc", "segment"], "left").groupBy(suite)
-        .agg(F.count("*").alias("scenarios"), F.count_if("negative").alias("negatives")).filter("negatives = 0")
-    )
+    marks = steps.groupBy("doc", "segment").agg(F.bool_or(_tests_failure()).alias("negative"))
+    return _without_negatives(scenarios.filter(_in_suites()).join(marks, ["doc", "segment"], "left"), suite)
+
+
+def negative_rows(rows: DataFrame, suites: DataFrame, suite: str) -> DataFrame:
+    """:func:`negative_coverage` of ``documents.scenario_rows`` and suites(doc, <suite>)."""
+    marked = rows.groupBy("doc", "segment").agg(F.first("scenario.tags").alias("tags"), F.bool_or(_tests_failure()).alias("negative"))
+    return _without_negatives(marked.filter(_in_suites()).join(suites, "doc"), suite)
+
+
+def _without_negatives(marked: DataFrame, suite: str) -> DataFrame:
+    return marked.groupBy(suite).agg(F.count("*").alias("scenarios"), F.count_if("negative").alias("negatives")).filter("negatives = 0")
+
+
+def _gate_hit(tags: list[str] | None, globs: list[str] | None) -> Column:
+    if not tags and not globs:
+        return F.lit(True)
+    hit = F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags])) if tags else F.lit(False)
+    return P.any_of([hit, *[F.regexp_like("file", P.glob_regex(F.lit(g))) for g in globs or []]])
 
 
 def warning_gate(warnings: DataFrame, tags: list[str] | None = None, globs: list[str] | None = None, enabled: bool = True) -> DataFrame:
     """One row ``fails``: any warning, or only those whose tags or file match."""
     if not enabled:
         return warnings.agg(F.count("*").alias("warnings")).select("warnings", F.lit(False).alias("fails"))
-    if not tags and not globs:
-        hit: Column = F.lit(True)
-    else:
-        hit = F.lit(False)
-        if tags:
-            hit = hit | F.arrays_overlap("tags", F.array(*[F.lit(x) for x in tags]))
-        for g in globs or []:
-            hit = hit | F.regexp_like("file", P.glob_regex(F.lit(g)))
-    return warnings.agg(F.count("*").alias("warnings"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("fails"))
+    return warning_gates(warnings, {"fails": (tags, globs)})
+
+
+def warning_gates(warnings: DataFrame, gates: dict[str, tuple[list[str] | None, list[str] | None]]) -> DataFrame:
+    """One row with a column for each gate name -> (tags, globs), all from one pass over the warnings."""
+    fails = [F.coalesce(F.bool_or(_gate_hit(*gate)), F.lit(False)).alias(name) for name, gate in gates.items()]
+    return warnings.agg(F.count("*").alias("warnings"), *fails)

@@ -541,7 +541,7 @@ li AS (SELECT s.*, COALESCE(th, 0) AS th, COALESCE(wk, 0) AS wk, COALESCE(st, 0)
 
 
 def lint(t):
-    return V.scenario_lint(S.scenarios(t.wide("dsl_docs")), S.steps(t.wide("dsl_docs")), t("instructions"), t("seed_contracts"))
+    return V.lint_rows(S.scenario_rows(t.wide("dsl_docs")), t("instructions"), t("seed_contracts"))
 
 
 query(
@@ -555,7 +555,7 @@ query(
     UNION ALL SELECT doc, segment, id, 'over_interaction_assertion' FROM li WHERE list_contains(tags, 'strict_interaction') AND NOT list_contains(tags, 'e2e') AND NOT list_contains(tags, 'allow_interaction_assert') AND io = 0 AND ia > 0
     UNION ALL SELECT doc, segment, id, CASE ec WHEN 'determination_contract' THEN 'determination_degraded_pass' ELSE 'reactor_degraded_pass' END FROM li WHERE sd > 0 AND ec IN ('determination_contract', 'reactor_contract')""",
     LINT,
-)(lint)
+)(lambda t: lint(t).drop("tags"))
 query("scenario_contracts", "SELECT doc, segment, id, ec AS edge_class FROM li WHERE ec IS NOT NULL", LINT)(
     lambda t: V.match_contracts(S.scenarios(t.wide("dsl_docs")), t("seed_contracts")).filter("contract IS NOT NULL").select("doc", "segment", "id", F.col("contract.edge_class").alias("edge_class"))
 )
@@ -566,7 +566,7 @@ query(
     UNION ALL SELECT doc, line, 'impl_detail_reference' FROM stp WHERE regexp_matches(raw, '\b(Repo|Ecto|Schema|Changeset)\b|\bfrom\(') OR regexp_matches(raw, '(?i)\b(insert_all|update_all|transaction|rollback|SQL)\b')
     UNION ALL SELECT s.doc, s.line, 'unique_risk' FROM stp s JOIN scn c ON c.doc = s.doc AND c.segment = s.segment WHERE list_contains(c.tags, 'strict_unique') AND s.kind = 'given' AND s.name = 'create_product' AND contains(raw, 'product_id=')""",
     SCEN,
-)(lambda t: V.step_lint(S.steps(t.wide("dsl_docs")), S.scenarios(t.wide("dsl_docs"))))
+)(lambda t: V.step_lint_rows(S.scenario_rows(t.wide("dsl_docs"))))
 query(
     "duplicate_scenarios",
     """SELECT s.id, s.doc, s.line, f.doc AS first_doc, f.line AS first_line FROM scn s JOIN (SELECT id, MIN({'doc': doc, 'line': line}) AS r, COUNT(*) AS n FROM scn GROUP BY id) g ON g.id = s.id AND g.n > 1
@@ -584,14 +584,12 @@ query(
       FROM scn s JOIN orders o ON o.o_orderkey = s.doc WHERE list_contains(s.tags, 'integration') OR list_contains(s.tags, 'e2e')) GROUP BY o_custkey HAVING COUNT(*) FILTER (WHERE neg) = 0""",
     SCEN,
 )(
-    lambda t: V.negative_coverage(
-        S.scenarios(t.wide("dsl_docs")).join(t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("suite")), "doc"), S.steps(t.wide("dsl_docs")), "suite"
-    )
+    lambda t: V.negative_rows(S.scenario_rows(t.wide("dsl_docs")), t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("suite")), "suite")
 )
 
 
 def warnings(t):
-    return lint(t).join(S.scenarios(t.wide("dsl_docs")).select("doc", "segment", "tags"), ["doc", "segment"]).withColumn("file", F.concat(F.lit("bdd/"), F.col("doc").cast("string"), F.lit(".dsl")))
+    return lint(t).withColumn("file", F.concat(F.lit("bdd/"), F.col("doc").cast("string"), F.lit(".dsl")))
 
 
 LINT_N = "(SELECT COUNT(*) FROM li WHERE th = 0)"
@@ -600,9 +598,9 @@ query(
     """SELECT COUNT(*) AS warnings, COALESCE(bool_or(list_contains(tags, 'e2e')), FALSE) AS fails_by_tag, FALSE AS fails_by_file, COUNT(*) > 0 AS fails_by_default FROM li WHERE th = 0""",
     LINT,
 )(
-    lambda t: (lambda w: V.warning_gate(w, tags=["e2e"]).withColumnRenamed("fails", "fails_by_tag").withColumn("k", F.lit(1))
-               .join(V.warning_gate(w, globs=["other/**"]).select(F.col("fails").alias("fails_by_file"), F.lit(1).alias("k")), "k")
-               .join(V.warning_gate(w).select(F.col("fails").alias("fails_by_default"), F.lit(1).alias("k")), "k").drop("k"))(warnings(t).filter("rule = 'missing_then'"))
+    lambda t: V.warning_gates(
+        warnings(t).filter("rule = 'missing_then'"), {"fails_by_tag": (["e2e"], None), "fails_by_file": (None, ["other/**"]), "fails_by_default": (None, None)}
+    )
 )
 QUAL = r"""
 qr AS (SELECT doc, array_to_string(list_filter([CASE WHEN NOT contains(text, '[SCENARIO:') THEN 'missing [SCENARIO:] header' END, CASE WHEN NOT regexp_matches(text, '(?m)^GIVEN ') THEN 'missing GIVEN step' END,

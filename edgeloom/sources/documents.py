@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgeloom.functions import paths as P
@@ -85,18 +85,14 @@ def with_scenarios(docs: DataFrame) -> DataFrame:
     return docs.filter(F.contains("text", F.lit("[SCENARIO:")))
 
 
-def scenarios(docs: DataFrame) -> DataFrame:
-    """(doc, segment, line, id, title, tags)."""
+def _header() -> list[Column]:
     rest = F.regexp_extract("text", HEADER, 2)
     title = F.trim(F.regexp_replace(F.regexp_extract(rest, r"TITLE:\s*(.*)$", 1), r"\s*TAGS:.*$", ""))
     tags = F.filter(F.split(F.trim(F.regexp_extract(rest, r"TAGS:\s*(.*)$", 1)), r"\s+"), lambda x: x != "")
-    return scenario_lines(with_scenarios(docs)).filter("is_header").select(
-        "doc", "segment", "line", F.trim(F.regexp_extract("text", HEADER, 1)).alias("id"), title.alias("title"), tags.alias("tags")
-    )
+    return [F.trim(F.regexp_extract("text", HEADER, 1)).alias("id"), title.alias("title"), tags.alias("tags")]
 
 
-def steps(docs: DataFrame) -> DataFrame:
-    """(doc, segment, line, kind, name, args, raw); args is a string map of key=value pairs."""
+def _step() -> list[Column]:
     pairs = X.all_matches(F.regexp_extract("text", STEP, 3), r"""(\w+=(?:"[^"]*"|\S+))""")
     args = F.map_from_entries(
         F.transform(
@@ -104,10 +100,31 @@ def steps(docs: DataFrame) -> DataFrame:
             lambda p: F.struct(F.regexp_extract(p, r"^(\w+)=", 1), F.regexp_replace(F.regexp_extract(p, r"=(.*)$", 1), '^"|"$', "")),
         )
     )
-    return scenario_lines(with_scenarios(docs)).filter("NOT is_header AND segment > 0").select(
-        "doc", "segment", "line", F.lower(F.regexp_extract("text", STEP, 1)).alias("kind"), F.regexp_extract("text", STEP, 2).alias("name"),
-        args.alias("args"), F.col("text").alias("raw"),
-    )
+    return [
+        F.lower(F.regexp_extract("text", STEP, 1)).alias("kind"), F.regexp_extract("text", STEP, 2).alias("name"), args.alias("args"), F.col("text").alias("raw"),
+    ]
+
+
+def scenarios(docs: DataFrame) -> DataFrame:
+    """(doc, segment, line, id, title, tags)."""
+    return scenario_lines(with_scenarios(docs)).filter("is_header").select("doc", "segment", "line", *_header())
+
+
+def steps(docs: DataFrame) -> DataFrame:
+    """(doc, segment, line, kind, name, args, raw); args is a string map of key=value pairs."""
+    return scenario_lines(with_scenarios(docs)).filter("NOT is_header AND segment > 0").select("doc", "segment", "line", *_step())
+
+
+def scenario_rows(docs: DataFrame) -> DataFrame:
+    """Headers and steps of a document in one pass: (doc, segment, line, is_header, scenario, kind, name, args, raw).
+
+    ``scenario`` [id, title, tags] is the header above a step. Both come from the one window that numbers the segments, and
+    whatever is grouped by doc and segment afterwards needs no other shuffle. A header's step columns are null.
+    """
+    rows = scenario_lines(with_scenarios(docs)).withColumn("own", F.when(F.col("is_header"), F.struct(*_header())))
+    rows = rows.withColumn("scenario", F.last("own", ignorenulls=True).over(_in_doc(0))).filter("segment > 0")
+    step = F.when(~F.col("is_header"), F.struct(*_step())).alias("step")
+    return rows.select("doc", "segment", "line", "is_header", "scenario", step).select("doc", "segment", "line", "is_header", "scenario", "step.*")
 
 
 def stray_steps(docs: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from conftest import rows
 
 from edgeloom.operators import contracts as C
+from edgeloom.operators import coverage as V
 from edgeloom.operators import findings as D
 from edgeloom.operators import reach as G
 from edgeloom.operators import relations as R
+from edgeloom.sources import documents as S
 from edgeloom.sources import records as J
 
 
@@ -49,3 +51,36 @@ def test_imports_are_trimmed_and_distinct(spark):
     schema = "sourcePath string, imports array<struct<specifier: string, kind: string>>"
     data = [("a", [(" x   y ", "use"), ("x\ty", " use "), ("z", " "), (" ", "use"), (None, "use")]), ("b", None)]
     assert rows(J.distinct_imports(spark.createDataFrame(data, schema))) == [("a", "use", "x y")]
+
+
+SCENARIOS = """GIVEN stray
+[SCENARIO: A] TITLE: one TAGS: integration strict_unique
+GIVEN create_product product_id="P1"
+WHEN try_pay sleep
+THEN assert_noop
+[SCENARIO: B-SEED-K] TITLE: two TAGS: e2e strict_evidence
+THEN then_seed_contract_should_hold
+[SCENARIO: C]"""
+
+
+def test_one_pass_lint_equals_the_joined_one(spark):
+    docs = spark.createDataFrame([(1, SCENARIOS), (2, "no scenario"), (3, None), (4, ""), (5, "[SCENARIO: D] TAGS: integration\nWHEN pay")], "doc long, text string")
+    schema = "name string, kind string, assert_class string, is_async boolean, is_eventually boolean, boundary string"
+    instructions = spark.createDataFrame([("assert_noop", "then", "weak", False, False, None), ("pay", "when", None, True, None, None)], schema)
+    contracts = spark.createDataFrame([("K", "reactor_contract", 0, 0, 0)], "contract_id string, edge_class string, action_steps int, branch_hints int, facts int")
+    scenarios, steps, lines = S.scenarios(docs), S.steps(docs), S.scenario_rows(docs)
+    assert rows(lines.filter("is_header").select("doc", "segment", "line", "scenario.id")) == rows(scenarios, "doc", "segment", "line", "id")
+    assert rows(lines.filter("NOT is_header").select("doc", "segment", "line", "kind", "name", "raw")) == rows(steps, "doc", "segment", "line", "kind", "name", "raw")
+    found = rows(V.scenario_lint(scenarios, steps, instructions, contracts))
+    assert found and found == rows(V.lint_rows(lines, instructions, contracts).drop("tags"))
+    assert rows(V.step_lint(steps, scenarios)) == rows(V.step_lint_rows(lines)) != []
+    suites = spark.createDataFrame([(1, "s1"), (5, "s5")], "doc long, suite string")
+    assert rows(V.negative_rows(lines, suites, "suite")) == rows(V.negative_coverage(scenarios.join(suites, "doc"), steps, "suite")) == [("s5", 1, 0)]
+
+
+def test_all_gates_from_one_pass(spark):
+    warnings = spark.createDataFrame([("a.dsl", ["e2e"]), ("b/c.dsl", None)], "file string, tags array<string>")
+    gates = {"tag": (["e2e"], None), "other": (["x"], None), "file": (None, ["b/**"]), "any": (None, None)}
+    assert rows(V.warning_gates(warnings, gates)) == [(2, True, False, True, True)]
+    assert rows(V.warning_gates(warnings.limit(0), gates)) == [(0, False, False, False, False)]
+    assert rows(V.warning_gate(warnings, enabled=False)) == [(2, False)]
