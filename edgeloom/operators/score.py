@@ -66,6 +66,13 @@ def acyclic(structure: DataFrame, max_pairs: int = 0) -> DataFrame:
     return structure.select(*_dimension("acyclic", 100 - F.least(pairs * 10.0, F.lit(100.0)), pairs <= max_pairs))
 
 
+def contract_ratio(modules: DataFrame, contracts: DataFrame) -> DataFrame:
+    """One row ``contract``: the share of modules(module_id) that some contract(caller, callee) names; 0 without modules."""
+    named = contracts.select(F.explode(F.array("caller", "callee")).alias("module_id")).distinct().withColumn("named", F.lit(True))
+    marked = modules.select("module_id").distinct().join(named, "module_id", "left")
+    return marked.agg(F.coalesce(F.count("named") / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("contract"))
+
+
 def coverage(ratios: DataFrame) -> DataFrame:
     """From one row of bdd and contract ratios in [0, 1]."""
     b, c = F.col("bdd"), F.col("contract")

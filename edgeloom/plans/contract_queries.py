@@ -435,7 +435,8 @@ query(
 QUALITY = "SELECT CASE WHEN k = 7 THEN 'critical' WHEN k % 40 = 1 THEN 'error' WHEN k % 30 = 2 THEN 'warning' ELSE 'info' END AS severity FROM event_k"
 DIMS = (
     LAYERED
-    + f", scen AS ({EVAL_T}), st AS ({STRUCTURE}), cov AS (SELECT (SELECT COUNT(*) FROM labels)::DOUBLE / COUNT(*) AS bdd, 0.75::DOUBLE AS contract FROM documents), "
+    + f", scen AS ({EVAL_T}), st AS ({STRUCTURE}), cov AS (SELECT (SELECT COUNT(*) FROM labels)::DOUBLE / COUNT(*) AS bdd, "
+    + "(SELECT COUNT(*) FILTER (WHERE module_id IN (SELECT caller FROM allow UNION SELECT callee FROM allow))::DOUBLE / COUNT(*) FROM modules) AS contract FROM documents), "
     + """dims AS (
  SELECT 'compliance' AS dimension, 0.30::DOUBLE AS weight, CASE WHEN tot > 0 THEN least(m / tot * 100, 100) ELSE 100 END::DOUBLE AS score, u = 0 AND f = 0 AS passed, TRUE AS blocking
    FROM (SELECT matched_edges_count AS m, unexpected_edges_count AS u, forbidden_edges_count AS f, matched_edges_count + unexpected_edges_count * 1.5::DOUBLE + forbidden_edges_count * 2.0::DOUBLE AS tot FROM scen)
@@ -460,7 +461,7 @@ def coverage_ratios(t):
     one = lambda df: df.withColumn("k", F.lit(1))
     return (
         one(t("labels").agg(F.count("*").alias("n"))).join(one(t("documents").agg(F.count("*").alias("d"))), "k")
-        .select((F.col("n") / F.col("d")).alias("bdd"), F.lit(0.75).alias("contract"))
+        .join(one(S.contract_ratio(t("modules"), t("allow"))), "k").select((F.col("n") / F.col("d")).alias("bdd"), "contract")
     )
 
 
