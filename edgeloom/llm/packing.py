@@ -45,10 +45,11 @@ def bucket_lengths(histogram: dict[int, int], buckets: int) -> list[int]:
     return out[::-1]
 
 
-def _piece_text(n_words: Column, max_words: int) -> Column:
+def _piece_texts(n_words: Column, last: Column, max_words: int) -> Column:
+    """The texts of all pieces of a document. The words stand in an array of one row, so that they are split once."""
     words = F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.col("piece") * max_words + 1, max_words), " ")
-    return F.when(n_words <= max_words, F.col("text")).otherwise(cut)
+    cut = lambda w: F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * max_words + 1, max_words), " "))
+    return F.when(n_words <= max_words, F.array("text")).otherwise(F.flatten(F.transform(F.array(words), cut)))
 
 
 def pack(docs: DataFrame, max_words: int = 2048, buckets: int = 8, budget: int = 16384, keep_text: bool = True) -> DataFrame:
@@ -63,23 +64,25 @@ def pack(docs: DataFrame, max_words: int = 2048, buckets: int = 8, budget: int =
     n_words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0))
     base = docs.select("doc_id", "text").withColumn("total", n_words).withColumn("row_key", F.xxhash64("doc_id", "text"))
     last = F.greatest(F.lit(0), F.ceil(F.col("total") / max_words).cast("int") - 1)
-    pieces = base.withColumn("piece", F.explode(F.sequence(F.lit(0), last)))
-    pieces = pieces.withColumn("n_words", F.least(F.lit(max_words), F.col("total") - F.col("piece") * max_words))
-    histogram = {r.n_words: r["count"] for r in pieces.groupBy("n_words").count().collect()}  # at most max_words + 1 rows
+    size = F.least(F.lit(max_words), F.col("total") - F.col("piece") * max_words)
+    numbers = base.select("doc_id", "row_key", "total", F.explode(F.sequence(F.lit(0), last)).alias("piece")).withColumn("n_words", size)
+    histogram = {r.n_words: r["count"] for r in numbers.groupBy("n_words").count().collect()}  # at most max_words + 1 rows
     bounds = bucket_lengths(histogram, buckets)
     bucket, reach = F.lit(None).cast("int"), F.lit(None).cast("int")
     for i in reversed(range(len(bounds))):
         bucket = F.when(F.col("n_words") <= bounds[i], F.lit(i)).otherwise(bucket)
         reach = F.when(F.col("n_words") <= bounds[i], F.lit(bounds[i])).otherwise(reach)
     shards = max(1, math.ceil(sum(histogram.values()) / SHARD_PIECES))
+    pieces = numbers
+    if keep_text:
+        texts = F.posexplode(_piece_texts(F.col("total"), last, max_words)).alias("piece", "text")
+        pieces = base.where("total > 0").select("doc_id", "row_key", "total", texts).withColumn("n_words", size)
     placed = pieces.where("n_words > 0").withColumns({"bucket": bucket, "bucket_words": reach, "shard": F.pmod(F.xxhash64("row_key", "piece"), F.lit(shards)).cast("int")})
     sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     columns = ["doc_id", "piece", "n_words", "bucket", "bucket_words", "shard", "row_key"]
-    if keep_text:
-        placed = placed.withColumn("text", _piece_text(F.col("total"), max_words))
-        columns.append("text")
+    columns += ["text"] if keep_text else []
     inside = Window.partitionBy("bucket", "shard").orderBy("doc_id", "row_key", "piece")
     seat = F.col("offset") + F.row_number().over(inside) - 1
     seats = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_words")))
@@ -91,7 +94,7 @@ def pack(docs: DataFrame, max_words: int = 2048, buckets: int = 8, budget: int =
         F.floor(F.col("seat") / seats).cast("long").alias("batch"), (F.col("seat") % seats).cast("long").alias("slot"), (F.col("bucket_words") - F.col("n_words")).cast("long").alias("padding"), *kept,
     )
     none = lambda kind: F.lit(None).cast(kind)
-    blank = pieces.where("n_words = 0").select(
+    blank = base.where("total = 0").withColumn("piece", F.lit(0)).select(
         "doc_id", "piece", start, F.lit(0).cast("long").alias("n_words"), none("int").alias("bucket"), none("int").alias("bucket_words"),
         none("long").alias("batch"), none("long").alias("slot"), none("long").alias("padding"), *kept,
     )
