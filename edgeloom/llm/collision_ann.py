@@ -39,25 +39,40 @@ def directions(dim: int, n: int = DIRECTIONS) -> np.ndarray:
 
 
 def first_radius(sample: np.ndarray, k: int) -> float:
-    """Half the median distance to the k-th neighbour in the sample, shrunk for its size; 1 without any."""
+    """Half the median distance to the k-th neighbour in the sample, shrunk for its size; 1 without any finite one."""
     if len(sample) < 3:
         return 1.0
-    square = (sample**2).sum(1)
-    apart = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * sample @ sample.T, 0))
-    apart.sort(1)
-    near = np.median(apart[:, min(k, len(sample) - 1)])
-    return float(near / 2) if near > 0 else 1.0
+    with np.errstate(over="ignore", invalid="ignore"):
+        square = (sample**2).sum(1)
+        apart = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * sample @ sample.T, 0))
+        apart.sort(1)
+        near = np.median(apart[:, min(k, len(sample) - 1)])
+    return float(near / 2) if 0 < near < np.inf else 1.0
+
+
+def _scale(*parts: np.ndarray) -> float:
+    """1, or the power of two that brings very large vectors below 1, so that no projection overflows."""
+    most = max((float(np.abs(x).max()) for x in parts if x.size), default=0.0)
+    return 1.0 if most < 2.0**900 else 2.0 ** -math.frexp(most)[1]
+
+
+def _within(far: float, reach: float, scale: float) -> bool:
+    return bool(far < np.inf and far * scale <= reach)
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, radius: float) -> list[tuple[int, int, float]]:
-    """The k nearest found in one block for each query, its own id left out."""
+    """The k nearest found in one block for each query, its own id left out.
+
+    Where squares overflow a distance is infinite, as by the plain formula; such a query is compared with the whole block.
+    """
     n = len(ids)
     a = directions(vectors.shape[1])
-    projected = vectors @ a
+    scale = _scale(vectors, queries)
+    projected = (vectors * scale) @ a
     order = np.argsort(projected, axis=0, kind="stable")
     ordered = np.take_along_axis(projected, order, 0)
     order, ordered = np.ascontiguousarray(order.T), np.ascontiguousarray(ordered.T)
-    own = queries @ a
+    own = (queries * scale) @ a
     m = a.shape[1]
     enough = math.ceil(THRESHOLD * m)
     out = []
@@ -67,7 +82,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         best_id, best = np.zeros(0, np.int64), np.zeros(0)
         low = [int(np.searchsorted(ordered[j], own[q, j])) for j in range(m)]
         high = list(low)
-        reach, want = radius, k + 1
+        reach, want = max(radius * scale, 2.0**-1000), k + 1  # in scaled units
         while True:
             half, whole, fresh = WIDTH * reach / 2, True, []
             for j in range(m):
@@ -80,12 +95,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             new = np.flatnonzero((met >= enough) & ~checked)
             if len(new):
                 checked[new] = True
-                far = np.sqrt(((vectors[new] - queries[q]) ** 2).sum(1))
+                with np.errstate(over="ignore"):
+                    far = np.sqrt(((vectors[new] - queries[q]) ** 2).sum(1))
                 best_id, best = np.r_[best_id, ids[new]], np.r_[best, far]
                 if len(best) > 4 * want:
                     top = np.lexsort((best_id, best))[:want]
                     best_id, best = best_id[top], best[top]
-            if whole or (len(best) >= want and np.partition(best, want - 1)[want - 1] <= reach):
+            if whole or (len(best) >= want and _within(np.partition(best, want - 1)[want - 1], reach, scale)):
                 break
             reach *= GROWTH
         take = best_id != query_ids[q]
