@@ -3,11 +3,13 @@
 Events wait in a list state until the watermark has passed their time, so micro-batches may come in any order within the
 allowed delay and the fold still gives the rows of the batch operators. An expiry function adds rows that no input event
 produced: when the watermark passes the moment it names, the fold is told, and a key without anything left is cleared.
-The rows held for a key are those of the last ``delay`` of event time.
+The rows held for a key are those of the last ``delay`` of event time. Keys are dealt to buckets by their hash, and a
+bucket is one group of the state store.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,31 +26,38 @@ cloudpickle.register_pickle_by_value(edgeloom.streaming)
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DELAY = "1 hour"
+BUCKETS = 256
 
 
 class OrderedFold(StatefulProcessor):
     """Applies ``step(state, row) -> (state, output tuple)`` to the rows of a key in the order of (ms, order columns).
 
+    A call serves a bucket of keys: the rows that wait are one pickled list a batch, the states of all keys one pickled
+    dict. Calls of the state store then grow with the buckets that a batch touches, not with the keys.
+
     ``due(state)`` is the moment in ms at which the state expires, None for never; ``expire(state, ms, key) -> (state,
     output tuple)`` is applied then, before any row of that moment or later. A None state clears the key; a None output
     is no row.
     """
 
-    def __init__(self, step: Callable, initial: tuple, state_schema: str, columns: list[str], kinds: list[str], order: list[str], output: list[str], due: Callable | None, expire: Callable | None):
-        self.step, self.initial, self.state_schema, self.columns, self.kinds = step, initial, state_schema, columns, kinds
-        self.order, self.output, self.due, self.expire = order, output, due, expire
+    def __init__(self, step: Callable, initial: tuple, keys: list[str], columns: list[str], kinds: list[str], order: list[str], output: list[str], due: Callable | None, expire: Callable | None):
+        self.step, self.initial, self.columns, self.kinds = step, initial, columns, kinds
+        self.output, self.due, self.expire = output, due, expire
+        self.ms = columns.index("ms")
+        self.key = [columns.index(c) for c in keys]
+        self.places = [self.ms] + [columns.index(c) for c in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("fold", self.state_schema)
-        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {k}" for c, k in zip(self.columns, self.kinds)))
+        self.states = handle.getValueState("states", "states binary")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def _plain(self, frame: pd.DataFrame) -> list[tuple]:
         """Rows as plain values: pandas turns whole numbers beside nulls into floats."""
         lists = []
         for c, kind in zip(self.columns, self.kinds):
-            whole = kind in ("bigint", "int")
-            lists.append([None if pd.isna(v) else int(v) if whole else v.item() if hasattr(v, "item") else v for v in frame[c]])
+            plain = int if kind in ("bigint", "int") else lambda v: v
+            lists.append([None if null else plain(v) for v, null in zip(frame[c].tolist(), frame[c].isna())])
         return list(zip(*lists))
 
     def _wake(self, ms: int) -> None:
@@ -63,53 +72,54 @@ class OrderedFold(StatefulProcessor):
         first = None
         for frame in rows:
             if len(frame):
-                self.waiting.appendList(self._plain(frame))
+                self.waiting.appendValue((pickle.dumps(self._plain(frame)),))
                 low = int(frame["ms"].min())
                 first = low if first is None else min(first, low)
         if first is not None:
             self._wake(first)
         yield pd.DataFrame([], columns=self.output)
 
+    def _lapse(self, state, at: int, key: tuple, out: list[tuple]):
+        while self.due is not None and state is not None and (due := self.due(state)) is not None and due <= at:
+            state, told = self.expire(state, due, key)
+            if told is not None:
+                out.append(told)
+        return state
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = int(timerValues.getCurrentWatermarkInMs())
-        ms = self.columns.index("ms")
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        places = [ms] + [self.columns.index(c) for c in self.order]
-        ready = sorted((r for r in held if r[ms] <= until), key=lambda r: tuple((r[i] is not None, r[i]) for i in places))
-        later = [r for r in held if r[ms] > until]
-        state = tuple(self.state.get()) if self.state.exists() else self.initial
+        held = [r for chunk in self.waiting.get() for r in pickle.loads(chunk[0])] if self.waiting.exists() else []
+        ready = sorted((r for r in held if r[self.ms] <= until), key=lambda r: tuple((r[i] is not None, r[i]) for i in self.places))
+        later = [r for r in held if r[self.ms] > until]
+        states = pickle.loads(self.states.get()[0]) if self.states.exists() else {}
         out: list[tuple] = []
-
-        def lapse(state, at: int):
-            while self.due is not None and state is not None and (due := self.due(state)) is not None and due <= at:
-                state, told = self.expire(state, due, key)
-                if told is not None:
-                    out.append(told)
-            return state
-
         for values in ready:
-            state = lapse(state, values[ms])
-            state, told = self.step(self.initial if state is None else state, _Named(self.columns, values))
+            own = tuple(values[i] for i in self.key)
+            state = self._lapse(states.get(own, self.initial), values[self.ms], own, out)
+            states[own], told = self.step(self.initial if state is None else state, _Named(self.columns, values))
             if told is not None:
                 out.append(told)
-        state = lapse(state, until)
+        moments = [r[self.ms] for r in later]
+        for own in list(states):
+            state = states[own] = self._lapse(states[own], until, own, out)
+            if state is None:
+                del states[own]
+            elif self.due is not None and (due := self.due(state)) is not None:
+                moments.append(due)
         if later:
-            self.waiting.put(later)
+            self.waiting.put([(pickle.dumps(later),)])
         else:
             self.waiting.clear()
-        if state is None:
-            self.state.clear()
+        if states:
+            self.states.update((pickle.dumps(states),))
         else:
-            self.state.update(state)
-        moments = [r[ms] for r in later]
-        if self.due is not None and state is not None and (due := self.due(state)) is not None:
-            moments.append(due)
+            self.states.clear()
         for t in list(self.handle.listTimers()):
             if t != int(expiredTimerInfo.getExpiryTimeInMs()):
                 self.handle.deleteTimer(t)
         if moments:
             self.handle.registerTimer(min(moments))
-        yield pd.DataFrame(out, columns=self.output)
+        yield pd.DataFrame(out, columns=self.output, dtype=object)
 
     def close(self) -> None:
         pass
@@ -123,14 +133,17 @@ class _Named:
 
 
 def fold(
-    events: DataFrame, keys: list[str], step: Callable, initial: tuple, state: str, output: str, order: tuple[str, ...] = ("seq",),
-    time: str = "ts", delay: str = DELAY, due: Callable | None = None, expire: Callable | None = None,
+    events: DataFrame, keys: list[str], step: Callable, initial: tuple, output: str, order: tuple[str, ...] = ("seq",),
+    time: str = "ts", delay: str = DELAY, due: Callable | None = None, expire: Callable | None = None, buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Stateful stream of the ``step`` outputs; ``state`` and ``output`` are DDL schemas.
+    """Stateful stream of the ``step`` outputs; ``output`` is a DDL schema, states are tuples of plain values.
 
     ``time`` is the event time. Rows later than ``delay`` behind the latest are dropped by Spark; :func:`split_late`
     keeps them in a table of their own. Rows of a moment follow the ``order`` columns. Rows without a time or with null
     keys only move the watermark. The session must use the RocksDB state store (:func:`with_state_store`).
+
+    A task holds the waiting rows and the states of one bucket at a time, so choose ``buckets`` such that a bucket has
+    some ten thousand rows within the delay; a stream keeps its number for life.
     """
     rest = [c for c in events.columns if c not in (*keys, time)]
     named = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
@@ -139,11 +152,12 @@ def fold(
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
     rows = named.where(F.when(keyed, F.col(time)).isNotNull()).select(*keys, time, *rest, F.unix_millis(time).alias("ms"))
-    columns = [c for c in rows.columns if c != time]
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    columns = [c for c in rows.columns if c not in (time, "_bucket")]
     kinds = [rows.schema[c].dataType.simpleString() for c in columns]
     names = [c.split()[0] for c in output.split(", ")]
-    processor = OrderedFold(step, initial, state, columns, kinds, list(order), names, due, expire)
-    return rows.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime")
+    processor = OrderedFold(step, initial, keys, columns, kinds, list(order), names, due, expire)
+    return rows.groupBy("_bucket").transformWithStateInPandas(statefulProcessor=processor, outputStructType=output, outputMode="append", timeMode="eventTime")
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:

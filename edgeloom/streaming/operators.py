@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from edgeloom.functions.labels import STATES, TRANSITIONS
 from edgeloom.operators import lifecycle as L
 from edgeloom.operators.evidence import PRIOR, weight
-from edgeloom.streaming.keyed import DELAY, fold
+from edgeloom.streaming.keyed import BUCKETS, DELAY, fold
 
 
 def routes(events: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def routes(events: DataFrame) -> DataFrame:
     return L.route(events)
 
 
-def idempotent_runs(runs: DataFrame, delay: str = DELAY) -> DataFrame:
+def idempotent_runs(runs: DataFrame, delay: str = DELAY, buckets: int = BUCKETS) -> DataFrame:
     """(seq, issue, phase, key, action); the latest key per issue and phase is kept, older keys are not."""
 
     def step(state, row):
@@ -32,10 +32,10 @@ def idempotent_runs(runs: DataFrame, delay: str = DELAY) -> DataFrame:
     enabled = (F.col("issue") > 0) & (F.trim("phase") != "") & (F.trim("input_hash") != "")
     key = F.when(enabled, L.idempotency_key(F.col("repo"), F.col("issue"), F.col("phase"), F.col("input_hash")))
     keyed = runs.select("seq", "ts", "issue", F.trim("phase").alias("phase"), key.alias("key"))
-    return fold(keyed, ["issue", "phase"], step, (None,), "key string", "seq bigint, issue bigint, phase string, key string, action string", delay=delay)
+    return fold(keyed, ["issue", "phase"], step, (None,), "seq bigint, issue bigint, phase string, key string, action string", delay=delay, buckets=buckets)
 
 
-def transitions(requests: DataFrame, delay: str = DELAY) -> DataFrame:
+def transitions(requests: DataFrame, delay: str = DELAY, buckets: int = BUCKETS) -> DataFrame:
     """(seq, issue, verdict, current): compare-and-set state changes of requests(seq, ts, issue, want_from, state)."""
     pairs = {(a, b) for a, bs in TRANSITIONS.items() for b in bs}
     known = set(STATES)
@@ -55,10 +55,10 @@ def transitions(requests: DataFrame, delay: str = DELAY) -> DataFrame:
         return (current,), (row.seq, row.issue, verdict, current)
 
     columns = requests.select("seq", "ts", "issue", "want_from", "state")
-    return fold(columns, ["issue"], step, (None,), "current string", "seq bigint, issue bigint, verdict string, current string", delay=delay)
+    return fold(columns, ["issue"], step, (None,), "seq bigint, issue bigint, verdict string, current string", delay=delay, buckets=buckets)
 
 
-def leases(ops: DataFrame, delay: str = DELAY, expire_rows: bool = False) -> DataFrame:
+def leases(ops: DataFrame, delay: str = DELAY, expire_rows: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """(seq, issue, owner, op, outcome, holder, expires_s) of ops(seq, ts, issue, owner, op, at_s, ttl_s).
 
     acquire: granted when free or expired, else denied; refresh: only by the owner
@@ -98,12 +98,12 @@ def leases(ops: DataFrame, delay: str = DELAY, expire_rows: bool = False) -> Dat
 
     timed = {"due": lambda state: state[1] * 1000 if state[0] else None, "expire": lapse} if expire_rows else {}
     return fold(
-        ops.select("seq", "ts", "issue", "owner", "op", "at_s", "ttl_s"), ["issue"], step, ("", 0), "holder string, expires bigint",
-        "seq bigint, issue bigint, owner string, op string, outcome string, holder string, expires_s bigint", delay=delay, **timed,
+        ops.select("seq", "ts", "issue", "owner", "op", "at_s", "ttl_s"), ["issue"], step, ("", 0),
+        "seq bigint, issue bigint, owner string, op string, outcome string, holder string, expires_s bigint", delay=delay, buckets=buckets, **timed,
     )
 
 
-def gate_retries(attempts: DataFrame, max_retries: int = L.GATE_RETRIES, delay: str = DELAY) -> DataFrame:
+def gate_retries(attempts: DataFrame, max_retries: int = L.GATE_RETRIES, delay: str = DELAY, buckets: int = BUCKETS) -> DataFrame:
     """Stream form of the gate retry counter over raw attempt logs; ``run_at`` is the event time."""
 
     def step(state, row):
@@ -116,12 +116,12 @@ def gate_retries(attempts: DataFrame, max_retries: int = L.GATE_RETRIES, delay:
         return (count, row.key, told or escalated), (row.seq, row.issue, row.result, count, count - 1, escalated, comment)
 
     return fold(
-        L.parse_attempts(attempts, "run_at").withColumnRenamed("run_at", "ts"), ["issue"], step, (0, "", False), "count bigint, key string, told boolean",
-        "seq bigint, issue bigint, result string, retry_count bigint, stored_before bigint, escalated boolean, comment boolean", delay=delay,
+        L.parse_attempts(attempts, "run_at").withColumnRenamed("run_at", "ts"), ["issue"], step, (0, "", False),
+        "seq bigint, issue bigint, result string, retry_count bigint, stored_before bigint, escalated boolean, comment boolean", delay=delay, buckets=buckets,
     )
 
 
-def posteriors(evidence: DataFrame, delay: str = DELAY) -> DataFrame:
+def posteriors(evidence: DataFrame, delay: str = DELAY, buckets: int = BUCKETS) -> DataFrame:
     """(seq, conclusion_id, posterior, evidence_count) after every piece of evidence."""
 
     def step(state, row):
@@ -133,11 +133,11 @@ def posteriors(evidence: DataFrame, delay: str = DELAY) -> DataFrame:
 
     rows = evidence.filter("confidence >= 0 AND confidence <= 1").select("seq", "ts", "conclusion_id", "relation", "confidence", weight(F.col("bond_type")).alias("w"))
     return fold(
-        rows, ["conclusion_id"], step, (PRIOR, 0), "posterior double, n bigint", "seq bigint, conclusion_id bigint, posterior double, evidence_count bigint", delay=delay
+        rows, ["conclusion_id"], step, (PRIOR, 0), "seq bigint, conclusion_id bigint, posterior double, evidence_count bigint", delay=delay, buckets=buckets
     )
 
 
-def convergence(comments: DataFrame, delay: str = DELAY, warn_s: int = L.SILENCE_WARN, finalize_s: int = L.SILENCE_FINALIZE) -> DataFrame:
+def convergence(comments: DataFrame, delay: str = DELAY, warn_s: int = L.SILENCE_WARN, finalize_s: int = L.SILENCE_FINALIZE, buckets: int = BUCKETS) -> DataFrame:
     """(issue, at_ms, result, reason) decisions of comments(issue, ts, body): a warning after 10 quiet minutes, the end 30 minutes later.
 
     A new human comment voids the warning; /finalize ends at once and /hold stops the timers; bot comments do not break
@@ -159,6 +159,6 @@ def convergence(comments: DataFrame, delay: str = DELAY, warn_s: int = L.SILENCE
 
     human = comments.filter(~L.is_bot_text(F.col("body"))).select("issue", "ts", F.coalesce(L.command_of(F.col("body")), F.lit("")).alias("command"))
     return fold(
-        human, ["issue"], step, (None, "open"), "due bigint, phase string", "issue bigint, at_ms bigint, result string, reason string",
-        order=("command",), delay=delay, due=lambda s: s[0], expire=expire,
+        human, ["issue"], step, (None, "open"), "issue bigint, at_ms bigint, result string, reason string",
+        order=("command",), delay=delay, buckets=buckets, due=lambda s: s[0], expire=expire,
     )

@@ -97,3 +97,15 @@ def test_routes_stream(spark, tmp_path):
     data = [(1, "flow-plan.yml", "issues", '{"label": {"name": "bot:fix"}}'), (2, "plan", "push", "{}"), (3, "x", "issues", "{}"), (4, "review", "issues", "{bad")]
     got = run_to_table(O.routes(files(spark, tmp_path / "in", data, schema, 2)), "t")
     assert rows(got, "event_id", "decision") == [(1, "run"), (2, "skip"), (3, "fail"), (4, "fail")]
+
+
+def test_keys_share_a_bucket(spark, tmp_path):
+    """Keys of one bucket keep their own states, timers and rows, whatever the number of buckets."""
+    rng = random.Random(3)
+    zero = int(START.timestamp())
+    schema = "seq bigint, ts timestamp, issue bigint, owner string, op string, at_s bigint, ttl_s bigint"
+    data = [(i, at(i), i % 7, rng.choice("ab"), rng.choice(["acquire", "refresh", "release"]), zero + i * 60, rng.choice([60, 1200])) for i in range(140)]
+    tail = [(None, at(9000 + k), None, None, None, None, None) for k in range(2)]
+    stream = files(spark, tmp_path / "in", mixed(rng, data, 30, tail), schema, 4)
+    one, many = (run_to_table(O.leases(stream, expire_rows=True, buckets=n), "t") for n in (1, 50))
+    assert rows(one) == rows(many) and one.where("seq IS NOT NULL").count() == 140 and one.where("seq IS NULL").count() > 7
