@@ -261,3 +261,28 @@ def test_parts_end_at_separators():
 def test_sql_at_the_next_size(spark, name):
     sf_dir = f"{DATA}/sf0.01"
     assert compare(QUERIES[name](spark, sf_dir), duck(sf_dir), ORACLE[name]) is None
+
+
+def test_search_reads_texts_in_shards(spark, monkeypatch):
+    """The index gets batches of at most one shard, and the session keeps its own batch size."""
+    from edgeloom.llm import term_pipeline
+
+    whole, most = term_pipeline._index, term_pipeline.SHARD_DOCS
+
+    def index(wanted, doc_type):
+        work = whole(wanted, doc_type)
+
+        def checked(batches):
+            for batch in batches:
+                if batch.num_rows > most:
+                    raise ValueError(f"a batch of {batch.num_rows} texts")
+                yield batch
+
+        return lambda batches: work(checked(batches))
+
+    monkeypatch.setattr(term_pipeline, "_index", index)
+    docs = spark.range(5000, numPartitions=1).selectExpr("id as doc_id", "concat('w', id % 9) as text")
+    items = spark.createDataFrame([(1, "w3 w4")], "item_id bigint, text string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert term_pipeline.search(docs, items).count() == 50
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
