@@ -302,13 +302,18 @@ query(
 )(lambda t: store.language_stats(t("part_paths").withColumnRenamed("size", "loc")))
 
 
+ROWS_PER_FILE = 2_000_000
+
+
 def merged_by_batches(t):
-    """The same upsert as a stream: every file of loads is one micro-batch merged into a table of hashed buckets."""
+    """The same upsert as a stream: the files of a load are one micro-batch merged into a table of hashed buckets."""
     scratch = Scratch(t.spark, "upserts")
     rows = snapshot_rows(t, "true", "").withColumn("signature", F.concat(F.when(F.col("indexed_at") % 2 == 0, "even_").otherwise("odd_"), "signature"))
-    columns = scratch.save(rows.withColumn("_load", F.pmod("id", F.lit(3))).repartition(3, "_load").drop("_load"), "loads")
-    stream = t.spark.readStream.schema(columns.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch.root}/loads")
-    table = store.VersionedTable(t.spark, f"{scratch.root}/table", columns.schema, ["repo_id", "id"], "indexed_at")
+    parts = 1 + t("lineitem").count() // ROWS_PER_FILE
+    for load in range(3):
+        rows.where(F.pmod("id", F.lit(3)) == load).repartition(parts, "id", "indexed_at").write.mode("append").parquet(f"{scratch.root}/loads")
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{scratch.root}/loads")
+    table = store.VersionedTable(t.spark, f"{scratch.root}/table", rows.schema, ["repo_id", "id"], "indexed_at")
     stream.writeStream.foreachBatch(table.merge).option("checkpointLocation", f"{scratch.root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return table.read().select("repo_id", "id", "signature", "indexed_at")
 

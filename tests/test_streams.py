@@ -109,3 +109,14 @@ def test_keys_share_a_bucket(spark, tmp_path):
     stream = files(spark, tmp_path / "in", mixed(rng, data, 30, tail), schema, 4)
     one, many = (run_to_table(O.leases(stream, expire_rows=True, buckets=n), "t") for n in (1, 50))
     assert rows(one) == rows(many) and one.where("seq IS NOT NULL").count() == 140 and one.where("seq IS NULL").count() > 7
+
+
+def test_upserts_from_loads_of_several_files(spark, monkeypatch):
+    from edgeloom.plans import graph_queries
+    from edgeloom.plans.inputs import Tables
+    from edgeloom.plans.registry import ORACLE
+    from oracle import DATA, compare, duck
+
+    monkeypatch.setattr(graph_queries, "ROWS_PER_FILE", 2500)
+    sf_dir = f"{DATA}/sf0.001"
+    assert compare(graph_queries.merged_by_batches(Tables(spark, sf_dir)), duck(sf_dir), ORACLE["stream_upserts"]) is None
