@@ -61,27 +61,33 @@ def allocation(band: int, sets: int, percent: int) -> tuple[int, int]:
     """(segments, how many of them offer one-deletion neighbours) of the least cost for a band that holds ``sets`` sets.
 
     There are as many segments beyond the limit as sets of the band leave empty (three deviations over the mean), so
-    that a pair also shares one that is not empty, and empty segments need no keys.
+    that a pair also shares one that is not empty, and empty segments need no keys. How many that takes depends on the
+    number of wide segments: an empty one of them counts twice, and so there is one that a deletion would empty.
     """
     n = band_low(band + 1) - 1
     least = limit(2 * n, percent) + 1
-    spare = 0
-    for _ in range(8 if n >= 40 else 0):  # a small set that leaves a segment empty has its key
-        empty = (least + spare) * math.exp(-n / (least + spare))
-        spare = math.ceil(empty + 3 * math.sqrt(empty))
-    need = least + spare
+
+    def needed(wide: int) -> int:
+        spare = 0
+        for _ in range(8 if n >= 40 else 0):  # a small set that leaves a segment empty has its key
+            m = max(least + spare - wide, wide, 1)
+            empty, lone = math.exp(-n / m), math.exp(-n / m) * n / m
+            mean = (m + wide) * empty + wide * lone
+            spare = math.ceil(mean + 3 * math.sqrt((m + 3 * wide) * empty + wide * lone))
+        return least + spare
 
     def cost(wide: int) -> float:
-        m = need - wide
+        m = needed(wide) - wide
         weak = math.exp(-n / m) * (1 + n / m)  # a segment of one element or none
         return m + wide * n / m + _MEETING * sets * (m - wide + wide * (1 + n / m)) * weak**2
 
-    wide = min(range(need // 2 + 1), key=cost)
-    return need - wide, wide
+    wide = min((w for w in range(needed(0) // 2 + 1) if 2 * w <= needed(w)), key=cost)
+    return needed(wide) - wide, wide
 
 
 def spare_weight(size: int, band: int, segments: int, wide: int, percent: int) -> int:
-    """How many segments a set of ``size`` may leave empty and still share another one with every partner of the band."""
+    """The weight of segments that a set of ``size`` may leave without a key and still share another one with every partner
+    of the band: 1 for a narrow segment, 2 for a wide one, 1 for a wide one that has a key, but not that of its deletion."""
     return segments + wide - 1 - limit(size + band_low(band + 1) - 1, percent)
 
 
@@ -111,7 +117,13 @@ def sketch(elements: np.ndarray) -> bytes:
 
 
 def segment_keys(elements: np.ndarray, band: int, segments: int, wide: int, percent: int) -> np.ndarray:
-    """The keys of a set in a band; those of empty segments only if it has more than it can spare."""
+    """The keys of a set in a band; those of empty segments only if it has more than it can spare.
+
+    The key of an empty wide segment is also the deletion of every set with one element there: it says nothing, and a
+    constant share of a band would meet under it. A set that can spare all keys of nothing has none, and so shares some
+    other key with every partner, whether that one spares its own or not. Else it may still spare those of narrow ones,
+    which such sets do alike.
+    """
     tag = mix(np.array([band + 1], np.uint64))[0]
     segment = (mix(elements ^ tag) % np.uint64(segments)).astype(np.int64)
     order = np.argsort(segment, kind="stable")
@@ -122,12 +134,15 @@ def segment_keys(elements: np.ndarray, band: int, segments: int, wide: int, perc
     sums = total[edge[1:]] - total[edge[:-1]]
     names = mix(np.arange(segments, dtype=np.uint64) * np.uint64(2654435761) + tag)
     keys = mix(sums + names)
-    empty = edge[1:] == edge[:-1]
-    empty[:wide] = False
-    if empty.sum() <= spare_weight(len(elements), band, segments, wide, percent):
+    count = np.diff(edge)
+    empty, inner = count == 0, segment < wide
+    spare = spare_weight(len(elements), band, segments, wide, percent)
+    if empty.sum() + empty[:wide].sum() + (count[:wide] == 1).sum() <= spare:
         keys = keys[~empty]
+        inner &= count[segment] > 1
+    elif empty[wide:].sum() <= spare:
+        keys = keys[np.r_[np.ones(wide, bool), ~empty[wide:]]]
     if wide:
-        inner = segment < wide
         keys = np.r_[keys, mix(sums[segment[inner]] - worth[inner] + names[segment[inner]])]
     return keys
 

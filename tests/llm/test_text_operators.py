@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,23 @@ def test_allocation_covers_the_limit():
             assert m + wide > set_join.limit(2 * (set_join.band_low(band + 1) - 1), 80)
 
 
+@pytest.mark.parametrize("size", [60, 130, 190, 291])
+def test_segments_of_nothing_are_no_meeting(size):
+    """Sets with no common element share no key in a band of many sets; pairs just at the similarity always share one."""
+    rng = np.random.default_rng(size)
+    band = set_join.band_of(size)
+    plan = set_join.allocation(band, 140_000, 80)
+    assert plan[1], "a band of many sets has wide segments"
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    keys = lambda s: set(set_join.segment_keys(s, band, *plan, 80).tolist())
+    met = Counter(k for _ in range(300) for k in keys(draw(size)))
+    assert max(met.values()) <= 6
+    for _ in range(300):
+        both, own = draw(size), size // 9  # 100 * (size - own) >= 80 * (size + own)
+        other = np.sort(np.r_[both[own:], draw(own)])
+        assert keys(both) & keys(other)
+
+
 def test_line_templates(spark, small, none, clashing):
     rows = [(i, f"Title {i} about {'xyz'[i % 3]}{i}\nUser {i} logged in from {'Paris' if i % 4 else 'Lyon'} today\nplain words number {'abcdefghij'[i]}") for i in range(10)]
     rows += [(20, "Own long line that nobody else has\nAll rights reserved."), *[(30 + i, f"{'q' * (60 + i)} {i}\nAll rights reserved.") for i in range(5)]]
