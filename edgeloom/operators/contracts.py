@@ -424,23 +424,22 @@ def event_links(events: DataFrame, relations: DataFrame) -> DataFrame:
     """(event, consumer, producers, linked, missing, reversed) for each consumer of an event that has producers.
 
     Counts of the producer-consumer pairs of an event without listing them: ``producers`` pairs are wanted, ``linked`` have
-    the edge producer to consumer, ``missing`` have not, ``reversed`` have the edge back. Only edges that exist are joined
-    with the two sides, so the work follows the relations and the membership lists, never producers times consumers.
-    Repeated names in a list count once.
+    the edge producer to consumer, ``missing`` have not, ``reversed`` have the edge back. Only edges that exist meet the
+    producers, and they are counted by event and consumer before they meet the consumers, so no pair of an event is
+    shuffled for itself. The events are written once, as both sides read them. Repeated names in a list count once.
     """
+    events = Scratch(events.sparkSession, "event_links").save(events.select("name", "producers", "consumers"), "events")
     side = lambda c, name: events.select(F.col("name").alias("event"), F.explode(F.array_distinct(c)).alias(name))
     makers, takers = side("producers", "producer"), side("consumers", "consumer")
-    edges = relations.select("caller", "callee").distinct()
 
-    def met(maker: str, taker: str, name: str) -> DataFrame:
-        rows = edges.select(F.col(maker).alias("producer"), F.col(taker).alias("consumer")).join(makers, "producer")
-        return rows.join(takers, ["event", "consumer"], "left_semi").groupBy("event", "consumer").agg(F.count("*").alias(name))
+    def way(maker: str, taker: str, linked: int) -> DataFrame:
+        ends = relations.select(F.col(maker).alias("producer"), F.col(taker).alias("consumer"))
+        return ends.select("producer", "consumer", F.lit(linked).alias("linked"), F.lit(1 - linked).alias("reversed"))
 
+    edges = way("caller", "callee", 1).union(way("callee", "caller", 0)).groupBy("producer", "consumer").agg(F.max("linked").alias("linked"), F.max("reversed").alias("reversed"))
+    met = makers.join(edges, "producer").groupBy("event", "consumer").agg(F.sum("linked").alias("linked"), F.sum("reversed").alias("reversed"))
     wanted = makers.groupBy("event").agg(F.count("*").alias("producers"))
-    rows = takers.join(wanted, "event")
-    for found in (met("caller", "callee", "linked"), met("callee", "caller", "reversed")):
-        rows = rows.join(found, ["event", "consumer"], "left")
-    rows = rows.fillna(0, ["linked", "reversed"])
+    rows = takers.join(wanted, "event").join(met, ["event", "consumer"], "left").fillna(0, ["linked", "reversed"])
     return rows.select("event", "consumer", "producers", "linked", (F.col("producers") - F.col("linked")).alias("missing"), "reversed")
 
 

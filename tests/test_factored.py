@@ -84,3 +84,19 @@ def test_all_gates_from_one_pass(spark):
     assert rows(V.warning_gates(warnings, gates)) == [(2, True, False, True, True)]
     assert rows(V.warning_gates(warnings.limit(0), gates)) == [(0, False, False, False, False)]
     assert rows(V.warning_gate(warnings, enabled=False)) == [(2, False)]
+
+
+def test_event_links_count_before_they_meet_the_consumers(spark):
+    """Against a plain count over all pairs; candidates of an event are counted, never matched one by one."""
+    names = [f"m{i}" for i in range(7)]
+    lists = [(f"e{i}", names[i % 4 : i % 4 + 3] + names[:1], names[i % 3 :: 2]) for i in range(9)] + [("bare", [], names), ("none", None, names)]
+    edges = [(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if (i * 5 + j * 3) % 4]
+    events = spark.createDataFrame(lists, "name string, producers array<string>, consumers array<string>")
+    found = C.event_links(events, spark.createDataFrame(edges + edges[:5], "caller string, callee string"))
+    want = []
+    for event, makers, takers in lists:
+        for taker in set(takers) if makers else ():
+            linked = sum((m, taker) in edges for m in set(makers))
+            want.append((event, taker, len(set(makers)), linked, len(set(makers)) - linked, sum((taker, m) in edges for m in set(makers))))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert "LeftSemi" not in found._jdf.queryExecution().optimizedPlan().toString()
