@@ -222,54 +222,63 @@ def _filled(side: Column) -> Column:
     return F.filter(F.transform(F.split(side, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+COMMENT_MARKS = ("//", "*/", "<!--", "-->")
+
+
 def _comment_free(side: Column, hash_comments: Column) -> Column:
-    """Text of a side without comment lines, leading block comments and blanks."""
-    no_blocks = F.regexp_replace(side, r"(?ms)^\s*/\*.*?(\*/|\z)", "")
-    comment = lambda x: P.any_of(x.startswith(m) for m in ("//", "*/", "<!--", "-->")) | (hash_comments & x.startswith("#"))
-    kept = F.filter(_filled(no_blocks), lambda x: ~comment(x))
-    return F.regexp_replace(F.array_join(kept, ""), r"\s+", "")
+    """Text of a side without comment lines, leading block comments and blanks; a side without any mark is not cut into lines."""
+    no_blocks = F.when(F.contains(side, F.lit("/*")), F.regexp_replace(side, r"(?ms)^\s*/\*.*?(\*/|\z)", "")).otherwise(side)
+    comment = lambda x: P.any_of(x.startswith(m) for m in COMMENT_MARKS) | (hash_comments & x.startswith("#"))
+    marked = P.any_of(F.contains(side, F.lit(m)) for m in (*COMMENT_MARKS, "/*", "#"))
+    kept = F.when(marked, F.array_join(F.filter(_filled(no_blocks), lambda x: ~comment(x)), "")).otherwise(side)
+    return F.regexp_replace(kept, r"\s+", "")
 
 
-def _all_lines(side: Column, counted: str, ignored: str) -> Column:
+def _all_lines(rows: Column, counted: str, ignored: str) -> Column:
     """Every filled line is ignored or counted, and at least one is counted."""
-    rows = _filled(side)
-    return F.exists(rows, lambda x: x.rlike(counted)) & F.forall(rows, lambda x: x.rlike(counted) | x.rlike(ignored))
+    return F.forall(rows, lambda x: x.rlike(counted) | x.rlike(ignored)) & F.exists(rows, lambda x: x.rlike(counted))
+
+
+def _with_lines(hunks: Column) -> Column:
+    """Hunks with the filled lines of both sides beside their texts."""
+    return F.transform(hunks, lambda h: F.struct(h["ours"].alias("ours"), h["theirs"].alias("theirs"), _filled(h["ours"]).alias("o"), _filled(h["theirs"]).alias("t")))
 
 
 def conflict_tiers(hunked: DataFrame) -> DataFrame:
     """(doc, path, tier): auto, assist or human.
 
     Documents with few hunks and comment-or-blank differences resolve alone; of
-    the rest, risky files go to a human and light ones may be assisted.
+    the rest, risky files go to a human and light ones may be assisted. Sides are cut into lines once for all tests, and
+    only where the number of hunks does not decide.
     """
     path = F.lower("path")
     rust = path.endswith(".rs")
     hashed = P.any_of(path.endswith(x) for x in HASH_COMMENT_SUFFIXES)
     every = lambda test: F.forall("hunks", test)
-    both = lambda h, test: test(h["ours"]) & test(h["theirs"])
+    both = lambda h, test: test(h["o"]) & test(h["t"])
     n = F.size("hunks")
     docs = F.startswith("path", F.lit("docs/")) | F.startswith("path", F.lit(".github/")) | path.endswith(".md") | path.endswith(".mdx")
     same = every(lambda h: _comment_free(h["ours"], hashed) == _comment_free(h["theirs"], hashed))
-    total = F.aggregate("hunks", F.lit(0), lambda acc, h: acc + F.size(_filled(h["ours"])) + F.size(_filled(h["theirs"])))
-    interface = lambda s: F.exists(_filled(F.lower(s)), lambda x: (x.contains("type ") & x.contains(" interface")) | x.contains("interface{"))
-    rust_core = lambda s: F.exists(_filled(s), lambda x: x.rlike(r"^(trait |pub trait |impl |impl<|unsafe |macro_rules!)"))
-    core = F.exists("hunks", lambda h: F.when(rust, rust_core(h["ours"]) | rust_core(h["theirs"])).otherwise(interface(h["ours"]) | interface(h["theirs"])))
-    risky = path.contains("migration") | path.endswith(".sql") | (n > AI_HUNKS) | core | (total > AI_LINES)
+    total = F.aggregate("hunks", F.lit(0), lambda acc, h: acc + F.size(h["o"]) + F.size(h["t"]))
+    named = lambda x: (x.contains("type ") & x.contains(" interface")) | x.contains("interface{")
+    # the whole side is searched first, so only sides with the word are searched line by line
+    interface = lambda side, rows: F.contains(F.lower(side), F.lit("interface")) & F.exists(rows, lambda x: named(F.lower(x)))
+    rust_core = lambda s: F.exists(s, lambda x: x.rlike(r"^(trait |pub trait |impl |impl<|unsafe |macro_rules!)"))
+    core = F.when(rust, F.exists("hunks", lambda h: rust_core(h["o"]) | rust_core(h["t"]))).otherwise(
+        F.exists("hunks", lambda h: interface(h["ours"], h["o"]) | interface(h["theirs"], h["t"]))
+    )
     imports = lambda s: _all_lines(s, r'^(import\s+)?(([A-Za-z_][A-Za-z0-9_]*|\.)\s+)?"\S*"\s*(//.*)?$', r"^(\(|\)|//.*)$")
     uses = lambda s: _all_lines(s, r"^use\s+[\w:]+(::\{\s*[\w\s,]+\s*\})?\s*;\s*$", r"^//")
     light = lambda s: _all_lines(s, r"^(alias|import|use) ", r"^$")
-    small = lambda s: F.size(_filled(s)) <= MILD_LINES
+    small = lambda s: F.size(s) <= MILD_LINES
     elixir = (path.endswith(".ex") | path.endswith(".exs")) & (n <= WHITELIST_HUNKS) & every(lambda h: both(h, small) & both(h, light))
     mild = (n <= MILD_HUNKS) & every(lambda h: both(h, small))
-    assist = every(lambda h: both(h, imports)) | (rust & every(lambda h: both(h, uses))) | elixir | mild
-    tier = (
-        F.when(n == 0, "human")
-        .when(F.when(docs, n <= WHITELIST_HUNKS).otherwise(same), "auto")
-        .when(risky, "human")
-        .when(assist, "assist")
-        .otherwise("human")
-    )
-    return hunked.filter("NOT malformed").select("doc", "path", tier.alias("tier"))
+    assist = mild | every(lambda h: both(h, imports)) | (rust & every(lambda h: both(h, uses))) | elixir
+    early = F.when(n == 0, "human").when(docs & (n <= WHITELIST_HUNKS), "auto").when(~docs & same, "auto").when(path.contains("migration") | path.endswith(".sql") | (n > AI_HUNKS), "human")
+    tier = F.when((total > AI_LINES) | core, "human").when(assist, "assist").otherwise("human")
+    told = hunked.filter("NOT malformed").select("doc", "path", "hunks", early.alias("early"))
+    cut = told.withColumn("hunks", F.when(F.col("early").isNull(), _with_lines(F.col("hunks"))))
+    return cut.select("doc", "path", F.coalesce("early", tier).alias("tier"))
 
 
 # -- profiles and overlap ------------------------------------------------------------
