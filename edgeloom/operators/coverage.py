@@ -133,8 +133,8 @@ def lint_rows(rows: DataFrame, instructions: DataFrame, contracts: DataFrame) ->
     A scenario's header and its step counts are one aggregate, so scenarios and steps are never joined.
     """
     known = rows.join(instructions.drop("kind"), "name", "left")
-    counted = known.groupBy("doc", "segment").agg(F.first("scenario").alias("scenario"), *_step_counts())
-    return _lint(counted.select("doc", "segment", "scenario.id", "scenario.tags", *COUNTS), contracts)
+    # id and tags are keys, so that only counters are aggregated: by hash, without a sort of the rows
+    return _lint(known.groupBy("doc", "segment", F.col("scenario.id").alias("id"), F.col("scenario.tags").alias("tags")).agg(*_step_counts()), contracts)
 
 
 def _lint(counted: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -200,8 +200,15 @@ def negative_coverage(scenarios: DataFrame, steps: DataFrame, suite: str) -> Dat
 
 def negative_rows(rows: DataFrame, suites: DataFrame, suite: str) -> DataFrame:
     """:func:`negative_coverage` of ``documents.scenario_rows`` and suites(doc, <suite>)."""
-    marked = rows.groupBy("doc", "segment").agg(F.first("scenario.tags").alias("tags"), F.bool_or(_tests_failure()).alias("negative"))
-    return _without_negatives(marked.filter(_in_suites()).join(suites, "doc"), suite)
+    marked = rows.withColumn("tags", F.col("scenario.tags")).filter(_in_suites()).groupBy("doc", "segment").agg(F.bool_or(_tests_failure()).alias("negative"))
+    return _without_negatives(marked.join(suites, "doc"), suite)
+
+
+def negative_blocks(blocks: DataFrame, suites: DataFrame, suite: str) -> DataFrame:
+    """:func:`negative_coverage` of ``documents.scenario_blocks``: a scenario is judged inside its row, its texts meet no shuffle."""
+    failing = F.exists("steps", lambda s: s["text"].rlike(r"^(THEN\s+assert_last_error(\s|$)|WHEN\s+try_)"))
+    marked = blocks.filter(_in_suites()).select("doc", failing.alias("negative"))
+    return _without_negatives(marked.join(suites, "doc"), suite)
 
 
 def _without_negatives(marked: DataFrame, suite: str) -> DataFrame:

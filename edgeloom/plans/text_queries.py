@@ -539,9 +539,11 @@ li AS (SELECT s.*, COALESCE(th, 0) AS th, COALESCE(wk, 0) AS wk, COALESCE(st, 0)
   FROM scn s LEFT JOIN fa ON fa.doc = s.doc AND fa.segment = s.segment LEFT JOIN seed_contracts c1 ON c1.contract_id = s.id LEFT JOIN seed_contracts c2 ON c2.contract_id = NULLIF(regexp_extract(s.id, '-SEED-(.*)$', 1), ''))
 """
 
+DSL_ROWS = 200_000  # documents of one task: some hundred bytes of text stand behind a row of orders
+
 
 def lint(t):
-    return V.lint_rows(S.scenario_rows(t.wide("dsl_docs")), t("instructions"), t("seed_contracts"))
+    return V.lint_rows(S.scenario_rows(t.wide("dsl_docs", DSL_ROWS)), t("instructions"), t("seed_contracts"))
 
 
 query(
@@ -566,7 +568,7 @@ query(
     UNION ALL SELECT doc, line, 'impl_detail_reference' FROM stp WHERE regexp_matches(raw, '\b(Repo|Ecto|Schema|Changeset)\b|\bfrom\(') OR regexp_matches(raw, '(?i)\b(insert_all|update_all|transaction|rollback|SQL)\b')
     UNION ALL SELECT s.doc, s.line, 'unique_risk' FROM stp s JOIN scn c ON c.doc = s.doc AND c.segment = s.segment WHERE list_contains(c.tags, 'strict_unique') AND s.kind = 'given' AND s.name = 'create_product' AND contains(raw, 'product_id=')""",
     SCEN,
-)(lambda t: V.step_lint_rows(S.scenario_rows(t.wide("dsl_docs"))))
+)(lambda t: V.step_lint_rows(S.scenario_rows(t.wide("dsl_docs", DSL_ROWS))))
 query(
     "duplicate_scenarios",
     """SELECT s.id, s.doc, s.line, f.doc AS first_doc, f.line AS first_line FROM scn s JOIN (SELECT id, MIN({'doc': doc, 'line': line}) AS r, COUNT(*) AS n FROM scn GROUP BY id) g ON g.id = s.id AND g.n > 1
@@ -584,7 +586,7 @@ query(
       FROM scn s JOIN orders o ON o.o_orderkey = s.doc WHERE list_contains(s.tags, 'integration') OR list_contains(s.tags, 'e2e')) GROUP BY o_custkey HAVING COUNT(*) FILTER (WHERE neg) = 0""",
     SCEN,
 )(
-    lambda t: V.negative_rows(S.scenario_rows(t.wide("dsl_docs")), t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("suite")), "suite")
+    lambda t: V.negative_blocks(S.scenario_blocks(t.wide("dsl_docs", DSL_ROWS)), t("orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("suite")), "suite")
 )
 
 

@@ -115,16 +115,31 @@ def steps(docs: DataFrame) -> DataFrame:
     return scenario_lines(with_scenarios(docs)).filter("NOT is_header AND segment > 0").select("doc", "segment", "line", *_step())
 
 
+def scenario_blocks(docs: DataFrame) -> DataFrame:
+    """One row for each scenario: (doc, segment, line, id, title, tags, steps); steps are the texts [line, text] below the header.
+
+    Lines are numbered and cut at the headers inside their document's row, so neither a sort nor a shuffle is needed.
+    """
+    numbered = F.transform(X.lines(F.col("text")), lambda x, i: F.struct((i + 1).cast("bigint").alias("line"), F.trim(x).alias("text")))
+    kept = F.filter(numbered, lambda x: (x["text"] != "") & ~F.startswith(x["text"], F.lit("#")))
+    rows = with_scenarios(docs).select("doc", kept.alias("kept"))
+    heads = F.filter(F.transform("kept", lambda x, i: F.when(F.startswith(x["text"], F.lit("[SCENARIO:")), i + 1)), lambda i: i.isNotNull())
+    rows = rows.select("doc", "kept", F.concat(heads, F.array(F.size("kept") + 1)).alias("heads"))
+    # the last place only ends the last scenario
+    cuts = F.transform(F.slice("heads", 1, F.size("heads") - 1), lambda h, k: F.struct((k + 1).cast("bigint").alias("segment"), F.col("kept")[h - 1].alias("head"), F.slice("kept", h + 1, F.col("heads")[k + 1] - h - 1).alias("steps")))
+    found = rows.select("doc", F.explode(cuts).alias("c")).select("doc", "c.segment", "c.head.line", "c.head.text", "c.steps")
+    return found.select("doc", "segment", "line", *_header(), "steps")
+
+
 def scenario_rows(docs: DataFrame) -> DataFrame:
-    """Headers and steps of a document in one pass: (doc, segment, line, is_header, scenario, kind, name, args, raw).
+    """Headers and steps of :func:`scenario_blocks` as rows: (doc, segment, line, is_header, scenario, kind, name, args, raw).
 
-    ``scenario`` [id, title, tags] is the header above a step. Both come from the one window that numbers the segments, and
-    whatever is grouped by doc and segment afterwards needs no other shuffle. A header's step columns are null.
+    ``scenario`` [id, title, tags] is the header above a step. A header's step columns are null.
     """
-    rows = scenario_lines(with_scenarios(docs)).withColumn("own", F.when(F.col("is_header"), F.struct(*_header())))
-    rows = rows.withColumn("scenario", F.last("own", ignorenulls=True).over(_in_doc(0))).filter("segment > 0")
-    step = F.when(~F.col("is_header"), F.struct(*_step())).alias("step")
-    return rows.select("doc", "segment", "line", "is_header", "scenario", step).select("doc", "segment", "line", "is_header", "scenario", "step.*")
+    blocks = scenario_blocks(docs).select("doc", "segment", F.struct("id", "title", "tags").alias("scenario"), F.concat(F.array(F.struct("line", F.lit(None).cast("string").alias("text"))), "steps").alias("rows"))
+    rows = blocks.select("doc", "segment", "scenario", F.explode("rows").alias("r")).select("doc", "segment", "r.line", "scenario", "r.text")
+    step = F.when(F.col("text").isNotNull(), F.struct(*_step())).alias("step")
+    return rows.select("doc", "segment", "line", F.col("text").isNull().alias("is_header"), "scenario", step).select("doc", "segment", "line", "is_header", "scenario", "step.*")
 
 
 def stray_steps(docs: DataFrame) -> DataFrame:
