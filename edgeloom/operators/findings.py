@@ -12,6 +12,7 @@ from edgeloom.functions import paths as P
 from edgeloom.functions import text as X
 from edgeloom.operators.ordering import positions
 from edgeloom.operators.scans import ordered_scan
+from edgeloom.session import Scratch
 
 # Scan patterns.
 CREDENTIAL_NAMES = (
@@ -405,11 +406,16 @@ def _order() -> list:
     return [rank, "file", "line"]
 
 
+def _written(findings: DataFrame) -> DataFrame:
+    """A range exchange samples its rows before it deals them; written findings are read twice, not found twice."""
+    return Scratch(findings.sparkSession, "findings").save(findings, "findings")
+
+
 def ordered(findings: DataFrame) -> DataFrame:
     """Critical, warning, info, then file and line."""
-    return findings.orderBy(*_order())
+    return _written(findings).orderBy(*_order())
 
 
 def ranked(findings: DataFrame) -> DataFrame:
     """The same order as a column ``place`` from 1; findings of one line follow their rule. No task sees all rows."""
-    return positions(findings, [], [*_order(), "rule"], "place")
+    return positions(_written(findings), [], [*_order(), "rule"], "place")

@@ -272,7 +272,7 @@ query(
     "SELECT COUNT(*) FILTER (WHERE severity = 'critical') AS critical, COUNT(*) FILTER (WHERE severity = 'warning') AS warning, COUNT(*) FILTER (WHERE severity = 'info') AS info, CASE WHEN COUNT(*) > 0 THEN 1 ELSE 0 END AS code FROM hit",
     ALL_RULES,
 )(lambda t: D.gate(all_findings(t)))
-query("ordered_findings", "SELECT file, line, rule, severity FROM hit", ALL_RULES)(lambda t: D.ordered(all_findings(t)).select("file", "line", "rule", "severity"))
+query("ordered_findings", "SELECT file, line, rule, severity FROM hit", ALL_RULES)(lambda t: D.ordered(all_findings(t).select("file", "line", "rule", "severity")))
 query(
     "ranked_findings",
     """SELECT file, line, rule, severity, ROW_NUMBER() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, file, line, rule) AS place FROM hit""",
