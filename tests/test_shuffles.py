@@ -23,3 +23,19 @@ def test_relations_count_before_the_target_and_group_no_pairs_of_paths(spark):
             n[0], n[1] = n[0] + (k == "import"), n[1] + (k == "call")
     assert rows(got) == sorted(((a, b, i, c, i + c) for (a, b), (i, c) in want.items()), key=repr)
     assert not [x for x in aggregates(got) if "src_path" in x and "dst_path" in x]
+
+
+def test_hints_are_hashed_before_texts_are_compared(spark):
+    relations = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("a", "e")], "caller string, callee string")
+    hints = [
+        ("a", "b", "framework", "v", 0.8, "d", "r"), ("a", "b", "framework", "v", 0.9, "d", "r"), ("a", "b", "direct", "vv", 1.0, "d", "r"),
+        ("a", "c", "framework", "v", 0.3, "d", "r"), ("a", "c", "framework", "v", 0.5, "d", "r"), ("a", "c", "registration", "v", 0.2, None, "r"),
+        ("a", "d", "registration", "v", float("nan"), "d", "r"), ("a", "d", "direct", None, None, "d", "r"),
+    ]
+    got = R.classify_edges(relations, spark.createDataFrame(hints, "caller string, callee string, call_type_hint string, via string, confidence double, detector string, reason string"))
+    weak = "hint confidence 0.20 below threshold 0.75"
+    assert rows(got) == [
+        ("a", "b", "framework_injection", "v", 0.9, "ast_hint", "d", "r"), ("a", "c", "direct_call", "", 1.0, "fallback", "", weak),
+        ("a", "d", "direct_call", None, 0.0, "ast_hint", "d", "r"), ("a", "e", "direct_call", "", 1.0, "fallback", "", "no relation hint"),
+    ]
+    assert "HashAggregate" in aggregates(got)[-1]
