@@ -150,30 +150,36 @@ def stray_steps(docs: DataFrame) -> DataFrame:
 def changed_lines(diffs: DataFrame) -> DataFrame:
     """(doc, file, line_no) of added lines, counted on the new side of a unified diff.
 
-    diffs(doc, text). Context lines advance the count, removed lines do not.
+    diffs(doc, text). Context lines advance the count, removed lines do not. Both are counted inside the diff's row,
+    without a shuffle or sort of lines: with removed lines left out, a line is as many places behind its hunk's header as
+    the count has advanced. Headers and ``diff --git`` lines cut the rest into pieces; a piece that starts at a header
+    takes the path above it, one that starts at a path goes on from the header above it.
     """
-    lines = numbered_lines(diffs.filter(F.col("text").rlike(r"(?m)^\+")))
-    header = F.startswith("text", F.lit("@@ "))
-    added = F.startswith("text", F.lit("+")) & ~F.startswith("text", F.lit("+++"))
-    removed = F.startswith("text", F.lit("-")) & ~F.startswith("text", F.lit("---"))
-    rows = lines.withColumns(
-        {
-            "header": header,
-            "added": added & ~header,
-            "moves": (~header & ~removed).cast("int"),
-            "start": F.when(header, F.coalesce(F.nullif(F.regexp_extract("text", r"\+(\d+)", 1), F.lit("")).try_cast("bigint"), F.lit(0))),
-            "path": F.nullif(F.regexp_extract("text", r"^diff --git a/\S+ b/(\S+)", 1), F.lit("")),
-        }
-    )
-    counted = rows.withColumn("moved", F.sum(F.col("moves").cast("bigint")).over(_in_doc(0)))
-    placed = counted.withColumns(
-        {
-            "hunk": F.last(F.when(F.col("header"), F.struct("start", "moved")), ignorenulls=True).over(_in_doc(-1)),
-            "file": F.last("path", ignorenulls=True).over(_in_doc(-1)),
-        }
-    )
-    at = F.coalesce("hunk.start", F.lit(0)) + F.col("moved") - F.col("moves") - F.coalesce("hunk.moved", F.lit(0))
-    return placed.filter("added").select("doc", "file", at.alias("line_no"))
+    is_header = lambda x: F.startswith(x, F.lit("@@ "))
+    removed = lambda x: F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---"))
+    added = lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++"))
+    path = lambda x: F.nullif(F.regexp_extract(x, r"^diff --git a/\S+ b/(\S+)", 1), F.lit(""))
+    start = lambda x: F.when(is_header(x), F.coalesce(F.nullif(F.regexp_extract(x, r"\+(\d+)", 1), F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint")))
+    known = lambda a: F.filter(a, lambda x: x.isNotNull())
+    rows = diffs.filter(F.col("text").rlike(r"(?m)^\+")).select("doc", F.filter(X.lines(F.col("text")), lambda x: ~removed(x)).alias("kept"))
+    marks = known(F.transform("kept", lambda x, i: F.when(is_header(x) | F.startswith(x, F.lit("diff --git ")), F.struct(i.alias("at"), start(x).alias("start"), path(x).alias("path")))))
+    marks = F.filter(marks, lambda m: m["start"].isNotNull() | m["path"].isNotNull())
+    # a mark before the first line stands for both kinds, so every mark has a header and a path at or above it
+    top = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("start"), F.lit(None).cast("string").alias("path")))
+    rows = rows.select("doc", "kept", F.concat(top, marks).alias("marks"))
+    ended = F.transform("marks", lambda m, i: F.struct(m["at"].alias("at"), F.coalesce(F.get("marks", i + 1)["at"], F.size("kept")).alias("until"), m["start"].alias("start"), m["path"].alias("path")))
+    rows = rows.select("doc", "kept", ended.alias("marks"))
+    heads = known(F.transform("marks", lambda m, i: F.when(m["start"].isNotNull(), i)))
+    files = known(F.transform("marks", lambda m, i: F.when((i == 0) | m["path"].isNotNull(), i)))
+    rows = rows.select("doc", "kept", "marks", heads.alias("heads"), files.alias("files"))
+    group = lambda at, k, of: F.slice("marks", at + 1, F.coalesce(F.get(of, k + 1), F.size("marks")) - at)
+    piece = lambda m, head, file: F.struct(m["at"].alias("at"), m["until"].alias("until"), head["at"].alias("head"), head["start"].alias("start"), file["path"].alias("file"))
+    at_head = F.transform("files", lambda f, k: F.transform(F.filter(group(f, k, "files"), lambda m: m["start"].isNotNull()), lambda m: piece(m, m, F.get("marks", f))))
+    at_path = F.transform("heads", lambda h, k: F.transform(F.filter(group(h, k, "heads"), lambda m: m["start"].isNull()), lambda m: piece(m, F.get("marks", h), m)))
+    rows = rows.select("doc", "kept", F.flatten(F.concat(at_head, at_path)).alias("pieces"))
+    numbers = lambda p: known(F.transform(F.slice("kept", p["at"] + 2, p["until"] - p["at"] - 1), lambda x, j: F.when(added(x), p["start"] + (p["at"] + j - p["head"]))))
+    found = rows.select("doc", F.explode(F.transform("pieces", lambda p: F.struct(p["file"].alias("file"), numbers(p).alias("lines")))).alias("p"))
+    return found.select("doc", F.col("p.file").alias("file"), F.explode("p.lines").alias("line_no"))
 
 
 def markers(comments: DataFrame) -> DataFrame:

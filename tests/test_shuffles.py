@@ -1,8 +1,12 @@
 """What the large tables cost on their way: aggregates that must hash, groups that must not be shuffled, same answers."""
 
+import random
+import re
+
 from conftest import rows
 
 from edgeloom.operators import relations as R
+from edgeloom.sources import documents as S
 
 
 def aggregates(df):
@@ -39,3 +43,30 @@ def test_hints_are_hashed_before_texts_are_compared(spark):
         ("a", "d", "direct_call", None, 0.0, "ast_hint", "d", "r"), ("a", "e", "direct_call", "", 1.0, "fallback", "", "no relation hint"),
     ]
     assert "HashAggregate" in aggregates(got)[-1]
+
+
+def added_by_hand(text):
+    """(file, line_no) of the added lines of one diff, line by line."""
+    file, start, moved, out = None, 0, 0, []
+    lines = text.split("\n")
+    for x in lines[:-1] if lines[-1] == "" else lines:
+        if x.startswith("@@ "):
+            number = re.search(r"\+(\d+)", x)
+            start, moved = int(number.group(1)) if number else 0, 0
+            continue
+        if x.startswith("+") and not x.startswith("+++"):
+            out.append((file, start + moved))
+        named = re.match(r"diff --git a/\S+ b/(\S+)", x)
+        file = named.group(1) if named else file
+        moved += not (x.startswith("-") and not x.startswith("---"))
+    return out
+
+
+def test_changed_lines_stay_in_the_row_of_their_diff(spark):
+    deal = random.Random(3)
+    some = ["diff --git a/x b/f1", "diff --git a/x b/f2", "diff --git broken", "--- a/x", "+++ b/x", "@@ -1,2 +7,3 @@ fn", "@@ -1 +20 @@", "@@ none", " ctx", "-old", "+new", "+more", "+", "", "@@not"]
+    docs = [(i, "\n".join(deal.choice(some) for _ in range(deal.randrange(1, 40)))) for i in range(300)] + [(300, None), (301, ""), (302, "+a\n"), (303, " x\n+a")]
+    got = S.changed_lines(spark.createDataFrame(docs, "doc bigint, text string"))
+    assert rows(got, "doc", "file", "line_no") == sorted(((d, f, n) for d, t in docs if t for f, n in added_by_hand(t)), key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Sort", "Window"))
