@@ -2,8 +2,8 @@
 
 States: a row is a map from the state before to the state after. Blocks of rows are composed into one map, blocks of
 blocks again, and the states go down the same tree, so a key with all rows is worked on by as many tasks as it has
-blocks. Leases: the row that takes effect next after a row depends on that row alone; these pointers are doubled along
-the chain that starts at the first row.
+blocks. Leases: issues are followed row by row, many in a task. Of an issue with very many rows the row that takes effect
+next after a row depends on that row alone; these pointers are doubled along the chain that starts at the first row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.functions import labels as L
 from edgeloom.operators.ordering import positions
-from edgeloom.operators.scans import ordered_scan
+from edgeloom.operators.scans import HOT_ROWS, ordered_scan
 from edgeloom.session import Scratch
 
 BLOCK_ROWS = 64
@@ -86,12 +86,61 @@ def _with_start(groups: DataFrame, before: DataFrame) -> DataFrame:
     return groups.join(entry, groups["issue"].eqNullSafe(F.col("b_issue")) & (F.col("above") == F.col("b_block"))).select("issue", "items", "start")
 
 
-def leases(ops: DataFrame, **split) -> DataFrame:
+def leases(ops: DataFrame, hot_rows: int = HOT_ROWS, **split) -> DataFrame:
     """(seq, issue, owner, op, outcome, holder, expires_s) of ops(seq, issue, owner, op, at_s, ttl_s).
 
     acquire is granted when the lease is free or expired, else denied; refresh works for the holder before expiry;
     release for the holder, or when nobody holds the lease. Rows are ordered by (at_s, seq), unique inside an issue;
-    the answer is that of the stream form over rows in this order. A null at_s or ttl_s counts as 0.
+    the answer is that of the stream form over rows in this order. A null at_s or ttl_s counts as 0; rows of a null issue
+    are one issue.
+
+    Issues of up to ``hot_rows`` rows are dealt to tasks whole and followed row by row. Those of more are split by
+    :func:`_chained`, but for the null issue; both give the same answers.
+    """
+    sizes = ops.where("issue IS NOT NULL").groupBy("issue").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows)
+    hot, n_hot = Scratch(ops.sparkSession, "leases").save_counted(sizes.select(F.col("issue").alias("hot_issue")), "hot")
+    if not n_hot:
+        return _followed(ops)
+    is_hot = ops["issue"] == hot["hot_issue"]
+    return _followed(ops.join(hot, is_hot, "left_anti")).unionByName(_chained(ops.join(hot, is_hot, "left_semi"), hot_rows=hot_rows, **split))
+
+
+def _followed(ops: DataFrame) -> DataFrame:
+    """:func:`leases` in one pass over rows that stand in order inside their partition; a task holds one batch of them."""
+
+    def follow(batches):
+        import pyarrow as pa
+
+        key, holder, expires = object(), "", 0
+        for batch in batches:
+            told = []
+            for issue, owner, op, at, ttl in zip(*(batch.column(c).to_pylist() for c in ("issue", "owner", "op", "at", "ttl"))):
+                if issue != key:
+                    key, holder, expires = issue, "", 0
+                if op == "acquire":
+                    outcome = "denied" if holder and at < expires else "granted"
+                elif op == "refresh":
+                    outcome = "not_held" if not holder else "owner_mismatch" if holder != owner else "expired" if at >= expires else "refreshed"
+                else:
+                    outcome = "owner_mismatch" if holder and holder != owner else "released"
+                if outcome in ("granted", "refreshed"):
+                    holder, expires = owner, at + ttl
+                elif outcome == "released":
+                    holder, expires = "", at
+                told.append((outcome, holder, expires))
+            outcomes, holders, ends = zip(*told) if told else ((), (), ())
+            kept = [batch.column(c) for c in ("seq", "issue", "owner", "op")]
+            more = [pa.array(outcomes, pa.string()), pa.array(holders, pa.string()), pa.array(ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays(kept + more, ["seq", "issue", "owner", "op", "outcome", "holder", "expires_s"])
+
+    slim = ops.select("seq", "issue", "owner", "op", F.coalesce("at_s", F.lit(0)).cast("bigint").alias("at"), F.coalesce("ttl_s", F.lit(0)).cast("bigint").alias("ttl"))
+    kind = lambda c: ops.schema[c].dataType.simpleString()
+    schema = f"seq {kind('seq')}, issue {kind('issue')}, owner string, op string, outcome string, holder string, expires_s bigint"
+    return slim.repartition("issue").sortWithinPartitions("issue", "at", "seq").mapInArrow(follow, schema)
+
+
+def _chained(ops: DataFrame, **split) -> DataFrame:
+    """:func:`leases` for issues of any size, none of them null.
 
     After a row that took effect the lease is known from that row alone: its owner until at_s + ttl_s, or free. So each
     row points to the next one that would take effect, the earliest of: the first acquire at or after the expiry, the

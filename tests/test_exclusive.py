@@ -89,3 +89,14 @@ def test_positions(spark):
     assert [r.i for r in whole.orderBy("n").collect()] == [i for _, i, _ in sorted(data, key=lambda r: r[2])]
     assert "SinglePartition" not in whole._jdf.queryExecution().toString()
     assert positions(table.limit(0), [], ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 30])
+def test_leases_of_null_issues_and_of_few_rows(spark, hot_rows):
+    """Issues below the bound are followed in one pass, without a round of pointers; a null issue keeps its rows."""
+    rng = random.Random(5)
+    data = [(seq, rng.choice([None, 1, 1, 1, *range(2, 40)]), rng.choice("ab"), rng.choice(["acquire", "refresh", "release"]), rng.choice([seq // 2, None]), rng.choice([1, 9, None])) for seq in range(600)]
+    table = spark.createDataFrame(data, "seq bigint, issue bigint, owner string, op string, at_s bigint, ttl_s bigint").repartition(4)
+    got = E.leases(table, hot_rows=hot_rows, chunk_rows=20)
+    assert rows(got) == lease_loop([(s, i, o, p, at or 0, ttl or 0) for s, i, o, p, at, ttl in data])
+    assert ("Join" in got._jdf.queryExecution().sparkPlan().toString()) == (hot_rows < 600)
