@@ -228,6 +228,12 @@ def snippets(lines: DataFrame, hits: DataFrame, around: int = 2) -> DataFrame:
     )
 
 
+def _merged(left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """An equi join that is never a broadcast: functions grow with the files, and a written table of short columns is
+    many times larger in the driver's memory than on disk, by which Spark would judge it."""
+    return left.join(right.hint("merge"), keys, how)
+
+
 def _dyadic(functions: DataFrame) -> DataFrame:
     """(file, level, node, best): the smallest function over each dyadic interval [node * 2^level, (node + 1) * 2^level).
 
@@ -251,9 +257,9 @@ def owners(points: DataFrame, functions: DataFrame) -> DataFrame:
     """
     nodes = _dyadic(functions)
     heights = nodes.groupBy("file").agg(F.max("level").alias("top"))
-    keyed = points.select("file", "line").join(heights, "file").withColumn("level", F.explode(F.sequence(F.lit(0), "top")))
+    keyed = _merged(points.select("file", "line"), heights, "file").withColumn("level", F.explode(F.sequence(F.lit(0), "top")))
     keyed = keyed.withColumn("node", F.expr("shiftright(line, level)"))
-    best = keyed.join(nodes, ["file", "level", "node"]).groupBy("file", "line").agg(F.min("best").alias("b"))
+    best = _merged(keyed, nodes, ["file", "level", "node"]).groupBy("file", "line").agg(F.min("best").alias("b"))
     return best.select("file", "line", F.col("b.func").alias("func"), (-F.col("b.s")).alias("start_line"))
 
 
@@ -261,7 +267,7 @@ def _stretches(functions: DataFrame) -> DataFrame:
     """(file, line, until, func, start_line): runs of lines with one smallest function, at most two for each function."""
     edges = functions.filter("end_line >= start_line").select("file", F.explode(F.array(F.col("start_line"), F.col("end_line") + 1)).alias("line")).distinct()
     runs = edges.withColumn("until", F.lead("line").over(Window.partitionBy("file").orderBy("line")) - 1)
-    return owners(edges, functions).join(runs, ["file", "line"])
+    return _merged(owners(edges, functions), runs, ["file", "line"])
 
 
 def innermost(functions: DataFrame) -> DataFrame:
@@ -273,12 +279,12 @@ def comment_density(lines: DataFrame, functions: DataFrame, comment: Column, thr
     """Functions whose own comment/code ratio is above the threshold; nested functions count for themselves."""
     own = _stretches(functions).groupBy("file", "func", "start_line").agg(F.sum(F.col("until") - F.col("line") + 1).alias("own"))
     noted = owners(lines.filter(comment), functions).groupBy("file", "func", "start_line").agg(F.count("*").alias("comments"))
-    counts = own.join(noted, ["file", "func", "start_line"], "left").withColumn("comments", F.coalesce("comments", F.lit(0)))
+    counts = _merged(own, noted, ["file", "func", "start_line"], "left").withColumn("comments", F.coalesce("comments", F.lit(0)))
     long_enough = functions.filter(F.col("end_line") - F.col("start_line") + 1 >= min_lines).select("file", "func", "start_line")
     code = F.col("own") - F.col("comments")
     ratio = F.col("comments") / code
     return (
-        counts.join(long_enough, ["file", "func", "start_line"], "left_semi")
+        _merged(counts, long_enough, ["file", "func", "start_line"], "left_semi")
         .filter(code > 0)
         .withColumn("ratio", ratio)
         .filter(F.col("ratio") > threshold)
